@@ -9,6 +9,7 @@ leftmost bin with room is found on one path from the root.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,36 +23,36 @@ from spanloom.llm.common import byte_sizes, slices, texts
 SEED = 17
 
 
-def token_ids(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+def token_ids(path: str, most: int = 1_500_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from an array of texts to (ids of all texts, number of ids of each).
 
     The ids are those that the tokenizer file at ``path`` gives the whole text
     with ``add_special_tokens=False``.  The tokenizer must drop white space and
     lower-case; so text between two ASCII white spaces has the same ids
     wherever it stands, and is tokenised once and then looked up.  Texts with
-    ``<|`` (which may spell a special token) go to the tokenizer whole.
+    ``<|`` (which may spell a special token) go to the tokenizer whole.  Past
+    ``most`` chunks the table is begun anew.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     model = tokenizer.model
-    known: dict[str, np.ndarray] = {}
+    known: dict[str, int] = {}  # chunk: its number; its ids lie in flat between two of cuts
+    flat, cuts = array("i"), array("q", [0])
 
-    def of_chunk(chunk: str) -> np.ndarray:
+    def ids_of(chunk: str) -> array:
         if chunk.isascii() and chunk.isalpha():
-            return np.array([t.id for t in model.tokenize(chunk)], np.int32)
+            return array("i", [t.id for t in model.tokenize(chunk)])
         if len(chunk) > 1 and chunk[-1] in ".," and (stem := chunk[:-1]).isascii() and stem.isalpha():
-            return np.concatenate([look(stem), look(chunk[-1])])
-        return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, np.int32)
+            return sum((flat[cuts[n] : cuts[n + 1]] for n in (look(stem), look(chunk[-1]))), array("i"))
+        return array("i", tokenizer.encode(chunk, add_special_tokens=False).ids)
 
-    def look(chunk: str) -> np.ndarray:
+    def look(chunk: str) -> int:
         got = known.get(chunk)
         if got is None:
-            if len(known) > 1_500_000:
-                known.clear()
-            got = of_chunk(chunk)
-            if len(chunk) <= 64:
-                known[chunk] = got
+            flat.extend(ids_of(chunk))
+            cuts.append(len(flat))
+            got = known[chunk] = len(cuts) - 2
         return got
 
     def of_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,15 +62,16 @@ def token_ids(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
         chunks = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         words = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
         coded = chunks.flatten().dictionary_encode()
-        parts = [look(c) for c in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        at = np.cumsum(sizes) - sizes
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        n = sizes[code]
+        if len(known) > most:
+            known.clear()
+            del flat[:], cuts[1:]
+        number = np.fromiter(map(look, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        stored, at = np.array(flat, np.int32), np.array(cuts, np.int64)
+        code = number[coded.indices.to_numpy(zero_copy_only=False)]
+        n = at[code + 1] - at[code]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(at[code] - (ends - n), n) + np.arange(total)]
+        ids = stored[np.repeat(at[code] - (ends - n), n) + np.arange(total)]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]
         counts = np.diff(upto)
         if len(odd):
@@ -88,7 +90,7 @@ def _tokenise(path: str, end_id: int, room: int, small: bool) -> Callable[[Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, row = token_ids(path), 0
         for whole in batches:
-            for batch in slices(whole, byte_sizes(whole.column(1)), 4 << 20):
+            for batch in slices(whole, byte_sizes(whole.column(1)), 8 << 20):
                 ids, counts = ids_of(batch.column(1))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id).astype(kind)
@@ -197,7 +199,7 @@ def _pack(room: int, least_cut: int, small: bool) -> Callable[[tuple, pa.Table],
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, room: int = 4096, group_bytes: int = 16 << 20, least_cut: int = 8, seed: int = SEED, small_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, room: int = 4096, group_bytes: int = 4 << 20, least_cut: int = 8, seed: int = SEED, small_ids: bool = True) -> DataFrame:
     """Pack all documents (``doc_id`` long, ``text``) into sequences of at most ``room`` ids.
 
     Returns a row per piece: ``doc_id, start, length, ids`` (binary,

@@ -29,6 +29,70 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words_each=4, budget=4)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_simhash": op2_simhash}
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.decontaminate import contamination, digest
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return digest(contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.sketches import as_text, edited_fingerprints, resemblance
+
+    found = edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    near = [resemblance(F.col("sketch"), F.col(c)).alias(n) for c, n in (("edited_sketch", "near_edited"), ("next_sketch", "near_next"))]
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"), *near)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
+    from spanloom.llm.sharding import shard_rows, size_and_checksum
+
+    rows = size_and_checksum(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    placed = shard_rows(rows, ["doc_id"], shards, seed=5)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.urls import Rule, judge
+
+    rules = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules).select("page_id", "host", "path", "rule", "verdict", "unwanted")
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.repeats import digest, remove_repeats
+
+    return digest(remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=200))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.chat import format_turns, loss_text, read_back, turns_of_rows
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(1).selectExpr(f"explode(array(struct(-7L conv_id, 0L turn, 'user' role, '{said}' text), struct(-7L, 1L, 'assistant', '{said}'))) r").select("r.*")
+    formatted = format_turns(turns_of_rows(rows.unionByName(more)))
+    read = formatted.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.licenses import scan_licences
+
+    return scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("found")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_simhash": op2_simhash,
+    "op3_decontamination": op3_decontamination,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_sharding": op5_sharding,
+    "op6_url_filter": op6_url_filter,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_chat_format": op9_chat_format,
+    "op10_licenses": op10_licenses,
+}
 
 ORACLE_SQL: dict[str, str] = {}
