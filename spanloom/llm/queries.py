@@ -65,6 +65,15 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=200))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.toxicity import is_training, score, train
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    scored = score(docs, train(docs, labels))
+    return scored.select("doc_id", (~is_training(F.col("doc_id"))).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.chat import format_turns, loss_text, read_back, turns_of_rows
 
@@ -91,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_url_filter": op6_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_licenses": op10_licenses,
 }
