@@ -219,13 +219,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ke
     ``text`` are not read.
     """
     spark = docs.sparkSession
-    out = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    carried = "text" in keep
+    out = docs.select(*keep) if carried else docs.select(*keep, F.col("text").cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != "__text")
     blocks = item_blocks(benchmark, block_bytes)
     for k, rows in enumerate(blocks):
         last = k == len(blocks) - 1
         block = spark.sparkContext.broadcast(build_block(sorted(map(tuple, rows.collect()), key=lambda r: (r[0], r[1] or "")), window))
-        out = out.mapInArrow(_scan(block, shard_bytes, len(keep), k > 0, last), kinds + (", " if last else ", __text string, ") + SCHEMA_OF_HITS)
+        out = out.mapInArrow(_scan(block, shard_bytes, keep.index("text") if carried else len(keep), k > 0, last), kinds + (", " if last or carried else ", __text string, ") + SCHEMA_OF_HITS)
     return out
 
 
@@ -237,6 +238,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, most: float = 0.0) -> DataFrame:
     """``docs`` without the documents of whose words over a share ``most`` lie in occurrences of test windows."""
-    found = contamination(docs, benchmark, window=window, keep=tuple(docs.columns))
+    rest = [c for c in docs.columns if c != "text"]
+    found = contamination(docs.select(F.struct(*rest).alias("__own"), "text"), benchmark, window=window, keep=("__own", "text"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
-    return found.where(hit <= F.lit(most) * F.col("n_words")).select(*docs.columns)
+    return found.where(hit <= F.lit(most) * F.col("n_words")).select(*(F.col("text") if c == "text" else F.col("__own")[c].alias(c) for c in docs.columns))

@@ -259,7 +259,20 @@ def _resolve(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _cut(size: int, extra: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _at_characters(body: bytes, runs: list[list[int]]) -> list[list[int]]:
+    """The runs without the bytes of characters that they would cut in two."""
+    out = []
+    for a, b in runs:
+        while a < b and body[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(body) and body[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append([a, b])
+    return out
+
+
+def _cut(size: int, extra: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, byte_sizes(whole.column(0)), 8 << 20):
@@ -274,6 +287,8 @@ def _cut(size: int, extra: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                             runs[-1][1] = max(runs[-1][1], b)
                         else:
                             runs.append([a, b])
+                    if whole:
+                        runs = _at_characters(body, runs)
                     parts, at = [], 0
                     for a, b in runs:
                         parts.append(body[at:a])
@@ -287,7 +302,7 @@ def _cut(size: int, extra: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size: int = SIZE, gram: int = GRAM, hot: int = 2_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size: int = SIZE, gram: int = GRAM, hot: int = 2_000, whole_characters: bool = False) -> DataFrame:
     """For each row of ``docs`` (``doc_id``, ``text``): ``keep``, ``kept`` (binary), ``spans``.
 
     ``spans``: (start, length) of the maximal runs of bytes covered by strings
@@ -296,7 +311,8 @@ def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size
     nothing and loses nothing; texts shorter than ``size`` stay; repeated rows
     are occurrences of each other; an empty table gives no rows.  Columns
     beside ``keep`` are not read.  An anchor with over ``hot`` unsettled places
-    is counted by string instead of gathered.
+    is counted by string instead of gathered.  ``whole_characters``: a character
+    that a run would cut in two stays whole.
     """
     if size - gram > 255:
         raise ValueError("an anchor must lie within 255 bytes of its strings' starts")
@@ -317,13 +333,25 @@ def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size
     again = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     counted = strings.join(again, ["h1", "h2"]).select("k", "t", F.col("p").alias("p0"), F.col("p").alias("p1"))
     more = ranges.unionByName(counted).groupBy("k", "t").agg(F.collect_set(F.struct("p0", "p1")).alias("found"))
-    named = both.join(more, ["k", "t"], "left").select("text", "settled", "found", *(F.col("own")[c].alias(c) for c in keep))
+    named = both.join(more, ["k", "t"], "left").select(F.col("text").alias("__text"), F.col("settled").alias("__settled"), F.col("found").alias("__found"), *(F.col("own")[c].alias(c) for c in keep))
     kinds = {f.name: f.dataType.simpleString() for f in named.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["kept binary", "spans array<struct<start:bigint,length:bigint>>"])
-    return named.mapInArrow(_cut(size, len(keep)), schema)
+    return named.mapInArrow(_cut(size, len(keep), whole_characters), schema)
 
 
 def digest(cut: DataFrame) -> DataFrame:
     """The figures of ``remove_repeats`` for each document."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
     return cut.select("doc_id", (F.length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, *, size: int = SIZE) -> DataFrame:
+    """``docs`` with their texts cut (``n_chars``, if there, is counted anew); characters stay whole; no row goes."""
+    rest = [c for c in docs.columns if c != "text"]
+    wrapped = docs.select("doc_id", "text", F.struct(*rest, F.col("text").isNull().alias("text")).alias("__own"))
+    cut = remove_repeats(wrapped, keep=("__own",), size=size, whole_characters=True)
+    text = F.when(~F.col("__own")["text"], F.decode("kept", "UTF-8"))
+    out = cut.select(*(text.alias("text") if c == "text" else F.col("__own")[c].alias(c) for c in docs.columns))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return out

@@ -97,16 +97,26 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def trie_links(prints: np.ndarray, bounds: np.ndarray, budget: int, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+def nearest_first(prints: np.ndarray, bounds: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``trie_links``, but links of fewer differing bits are taken first: a minimum spanning forest."""
+    label, parts = np.arange(len(prints)), []
+    for bits in range(1, budget + 1):
+        parts.append(trie_links(prints, bounds, bits, label=label))
+    return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+
+
+def trie_links(prints: np.ndarray, bounds: np.ndarray, budget: int, most: int = 400_000, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside each group, as two arrays of positions.
 
+    ``label``: trees that positions already belong to; it is updated.
+
     ``prints``: unsigned, ascending inside each of the groups that ``bounds``
     delimits.  A trie node is a range of positions that share their leading
     bits.  The stack holds sets of node pairs of one depth, at most about
     ``most`` each, so memory stays bounded however many pairs are alive.
     """
     n = len(prints)
-    label = np.arange(n)
+    label = np.arange(n) if label is None else label
     out_a: list[np.ndarray] = []
     out_b: list[np.ndarray] = []
     ones = np.zeros((BITS, n + 1), np.int32)  # of each bit, how many positions before this one have it
@@ -163,7 +173,7 @@ def trie_links(prints: np.ndarray, bounds: np.ndarray, budget: int, most: int =
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _join(budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _join(budget: int, nearest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "bucket", 60_000):
             bucket, prints = table.column("bucket").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
@@ -172,14 +182,14 @@ def _join(budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             fresh = np.append(True, (bucket[1:] != bucket[:-1]) | (prints[1:] != prints[:-1]))
             bucket, prints = bucket[fresh], prints[fresh]
             bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-            a, b = trie_links(prints, bounds, budget)
+            a, b = (nearest_first if nearest else trie_links)(prints, bounds, budget)
             x, y = prints[a].view(np.int64), prints[b].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
     return run
 
 
-def block_masks(budget: int, distinct: int, dense: int = 64) -> list[int]:
+def block_masks(budget: int, distinct: int, dense: int = 128) -> list[int]:
     """Masks of the bits that a pair must share under one key or another.
 
     With ``budget + clean`` blocks, ``budget`` of which may differ, each choice
@@ -195,12 +205,13 @@ def block_masks(budget: int, distinct: int, dense: int = 64) -> list[int]:
     return [sum(one[k] for k in which) for which in combinations(range(blocks), clean)]
 
 
-def fingerprint_links(prints: DataFrame, budget: int = 4, largest: int = 20_000) -> DataFrame:
+def fingerprint_links(prints: DataFrame, budget: int = 4, largest: int = 20_000, nearest: bool = False) -> DataFrame:
     """``(a, b)``: links between distinct values of ``fp`` (long) that connect all that differ in at most ``budget`` bits.
 
     A key with over ``largest`` fingerprints is parted: they are dealt into
     chunks, and each pair of chunks is a group of its own, so no task holds
     more than about two chunks and every pair still meets.  Nulls are left out.
+    ``nearest``: under each key the links of fewer differing bits come first.
     """
     distinct = prints.select("fp").where(F.col("fp").isNotNull()).distinct()
     masks = block_masks(budget, prints.count())
@@ -212,7 +223,7 @@ def fingerprint_links(prints: DataFrame, budget: int = 4, largest: int = 20_000)
     cells = keyed.join(sizes, "key").select("fp", "key", chunks.alias("c"), mine.alias("m")).select("fp", "key", "m", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
     dealt = cells.select("fp", F.xxhash64("key", F.least("m", "o"), F.greatest("m", "o")).alias("bucket"))
     parted = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    return parted.mapInArrow(_join(budget), "a long, b long").distinct()
+    return parted.mapInArrow(_join(budget, nearest), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, words_each: int = 4, budget: int = 4) -> DataFrame:
@@ -231,3 +242,96 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 4, budget: int = 4) ->
     smallest = classed.groupBy("component").agg(F.min("least").alias("component_id"))
     known = classed.join(smallest, "component").select("fp", "component_id")
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _word_prints(seeds: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Fingerprints over the distinct words of five bytes or more (all words, if there are few such)."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+
+    def prints_of(words: list[bytes]) -> list[int]:
+        own = set(words)
+        long = [w for w in own if len(w) >= 5]
+        hashes = np.array([digest(w, HASH_SEED) for w in (long if len(long) >= 8 else own)], np.uint64)
+        out = []
+        for k in range(seeds):
+            x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            ones = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([prints_of(t.lower().split()) for t in texts(batch.column(batch.schema.names.index("text")))], np.int64).reshape(-1, seeds)
+            kept = [k for k, name in enumerate(batch.schema.names) if name != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *(pa.array(rows[:, k]) for k in range(seeds))], [*(batch.schema.names[k] for k in kept), *(f"fp{k}" for k in range(seeds))])
+
+    return run
+
+
+def _shingle_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``node`` and the distinct shingles of ``size`` words as 64-bit hashes."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in texts(batch.column(1)):
+                words = text.lower().split()
+                runs = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+                rows.append(np.unique(np.array([xxhash.xxh64_intdigest(r, HASH_SEED) for r in runs], np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, *, similarity: float = 0.8, words_each: int = 5, budget: int = 5, seeds: int = 4) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the one with the smallest ``doc_id``.
+
+    Two documents are near duplicates if at least ``similarity`` of their
+    distinct shingles of ``words_each`` words (A-Z lower-cased, between ASCII
+    white space; fewer words: one of all) are shared; groups are what such
+    links connect.  Candidates are fingerprints over distinct words, one for
+    each of ``seeds``, that differ in at most ``budget`` bits: the trie join
+    gives, under each key, the nearest links that connect all candidates, so
+    their number grows with the documents and not with the square of a group.
+    Every candidate is verified on its whole sets of shingles.
+
+    Equal texts are one group, with null as the empty text; blank texts are
+    near duplicates of each other.  Of repeated rows one stays.  A null
+    ``doc_id`` is larger than any other.  ``docs`` must be read from files, as
+    rows are told apart by their place; it may have any further columns.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    placed = docs.withColumn("__row", F.monotonically_increasing_id())
+    tags = placed.select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("node"), text.alias("text"))
+    schema = "__row long, doc_id long, node string, " + ", ".join(f"fp{k} long" for k in range(seeds))
+    known = durable(tags.mapInArrow(_word_prints(seeds), schema))
+    nodes = known.groupBy("node").agg(*(F.first(f"fp{k}").alias(f"fp{k}") for k in range(seeds)))
+    pairs = None
+    for k in range(seeds):
+        own = nodes.select("node", F.col(f"fp{k}").alias("fp"))
+        first = own.groupBy("fp").agg(F.min("node").alias("least"))
+        same = own.join(first, "fp").where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b"))
+        links = fingerprint_links(first, budget, nearest=True)
+        left, right = first.select(F.col("fp").alias("a"), F.col("least").alias("x")), first.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+        near = links.join(left, "a").join(right, "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+        pairs = near.unionByName(same) if pairs is None else pairs.unionByName(near).unionByName(same)
+    pairs = durable(pairs.distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    firsts = known.groupBy("node").agg(F.min("__row").alias("__row"))
+    chosen = firsts.join(wanted, "node").select("__row", "node")
+    bodies = placed.select("__row", text.alias("text")).join(chosen, "__row").select("node", "text")
+    sets = durable(bodies.mapInArrow(_shingle_sets(words_each), "node string, shingles array<bigint>"))
+    sized = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
+    both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sized, "b")
+    shared = F.size(F.array_intersect("shingles", "t"))
+    union = F.size("shingles") + F.size("t") - shared
+    true = both.where(F.when(union == 0, True).otherwise(shared >= F.lit(similarity) * union)).select("a", "b")
+    groups = connected_components(true)
+    grouped = known.join(groups, "node", "left").select("__row", "doc_id", F.coalesce("component", "node").alias("component"))
+    stays = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("w")).select("w.__row")
+    return placed.join(stays, "__row", "left_semi").select(*docs.columns)

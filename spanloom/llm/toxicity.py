@@ -194,9 +194,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     score alike; an empty table gives no rows; columns beside ``keep`` and
     ``text`` are not read.
     """
-    mine = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    mine = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mine.schema if f.name != "__text")
-    return mine.mapInArrow(_score(model, len(keep)), f"{kinds}, __score double")
+    return mine.mapInArrow(_score(model, keep.index("text") if "text" in keep else len(keep)), f"{kinds}, __score double")
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
