@@ -5,11 +5,11 @@ A string of ``size`` bytes has an anchor: the leftmost of its substrings of
 same place, so only anchors travel: about one in ``(size - gram) / 2`` bytes.
 Anchors that occur once settle all their strings, and so do anchors whose
 occurrences all stand in the same surroundings.  For the rest the surroundings
-travel to a group for each anchor; there the suffixes that begin at each of the
-anchor's strings are sorted by mergesort, two suffixes being compared by the
-first byte after their common extension, which a binary search over prefix
-polynomial hashes finds.  Neighbours that agree over ``size`` bytes are compared
-byte by byte, so a hash collision cannot remove anything.
+travel to a group for each anchor; there what follows each anchor, and what
+precedes it, are sorted by mergesort, two suffixes being compared by the first
+byte after their common extension, which a binary search over prefix polynomial
+hashes finds.  How far neighbours agree is then read off their bytes, so a hash
+collision cannot remove anything.
 
 Anchors with very many different surroundings are not gathered: the strings
 around them are counted by 128 bits of hash.
@@ -211,35 +211,90 @@ def sort_suffixes(data: np.ndarray, hashes: PrefixHashes, start: np.ndarray, kla
     return order
 
 
+def _padded(data: np.ndarray, begin: np.ndarray, length: np.ndarray, width: int, step: int) -> np.ndarray:
+    """A row for each run of ``length`` bytes from ``begin`` on (backwards: before it), zeros after its end."""
+    along = np.arange(width)
+    where = begin[:, None] + (along if step > 0 else -1 - along)
+    return np.where(along < length[:, None], data[np.clip(where, 0, len(data) - 1)], 0).astype(np.uint8)
+
+
+def sorted_rows(rows: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's place in the order by class and bytes, and how far each place agrees with the one before (-1: another class).
+
+    The order comes from ``sort_suffixes``.  The extensions are then read off
+    the bytes themselves; should a hash collision have spoilt the order, the
+    rows are sorted by their bytes.
+    """
+    n, width = rows.shape
+    flat = np.ascontiguousarray(rows).ravel()
+    order = sort_suffixes(flat, PrefixHashes(flat), np.arange(n) * width, klass, width)
+    for _ in range(2):
+        a, b = rows[order[:-1]], rows[order[1:]]
+        differs = a != b
+        some = differs.any(axis=1)
+        first = differs.argmax(axis=1)
+        at = np.arange(n - 1)
+        same = klass[order[1:]] == klass[order[:-1]]
+        if not (same & some & (a[at, first] > b[at, first])).any():
+            break
+        order = np.lexsort((*rows.T[::-1], klass))
+    agree = np.append(-1, np.where(same, np.where(some, first, width), -1))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    return place, agree
+
+
 def repeated_starts(bodies: list[bytes], group: np.ndarray, at: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Of the strings around each anchor, those that occur again in its group: (row, start in the document)."""
+    """Of the strings around each anchor, those that occur again in its group: (row, start in the document).
+
+    Equal surroundings settle each other.  Of the others, what follows the
+    anchor and (backwards) what precedes it are two suffixes, each sorted in
+    its group; two strings that reach ``d`` bytes before their anchors are equal
+    if those before agree over ``d`` bytes and those after over ``size - d``.
+    """
     p0, p1 = _unpack(at)
-    n = p1 - p0 + 1
-    row = np.repeat(np.arange(len(n)), n)
-    start = p0[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    base = np.cumsum([0, *map(len, bodies)])[:-1]
-    where = base[row] + start - p0[row]
-    depth = (at >> 16)[row] - start
-    # equal strings have their anchor in the same place: a class for each group and depth
-    order = np.lexsort((depth, group[row]))
-    row, start, where, depth = row[order], start[order], where[order], depth[order]
-    klass = np.cumsum(np.append(True, (group[row][1:] != group[row][:-1]) | (depth[1:] != depth[:-1])))
-    edge = np.append(True, klass[1:] != klass[:-1])
-    many = ~(edge & np.append(edge[1:], True))  # classes of one string are settled
-    row, start, where, klass = row[many], start[many], where[many], klass[many]
-    if not len(row):
-        return row, start
+    a = at >> 16
+    far, close = a - p0, a - p1  # the strings reach between ``far`` and ``close`` bytes before the anchor
     data = np.frombuffer(b"".join(bodies), np.uint8)
-    hashes = PrefixHashes(data)
-    order = sort_suffixes(data, hashes, where, klass, size)
-    row, start, where, klass = row[order], start[order], where[order], klass[order]
-    near = np.flatnonzero((klass[1:] == klass[:-1]) & (hashes.of(where[1:], size) == hashes.of(where[:-1], size)))
-    along = np.arange(size)
-    true = [near[k : k + 20_000][(data[where[near[k : k + 20_000]][:, None] + along] == data[where[near[k : k + 20_000] + 1][:, None] + along]).all(axis=1)] for k in range(0, len(near), 20_000)]
-    near = np.concatenate(true) if true else near
-    hit = np.zeros(len(row), bool)
-    hit[near] = hit[near + 1] = True
-    return row[hit], start[hit]
+    length = p1 - p0 + size
+    base = np.cumsum(length) - length
+    whole = PrefixHashes(data).of(base, length)
+    order = np.lexsort((whole, far << 16 | close, group))
+    new = np.append(True, (group[order][1:] != group[order][:-1]) | (whole[order][1:] != whole[order][:-1]) | (at[order][1:] & 0xFFFF != at[order][:-1] & 0xFFFF))
+    first = order[np.flatnonzero(new)]
+    rep = np.empty(len(order), np.int64)
+    rep[order] = first[np.cumsum(new) - 1]
+    odd = [i for i in np.flatnonzero(rep != np.arange(len(rep))).tolist() if bodies[i] != bodies[rep[i]]]
+    if odd:  # a hash collision
+        rep[odd] = odd
+        first = np.append(first, odd)
+    copies = np.bincount(rep, minlength=len(rep))
+    settled = np.flatnonzero(copies[rep] > 1)
+    n = (p1 - p0 + 1)[settled]
+    rows = [np.repeat(settled, n)]
+    starts = [p0[rows[0]] + np.arange(len(rows[0])) - np.repeat(np.cumsum(n) - n, n)]
+    first = first[np.argsort(group[first], kind="stable")]
+    g = group[first]
+    edge = np.append(True, g[1:] != g[:-1])
+    first = first[~(edge & np.append(edge[1:], True))]
+    if len(first):
+        klass, reach, least = group[first], far[first], close[first]
+        anchor = base[first] + reach
+        after, upto = sorted_rows(_padded(data, anchor, size - least, size, 1), klass)
+        before, back = sorted_rows(_padded(data, anchor, reach, max(1, int(reach.max())), -1), klass)
+        for d in range(int(least.min()), int(reach.max()) + 1):
+            mine = np.flatnonzero((least <= d) & (d <= reach))
+            if len(mine) < 2:
+                continue
+            key = np.cumsum(upto < size - d)[after[mine]] << 32 | np.cumsum(back < d)[before[mine]]
+            by = np.argsort(key, kind="stable")
+            equal = key[by][1:] == key[by][:-1]
+            hit = mine[by[np.append(equal, False) | np.append(False, equal)]]
+            hit = first[hit]
+            hit = hit[copies[hit] == 1]
+            rows.append(hit)
+            starts.append(a[hit] - d)
+    return np.concatenate(rows), np.concatenate(starts)
 
 
 def _resolve(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -302,7 +357,7 @@ def _cut(size: int, extra: int, whole: bool) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size: int = SIZE, gram: int = GRAM, hot: int = 2_000, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size: int = SIZE, gram: int = GRAM, hot: int = 20_000, whole_characters: bool = False) -> DataFrame:
     """For each row of ``docs`` (``doc_id``, ``text``): ``keep``, ``kept`` (binary), ``spans``.
 
     ``spans``: (start, length) of the maximal runs of bytes covered by strings
@@ -326,7 +381,7 @@ def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size
     place = F.struct("ah", "at")
     lists = hits.groupBy("k", "t").agg(of_kind(0, F.col("at")).alias("settled"), of_kind(1, place).alias("open"), of_kind(2, place).alias("wide"))
     both = tagged.join(lists, ["k", "t"], "left")
-    part = lambda name: both.where(F.size(name) > 0).select("k", "t", "text", name)
+    part = lambda name: both.where(F.size(name) > 0).select("k", "t", "text", name, "own")  # noqa: E731  the same columns each time, so that the texts travel once
     groups = part("open").mapInArrow(_contexts(size, False), "ah long, k long, t int, at long, body binary").repartition("ah").sortWithinPartitions("ah")
     ranges = groups.mapInArrow(_resolve(size), "k long, t int, p0 long, p1 long")
     strings = part("wide").mapInArrow(_contexts(size, True), "h1 long, h2 long, k long, t int, p long")
