@@ -83,7 +83,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def successors(keys: DataFrame) -> DataFrame:
-    """``k, t, n, nk, nt``: for each distinct document the next in ascending ``doc_id`` (after the last: the first).
+    """``doc_id, k, t, n, nk, nt``: for each distinct document the next in ascending ``doc_id`` (after the last: the first).
 
     Documents are sorted by range over many tasks; a task's last document is
     followed by the first of the next task that has any.  Only those first
@@ -96,7 +96,7 @@ def successors(keys: DataFrame) -> DataFrame:
     over_parts = Window.orderBy("part")
     after = heads.select("part", F.coalesce(F.lead("head").over(over_parts), F.first("head").over(over_parts)).alias("head"))
     linked = inside.join(after, "part").withColumn("next", F.coalesce("next", "head"))
-    return linked.select("k", "t", "n", F.col("next.k").alias("nk"), F.col("next.t").alias("nt"))
+    return linked.select("doc_id", "k", "t", "n", F.col("next.k").alias("nk"), F.col("next.t").alias("nt"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -111,12 +111,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     columns are not read.  Texts travel once; of the next document only what
     is used.
     """
-    base = keyed(docs).withColumn("sketch", sketch(F.col("text")))
+    # both joins take the same columns of ``base``, so that the texts travel once
+    base = keyed(docs).select("k", "t", "text", sketch(F.col("text")).alias("sketch"))
     links = successors(keyed(docs).select("doc_id", "k", "t", F.length("text").alias("n")))
     quarter = F.floor(F.col("n") / 4).cast("int")
-    asked = links.select(F.col("nk").alias("k"), F.col("nt").alias("t"), F.col("k").alias("pk"), F.col("t").alias("pt"), quarter.alias("q"))
-    sent = base.join(asked, ["k", "t"]).select(F.col("pk").alias("k"), F.col("pt").alias("t"), F.expr("substring(text, 1, q)").alias("lead"), F.col("sketch").alias("next_sketch"))
-    once = sent.groupBy("k", "t").agg(F.first("lead").alias("lead"), F.first("next_sketch").alias("next_sketch"))
+    asked = links.select(F.col("nk").alias("k"), F.col("nt").alias("t"), F.col("k").alias("pk"), F.col("t").alias("pt"), "doc_id", quarter.alias("q"))
+    sent = base.join(asked, ["k", "t"]).select(F.col("pk").alias("k"), F.col("pt").alias("t"), "doc_id", F.expr("substring(text, 1, q)").alias("lead"), F.col("sketch").alias("next_sketch"))
+    once = sent.groupBy("k", "t").agg(F.first("doc_id").alias("doc_id"), F.first("lead").alias("lead"), F.first("next_sketch").alias("next_sketch"))
     n = F.length("text")
     joined = base.join(once, ["k", "t"]).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.col("lead")))
     return joined.select("doc_id", n.cast("long").alias("n_chars"), "edited", "sketch", sketch(F.col("edited")).alias("edited_sketch"), "next_sketch")
