@@ -1 +1 @@
-"""Placeholder."""
+"""Column functions over words, spans and vectors."""

@@ -1,6 +1,940 @@
-"""Registered queries of the linking library and their DuckDB counterparts."""
+"""Registered queries of the linking library and their DuckDB counterparts.
+
+Each query runs over whole tables.  ``QUERIES`` maps a name to ``(spark,
+sf_dir) -> DataFrame``; ``ORACLE_SQL`` has the same in SQL where SQL can say it.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.functions import columns as C
+from spanloom.operators import lexical, links, mentions, metrics, spans, vectors
+from spanloom.plans import views
+from spanloom.plans.views import with_views
+from spanloom.sources import conll, corpora
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+WINDOW = 64
+PACK = 256
+LONG = "BIGINT"
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+# Sentences, pieces, mentions
+
+
+@query(with_views("SELECT doc_id, sent_idx, len(words)::INT AS n_words, word_offset FROM v_offsets", "v_offsets"))
+def sentence_word_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    out = mentions.word_offsets(views.sentences(spark, sf))
+    return out.select("doc_id", "sent_idx", F.size("words").alias("n_words"), "word_offset")
+
+
+_PRON_EVAL = "[" + ",".join(f"'{w}'" for w in C.PRONOUNS_EVAL) + "]"
+_PRON_DIAG = "[" + ",".join(f"'{w}'" for w in C.PRONOUNS_DIAG) + "]"
+_TYPE_EVAL = f"CASE WHEN list_contains({_PRON_EVAL}, lower(tokens[1])) THEN 'PRON' WHEN regexp_matches(tokens[1], '^\\p{{Lu}}') AND len(tokens) <= 5 THEN 'PROPN' ELSE 'NOUN' END"
+_TYPE_DIAG = f"CASE WHEN len(tokens) = 1 AND list_contains({_PRON_DIAG}, lower(tokens[1])) THEN 'PRON' WHEN len(list_filter(tokens, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) > 0 THEN 'PROPN' ELSE 'NOUN' END"
+
+
+@query(with_views(f"""SELECT doc_id, mention_idx, sent_idx, "start", "end", sub_start, sub_end, cluster_id, array_to_string(tokens, ' ') AS surface, lower(tokens[len(tokens)]) AS head, {_TYPE_EVAL} AS type_eval, {_TYPE_DIAG} AS type_diag FROM v_gold""", "v_gold"))
+def gold_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    out = views.gold(spark, sf)
+    t = F.col("tokens")
+    return out.select("doc_id", "mention_idx", "sent_idx", "start", "end", "sub_start", "sub_end", "cluster_id", F.array_join(t, " ").alias("surface"), C.head(t).alias("head"), C.mention_type_eval(t).alias("type_eval"), C.mention_type_diag(t).alias("type_diag"))
+
+
+_PIECES = "v_pieces AS (SELECT doc_id, word_idx, first_piece, n_pieces FROM v_tokens WHERE word_idx % 11 <> 3)"
+
+
+def _thin_pieces(tokens: DataFrame) -> DataFrame:
+    """Pieces with a gap at every eleventh word, as a tokenizer that drops words leaves them."""
+    return tokens.where(F.col("word_idx") % 11 != 3).select("doc_id", "word_idx", "first_piece", "n_pieces")
+
+
+_TO_PIECES = """SELECT m.*, greatest(s, least(coalesce(e.first_piece - 1, last), last)) AS sub_end, s AS sub_start FROM
+    (SELECT m.*, l.last, coalesce(f.first_piece, least(m.w0, l.last)) AS s FROM {m} m JOIN (SELECT doc_id, max(first_piece + n_pieces) - 1 AS last FROM v_pieces GROUP BY 1) l USING (doc_id)
+     LEFT JOIN v_pieces f ON f.doc_id = m.doc_id AND f.word_idx = m.w0) m LEFT JOIN v_pieces e ON e.doc_id = m.doc_id AND e.word_idx = m.w1 + 1"""
+
+
+@query(with_views("SELECT doc_id, w0, w1, sub_start, sub_end FROM x", "v_tokens", "v_gold", v_pieces=_PIECES[len("v_pieces AS ("):-1], m='SELECT doc_id, word_idx - ("end" - "start") + 1 AS w0, word_idx AS w1 FROM v_gold', x=_TO_PIECES.format(m="m")))
+def word_to_piece_spans(spark: SparkSession, sf: str) -> DataFrame:
+    gold = views.gold(spark, sf).select("doc_id", (F.col("word_idx") - (F.col("end") - F.col("start")) + 1).alias("w0"), F.col("word_idx").alias("w1"))
+    return mentions.word_to_pieces(gold, _thin_pieces(views.tokens(spark, sf))).select("doc_id", "w0", "w1", "sub_start", "sub_end")
+
+
+_EXTENTS = {
+    "v_pieces": "SELECT doc_id, word_idx, first_piece, n_pieces FROM v_tokens",
+    "ms": "SELECT doc_id, sent_idx, word_offset AS w0, word_offset + len(words) - 1 AS w1 FROM v_offsets WHERE len(words) > 0",
+    "ex": _TO_PIECES.format(m="ms"),
+    "extents": "SELECT doc_id, sent_idx, sub_start AS sub_offset, greatest(1, sub_end - sub_start + 1)::BIGINT AS sub_length FROM ex",
+}
+
+
+def _extents(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions.sentence_extents(mentions.word_offsets(views.sentences(spark, sf)), views.tokens(spark, sf).select("doc_id", "word_idx", "first_piece", "n_pieces"))
+
+
+@query(with_views("SELECT * FROM extents", "v_tokens", "v_offsets", **_EXTENTS))
+def sentence_piece_extents(spark: SparkSession, sf: str) -> DataFrame:
+    return _extents(spark, sf)
+
+
+_PACKED = {
+    **_EXTENTS,
+    "seq": "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sub_offset, sub_length) AS rn FROM (SELECT DISTINCT doc_id, sub_offset, sub_length FROM extents)",
+    "st": f"""SELECT doc_id, rn, CASE WHEN sub_length > {PACK} THEN NULL ELSE sub_offset END AS s, sub_offset + sub_length AS e FROM seq WHERE rn = 1
+        UNION ALL SELECT q.doc_id, q.rn, CASE WHEN q.sub_length > {PACK} THEN NULL WHEN st.s IS NULL OR q.sub_offset + q.sub_length - st.s > {PACK} THEN q.sub_offset ELSE st.s END, q.sub_offset + q.sub_length
+        FROM st JOIN seq q ON q.doc_id = st.doc_id AND q.rn = st.rn + 1""",
+    "cut": f"SELECT doc_id, sub_offset + sub_length AS e, unnest(generate_series(sub_offset, sub_offset + sub_length - 1, {PACK})) AS s FROM seq WHERE sub_length > {PACK}",
+    "windows": f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS win_id, s AS chunk_start, e AS chunk_end FROM
+        (SELECT doc_id, s, max(e) AS e FROM st WHERE s IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT doc_id, s, least(s + {PACK}, e) FROM cut)""",
+}
+
+
+@query(with_views("SELECT doc_id, win_id, chunk_start::BIGINT AS chunk_start, chunk_end::BIGINT AS chunk_end FROM windows", "v_tokens", "v_offsets", **_PACKED))
+def packed_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions.pack_sentences(_extents(spark, sf), PACK)
+
+
+_ASSIGNED = "SELECT g.doc_id, g.mention_idx, g.sent_idx, g.cluster_id, g.tok_pos, coalesce(w.win_id, -1) AS win_id FROM v_gold g ASOF LEFT JOIN windows w ON g.doc_id = w.doc_id AND g.tok_pos >= w.chunk_start"
+
+
+@query(with_views("SELECT doc_id, mention_idx, tok_pos, win_id FROM placed", "v_tokens", "v_offsets", "v_gold", **_PACKED, placed=_ASSIGNED))
+def mention_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions.assign_window(views.gold(spark, sf), packed_windows(spark, sf)).select("doc_id", "mention_idx", "tok_pos", "win_id")
+
+
+@query(
+    with_views(
+        """SELECT (SELECT coalesce(sum(m), 0)::BIGINT FROM sc) AS sentences, (SELECT coalesce(sum(CASE WHEN a <> b THEN m ELSE 0 END), 0)::BIGINT FROM sc) AS cut_sentences,
+        (SELECT count(*) FROM pr) AS pairs, (SELECT coalesce(sum(d), 0)::BIGINT FROM pr) AS cut_pairs""",
+        "v_tokens", "v_offsets", "v_gold", **_PACKED, placed=_ASSIGNED,
+        f1="SELECT e.*, coalesce(w.win_id, -1) AS a FROM extents e ASOF LEFT JOIN windows w ON e.doc_id = w.doc_id AND e.sub_offset >= w.chunk_start",
+        f2="SELECT e.doc_id, e.sent_idx, e.a, coalesce(w.win_id, -1) AS b FROM (SELECT *, sub_offset + sub_length - 1 AS last FROM f1) e ASOF LEFT JOIN windows w ON e.doc_id = w.doc_id AND e.last >= w.chunk_start",
+        sc="SELECT f2.*, m FROM f2 JOIN (SELECT doc_id, sent_idx, count(*) AS m FROM v_gold GROUP BY 1, 2) USING (doc_id, sent_idx)",
+        pr="SELECT (x.win_id <> y.win_id)::INT AS d FROM placed x JOIN placed y ON x.doc_id = y.doc_id AND x.sent_idx = y.sent_idx AND x.cluster_id = y.cluster_id AND y.mention_idx < x.mention_idx",
+    )
+)
+def window_split_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions.split_stats(views.gold(spark, sf), _extents(spark, sf), packed_windows(spark, sf))
+
+
+# Corpus selection
+
+
+@query("SELECT doc_id, corpus, split FROM (SELECT *, row_number() OVER (PARTITION BY corpus, split ORDER BY doc_order) AS n FROM (" + views.SQL["v_docmeta"] + " ) WHERE corpus <> 'src3' AND (split <> 'train' OR corpus IN ('src0', 'src1', 'src2'))) WHERE NOT (corpus = 'src0' AND split = 'train' AND n > 12)")
+def training_subset(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions.select_subset(views.docmeta(spark, sf), only_train=("src0", "src1", "src2"), without=("src3",), caps={"src0": 12}).select("doc_id", "corpus", "split")
+
+
+@query("SELECT doc_id, 'transfer-' || corpus AS eval_set FROM (" + views.SQL["v_docmeta"] + ") WHERE corpus = 'src2' AND split = 'train' UNION ALL SELECT doc_id, corpus FROM (" + views.SQL["v_docmeta"] + ") WHERE split = 'test'")
+def evaluation_sets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = views.docmeta(spark, sf)
+    return mentions.eval_sets(docs, "validation", transfer="src2").unionByName(mentions.eval_sets(docs, "test")).select("doc_id", "eval_set")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR || '-42'), doc_id LIMIT 100")
+def sampled_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions.sample_docs(views.docmeta(spark, sf), 100).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def pending_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions.pending(views.read(spark, sf, "documents"), views.read(spark, sf, "labels")).select("doc_id")
+
+
+_PATH = "'/x/' || CASE WHEN doc_id % 3 = 0 THEN 'v4' ELSE 'v2' END || '/' || CASE doc_id % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'development' WHEN 2 THEN 'test' ELSE 'other' END || '/' || CASE WHEN lang = 'en' THEN 'english' ELSE lang END || '/' || source"
+
+
+@query(f"SELECT doc_id, CASE WHEN list_contains(p, 'v4') AND list_contains(p, 'english') THEN CASE WHEN list_contains(p, 'train') THEN 'train' WHEN list_contains(p, 'development') THEN 'validation' WHEN list_contains(p, 'test') THEN 'test' END END AS split FROM (SELECT doc_id, string_split({_PATH}, '/') AS p FROM documents)")
+def path_splits(spark: SparkSession, sf: str) -> DataFrame:
+    return views.read(spark, sf, "documents").select("doc_id", conll.split_of(F.expr(_PATH)).alias("split"))
+
+
+@query(with_views("SELECT array_to_string(tokens, ' ') AS surface FROM v_gold GROUP BY 1", "v_gold"))
+def distinct_surfaces(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions.surfaces(views.gold(spark, sf))
+
+
+# Normalising nested corpora
+
+
+def _nested(spark: SparkSession, sf: str, inclusive: bool) -> DataFrame:
+    gold = views.gold(spark, sf)
+    one = gold.groupBy("doc_id", "cluster_id").agg(F.array_sort(F.collect_list(F.array("sent_idx", "start", F.col("end") - int(inclusive)))).alias("c"))
+    return one.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster_id", "c"))), lambda x: x["c"]).alias("clusters"))
+
+
+_CLUSTER_ROWS = with_views("""SELECT doc_id, cluster_id, (row_number() OVER (PARTITION BY doc_id, cluster_id ORDER BY sent_idx, "start", "end") - 1)::INT AS pos, sent_idx, "start", "end" FROM v_gold""", "v_gold")
+
+
+@query(_CLUSTER_ROWS)
+def inclusive_chains(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions.from_clusters(_nested(spark, sf, True), "clusters", inclusive=True)
+
+
+@query(_CLUSTER_ROWS)
+def exclusive_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions.from_clusters(_nested(spark, sf, False), "clusters", inclusive=False)
+
+
+@query(
+    with_views(
+        """SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY entity) - 1)::INT AS cluster_id, pos, sent_idx, "start", "end" FROM
+        (SELECT *, count(*) OVER (PARTITION BY doc_id, entity) AS n FROM m WHERE sent_idx % 7 <> 5) WHERE n >= 2""",
+        "v_gold",
+        m="""SELECT doc_id, cluster_id AS entity, (row_number() OVER (PARTITION BY doc_id, cluster_id ORDER BY sent_idx, "start", "end") - 1)::INT AS pos, sent_idx, "start", "end" FROM v_gold""",
+    )
+)
+def span_string_entities(spark: SparkSession, sf: str) -> DataFrame:
+    gold = views.gold(spark, sf)
+    name = F.concat(F.lit("s"), F.col("sent_idx").cast("string"))
+    text = F.when(F.col("end") - F.col("start") == 1, F.col("end").cast("string")).otherwise(F.concat_ws("-", (F.col("start") + 1).cast("string"), F.col("end").cast("string")))
+    item = F.struct("sent_idx", "start", "end", F.struct(name.alias("sent_id"), text.alias("span")).alias("m"))
+    one = gold.groupBy("doc_id", "cluster_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["m"]).alias("e"))
+    entities = one.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster_id", "e"))), lambda x: x["e"]).alias("entities"))
+    sents = views.sentences(spark, sf).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("sent_idx")), lambda k: F.struct(F.when(k % 7 != 5, F.concat(F.lit("s"), k.cast("string"))).otherwise("gone").alias("sent_id"))).alias("sentences"))
+    return mentions.from_span_strings(entities.join(sents, "doc_id"))
+
+
+@query(with_views("""SELECT g.doc_id, g.mention_idx, g.sent_idx, g."start" + 2 AS "start", least(g."end" + 5, len(w.words))::INT AS "end" FROM v_gold g JOIN v_words w USING (doc_id, sent_idx) WHERE g."start" + 2 < len(w.words)""", "v_gold", "v_words"))
+def clamped_spans(spark: SparkSession, sf: str) -> DataFrame:
+    moved = views.gold(spark, sf).select("doc_id", "mention_idx", "sent_idx", (F.col("start") + 2).alias("start"), (F.col("end") + 5).alias("end"))
+    return mentions.valid_spans(moved, views.sentences(spark, sf)).select("doc_id", "mention_idx", "sent_idx", "start", "end")
+
+
+@query(with_views(f"SELECT doc_id, cluster_id, win_id, mention_idx FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, cluster_id, win_id) AS n FROM (SELECT *, (tok_pos // {WINDOW})::INT AS win_id FROM v_gold)) WHERE n >= 2", "v_gold"))
+def window_gold_partition(spark: SparkSession, sf: str) -> DataFrame:
+    placed = mentions.fixed_windows(mentions.min_mentions(views.gold(spark, sf)), WINDOW)
+    return mentions.drop_singletons(placed, ("doc_id", "cluster_id", "win_id")).select("doc_id", "cluster_id", "win_id", "mention_idx")
+
+
+# CoNLL columns
+
+
+_GOLD_TEXT = {"m": 'SELECT doc_id, cluster_id, sent_idx, "start" AS a, "end" - 1 AS b FROM v_gold'}
+
+
+@query(
+    with_views(
+        """SELECT t.doc_id, t.sent_idx, t.tok_idx, t.word, coalesce(c.coref, '-') AS coref FROM v_tokens t LEFT JOIN
+        (SELECT doc_id, sent_idx, tok_idx, string_agg(txt, '|' ORDER BY kind, rank, cluster_id) AS coref FROM ev GROUP BY 1, 2, 3) c USING (doc_id, sent_idx, tok_idx)""",
+        "v_tokens", "v_gold", **_GOLD_TEXT,
+        ev="""SELECT doc_id, sent_idx, a AS tok_idx, 1 AS kind, 0 AS rank, cluster_id, '(' || cluster_id || ')' AS txt FROM m WHERE a = b
+        UNION ALL SELECT doc_id, sent_idx, a, 0, -b, cluster_id, '(' || cluster_id FROM m WHERE a < b UNION ALL SELECT doc_id, sent_idx, b, 2, -a, cluster_id, cluster_id || ')' FROM m WHERE a < b""",
+    )
+)
+def coref_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return conll.coref_column(views.tokens(spark, sf).select("doc_id", "sent_idx", "tok_idx", "word"), views.gold(spark, sf))
+
+
+@query(with_views('SELECT doc_id, sent_idx, cluster_id AS cluster, "start", "end" - 1 AS "end" FROM v_gold', "v_gold"))
+def coref_columns_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    found, _ = conll.match_coref_brackets(coref_columns(spark, sf), ("doc_id", "sent_idx"))
+    return found.select("doc_id", "sent_idx", "cluster", "start", "end")
+
+
+@query(
+    with_views(
+        """SELECT doc_id, sent_idx, tok_idx, CASE WHEN tok_idx = s THEN 'B-' || lab WHEN tok_idx <= e THEN 'I-' || lab ELSE 'O' END AS label FROM
+        (SELECT t.*, s.s, s.e, s.lab FROM v_tokens t ASOF LEFT JOIN s ON t.doc_id = s.doc_id AND t.sent_idx = s.sent_idx AND t.tok_idx >= s.s)""",
+        "v_tokens",
+        s="""SELECT doc_id, sent_idx, tok_idx AS s, CASE WHEN tok_idx + 2 < n THEN tok_idx + 2 ELSE n - 1 END AS e, 'L' || (length(word) % 3) AS lab
+        FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, sent_idx) AS n FROM v_tokens) WHERE tok_idx % 4 = 1""",
+    ).replace("CASE WHEN tok_idx = s THEN", "CASE WHEN s IS NULL THEN 'O' WHEN tok_idx = s THEN")
+)
+def annotation_labels(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = views.tokens(spark, sf).select("doc_id", "sent_idx", "tok_idx", "word").withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "sent_idx")))
+    k, last = F.col("tok_idx") % 4, F.col("tok_idx") == F.col("n") - 1
+    name = F.concat(F.lit("(L"), (F.length("word") % 3).cast("string"))
+    cell = F.when(k == 1, F.concat(name, F.lit("*"), F.when(last, ")").otherwise(""))).when((k == 3) | (last & (k == 2)), "*)").otherwise("*")
+    labels = conll.bracket_bio(rows.withColumn("annotations", F.array(cell)), ("doc_id", "sent_idx"))
+    return labels.select("doc_id", "sent_idx", "tok_idx", "label")
+
+
+# Pairs, links, clusters
+
+_PLACED = {"g": f"SELECT *, (tok_pos // {WINDOW})::INT AS win_id FROM v_gold"}
+_BUCKET = "(" + " + ".join(f"(CASE WHEN x.i - y.i >= {b} THEN 1 ELSE 0 END)" for b in C.DISTANCE_BOUNDS) + ")"
+
+
+def _ordinal(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions.window_ordinal(mentions.fixed_windows(views.gold(spark, sf), WINDOW))
+
+
+_ORDINAL = {**_PLACED, "o": "SELECT *, row_number() OVER (PARTITION BY doc_id, win_id ORDER BY mention_idx) - 1 AS i FROM g"}
+
+
+@query(
+    with_views(
+        """SELECT bucket::INT AS bucket, count(*) AS pairs, sum(gold)::BIGINT AS gold FROM p GROUP BY 1""",
+        "v_gold", **_ORDINAL,
+        p=f"SELECT {_BUCKET} AS bucket, (x.cluster_id = y.cluster_id)::INT AS gold FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.win_id = y.win_id AND y.i < x.i",
+    )
+)
+def window_pairs_by_distance(spark: SparkSession, sf: str) -> DataFrame:
+    placed = _ordinal(spark, sf).drop("mention_idx").withColumnRenamed("i", "mention_idx")
+    pairs = links.training_pairs(placed)
+    return pairs.groupBy("bucket").agg(F.count("*").alias("pairs"), F.sum(F.col("is_gold").cast("long")).alias("gold"))
+
+
+_SCORE = f"CASE WHEN left(x.norm, 6) = left(y.norm, 6) THEN 0.9 - 0.05 * {_BUCKET} ELSE -0.1 END"
+_LINKED = {
+    **_ORDINAL,
+    "best": f"""SELECT doc_id, win_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, win_id, i ORDER BY score DESC, j) AS r FROM
+        (SELECT x.doc_id, x.win_id, x.i, y.i AS j, {_SCORE} AS score FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.win_id = y.win_id AND y.i < x.i)) WHERE r = 1 AND score > 0""",
+    "up": "SELECT doc_id, win_id, i, i AS root FROM o UNION ALL SELECT u.doc_id, u.win_id, u.i, b.j FROM up u JOIN best b ON b.doc_id = u.doc_id AND b.win_id = u.win_id AND b.i = u.root",
+    "rooted": "SELECT doc_id, win_id, i, min(root) AS root FROM up GROUP BY 1, 2, 3",
+}
+
+
+def _window_links(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Mentions with their place ``i`` in the window, and the root each is linked to."""
+    placed = _ordinal(spark, sf)
+    rows = placed.drop("mention_idx").withColumnRenamed("i", "mention_idx")
+    pairs = links.with_distance(links.window_pairs(rows, carry=("norm",)))
+    same = F.substring("norm_i", 1, 6) == F.substring("norm_j", 1, 6)
+    scored = pairs.withColumn("score", F.when(same, F.lit(0.9) - F.lit(0.05) * F.col("bucket")).otherwise(-0.1))
+    best = links.accept(links.best_antecedent(scored.select("doc_id", "win_id", "i", "j", "score")))
+    roots = links.close_forest(placed.select("doc_id", "win_id", "i"), best)
+    return placed, roots
+
+
+def _response(spark: SparkSession, sf: str) -> DataFrame:
+    placed, roots = _window_links(spark, sf)
+    rows = placed.join(roots, ["doc_id", "win_id", "i"])
+    kept = mentions.drop_singletons(rows, ("doc_id", "win_id", "root"))
+    return kept.select("doc_id", (F.col("win_id") * 100_000 + F.col("root")).alias("cluster_id"), "sent_idx", "start", "end", "tokens")
+
+
+_METRIC = {
+    "r": """SELECT doc_id, win_id * 100000 + root AS r, sent_idx, "start", "end", tokens FROM (SELECT o.*, root, count(*) OVER (PARTITION BY o.doc_id, o.win_id, root) AS n FROM o JOIN rooted USING (doc_id, win_id, i)) WHERE n >= 2""",
+    "k": 'SELECT doc_id, cluster_id AS k, sent_idx, "start", "end", tokens FROM v_gold',
+    "kr": 'SELECT k.doc_id, k, r, count(*) AS n FROM k JOIN r ON k.doc_id = r.doc_id AND k.sent_idx = r.sent_idx AND k."start" = r."start" AND k."end" = r."end" GROUP BY 1, 2, 3',
+    "ks": "SELECT doc_id, k, count(*) AS s FROM k GROUP BY 1, 2",
+    "rs": "SELECT doc_id, r, count(*) AS s FROM r GROUP BY 1, 2",
+    "kp": "SELECT doc_id, k, count(*) AS p, sum(n) AS m, sum(n * n) AS q FROM kr GROUP BY 1, 2",
+    "rp": "SELECT doc_id, r, count(*) AS p, sum(n) AS m, sum(n * n) AS q FROM kr GROUP BY 1, 2",
+    "sums": """SELECT (SELECT coalesce(sum(m - p), 0)::DOUBLE FROM kp) AS mrn, (SELECT sum(s - 1)::DOUBLE FROM ks) AS mrd, (SELECT coalesce(sum(m - p), 0)::DOUBLE FROM rp) AS mpn, (SELECT coalesce(sum(s - 1), 0)::DOUBLE FROM rs) AS mpd,
+        (SELECT coalesce(sum(q / s), 0)::DOUBLE FROM kp JOIN ks USING (doc_id, k)) AS brn, (SELECT sum(s)::DOUBLE FROM ks) AS brd, (SELECT coalesce(sum(q / s), 0)::DOUBLE FROM rp JOIN rs USING (doc_id, r)) AS bpn, (SELECT coalesce(sum(s), 0)::DOUBLE FROM rs) AS bpd""",
+}
+_RATIOS = """SELECT '{m}' AS metric, round(rn, 6) AS rec_num, rd AS rec_den, round(pn, 6) AS prec_num, pd AS prec_den, round(rn / rd, 6) AS recall, round(CASE WHEN pd = 0 THEN 0 ELSE pn / pd END, 6) AS "precision",
+    round(CASE WHEN rn = 0 THEN 0 ELSE 2 * (rn / rd) * (pn / pd) / (rn / rd + pn / pd) END, 6) AS f1 FROM (SELECT {p}rn AS rn, {p}rd AS rd, {p}pn AS pn, {p}pd AS pd FROM sums)"""
+
+
+@query(with_views(_RATIOS.format(m="muc", p="m") + " UNION ALL " + _RATIOS.format(m="b_cubed", p="b"), "v_gold", **_LINKED, **_METRIC))
+def entry_link_and_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions, windows, scored pairs, links, closure, then MUC and B-cubed against the gold entities."""
+    key, response = views.gold(spark, sf), _response(spark, sf)
+    rows = [metrics.muc(key, response).withColumn("metric", F.lit("muc")), metrics.b_cubed(key, response).withColumn("metric", F.lit("b_cubed"))]
+    both = rows[0].unionByName(rows[1])
+    return rounded(both, "rec_num", "prec_num", "recall", "precision", "f1").select("metric", "rec_num", "rec_den", "prec_num", "prec_den", "recall", "precision", "f1")
+
+
+@query(with_views("SELECT doc_id, win_id, i, root FROM rooted", "v_gold", **_LINKED))
+def link_closure(spark: SparkSession, sf: str) -> DataFrame:
+    return _window_links(spark, sf)[1].select("doc_id", "win_id", F.col("i").cast("long").alias("i"), F.col("root").cast("long").alias("root"))
+
+
+@query()
+def conll_score(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.conll_f1(views.gold(spark, sf), _response(spark, sf))
+
+
+@query()
+def conll_score_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.conll_f1_by_type(views.gold(spark, sf), _response(spark, sf))
+
+
+_BUCKETS = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.TYPE_BUCKETS.items()) + " END"
+
+
+@query(
+    with_views(
+        "SELECT side, bucket, count(*) AS clusters, sum(n)::BIGINT AS mentions FROM t GROUP BY 1, 2",
+        "v_gold", **_LINKED, r=_METRIC["r"], k=_METRIC["k"],
+        t=f"""SELECT side, {_BUCKETS} AS bucket, n FROM (SELECT side, doc_id, c, string_agg(DISTINCT ty, ',' ORDER BY ty) AS t, count(*) AS n FROM
+        (SELECT 'key' AS side, doc_id, k AS c, {_TYPE_EVAL} AS ty FROM k UNION ALL SELECT 'response', doc_id, r, {_TYPE_EVAL} FROM r) GROUP BY 1, 2, 3)""",
+    )
+)
+def clusters_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    key = metrics.with_bucket(views.gold(spark, sf).withColumn("side", F.lit("key")))
+    response = metrics.with_bucket(_response(spark, sf).withColumn("side", F.lit("response")))
+    rows = key.select("side", "bucket", "doc_id", "cluster_id").unionByName(response.select("side", "bucket", "doc_id", "cluster_id"))
+    return rows.groupBy("side", "bucket", "doc_id", "cluster_id").count().groupBy("side", "bucket").agg(F.count("*").alias("clusters"), F.sum("count").alias("mentions"))
+
+
+_NODES = {
+    **_LINKED,
+    "mem": "SELECT o.doc_id, o.win_id, root, mention_idx, tok_pos, cluster_id, list_transform(tokens, lambda t: lower(t)) AS tokens FROM o JOIN rooted USING (doc_id, win_id, i)",
+    "vote": "SELECT doc_id, win_id, root, cluster_id, row_number() OVER (PARTITION BY doc_id, win_id, root ORDER BY count(*) DESC, cluster_id) AS r FROM mem GROUP BY 1, 2, 3, 4",
+    "nodes": """SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY min_tok_pos, win_id, first) - 1)::INT AS node_idx FROM (SELECT m.doc_id, m.win_id, m.root, any_value(v.cluster_id) AS gold_id, min(tok_pos) AS min_tok_pos, min(mention_idx) AS first, list_sort(list(mention_idx)) AS members
+        FROM mem m JOIN vote v ON v.doc_id = m.doc_id AND v.win_id = m.win_id AND v.root = m.root AND v.r = 1 GROUP BY 1, 2, 3)""",
+}
+
+
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    placed, roots = _window_links(spark, sf)
+    return placed.join(roots, ["doc_id", "win_id", "i"]).withColumn("tokens", F.transform("tokens", lambda t: F.lower(t)))
+
+
+@query(with_views("SELECT doc_id, node_idx, win_id, gold_id, min_tok_pos, array_to_string(members, ',') AS members FROM nodes", "v_gold", **_NODES))
+def quotient_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = links.build_nodes(_members(spark, sf))
+    return nodes.select("doc_id", "node_idx", "win_id", "gold_id", "min_tok_pos", F.array_join("members", ",").alias("members"))
+
+
+_IDF = {"idf": "SELECT t.doc_id, token, df, ln(n / (1 + df)) + 1 AS idf FROM (SELECT doc_id, token, count(*) AS df FROM (SELECT doc_id, mention_idx, unnest(list_distinct(tokens)) AS token FROM mem) GROUP BY 1, 2) t JOIN (SELECT doc_id, count(*) AS n FROM mem GROUP BY 1) USING (doc_id)"}
+
+
+@query(with_views("SELECT doc_id, token, df, round(idf, 6) AS idf FROM idf", "v_gold", mem="SELECT doc_id, mention_idx, list_transform(tokens, lambda t: lower(t)) AS tokens FROM v_gold", **_IDF))
+def token_idf(spark: SparkSession, sf: str) -> DataFrame:
+    gold = views.gold(spark, sf).withColumn("tokens", F.transform("tokens", lambda t: F.lower(t)))
+    return rounded(lexical.doc_idf(gold), "idf")
+
+
+_SUBSEQ = "len(list_filter(generate_series(1, len({b}) - len({a}) + 1), lambda k: {b}[k:k + len({a}) - 1] = {a})) > 0"
+_LEXICAL = {
+    **_NODES,
+    **_IDF,
+    "nm": "SELECT n.doc_id, n.node_idx, n.win_id, m.tokens FROM nodes n JOIN mem m ON m.doc_id = n.doc_id AND m.win_id = n.win_id AND m.root = n.root",
+    "nt": "SELECT DISTINCT doc_id, node_idx, win_id, unnest(tokens) AS token FROM nm",
+    "nw": "SELECT nt.*, idf FROM nt JOIN idf USING (doc_id, token)",
+    "mass": "SELECT doc_id, node_idx, sum(idf) AS mass FROM nw GROUP BY 1, 2",
+    "sh": "SELECT x.doc_id, x.node_idx AS i, y.node_idx AS j, sum(x.idf) AS b FROM nw x JOIN nw y ON x.doc_id = y.doc_id AND x.token = y.token AND y.node_idx < x.node_idx AND x.win_id <> y.win_id GROUP BY 1, 2, 3",
+    "ct": f"SELECT DISTINCT doc_id, node_idx, tokens AS t FROM nm WHERE NOT (len(tokens) = 1 AND list_contains({_PRON_DIAG}, tokens[1]))",
+    "cc": f"""SELECT sh.doc_id, sh.i, sh.j, max((x.t = y.t)::INT) AS e, max(({_SUBSEQ.format(a="x.t", b="y.t")} OR {_SUBSEQ.format(a="y.t", b="x.t")})::INT) AS c
+        FROM sh JOIN ct x ON x.doc_id = sh.doc_id AND x.node_idx = sh.i JOIN ct y ON y.doc_id = sh.doc_id AND y.node_idx = sh.j GROUP BY 1, 2, 3""",
+    "lex": """SELECT sh.doc_id, sh.i, sh.j, b / (mi.mass + mj.mass - b) AS idf_jaccard, coalesce(c, 0)::INT AS containment, coalesce(e, 0)::INT AS exact_match FROM sh JOIN mass mi ON mi.doc_id = sh.doc_id AND mi.node_idx = sh.i
+        JOIN mass mj ON mj.doc_id = sh.doc_id AND mj.node_idx = sh.j LEFT JOIN cc ON cc.doc_id = sh.doc_id AND cc.i = sh.i AND cc.j = sh.j""",
+}
+
+
+def _lexical(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    members = _members(spark, sf)
+    nodes = links.build_nodes(members)
+    return members, nodes, lexical.lexical_pair_features(lexical.node_tokens(nodes, members), lexical.doc_idf(members))
+
+
+@query(with_views("SELECT doc_id, i, j, round(idf_jaccard, 6) AS idf_jaccard, containment, exact_match FROM lex", "v_gold", **_LEXICAL))
+def lexical_features(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_lexical(spark, sf)[2], "idf_jaccard")
+
+
+_MERGED = {
+    **_LEXICAL,
+    "nb": "SELECT doc_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY round(idf_jaccard + exact_match, 6) DESC, j) AS r FROM lex) WHERE r = 1 AND round(idf_jaccard + exact_match, 6) > 0.5",
+    "nu": "SELECT doc_id, node_idx AS i, node_idx AS root FROM nodes UNION ALL SELECT u.doc_id, u.i, b.j FROM nu u JOIN nb b ON b.doc_id = u.doc_id AND b.i = u.root",
+    "nr": "SELECT doc_id, i, min(root) AS root FROM nu GROUP BY 1, 2",
+}
+
+
+def _merged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    members, nodes, features = _lexical(spark, sf)
+    scored = features.select("doc_id", "i", "j", F.round(F.col("idf_jaccard") + F.col("exact_match"), 6).alias("score"))
+    best = links.best_antecedent(scored, ("doc_id",))
+    classes = links.close_forest(nodes.select("doc_id", F.col("node_idx").alias("i")), links.accept(best, 0.5), ("doc_id",))
+    return members, nodes, best, classes
+
+
+@query(with_views("SELECT nr.doc_id, nr.root::INT AS cluster, unnest(members) AS mention_idx FROM nr JOIN nodes n ON n.doc_id = nr.doc_id AND n.node_idx = nr.i", "v_gold", **_MERGED))
+def merged_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    _, nodes, _, classes = _merged(spark, sf)
+    return links.apply_merge(nodes, classes).select("doc_id", F.col("cluster").cast("int").alias("cluster"), "mention_idx")
+
+
+@query(
+    with_views(
+        """SELECT (SELECT count(*) FROM nb) AS merges, (SELECT count(*) FROM (SELECT DISTINCT x.doc_id, x.node_idx FROM nodes x JOIN nodes y ON x.doc_id = y.doc_id AND y.node_idx < x.node_idx AND x.win_id <> y.win_id AND x.gold_id = y.gold_id)) AS with_antecedent, (SELECT count(*) FROM nodes) AS nodes""",
+        "v_gold", **_MERGED,
+    )
+)
+def node_merge_stats(spark: SparkSession, sf: str) -> DataFrame:
+    _, nodes, best, _ = _merged(spark, sf)
+    gold = links.cross_window_pairs(nodes, carry=("gold_id",), salt=4).where("gold_id_i = gold_id_j")
+    return links.merge_stats(best, nodes, gold, 0.5)
+
+
+@query(
+    with_views(
+        """SELECT count(*) AS docs, round(avg(m), 6) AS mentions, round(avg(c), 6) AS nodes, round(avg(e), 6) AS entities, round(sum(m) / sum(c), 6) AS mentions_per_node, round(sum(c) / sum(e), 6) AS nodes_per_entity,
+        sum(m * m)::BIGINT AS mention_pairs, sum(c * c)::BIGINT AS node_pairs, sum(w * (w - 1) // 2)::BIGINT AS window_pairs FROM
+        (SELECT doc_id, count(*) AS m, count(DISTINCT cluster_id) AS e FROM v_gold GROUP BY 1) JOIN (SELECT doc_id, count(*) AS c, count(DISTINCT win_id) AS w FROM nodes GROUP BY 1) USING (doc_id)""",
+        "v_gold", **_NODES,
+    )
+)
+def quotient_compression(spark: SparkSession, sf: str) -> DataFrame:
+    out = links.compression_stats(views.gold(spark, sf), links.build_nodes(_members(spark, sf)))
+    return rounded(out, "mentions", "nodes", "entities", "mentions_per_node", "nodes_per_entity")
+
+
+@query(
+    with_views(
+        """SELECT count(*) AS clusters, sum((k >= 2)::INT)::BIGINT AS over_merged, sum(n)::BIGINT AS mentions, sum(CASE WHEN k >= 2 THEN n ELSE 0 END)::BIGINT AS in_over_merged FROM
+        (SELECT doc_id, root, count(DISTINCT gold_id) AS k, count(gold_id) AS n FROM (SELECT nr.doc_id, nr.root, m.cluster_id AS gold_id FROM nr JOIN nodes n ON n.doc_id = nr.doc_id AND n.node_idx = nr.i JOIN mem m ON m.doc_id = n.doc_id AND m.win_id = n.win_id AND m.root = n.root) GROUP BY 1, 2)""",
+        "v_gold", **_MERGED,
+    )
+)
+def merged_purity(spark: SparkSession, sf: str) -> DataFrame:
+    members, nodes, _, classes = _merged(spark, sf)
+    rows = links.apply_merge(nodes, classes).join(members.select("doc_id", "mention_idx", F.col("cluster_id").alias("gold_id")), ["doc_id", "mention_idx"])
+    return links.cluster_purity(rows)
+
+
+@query()
+def locality_gain(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of window-local and of merged clusters against the full gold, side by side."""
+    members, nodes, _, classes = _merged(spark, sf)
+    spot = members.select("doc_id", "mention_idx", "sent_idx", "start", "end")
+    local = nodes.select("doc_id", F.col("node_idx").alias("cluster_id"), F.explode("members").alias("mention_idx")).withColumn("system", F.lit("local"))
+    merged = links.apply_merge(nodes, classes).withColumnRenamed("cluster", "cluster_id").withColumn("system", F.lit("merged"))
+    both = mentions.drop_singletons(local.unionByName(merged, allowMissingColumns=True), ("system", "doc_id", "cluster_id")).join(spot, ["doc_id", "mention_idx"])
+    key = views.gold(spark, sf).withColumn("system", F.explode(F.array(F.lit("local"), F.lit("merged"))))
+    return metrics.conll_f1(key, both, ("system",))
+
+
+@query()
+def calibrated_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    members, nodes, best, _ = _merged(spark, sf)
+    spot = members.select("doc_id", "mention_idx", "sent_idx", "start", "end")
+    rows = nodes.select("doc_id", "node_idx", F.explode("members").alias("mention_idx")).join(spot, ["doc_id", "mention_idx"])
+    return metrics.calibrate(best, rows, views.gold(spark, sf), [round(-0.3 + 0.15 * k, 2) for k in range(7)])
+
+
+# Spans
+
+
+def _spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return views.gold(spark, sf), views.predicted(spark, sf)
+
+
+_FLAGS = {
+    "gs": "SELECT DISTINCT doc_id, sub_start AS a, sub_end AS b FROM v_gold",
+    "ps": "SELECT DISTINCT doc_id, sub_start AS a, sub_end AS b FROM v_pred",
+    "gf": """SELECT gs.*, EXISTS (SELECT 1 FROM ps WHERE ps.doc_id = gs.doc_id AND ps.a = gs.a AND ps.b = gs.b) AS x, EXISTS (SELECT 1 FROM ps WHERE ps.doc_id = gs.doc_id AND ps.a <= gs.b AND gs.a <= ps.b) AS o, EXISTS (SELECT 1 FROM ps WHERE ps.doc_id = gs.doc_id AND ps.b = gs.b) AS e FROM gs""",
+    "pf": """SELECT ps.*, EXISTS (SELECT 1 FROM gs WHERE ps.doc_id = gs.doc_id AND ps.a = gs.a AND ps.b = gs.b) AS x, EXISTS (SELECT 1 FROM gs WHERE ps.doc_id = gs.doc_id AND ps.a <= gs.b AND gs.a <= ps.b) AS o, EXISTS (SELECT 1 FROM gs WHERE ps.doc_id = gs.doc_id AND ps.b = gs.b) AS e FROM ps""",
+}
+
+
+def _prf_sql(rows: str) -> str:
+    return f"""SELECT criterion, gh AS gold_hits, ph AS pred_hits, ng AS n_gold, np AS n_pred, round(gh / ng, 6) AS recall, round(ph / np, 6) AS "precision", round(CASE WHEN gh + ph = 0 THEN 0 ELSE 2 * (gh / ng) * (ph / np) / (gh / ng + ph / np) END, 6) AS f1 FROM ({rows})"""
+
+
+@query(with_views(_prf_sql(" UNION ALL ".join(f"SELECT '{n}' AS criterion, (SELECT sum({c}::INT)::BIGINT FROM gf) AS gh, (SELECT sum({c}::INT)::BIGINT FROM pf) AS ph, (SELECT count(*) FROM gf) AS ng, (SELECT count(*) FROM pf) AS np" for n, c in (("exact", "x"), ("overlap", "o"), ("same_end", "e")))), "v_gold", "v_pred", **_FLAGS))
+def span_scores(spark: SparkSession, sf: str) -> DataFrame:
+    out = rounded(spans.span_prf(*_spans(spark, sf)), "recall", "precision", "f1")
+    return out.select("criterion", "gold_hits", "pred_hits", "n_gold", "n_pred", "recall", "precision", "f1")
+
+
+@query(with_views("SELECT sum(o::INT)::BIGINT AS boundary, sum((NOT o)::INT)::BIGINT AS disjoint FROM pf WHERE NOT x", "v_gold", "v_pred", **_FLAGS))
+def span_false_positives(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.false_positives(*_spans(spark, sf))
+
+
+_DEPTH = {
+    "u": "SELECT DISTINCT doc_id, sent_idx, sub_start AS a, sub_end AS b FROM v_gold",
+    "deep": "SELECT x.doc_id, x.sent_idx, x.a, x.b, count(*) - 1 AS depth FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.sent_idx = y.sent_idx AND y.a <= x.a AND x.b <= y.b GROUP BY 1, 2, 3, 4",
+}
+
+
+@query(with_views("SELECT doc_id, sent_idx, a AS sub_start, b AS sub_end, depth FROM deep", "v_gold", **_DEPTH))
+def span_nesting(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.nesting_depth(views.gold(spark, sf))
+
+
+@query(
+    with_views(
+        "SELECT depth, type, length, count(*) AS n, sum(missed)::BIGINT AS missed FROM t GROUP BY GROUPING SETS ((depth), (type), (length))",
+        "v_gold", "v_pred", **_FLAGS, **_DEPTH,
+        first=f"SELECT doc_id, sent_idx, sub_start AS a, sub_end AS b, any_value({_TYPE_EVAL}) AS type, any_value(least(len(tokens), 6))::INT AS length FROM v_gold GROUP BY 1, 2, 3, 4",
+        t="SELECT least(depth, 2)::BIGINT AS depth, type, length, (NOT o)::INT AS missed FROM first JOIN deep USING (doc_id, sent_idx, a, b) JOIN gf USING (doc_id, a, b)",
+    )
+)
+def missed_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.miss_analysis(*_spans(spark, sf))
+
+
+@query(
+    with_views(
+        "SELECT depth, count(*) AS n, sum(ox)::BIGINT AS own_exact, sum(ax)::BIGINT AS any_exact, sum(oo)::BIGINT AS own_overlap, sum(ao)::BIGINT AS any_overlap FROM t GROUP BY 1",
+        "v_gold", "v_pred", **_DEPTH,
+        ph="SELECT DISTINCT doc_id, sub_start AS a, sub_end AS b, (pred_idx % 2)::INT AS head FROM v_pred",
+        d2="SELECT doc_id, a, b, least(depth, 1)::INT AS depth FROM deep",
+        t="""SELECT depth, coalesce((SELECT max((head = depth)::INT) FROM ph WHERE ph.doc_id = d2.doc_id AND ph.a = d2.a AND ph.b = d2.b), 0) AS ox, (EXISTS (SELECT 1 FROM ph WHERE ph.doc_id = d2.doc_id AND ph.a = d2.a AND ph.b = d2.b))::INT AS ax,
+        coalesce((SELECT max((head = depth)::INT) FROM ph WHERE ph.doc_id = d2.doc_id AND ph.a <= d2.b AND d2.a <= ph.b), 0) AS oo, (EXISTS (SELECT 1 FROM ph WHERE ph.doc_id = d2.doc_id AND ph.a <= d2.b AND d2.a <= ph.b))::INT AS ao FROM d2""",
+    )
+)
+def nested_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    gold, pred = _spans(spark, sf)
+    return spans.nested_breakdown(gold, pred.withColumn("head", (F.col("pred_idx") % 2).cast("int")))
+
+
+_ALIGNED = {
+    "gg": 'SELECT doc_id, sent_idx, "start" AS g0, "end" AS g1, arg_max(cluster_id, mention_idx) AS c, min(mention_idx) AS o FROM v_gold GROUP BY 1, 2, 3, 4',
+    "cand": 'SELECT p.doc_id, p.pred_idx, c, o, p."start" - g0 AS l, p."end" - g1 AS r, (p."start" = g0 AND p."end" = g1)::INT AS x, least(p."end", g1) - greatest(p."start", g0) AS s FROM v_pred p JOIN gg ON gg.doc_id = p.doc_id AND gg.sent_idx = p.sent_idx AND p."start" < g1 AND g0 < p."end"',
+    "hit": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pred_idx ORDER BY x DESC, s DESC, o) AS q FROM cand) WHERE q = 1",
+    "aligned": """SELECT p.doc_id, p.pred_idx, p.sent_idx, p."start", p."end", coalesce(h.c, coalesce(t.top, -1) + sum((h.c IS NULL)::INT) OVER (PARTITION BY p.doc_id ORDER BY p.pred_idx))::INT AS gold_cluster
+        FROM v_pred p LEFT JOIN hit h USING (doc_id, pred_idx) LEFT JOIN (SELECT doc_id, max(cluster_id) AS top FROM v_gold GROUP BY 1) t ON t.doc_id = p.doc_id""",
+}
+
+
+@query(with_views("SELECT * FROM aligned", "v_gold", "v_pred", **_ALIGNED))
+def aligned_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    gold, pred = _spans(spark, sf)
+    return spans.align_to_gold(pred, gold)
+
+
+@query(with_views("SELECT a.doc_id, a.pred_idx FROM aligned a WHERE NOT EXISTS (SELECT 1 FROM v_gold g WHERE g.doc_id = a.doc_id AND g.cluster_id = a.gold_cluster)", "v_gold", "v_pred", **_ALIGNED))
+def spurious_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    gold, pred = _spans(spark, sf)
+    return spans.matched_only(spans.align_to_gold(pred, gold), gold, spurious=True).select("doc_id", "pred_idx")
+
+
+@query(with_views('SELECT doc_id, mention_idx FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM v_gold g WHERE EXISTS (SELECT 1 FROM v_pred p WHERE p.doc_id = g.doc_id AND p.sent_idx = g.sent_idx AND p."start" < g."end" AND g."start" < p."end")) WHERE n >= 2', "v_gold", "v_pred"))
+def detected_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.detected_gold(*_spans(spark, sf)).select("doc_id", "mention_idx")
+
+
+@query(with_views("""SELECT greatest(-3, least(3, l))::INT AS "left", greatest(-3, least(3, r))::INT AS "right", CASE WHEN l = 0 AND r = 0 THEN 'exact' WHEN r = 0 THEN 'left' WHEN l = 0 THEN 'right' ELSE 'both' END AS side, count(*) AS n FROM hit GROUP BY 1, 2, 3""", "v_gold", "v_pred", **_ALIGNED))
+def boundary_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    gold, pred = _spans(spark, sf)
+    return spans.boundary_errors(pred, gold)
+
+
+@query()
+def mention_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """One score for each set of mentions: all gold, gold that was detected, matched predictions, all predictions; the same key."""
+    gold, pred = _spans(spark, sf)
+    aligned = spans.align_to_gold(pred, gold)
+    asc = lambda df, name, cluster: df.select("doc_id", "sent_idx", "start", "end", F.col(cluster).alias("cluster_id"), F.lit(name).alias("mention_set"))
+    sets = asc(gold, "gold", "cluster_id").unionByName(asc(spans.detected_gold(gold, pred), "detected", "cluster_id")).unionByName(asc(spans.matched_only(aligned, gold), "matched", "gold_cluster")).unionByName(asc(aligned, "all", "gold_cluster"))
+    key = gold.withColumn("mention_set", F.explode(F.array(*(F.lit(x) for x in ("gold", "detected", "matched", "all")))))
+    return metrics.conll_f1(key, mentions.drop_singletons(sets, ("mention_set", "doc_id", "cluster_id")), ("mention_set",))
+
+
+_SNAP = {
+    "own": "SELECT doc_id, sent_idx, tok_idx, unnest(generate_series(first_piece, first_piece + n_pieces - 1)) AS piece FROM v_tokens",
+    "lst": "SELECT doc_id, max(first_piece + n_pieces) - 1 AS last FROM v_tokens GROUP BY 1",
+    "sh2": "SELECT p.doc_id, pred_idx, greatest(0, least(sub_start - 1, last)) AS a, greatest(0, least(sub_end + 9, last)) AS b FROM v_pred p JOIN lst USING (doc_id)",
+    "tops": "SELECT doc_id, sent_idx, max(tok_idx) AS top FROM v_tokens GROUP BY 1, 2",
+}
+
+
+@query(with_views("""SELECT s.doc_id, s.pred_idx, x.sent_idx, x.tok_idx AS "start", greatest(x.tok_idx, CASE WHEN y.sent_idx = x.sent_idx THEN y.tok_idx ELSE top END) + 1 AS "end" FROM sh2 s JOIN own x ON x.doc_id = s.doc_id AND x.piece = s.a JOIN own y ON y.doc_id = s.doc_id AND y.piece = s.b JOIN tops t ON t.doc_id = s.doc_id AND t.sent_idx = x.sent_idx""", "v_tokens", "v_pred", **_SNAP))
+def snapped_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    pred = views.predicted(spark, sf).select("doc_id", "pred_idx", (F.col("sub_start") - 1).alias("sub_start"), (F.col("sub_end") + 9).alias("sub_end"))
+    tokens = views.tokens(spark, sf)
+    return spans.snap_to_words(pred, tokens.select("doc_id", "word_idx", "first_piece", "n_pieces"), tokens)
+
+
+_BIO = {
+    **_DEPTH,
+    "len": "SELECT doc_id, sum(n_pieces)::BIGINT AS n FROM v_tokens GROUP BY 1",
+    "mk": "SELECT DISTINCT ON (doc_id, head, pos) doc_id, head, pos, label FROM (SELECT doc_id, depth AS head, unnest(generate_series(a, b)) AS pos, CASE WHEN unnest(generate_series(a, b)) = a THEN 'B' ELSE 'I' END AS label FROM deep WHERE depth < 2) ORDER BY doc_id, head, pos, label",
+    "lab": "SELECT e.doc_id, e.head, e.pos, coalesce(label, 'O') AS label FROM (SELECT doc_id, head, unnest(generate_series(0, n - 1)) AS pos FROM len, (VALUES (0), (1)) h(head)) e LEFT JOIN mk USING (doc_id, head, pos)",
+}
+
+
+def _bio(spark: SparkSession, sf: str) -> DataFrame:
+    lengths = views.tokens(spark, sf).groupBy("doc_id").agg(F.sum("n_pieces").alias("n"))
+    return spans.bio_encode(views.gold(spark, sf), lengths, 2, ("doc_id",))
+
+
+@query(
+    with_views(
+        "SELECT head::INT AS head, label, count(*) AS n, sum(pos)::BIGINT AS positions FROM lab GROUP BY 1, 2",
+        "v_tokens", "v_gold", **{**_BIO, "deep": "SELECT x.doc_id, x.a, x.b, count(*) - 1 AS depth FROM u x JOIN u y ON x.doc_id = y.doc_id AND y.a <= x.a AND x.b <= y.b GROUP BY 1, 2, 3"},
+    )
+)
+def bio_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return _bio(spark, sf).groupBy("head", "label").agg(F.count("*").alias("n"), F.sum("pos").alias("positions"))
+
+
+@query(
+    with_views(
+        "SELECT doc_id, head::INT AS head, min(pos) AS sub_start, max(pos) AS sub_end FROM (SELECT *, sum(op) OVER (PARTITION BY doc_id, head ORDER BY pos) AS run FROM (SELECT *, (label = 'B' OR (label = 'I' AND coalesce(lag(label) OVER (PARTITION BY doc_id, head ORDER BY pos), 'O') = 'O'))::INT AS op FROM lab)) WHERE label <> 'O' GROUP BY doc_id, head, run",
+        "v_tokens", "v_gold", **_BIO,
+    )
+)
+def bio_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.bio_decode(_bio(spark, sf))
+
+
+@query(
+    with_views(
+        """SELECT head::INT AS head, label, n, round(greatest(0.2, least(30.0, w / avg(w) OVER (PARTITION BY head))), 6) AS weight FROM (SELECT *, sqrt(sum(n + 1) OVER (PARTITION BY head) / (3 * (n + 1))) AS w FROM
+        (SELECT h.head, l.label, (SELECT count(*) FROM lab WHERE lab.head = h.head AND lab.label = l.label) AS n FROM (VALUES (0), (1)) h(head), (VALUES ('O'), ('B'), ('I')) l(label)))""",
+        "v_tokens", "v_gold", **_BIO,
+    )
+)
+def bio_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(spans.bio_class_weights(_bio(spark, sf)), "weight")
+
+
+_CANDIDATES = {
+    "cd": """SELECT p.doc_id, p.sub_start, p.sub_end, p.pred_idx, round(((p.pred_idx * 37 + p.word_idx) % 101) / 101.0, 6)::DOUBLE AS score, EXISTS (SELECT 1 FROM v_gold g WHERE g.doc_id = p.doc_id AND g.sub_start = p.sub_start AND g.sub_end = p.sub_end) AS is_gold FROM v_pred p""",
+}
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    gold, pred = _spans(spark, sf)
+    score = F.round(F.expr("((pred_idx * 37 + word_idx) % 101) / 101.0D"), 6)
+    return spans.candidate_labels(pred.withColumn("score", score), gold)
+
+
+_GRID = [k / 20 for k in range(1, 20)]
+
+
+@query(
+    with_views(
+        """SELECT threshold, tp, n_pred, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, row_number() OVER (ORDER BY f1 DESC, threshold) = 1 AS best FROM (SELECT *, CASE WHEN tp = 0 THEN 0 ELSE 2 * "precision" * recall / ("precision" + recall) END AS f1 FROM
+        (SELECT threshold, tp, n_pred, CASE WHEN n_pred = 0 THEN 0 ELSE tp / n_pred END AS "precision", tp / (SELECT count(*) FROM v_gold) AS recall FROM
+        (SELECT threshold, (SELECT count(*) FROM cd WHERE score > threshold AND is_gold) AS tp, (SELECT count(*) FROM cd WHERE score > threshold) AS n_pred FROM (SELECT unnest([""" + ",".join(f"{t}::DOUBLE" for t in _GRID) + "]) AS threshold))))",
+        "v_gold", "v_pred", **_CANDIDATES,
+    )
+)
+def candidate_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    out = spans.threshold_sweep(_candidates(spark, sf), views.gold(spark, sf).count(), _GRID)
+    return rounded(out, "precision", "recall", "f1")
+
+
+@query(with_views("SELECT length, count(*) AS n, sum(f)::BIGINT AS found FROM (SELECT DISTINCT g.doc_id, g.sub_start, g.sub_end, least(len(tokens), 6)::INT AS length, (EXISTS (SELECT 1 FROM cd WHERE cd.doc_id = g.doc_id AND cd.sub_start = g.sub_start AND cd.sub_end = g.sub_end AND score > 0.35))::INT AS f FROM v_gold g) GROUP BY 1", "v_gold", "v_pred", **_CANDIDATES))
+def candidate_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.recall_by_length(_candidates(spark, sf), views.gold(spark, sf), 0.35)
+
+
+@query(
+    with_views(
+        f"SELECT doc_id, win_id, sub_start, sub_end, score, is_gold FROM (SELECT *, sum(is_gold::INT) OVER (PARTITION BY doc_id, win_id) AS p, row_number() OVER (PARTITION BY doc_id, win_id, is_gold ORDER BY score DESC, sub_start, sub_end, pred_idx) AS r FROM (SELECT *, (sub_start // {WINDOW})::INT AS win_id FROM cd)) WHERE p > 0 AND (is_gold OR r <= 2 * p)",
+        "v_gold", "v_pred", **_CANDIDATES,
+    )
+)
+def hard_negative_spans(spark: SparkSession, sf: str) -> DataFrame:
+    placed = mentions.fixed_windows(_candidates(spark, sf), WINDOW, "sub_start")
+    return links.hard_negatives(placed, 2, ties=("sub_start", "sub_end", "pred_idx")).select("doc_id", "win_id", "sub_start", "sub_end", "score", "is_gold")
+
+
+@query(
+    with_views(
+        "SELECT g.doc_id, g.mention_idx, w.win_id, g.sub_start - chunk_start AS local_start, g.sub_end - chunk_start AS local_end FROM v_gold g JOIN windows w ON w.doc_id = g.doc_id AND chunk_start <= g.sub_start AND g.sub_end < chunk_end",
+        "v_tokens", "v_offsets", "v_gold", **_PACKED,
+    )
+)
+def window_local_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.spans_in_window(views.gold(spark, sf), packed_windows(spark, sf)).select("doc_id", "mention_idx", "win_id", "local_start", "local_end")
+
+
+@query(with_views("SELECT count(*) AS n, sum((sub_end - sub_start >= 4)::INT)::BIGINT AS unreachable, round(sum((sub_end - sub_start >= 4)::INT) / count(*), 6) AS share FROM v_gold", "v_gold"))
+def unreachable_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(spans.unreachable(views.gold(spark, sf), 4), "share")
+
+
+@query("SELECT conv_id AS doc_id, turn::INT AS win_id, count(*) AS spans, sum(e - s)::BIGINT AS widths FROM (SELECT conv_id, turn, s, unnest(generate_series(s, least(s + 4, n - 1))) AS e FROM (SELECT conv_id, turn, n, unnest(generate_series(0, n - 1)) AS s FROM (SELECT conv_id, turn, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS n FROM conversations) WHERE n > 0)) GROUP BY 1, 2")
+def candidate_counts(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    turns = views.read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("win_id"), F.size(words).alias("n")).where("n > 0")
+    return spans.candidate_spans(turns, 5).groupBy("doc_id", "win_id").agg(F.count("*").alias("spans"), F.sum(F.col("end") - F.col("start")).cast("long").alias("widths"))
+
+
+@query(with_views("SELECT doc_id, pred_idx FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY pred_idx) AS r FROM v_pred) WHERE r = 1", "v_pred"))
+def first_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.dedupe_first(views.predicted(spark, sf), ("doc_id", "norm")).select("doc_id", "pred_idx")
+
+
+@query(with_views("SELECT DISTINCT doc_id, sub_start, sub_end FROM (SELECT doc_id, sub_start, sub_end FROM v_gold UNION ALL SELECT doc_id, sub_start, sub_end FROM v_pred)", "v_gold", "v_pred"))
+def united_spans(spark: SparkSession, sf: str) -> DataFrame:
+    gold, pred = _spans(spark, sf)
+    return spans.union_heads(gold.select("doc_id", *spans.SPAN).unionByName(pred.select("doc_id", *spans.SPAN)))
+
+
+# Vectors
+
+_DOT = "list_sum(list_transform(generate_series(1, len({a})), lambda k: {a}[k]::DOUBLE * {b}[k]::DOUBLE))"
+_SCORED = {
+    "w": f"SELECT *, (tok_pos // {WINDOW})::INT AS win_id FROM v_vec",
+    "sc": f"SELECT x.doc_id, x.win_id, x.mention_idx AS i, y.mention_idx AS j, round({_DOT.format(a='x.vec', b='y.vec')}, 6) AS score, x.cluster_id = y.cluster_id AS is_gold FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.win_id = y.win_id AND y.mention_idx < x.mention_idx",
+    "dec": """SELECT doc_id, win_id, i, arg_max(j, (score, -j)) AS j, max(score) AS score, bool_or(is_gold) AS has_gold, arg_max(is_gold, (score, -j)) AS hit FROM sc GROUP BY 1, 2, 3""",
+    "oc": "SELECT *, CASE WHEN score > 0 AND hit THEN 'TRUE_LINK' WHEN score > 0 AND has_gold THEN 'WRONG_LINK' WHEN score > 0 THEN 'FALSE_LINK' WHEN has_gold THEN 'MISSED_LINK' ELSE 'TRUE_NULL' END AS outcome FROM dec",
+}
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    placed = mentions.fixed_windows(views.vectors(spark, sf), WINDOW)
+    side = lambda s: placed.select("doc_id", F.col("mention_idx").alias(s), F.col("vec").alias(f"v{s}"))
+    pairs = links.window_pairs(placed, carry=("cluster_id",))
+    both = pairs.join(side("i"), ["doc_id", "i"]).join(side("j"), ["doc_id", "j"])
+    return both.select("doc_id", "win_id", "i", "j", F.round(C.dot(F.col("vi"), F.col("vj")), 6).alias("score"), (F.col("cluster_id_i") == F.col("cluster_id_j")).alias("is_gold"))
+
+
+@query(with_views("SELECT doc_id, win_id, i, j, score, has_gold, outcome FROM oc", "v_vec", **_SCORED))
+def vector_link_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return links.link_outcomes(_scored(spark, sf))
+
+
+@query(with_views("""SELECT cluster_id, t AS true_links, w AS wanted, m AS made, round(CASE WHEN w = 0 THEN 0 ELSE t / w END, 6) AS recall, round(CASE WHEN m = 0 THEN 0 ELSE t / m END, 6) AS "precision" FROM (SELECT v.cluster_id, sum((outcome = 'TRUE_LINK')::INT)::BIGINT AS t, sum((outcome IN ('TRUE_LINK', 'WRONG_LINK', 'MISSED_LINK'))::INT)::BIGINT AS w, sum((outcome IN ('TRUE_LINK', 'WRONG_LINK', 'FALSE_LINK'))::INT)::BIGINT AS m FROM oc JOIN v_vec v ON v.doc_id = oc.doc_id AND v.mention_idx = oc.i GROUP BY 1)""", "v_vec", **_SCORED))
+def link_scores_by_entity(spark: SparkSession, sf: str) -> DataFrame:
+    ids = views.vectors(spark, sf).select("doc_id", F.col("mention_idx").alias("i"), "cluster_id")
+    out = links.link_prf(links.link_outcomes(_scored(spark, sf)).join(ids, ["doc_id", "i"]), ["cluster_id"])
+    return rounded(out, "recall", "precision")
+
+
+@query(
+    with_views(
+        """SELECT round((coalesce(avg(CASE WHEN g IS NOT NULL THEN l END), 0) + coalesce(avg(CASE WHEN g IS NULL THEN l END), 0)) / 2, 6) AS loss FROM (SELECT g, ln(1 + s) - CASE WHEN g IS NOT NULL THEN ln(g) ELSE 0 END AS l FROM
+        (SELECT doc_id, win_id, i, sum(exp(score)) AS s, sum(CASE WHEN is_gold THEN exp(score) END) AS g FROM sc GROUP BY 1, 2, 3))""",
+        "v_vec", **_SCORED,
+    )
+)
+def vector_ranking_loss(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(links.ranking_loss(_scored(spark, sf), views.vectors(spark, sf)), "loss")
+
+
+@query(with_views("SELECT kind, count(*) AS n, round(avg(m), 6) AS mean_sim, round(median(m), 6) AS median_sim FROM (SELECT CASE outcome WHEN 'TRUE_LINK' THEN 'resolved' ELSE 'missed' END AS kind, m FROM oc JOIN (SELECT doc_id, win_id, i, max(score) AS m FROM sc WHERE is_gold GROUP BY 1, 2, 3) USING (doc_id, win_id, i) WHERE outcome IN ('TRUE_LINK', 'MISSED_LINK')) GROUP BY 1", "v_vec", **_SCORED))
+def antecedent_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _scored(spark, sf)
+    return rounded(links.similarity_separation(pairs.withColumnRenamed("score", "sim"), links.link_outcomes(pairs)), "mean_sim", "median_sim")
+
+
+@query(with_views("SELECT round(sum(p * (u + n / 2)) / (sum(p)::DOUBLE * sum(n)), 6) AS auc FROM (SELECT p, n, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM (SELECT score, sum(is_gold::INT) AS p, sum((NOT is_gold)::INT) AS n FROM sc GROUP BY 1))", "v_vec", **_SCORED))
+def vector_auc(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(links.separation_auc(_scored(spark, sf)), "auc")
+
+
+def _pooled_sql(agg: str) -> str:
+    return with_views(f"SELECT doc_id, cluster_id, d, round({agg}, 6) AS x FROM (SELECT doc_id, cluster_id, unnest(generate_series(0, 63))::INT AS d, unnest(vec)::DOUBLE AS v FROM v_vec) GROUP BY 1, 2, 3", "v_vec")
+
+
+def _pooled(spark: SparkSession, sf: str, how: str) -> DataFrame:
+    out = vectors.pool_members(views.vectors(spark, sf), how, ("doc_id", "cluster_id"))
+    return rounded(out.select("doc_id", "cluster_id", F.posexplode("vec").alias("d", "x")), "x")
+
+
+@query(_pooled_sql("avg(v)"))
+def pooled_mean(spark: SparkSession, sf: str) -> DataFrame:
+    return _pooled(spark, sf, "mean")
+
+
+@query(_pooled_sql("max(v)"))
+def pooled_max(spark: SparkSession, sf: str) -> DataFrame:
+    return _pooled(spark, sf, "max")
+
+
+@query(_pooled_sql("ln(avg(exp(v)))"))
+def pooled_lse(spark: SparkSession, sf: str) -> DataFrame:
+    return _pooled(spark, sf, "lse")
+
+
+@query(with_views(f"SELECT doc_id, mention_idx, round(sqrt({_DOT.format(a='vec', b='vec')}), 5) AS length, (sigmoid_in > 0)::INT AS positive, round(1 / (1 + exp(-sigmoid_in)), 6) AS squashed, round(greatest(-0.1, least(0.1, sigmoid_in)), 6) AS clipped FROM (SELECT *, vec[1]::DOUBLE AS sigmoid_in FROM v_vec)", "v_vec"))
+def vector_functions(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.element_at("vec", 1).cast("double")
+    return views.vectors(spark, sf).select("doc_id", "mention_idx", F.round(C.norm(F.col("vec")), 5).alias("length"), (x > 0).cast("int").alias("positive"), F.round(C.sigmoid(x), 6).alias("squashed"), F.round(C.clip(x, -0.1, 0.1), 6).alias("clipped"))
+
+
+@query(
+    with_views(
+        "SELECT g.doc_id, g.mention_idx, coalesce(round(s.x, 6), 0) AS start_x, coalesce(round(e.x, 6), 0) AS end_x FROM v_gold g LEFT JOIN tv s ON s.doc_id = g.doc_id AND s.pos = g.sub_start LEFT JOIN tv e ON e.doc_id = g.doc_id AND e.pos = g.sub_end",
+        "v_gold", tv="SELECT vec_id // 50 AS doc_id, 3 * (vec_id % 50) AS pos, embedding[1]::DOUBLE AS x FROM embeddings",
+    )
+)
+def endpoint_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    table = views.read(spark, sf, "embeddings").selectExpr("vec_id div 50 doc_id", "3 * (vec_id % 50) pos", "cast(embedding as array<double>) vec")
+    out = mentions.gather_endpoints(views.gold(spark, sf), table, 64)
+    return out.select("doc_id", "mention_idx", F.round(F.element_at("ctx_start", 1), 6).alias("start_x"), F.round(F.element_at("ctx_end", 1), 6).alias("end_x"))
+
+
+@query(with_views("SELECT g.doc_id, g.mention_idx, s.n AS times FROM (SELECT doc_id, mention_idx, array_to_string(tokens, ' ') AS surface FROM v_gold) g JOIN (SELECT array_to_string(tokens, ' ') AS surface, count(*) AS n FROM v_gold GROUP BY 1) s USING (surface)", "v_gold"))
+def surface_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    gold = views.gold(spark, sf)
+    table = gold.groupBy(F.array_join("tokens", " ").alias("surface")).agg(F.count("*").alias("vec"))
+    return mentions.attach_surface_vectors(gold, table).select("doc_id", "mention_idx", F.col("vec").alias("times"))
+
+
+@query()
+def encoded_surfaces(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.encode_surfaces(mentions.surfaces(views.gold(spark, sf)))
+
+
+def _weights(dim: int, extra: int) -> dict:
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    sizes = [(4 * dim + extra, 16), (16, 8), (8, 1)]
+    return {f"{n}{k + 1}": rng.normal(0, 0.3, s if n == "w" else s[1]) for k, s in enumerate(sizes) for n in "wb"}
+
+
+@query()
+def feed_forward_links(spark: SparkSession, sf: str) -> DataFrame:
+    placed = mentions.fixed_windows(views.vectors(spark, sf), WINDOW)
+    return links.best_antecedent(vectors.score_pairs(placed, _weights(64, 9)))
+
+
+@query()
+def feed_forward_merges(spark: SparkSession, sf: str) -> DataFrame:
+    members, nodes, features = _lexical(spark, sf)
+    coded = vectors.encode_surfaces(mentions.surfaces(members))
+    vecs = mentions.attach_surface_vectors(members.select("doc_id", "mention_idx", "tokens"), coded)
+    owned = nodes.select("doc_id", "node_idx", "win_id", F.explode("members").alias("mention_idx")).join(vecs, ["doc_id", "mention_idx"])
+    pooled = vectors.pool_members(owned, "mean", ("doc_id", "node_idx", "win_id"))
+    return links.best_antecedent(vectors.score_node_pairs(pooled, features, _weights(32, 3)), ("doc_id",))
+
+
+@query()
+def bilinear_spans(spark: SparkSession, sf: str) -> DataFrame:
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = mentions.fixed_windows(views.vectors(spark, sf), WINDOW).select("doc_id", "win_id", F.col("mention_idx").alias("pos"), "vec")
+    return vectors.score_spans(rows, rng.normal(size=64), rng.normal(size=64), rng.normal(size=(64, 64)) / 8, 5)
+
+
+@query()
+def linear_probe_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """The area under the curve of the cosine and of a fitted linear probe."""
+    pairs = _scored(spark, sf)
+    probe, _ = vectors.fit_linear_pair_scorer(pairs.select("doc_id", "i", "j", "is_gold"), views.vectors(spark, sf))
+    one = links.separation_auc(pairs).withColumn("score", F.lit("cosine"))
+    return one.unionByName(links.separation_auc(probe, buckets=100_000).withColumn("score", F.lit("probe")))
+
+
+@query()
+def sampled_training_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return links.training_pairs(mentions.fixed_windows(views.gold(spark, sf), WINDOW), ratio=2, seed=3)
+
+
+@query(with_views("SELECT doc_id, sent_idx, tok_idx, contains_it, shared, label FROM t", "v_prev", t="""SELECT doc_id, sent_idx, tok_idx, prev_word IS NOT NULL AND list_contains([prev_word, word], word) AS contains_it, greatest(0, least(tok_idx + 3, 7) - greatest(tok_idx, 5))::INT AS shared,
+    CASE WHEN 1 - p < 0.5 THEN 'O' WHEN q >= 1 - p - q THEN 'B' ELSE 'I' END AS label FROM (SELECT *, ((word_idx * 13) % 100) / 100.0::DOUBLE AS p, (1 - ((word_idx * 13) % 100) / 100.0::DOUBLE) * ((word_idx * 7) % 11) / 11.0::DOUBLE AS q FROM v_prev)"""))
+def span_functions(spark: SparkSession, sf: str) -> DataFrame:
+    t = views.tokens(spark, sf)
+    p = F.expr("((word_idx * 13) % 100) / 100.0D")
+    q = (1 - p) * F.expr("((word_idx * 7) % 11)") / F.lit(11.0)
+    inside = F.col("prev_word").isNotNull() & C.contains_run(F.array("word"), F.array(F.coalesce("prev_word", F.lit("")), F.col("word")))
+    shared = C.overlap(F.col("tok_idx"), F.col("tok_idx") + 3, F.lit(5), F.lit(7))
+    return t.select("doc_id", "sent_idx", "tok_idx", inside.alias("contains_it"), shared.alias("shared"), C.bio_from_probs(p, q, 1 - p - q, 0.5).alias("label"))
+
+
+@query(with_views("SELECT corpus, split, count(*) AS mentions FROM v_gold JOIN v_docmeta USING (doc_id) GROUP BY 1, 2", "v_gold", "v_docmeta"))
+def united_corpora(spark: SparkSession, sf: str) -> DataFrame:
+    rows = views.gold(spark, sf).join(views.docmeta(spark, sf), "doc_id").select("corpus", "split", "doc_id")
+    parts = [rows.where(F.col("split") == s) for s in ("train", "validation", "test")]
+    return corpora.union_corpora(*parts).groupBy("corpus", "split").agg(F.count("*").alias("mentions"))

@@ -1 +1 @@
-"""Placeholder."""
+"""Readers and writers of annotated corpora and their tables."""
