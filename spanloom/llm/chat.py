@@ -9,7 +9,7 @@ of the record itself.  All of it is DataFrame expressions.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -100,6 +100,10 @@ def _canonical_role(role: Column) -> Column:
     return F.coalesce(F.try_element_at(known, role), role, F.lit(""))
 
 
+def _turn_of(layout: Layout) -> Callable[[Column], Column]:
+    return lambda t: F.struct(_canonical_role(t[layout.role]).alias("role"), F.coalesce(t[layout.text], F.lit("")).alias("text"))
+
+
 def turns_of_records(records: DataFrame, key: str = "record_id", record: str = "record") -> DataFrame:
     """``key, layout, turns`` for JSON records of any known layout.
 
@@ -115,7 +119,7 @@ def turns_of_records(records: DataFrame, key: str = "record_id", record: str = "
         hit = F.col("__print") == one.fingerprint
         if one.kind == "list":
             parsed = F.from_json(F.get_json_object("__json", f"$.{one.source}"), f"array<struct<`{one.role}`:string,`{one.text}`:string>>")
-            mine = F.transform(parsed, lambda t, one=one: F.struct(_canonical_role(t[one.role]).alias("role"), F.coalesce(t[one.text], F.lit("")).alias("text")))
+            mine = F.transform(parsed, _turn_of(one))
         else:
             parts = [F.struct(F.lit(role).alias("role"), F.get_json_object("__json", f"$.{field}").alias("text")) for field, role in one.parts]
             mine = F.filter(F.array(*parts), lambda t: F.coalesce(t["text"], F.lit("")) != "")
