@@ -55,15 +55,14 @@ def close_forest(nodes: DataFrame, links: DataFrame, keys: Sequence[str] = ("doc
     parent, so rounds grow with the logarithm of the longest chain.
     """
     keys = list(keys)
-    now = nodes.select(*keys, "i").join(links.select(*keys, "i", F.col("j").alias("root")), [*keys, "i"], "left").withColumn("root", F.coalesce("root", "i"))
-    now = durable(now)
+    now = durable(links.select(*keys, "i", F.col("j").alias("root")))  # nodes without a link are roots and take no part
     for _ in range(max_rounds):
         up = now.select(*keys, F.col("i").alias("root"), F.col("root").alias("__up"))
-        new = durable(now.join(up, [*keys, "root"]).select(*keys, "i", F.col("__up").alias("root"), (F.col("__up") != F.col("root")).alias("__moved")))
+        new = durable(now.join(up, [*keys, "root"], "left").select(*keys, "i", F.coalesce("__up", "root").alias("root"), F.col("__up").isNotNull().alias("__moved")))
         moved = new.agg(F.max("__moved")).first()[0]
         now = new.drop("__moved")
         if not moved:
-            return now
+            return nodes.select(*keys, "i").join(now, [*keys, "i"], "left").withColumn("root", F.coalesce("root", "i"))
     raise RuntimeError(f"links did not close in {max_rounds} rounds")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import columns as C
 from spanloom.operators import lexical, links, mentions, metrics, spans, vectors
+from spanloom.operators.components import durable
 from spanloom.plans import views
 from spanloom.plans.views import with_views
 from spanloom.sources import conll, corpora
@@ -280,7 +281,8 @@ _BUCKET = "(" + " + ".join(f"(CASE WHEN x.i - y.i >= {b} THEN 1 ELSE 0 END)" for
 
 
 def _ordinal(spark: SparkSession, sf: str) -> DataFrame:
-    return mentions.window_ordinal(mentions.fixed_windows(views.gold(spark, sf), WINDOW))
+    """Mentions in fixed windows with their ordinals: written once, as all that follows reads it several times."""
+    return durable(mentions.window_ordinal(mentions.fixed_windows(views.gold(spark, sf), WINDOW)))
 
 
 _ORDINAL = {**_PLACED, "o": "SELECT *, row_number() OVER (PARTITION BY doc_id, win_id ORDER BY mention_idx) - 1 AS i FROM g"}
@@ -322,10 +324,15 @@ def _window_links(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _response(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored_response(spark, sf)[1]
+
+
+def _scored_response(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Gold mentions in windows, and the partition that linking makes of them."""
     placed, roots = _window_links(spark, sf)
     rows = placed.join(roots, ["doc_id", "win_id", "i"])
     kept = mentions.drop_singletons(rows, ("doc_id", "win_id", "root"))
-    return kept.select("doc_id", (F.col("win_id") * 100_000 + F.col("root")).alias("cluster_id"), "sent_idx", "start", "end", "tokens")
+    return placed, kept.select("doc_id", (F.col("win_id") * 100_000 + F.col("root")).alias("cluster_id"), "sent_idx", "start", "end", "tokens")
 
 
 _METRIC = {
@@ -346,7 +353,8 @@ _RATIOS = """SELECT '{m}' AS metric, round(rn, 6) AS rec_num, rd AS rec_den, rou
 @query(with_views(_RATIOS.format(m="muc", p="m") + " UNION ALL " + _RATIOS.format(m="b_cubed", p="b"), "v_gold", **_LINKED, **_METRIC))
 def entry_link_and_score(spark: SparkSession, sf: str) -> DataFrame:
     """Mentions, windows, scored pairs, links, closure, then MUC and B-cubed against the gold entities."""
-    key, response = views.gold(spark, sf), _response(spark, sf)
+    placed, response = _scored_response(spark, sf)
+    key = placed.select("doc_id", "cluster_id", "sent_idx", "start", "end")
     rows = [metrics.muc(key, response).withColumn("metric", F.lit("muc")), metrics.b_cubed(key, response).withColumn("metric", F.lit("b_cubed"))]
     both = rows[0].unionByName(rows[1])
     return rounded(both, "rec_num", "prec_num", "recall", "precision", "f1").select("metric", "rec_num", "rec_den", "prec_num", "prec_den", "recall", "precision", "f1")
@@ -396,7 +404,7 @@ _NODES = {
 
 def _members(spark: SparkSession, sf: str) -> DataFrame:
     placed, roots = _window_links(spark, sf)
-    return placed.join(roots, ["doc_id", "win_id", "i"]).withColumn("tokens", F.transform("tokens", lambda t: F.lower(t)))
+    return durable(placed.join(roots, ["doc_id", "win_id", "i"]).withColumn("tokens", F.transform("tokens", lambda t: F.lower(t))))
 
 
 @query(with_views("SELECT doc_id, node_idx, win_id, gold_id, min_tok_pos, array_to_string(members, ',') AS members FROM nodes", "v_gold", **_NODES))
@@ -433,7 +441,7 @@ _LEXICAL = {
 
 def _lexical(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     members = _members(spark, sf)
-    nodes = links.build_nodes(members)
+    nodes = durable(links.build_nodes(members))
     return members, nodes, lexical.lexical_pair_features(lexical.node_tokens(nodes, members), lexical.doc_idf(members))
 
 
@@ -453,7 +461,7 @@ _MERGED = {
 def _merged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     members, nodes, features = _lexical(spark, sf)
     scored = features.select("doc_id", "i", "j", F.round(F.col("idf_jaccard") + F.col("exact_match"), 6).alias("score"))
-    best = links.best_antecedent(scored, ("doc_id",))
+    best = durable(links.best_antecedent(scored, ("doc_id",)))
     classes = links.close_forest(nodes.select("doc_id", F.col("node_idx").alias("i")), links.accept(best, 0.5), ("doc_id",))
     return members, nodes, best, classes
 

@@ -109,7 +109,7 @@ def parse_string(tokens: DataFrame, keys: tuple[str, ...] = SENTENCE) -> DataFra
 def assemble_sentences(tokens: DataFrame, columns: tuple[str, ...] = ("word", "pos", "lemma", "frameset", "sense", "speaker"), keys: tuple[str, ...] = SENTENCE) -> DataFrame:
     """A row for each sentence: arrays of the tokens' ``columns``, in order."""
     listed = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tok_idx", *columns))).alias("xs"))
-    return listed.select(*keys, *(F.transform("xs", lambda x, c=c: x[c]).alias(c) for c in columns))
+    return listed.select(*keys, *(F.col(f"xs.{c}").alias(c) for c in columns))
 
 
 def srl_frames(tokens: DataFrame, keys: tuple[str, ...] = SENTENCE) -> DataFrame:
