@@ -89,7 +89,7 @@ class LabelModel:
     say: np.ndarray = field(default_factory=lambda: np.zeros(0))
     correlation: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
-    def fit(self, votes: np.ndarray, given: np.ndarray, rounds: int = 8) -> np.ndarray:
+    def fit(self, votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> np.ndarray:
         """Posterior of class 1 for each row of ``votes`` (0/1); ``given`` is a noisy label, one more voter."""
         x = np.column_stack([votes, given]).astype(np.float64)
         q = 0.9 * given + 0.05
