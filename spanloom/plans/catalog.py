@@ -573,14 +573,17 @@ def span_nesting(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     with_views(
-        "SELECT depth, type, length, count(*) AS n, sum(missed)::BIGINT AS missed FROM t GROUP BY GROUPING SETS ((depth), (type), (length))",
+        """SELECT CASE WHEN depth IS NOT NULL THEN 'depth' WHEN type IS NOT NULL THEN 'type' ELSE 'length' END AS kind, coalesce(depth::VARCHAR, type, length::VARCHAR) AS value, n, missed FROM
+        (SELECT depth, type, length, count(*) AS n, sum(missed)::BIGINT AS missed FROM t GROUP BY GROUPING SETS ((depth), (type), (length)))""",
         "v_gold", "v_pred", **_FLAGS, **_DEPTH,
         first=f"SELECT doc_id, sent_idx, sub_start AS a, sub_end AS b, any_value({_TYPE_EVAL}) AS type, any_value(least(len(tokens), 6))::INT AS length FROM v_gold GROUP BY 1, 2, 3, 4",
         t="SELECT least(depth, 2)::BIGINT AS depth, type, length, (NOT o)::INT AS missed FROM first JOIN deep USING (doc_id, sent_idx, a, b) JOIN gf USING (doc_id, a, b)",
     )
 )
 def missed_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.miss_analysis(*_spans(spark, sf))
+    out = spans.miss_analysis(*_spans(spark, sf))
+    kind = F.when(F.col("depth").isNotNull(), "depth").when(F.col("type").isNotNull(), "type").otherwise("length")
+    return out.select(kind.alias("kind"), F.coalesce(F.col("depth").cast("string"), "type", F.col("length").cast("string")).alias("value"), "n", "missed")
 
 
 @query(
