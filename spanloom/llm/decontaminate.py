@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import alnum_words, byte_sizes, slices, texts
+from spanloom.llm.common import alnum_words, byte_sizes, slices, texts, tidy
 
 SCHEMA_OF_HITS = "n_words long, spans array<struct<start:int,length:int>>, matches array<struct<item:string,item_start:int,start:int,length:int>>, items array<string>"
 
@@ -151,6 +151,7 @@ def _search(block: Block, shard: list[list[bytes]]) -> tuple[np.ndarray, ...]:
 
 
 def _scan(spark_block, shard_bytes: int, text_at: int, before: bool, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = spark_block.value
         for whole in batches:

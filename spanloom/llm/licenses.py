@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import alnum_words, texts
+from spanloom.llm.common import alnum_words, texts, tidy
 
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -77,6 +77,7 @@ def build_index(templates: tuple = TEMPLATES, phrases: dict[str, str] = PHRASES)
 def _count(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     vocabulary = frozenset(index.postings)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
         for batch in batches:
@@ -126,6 +127,7 @@ def match(words: list[bytes], index: Index, idf: dict[bytes, float], rarest: int
 def _scan(index: Index, idf: dict[bytes, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     firsts = {p[0] for p, _ in index.phrases}
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import byte_sizes, slices, texts
+from spanloom.llm.common import byte_sizes, slices, texts, tidy
 
 SEED = 17
 
 
-def token_ids(path: str, most: int = 1_500_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+def token_ids(path: str, most: int = 1_000_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from an array of texts to (ids of all texts, number of ids of each).
 
     The ids are those that the tokenizer file at ``path`` gives the whole text
@@ -87,6 +87,7 @@ def token_ids(path: str, most: int = 1_500_000) -> Callable[[pa.Array], tuple[np
 def _tokenise(path: str, end_id: int, room: int, small: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     kind = np.uint16 if small else np.uint32
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, row = token_ids(path), 0
         for whole in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import byte_sizes, slices, texts, whole_groups
+from spanloom.llm.common import byte_sizes, slices, texts, tidy, whole_groups
 
 SIZE, GRAM = 200, 80
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -108,6 +108,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, size: int = SIZE, gram: int = GR
 def _emit_anchors(size: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["ah", "ch", "k", "t", "at"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, byte_sizes(whole.column(2)), _MAX_SLICE):
@@ -135,6 +136,7 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _contexts(size: int, hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The surroundings of each unsettled anchor; ``hot``: two hashes of each of its strings."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, byte_sizes(whole.column(2)), _MAX_SLICE):
@@ -298,6 +300,7 @@ def repeated_starts(bodies: list[bytes], group: np.ndarray, at: np.ndarray, size
 
 
 def _resolve(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "ah", 4_000):
             ah, key, tag, at = (table.column(c).to_numpy() for c in ("ah", "k", "t", "at"))
@@ -328,6 +331,7 @@ def _at_characters(body: bytes, runs: list[list[int]]) -> list[list[int]]:
 
 
 def _cut(size: int, extra: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, byte_sizes(whole.column(0)), 8 << 20):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import texts, whole_groups
+from spanloom.llm.common import byte_sizes, slices, texts, tidy, whole_groups
 from spanloom.operators.components import connected_components, durable
 
 BITS = 64
@@ -51,6 +51,7 @@ def simhash_of(text: bytes, words_each: int = 4, seed: int = HASH_SEED) -> int:
 
 
 def _fingerprints(words_each: int, seeds: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[bytes, list[int]] = {}
@@ -174,6 +175,7 @@ def trie_links(prints: np.ndarray, bounds: np.ndarray, budget: int, most: int =
 
 
 def _join(budget: int, nearest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "bucket", 60_000):
             bucket, prints = table.column("bucket").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
@@ -263,6 +265,7 @@ def _word_prints(seeds: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
         return out
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([prints_of(t.lower().split()) for t in texts(batch.column(batch.schema.names.index("text")))], np.int64).reshape(-1, seeds)
@@ -276,8 +279,9 @@ def _shingle_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     """``node`` and the distinct shingles of ``size`` words as 64-bit hashes."""
     import xxhash
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, byte_sizes(whole.column(1)), 4 << 20)):
             rows = []
             for text in texts(batch.column(1)):
                 words = text.lower().split()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import alnum_words, texts
+from spanloom.llm.common import alnum_words, texts, tidy
 
 #: Insults in several languages.
 INSULTS = frozenset(
@@ -43,22 +43,31 @@ def is_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, list[str]] = {}
+    counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+
+    def flush() -> pa.RecordBatch:
+        names = list(counts[0].keys() | counts[1].keys())
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[k][p] for p in names], pa.int64()) for k in (1, 0))], ["pattern", "toxic", "clean"])
+        for c in counts:
+            c.clear()
+        return out
+
     for batch in batches:
-        toxic: Counter[str] = Counter()
-        clean: Counter[str] = Counter()
         for text, label in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             mine: set[str] = set()
             for w in set(alnum_words(text)):
                 if (got := known.get(w)) is None:
-                    if len(known) > 300_000:
+                    if len(known) > 50_000:
                         known.clear()
                     got = known[w] = patterns_of(w)
                 mine.update(got)
-            (toxic if label else clean).update(mine)
-        names = list(toxic.keys() | clean.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[p] for p in names], pa.int64()), pa.array([clean[p] for p in names], pa.int64())], ["pattern", "toxic", "clean"])
+            counts[int(label)].update(mine)
+            if len(counts[0]) > 200_000:
+                yield flush()
+    yield flush()
 
 
 def counter(patterns: list[str]) -> Callable[[bytes], np.ndarray]:
@@ -70,7 +79,7 @@ def counter(patterns: list[str]) -> Callable[[bytes], np.ndarray]:
         out = np.zeros(len(patterns), np.uint16)
         for w in set(alnum_words(text)):
             if (got := known.get(w)) is None:
-                if len(known) > 400_000:
+                if len(known) > 200_000:
                     known.clear()
                 got = known[w] = tuple(at[p] for p in patterns_of(w) if p in at)
             for k in got:
@@ -140,6 +149,7 @@ class Model:
 
 
 def _votes(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(patterns)
         for batch in batches:
@@ -176,17 +186,6 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = 16_000, voters: int
     return Model(patterns, fit_linear(np.log1p(counts.astype(np.float64)), target))
 
 
-def _score(model: Model, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = model.scorer()
-        for batch in batches:
-            scores = pa.array([score(t) for t in texts(batch.column(at))], pa.float64())
-            keep = [k for k in range(batch.num_columns) if batch.schema.names[k] != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), scores], [*(batch.schema.names[k] for k in keep), "__score"])
-
-    return run
-
-
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``__score`` (0 to 1, higher: likelier toxic) for every row of ``docs``, without a shuffle.
 
@@ -194,9 +193,15 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     score alike; an empty table gives no rows; columns beside ``keep`` and
     ``text`` are not read.
     """
-    mine = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mine.schema if f.name != "__text")
-    return mine.mapInArrow(_score(model, keep.index("text") if "text" in keep else len(keep)), f"{kinds}, __score double")
+
+    @tidy
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = model.scorer()
+        for column in columns:
+            yield pa.array([of(t) for t in texts(column)], pa.float64())
+
+    # only the texts go to Python, and only numbers come back
+    return docs.select(*keep, F.arrow_udf(run, "double")(F.col("text").cast("string")).alias("__score"))
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
