@@ -164,3 +164,17 @@ def test_chat_query_digest(spark):
         spoken = "".join(f"{r['role']}\n{r['text'] or ''}\n" for r in turns)
         loss = "".join(r["text"] or "" for r in turns if r["role"] == "assistant")
         assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), hashlib.sha256(spoken.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("name", ["op3_decontamination", "op9_chat_format"])
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    from spanloom.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(ORACLE_SQL[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
+    assert sorted(map(str, got.itertuples(index=False, name=None))) == sorted(map(str, want.itertuples(index=False, name=None)))
