@@ -106,7 +106,7 @@ def nearest_first(prints: np.ndarray, bounds: np.ndarray, budget: int) -> tuple[
     return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
 
 
-def trie_links(prints: np.ndarray, bounds: np.ndarray, budget: int, most: int = 400_000, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(prints: np.ndarray, bounds: np.ndarray, budget: int, most: int = 50_000, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside each group, as two arrays of positions.
 
     ``label``: trees that positions already belong to; it is updated.
@@ -276,7 +276,7 @@ def _word_prints(seeds: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def _shingle_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``node`` and the distinct shingles of ``size`` words as 64-bit hashes."""
+    """``node``, the distinct shingles of ``size`` words as 32-bit hashes, and their number."""
     import xxhash
 
     @tidy
@@ -286,13 +286,14 @@ def _shingle_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             for text in texts(batch.column(1)):
                 words = text.lower().split()
                 runs = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
-                rows.append(np.unique(np.array([xxhash.xxh64_intdigest(r, HASH_SEED) for r in runs], np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "shingles"])
+                rows.append(np.unique(np.array([xxhash.xxh32_intdigest(r, HASH_SEED) for r in runs], np.uint32)).view(np.int32))
+            sizes = pa.array([len(r) for r in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), sizes], ["node", "shingles", "n"])
 
     return run
 
 
-def drop_near_duplicates(docs: DataFrame, *, similarity: float = 0.8, words_each: int = 5, budget: int = 5, seeds: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, similarity: float = 0.8, words_each: int = 5, budget: int = 4, seeds: int = 8) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest ``doc_id``.
 
     Two documents are near duplicates if at least ``similarity`` of their
@@ -329,12 +330,13 @@ def drop_near_duplicates(docs: DataFrame, *, similarity: float = 0.8, words_each
     firsts = known.groupBy("node").agg(F.min("__row").alias("__row"))
     chosen = firsts.join(wanted, "node").select("__row", "node")
     bodies = placed.select("__row", text.alias("text")).join(chosen, "__row").select("node", "text")
-    sets = durable(bodies.mapInArrow(_shingle_sets(words_each), "node string, shingles array<bigint>"))
-    sized = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
-    both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sized, "b")
+    sets = durable(bodies.mapInArrow(_shingle_sets(words_each), "node string, shingles array<int>, n int"))
+    size = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    # sets of too different sizes cannot be similar; the others meet
+    likely = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
+    both = likely.join(sets.select(F.col("node").alias("a"), "shingles"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
     shared = F.size(F.array_intersect("shingles", "t"))
-    union = F.size("shingles") + F.size("t") - shared
-    true = both.where(F.when(union == 0, True).otherwise(shared >= F.lit(similarity) * union)).select("a", "b")
+    true = both.where((F.col("na") + F.col("nb") == 0) | (shared >= F.lit(similarity) * (F.col("na") + F.col("nb") - shared))).select("a", "b")
     groups = connected_components(true)
     grouped = known.join(groups, "node", "left").select("__row", "doc_id", F.coalesce("component", "node").alias("component"))
     stays = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("w")).select("w.__row")
