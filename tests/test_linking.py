@@ -179,6 +179,14 @@ def test_negatives_and_training(spark):
     assert every.count() == 66 and some.where("is_gold").count() == every.where("is_gold").count() and some.count() < 66
 
 
+def test_calibration_marks_the_first_best(spark):
+    key = partition(spark, [[1, 2, 3, 4], [5, 6]])
+    nodes = spark.createDataFrame([(1, k, 0, m, m + 1) for k, ms in enumerate([[1, 2], [3, 4], [5, 6]]) for m in ms], "doc_id int, node_idx int, sent_idx int, start int, end int")
+    best = spark.createDataFrame([(1, 1, 0, 0.4), (1, 2, 0, 0.1)], "doc_id int, i int, j int, score double")
+    got = {r["offset"]: (round(r["conll"], 4), r["best"]) for r in metrics.calibrate(best, nodes, key, [0.0, 0.2, 0.3, 0.5]).collect()}
+    assert got[0.2] == (1.0, True) and got[0.3] == (1.0, False) and got[0.0][0] < 1 and got[0.5][0] < 1
+
+
 def test_cross_window_pairs_are_salted_alike(spark):
     nodes = spark.createDataFrame([(1, k, k % 3) for k in range(9)], "doc_id int, node_idx int, win_id int")
     assert rows(links.cross_window_pairs(nodes).select("i", "j")) == rows(links.cross_window_pairs(nodes, salt=5).select("i", "j"))
