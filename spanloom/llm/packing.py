@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,36 +26,57 @@ from spanloom.llm.common import byte_sizes, slices, texts, tidy
 SEED = 17
 
 
-def token_ids(path: str, most: int = 1_000_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+@dataclass
+class _Chunks:
+    """A worker's table of chunks: a chunk's number, and its ids between two of ``cuts`` in ``flat``."""
+
+    tokenizer: object
+    known: dict[str, int] = field(default_factory=dict)
+    flat: array = field(default_factory=lambda: array("i"))
+    cuts: array = field(default_factory=lambda: array("q", [0]))
+
+    def keep(self, most: int) -> None:
+        """Forget all but the ``most`` chunks that came first."""
+        if len(self.known) > most:
+            self.known = dict(islice(self.known.items(), most))
+            del self.cuts[most + 1 :], self.flat[self.cuts[most] :]
+
+
+@lru_cache(maxsize=1)
+def _chunks(path: str) -> _Chunks:
+    from tokenizers import Tokenizer
+
+    return _Chunks(Tokenizer.from_file(path))
+
+
+def token_ids(path: str, most: int = 1_000_000, stay: int = 300_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from an array of texts to (ids of all texts, number of ids of each).
 
     The ids are those that the tokenizer file at ``path`` gives the whole text
     with ``add_special_tokens=False``.  The tokenizer must drop white space and
     lower-case; so text between two ASCII white spaces has the same ids
     wherever it stands, and is tokenised once and then looked up.  Texts with
-    ``<|`` (which may spell a special token) go to the tokenizer whole.  Past
-    ``most`` chunks the table is begun anew.
+    ``<|`` (which may spell a special token) go to the tokenizer whole.  A
+    worker's table holds about ``most`` chunks, and the first ``stay`` of them
+    from one task to the next.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    model = tokenizer.model
-    known: dict[str, int] = {}  # chunk: its number; its ids lie in flat between two of cuts
-    flat, cuts = array("i"), array("q", [0])
+    table = _chunks(path)
+    table.keep(stay)
+    tokenizer, model = table.tokenizer, table.tokenizer.model
 
     def ids_of(chunk: str) -> array:
         if chunk.isascii() and chunk.isalpha():
             return array("i", [t.id for t in model.tokenize(chunk)])
         if len(chunk) > 1 and chunk[-1] in ".," and (stem := chunk[:-1]).isascii() and stem.isalpha():
-            return sum((flat[cuts[n] : cuts[n + 1]] for n in (look(stem), look(chunk[-1]))), array("i"))
+            return sum((table.flat[table.cuts[n] : table.cuts[n + 1]] for n in (look(stem), look(chunk[-1]))), array("i"))
         return array("i", tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def look(chunk: str) -> int:
-        got = known.get(chunk)
+        got = table.known.get(chunk)
         if got is None:
-            flat.extend(ids_of(chunk))
-            cuts.append(len(flat))
-            got = known[chunk] = len(cuts) - 2
+            table.flat.extend(ids_of(chunk))
+            table.cuts.append(len(table.flat))
+            got = table.known[chunk] = len(table.cuts) - 2
         return got
 
     def of_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +86,10 @@ def token_ids(path: str, most: int = 1_000_000) -> Callable[[pa.Array], tuple[np
         chunks = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         words = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
         coded = chunks.flatten().dictionary_encode()
-        if len(known) > most:
-            known.clear()
-            del flat[:], cuts[1:]
+        if len(table.known) > most:
+            table.keep(stay)
         number = np.fromiter(map(look, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        stored, at = np.array(flat, np.int32), np.array(cuts, np.int64)
+        stored, at = np.array(table.flat, np.int32), np.array(table.cuts, np.int64)
         code = number[coded.indices.to_numpy(zero_copy_only=False)]
         n = at[code + 1] - at[code]
         ends = np.cumsum(n)
@@ -106,6 +129,7 @@ def _tokenise(path: str, end_id: int, room: int, small: bool) -> Callable[[Itera
                 body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(start, pa.int64()), pa.array(counts[doc], pa.int64()), pa.array(row + doc, pa.int64()), body], ["doc_id", "start", "doc_tokens", "row", "body"])
                 row += len(counts)
+        _chunks(path).keep(300_000)
 
     return run
 

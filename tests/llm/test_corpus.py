@@ -30,9 +30,8 @@ def whole():
 def test_token_ids_equal_the_tokenizer(spark, whole):
     rng = random.Random(1)
     texts = ODD + [r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + [prose(rng, 50).title()]
-    of = packing.token_ids(tokenizer_file())
-    for most in (1_500_000, 3):
-        of = packing.token_ids(tokenizer_file(), most)
+    for most, stay in ((1_000_000, 300_000), (3, 2), (50, 0)):
+        of = packing.token_ids(tokenizer_file(), most, stay)
         for _ in range(2):
             ids, counts = of(pa.array(texts, pa.string()))
             got = np.split(ids, np.cumsum(counts)[:-1])
