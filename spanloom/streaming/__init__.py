@@ -1 +1 @@
-"""Placeholder."""
+"""Nothing here: the work has no event time; a batch is resumed with `operators.mentions.pending`."""
