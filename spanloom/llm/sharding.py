@@ -70,6 +70,7 @@ def number_rows(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     spark = rows.sparkSession
     offsets = spark.createDataFrame([(p, b) for p, b in begins.items()] or [(-1, 0)], "__part int, __begin long")
     within = Window.partitionBy("__part").orderBy(*(F.col(c).asc_nulls_first() for c in full))
+    # a row for each task of the sort is broadcast
     numbered = parted.join(F.broadcast(offsets), "__part").withColumn("row_number", F.col("__begin") + F.row_number().over(within) - 1)
     return numbered.drop("__part", "__begin"), total
 
