@@ -156,6 +156,22 @@ def ratio_of(a: str, b: str) -> Column:
     return F.when(F.col(b) == 0, 0.0).otherwise(F.col(a) / F.col(b))
 
 
+def missed_by_head(pairs: DataFrame, outcomes: DataFrame, keys: Sequence[str] = ("doc_id", "win_id")) -> DataFrame:
+    """``head_shared, n``: missed links, by whether a gold antecedent has the mention's head (``pairs``: ``is_gold, head_i, head_j``)."""
+    same = pairs.where("is_gold").groupBy(*keys, "i").agg(F.bool_or(F.col("head_i") == F.col("head_j")).alias("head_shared"))
+    return outcomes.where(F.col("outcome") == "MISSED_LINK").join(same, [*keys, "i"]).groupBy("head_shared").agg(F.count("*").alias("n"))
+
+
+def pair_conditions(pairs: DataFrame) -> DataFrame:
+    """``condition, pairs, gold, share``: how often pairs corefer: all, those with one head, and those of one type, by type.
+
+    ``pairs``: ``is_gold, head_i, head_j, type_i, type_j``; counted in one pass.
+    """
+    hold = F.array_compact(F.array(F.lit("all"), F.when(F.col("head_i") == F.col("head_j"), "same head"), F.when(F.col("type_i") == F.col("type_j"), F.concat(F.lit("both "), F.col("type_i")))))
+    counts = pairs.select(F.explode(hold).alias("condition"), F.col("is_gold").cast("long").alias("g")).groupBy("condition").agg(F.count("*").alias("pairs"), F.sum("g").alias("gold"))
+    return counts.withColumn("share", F.col("gold") / F.col("pairs"))
+
+
 def similarity_separation(pairs: DataFrame, outcomes: DataFrame, keys: Sequence[str] = ("doc_id", "win_id")) -> DataFrame:
     """Mean and median of the highest similarity to a gold antecedent, for resolved and for missed mentions.
 

@@ -135,6 +135,29 @@ def boundary_errors(pred: DataFrame, gold: DataFrame) -> DataFrame:
     return best.groupBy(left.alias("left"), right.alias("right"), side.alias("side")).agg(F.count("*").alias("n"))
 
 
+def exact_rates(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """``kind, value, n, exact``: predictions that touch gold and those that equal it, by mention type and by length in words (6: or more)."""
+    g = gold.select("doc_id", "sent_idx", F.col("start").alias("g0"), F.col("end").alias("g1"))
+    both = pred.join(g, ["doc_id", "sent_idx"]).where((F.col("start") < F.col("g1")) & (F.col("g0") < F.col("end")))
+    hit = both.groupBy("doc_id", "pred_idx").agg(F.max(((F.col("start") == F.col("g0")) & (F.col("end") == F.col("g1"))).cast("long")).alias("x"), F.first("tokens").alias("t"))
+    kinds = F.array(F.struct(F.lit("type").alias("kind"), mention_type_eval(F.col("t")).alias("value")), F.struct(F.lit("length").alias("kind"), F.least(F.size("t"), F.lit(6)).cast("string").alias("value")))
+    return hit.select("x", F.explode(kinds).alias("k")).groupBy("k.kind", "k.value").agg(F.count("*").alias("n"), F.sum("x").alias("exact"))
+
+
+def word_to_sentence(words: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Add ``sent_idx, tok_idx`` to ``doc_id, word_idx``: the sentence (``word_offset, words``) that the word lies in.
+
+    One pass in word order over words and sentence starts together; words past
+    a sentence's end are left out.
+    """
+    starts = sentences.where(F.size("words") > 0).select("doc_id", F.col("word_offset").alias("word_idx"), F.struct("sent_idx", "word_offset", F.size("words").alias("n")).alias("__s"), F.lit(0).alias("__kind"))
+    both = words.withColumn("__kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    order = Window.partitionBy("doc_id").orderBy("word_idx", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn("__s", F.last("__s", True).over(order)).where(F.col("__kind") == 1)
+    tok = F.col("word_idx") - F.col("__s.word_offset")
+    return out.where(tok < F.col("__s.n")).withColumn("sent_idx", F.col("__s.sent_idx")).withColumn("tok_idx", tok.cast("int")).drop("__s", "__kind")
+
+
 def snap_to_words(spans: DataFrame, pieces: DataFrame, tokens: DataFrame) -> DataFrame:
     """Piece spans to word spans: ``doc_id, pred_idx, sent_idx, start, end`` inside the sentence of the first piece.
 

@@ -530,6 +530,56 @@ def calibrated_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.calibrate(best, rows, views.gold(spark, sf), [round(-0.3 + 0.15 * k, 2) for k in range(7)])
 
 
+_HEADED = {
+    **_ORDINAL,
+    "ho": f"SELECT doc_id, win_id, i, cluster_id, lower(tokens[len(tokens)]) AS head, {_TYPE_DIAG} AS type FROM o",
+    "hp": """SELECT x.doc_id, x.win_id, x.i, y.i AS j, x.cluster_id = y.cluster_id AS is_gold, x.head = y.head AS same_head, x.type AS ti, y.type AS tj, CASE WHEN x.head = y.head AND x.i - y.i < 3 THEN 0.5 ELSE -0.5 END AS score
+        FROM ho x JOIN ho y ON x.doc_id = y.doc_id AND x.win_id = y.win_id AND y.i < x.i""",
+}
+
+
+def _headed(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("tokens")
+    rows = _ordinal(spark, sf).withColumn("mention_idx", F.col("i")).withColumn("head", C.head(t)).withColumn("type", C.mention_type_diag(t))
+    pairs = links.window_pairs(rows, carry=("cluster_id", "head", "type")).withColumn("is_gold", F.col("cluster_id_i") == F.col("cluster_id_j"))
+    near = (F.col("head_i") == F.col("head_j")) & (F.col("i") - F.col("j") < 3)
+    return pairs.withColumn("score", F.when(near, F.lit(0.5)).otherwise(-0.5))
+
+
+@query(with_views("SELECT condition, count(*) AS pairs, sum(is_gold::INT)::BIGINT AS gold, round(avg(is_gold::INT), 6) AS share FROM (SELECT 'all' AS condition, is_gold FROM hp UNION ALL SELECT 'same head', is_gold FROM hp WHERE same_head UNION ALL SELECT 'both ' || ti, is_gold FROM hp WHERE ti = tj) GROUP BY 1", "v_gold", **_HEADED))
+def coreference_by_condition(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(links.pair_conditions(_headed(spark, sf)), "share")
+
+
+@query(
+    with_views(
+        "SELECT h AS head_shared, count(*) AS n FROM (SELECT bool_or(is_gold AND same_head) AS h, max(score) AS s, bool_or(is_gold) AS g FROM hp GROUP BY doc_id, win_id, i) WHERE g AND s <= 0 GROUP BY 1",
+        "v_gold", **_HEADED,
+    )
+)
+def missed_links_by_head(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _headed(spark, sf)
+    return links.missed_by_head(pairs, links.link_outcomes(pairs))
+
+
+@query(
+    with_views(
+        """SELECT doc_id, w0, w1, sub_start, sub_end, (row_number() OVER (PARTITION BY doc_id ORDER BY sub_start, sub_end, cluster_id, w1) - 1)::INT AS mention_idx FROM x""",
+        "v_tokens", "v_gold",
+        v_pieces="SELECT doc_id, word_idx, n_pieces, coalesce(sum(n_pieces) OVER (PARTITION BY doc_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_piece FROM (SELECT doc_id, word_idx, ceil(length(word) / 3)::BIGINT AS n_pieces FROM v_tokens)",
+        m='SELECT doc_id, cluster_id, word_idx - ("end" - "start") + 1 AS w0, word_idx AS w1 FROM v_gold', x=_TO_PIECES.format(m="m"),
+    )
+)
+def retokenized_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    gold = views.gold(spark, sf).withColumn("w0", F.col("word_idx") - (F.col("end") - F.col("start")) + 1).withColumn("w1", F.col("word_idx"))
+    finer = views.tokens(spark, sf).select("doc_id", "word_idx", F.ceil(F.length("word") / 3).cast("long").alias("n_pieces"))
+    before = Window.partitionBy("doc_id").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = finer.withColumn("first_piece", F.coalesce(F.sum("n_pieces").over(before), F.lit(0)))
+    return mentions.retokenize(gold, pieces, ("cluster_id", "w1")).select("doc_id", "w0", "w1", "sub_start", "sub_end", "mention_idx")
+
+
 # Spans
 
 
@@ -633,6 +683,23 @@ def boundary_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return spans.boundary_errors(pred, gold)
 
 
+@query(
+    with_views(
+        "SELECT kind, value, count(*) AS n, sum(x)::BIGINT AS exact FROM (SELECT 'type' AS kind, t AS value, x FROM th UNION ALL SELECT 'length', l, x FROM th) GROUP BY 1, 2",
+        "v_gold", "v_pred", **_ALIGNED, th=f"SELECT {_TYPE_EVAL} AS t, least(len(tokens), 6)::VARCHAR AS l, x FROM hit JOIN v_pred USING (doc_id, pred_idx)",
+    )
+)
+def exact_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    gold, pred = _spans(spark, sf)
+    return spans.exact_rates(pred, gold)
+
+
+@query(with_views("SELECT doc_id, word_idx, sent_idx, tok_idx FROM v_tokens WHERE word_idx % 3 = 1", "v_tokens"))
+def words_in_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = views.tokens(spark, sf).where(F.col("word_idx") % 3 == 1).select("doc_id", "word_idx")
+    return spans.word_to_sentence(tokens, mentions.word_offsets(views.sentences(spark, sf))).select("doc_id", "word_idx", "sent_idx", "tok_idx")
+
+
 @query()
 def mention_cost(spark: SparkSession, sf: str) -> DataFrame:
     """One score for each set of mentions: all gold, gold that was detected, matched predictions, all predictions; the same key."""
