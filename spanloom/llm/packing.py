@@ -26,6 +26,17 @@ from spanloom.llm.common import byte_sizes, slices, texts, tidy
 SEED = 17
 
 
+_APART = "<\\||[\u0300-\u0345]"
+_PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: How byte-level vocabularies write bytes that are no visible characters: the n-th of them as 256 + n.
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
+
+def _is_plain(word: str) -> bool:
+    """One run of Latin letters that lower-case to letters: a single word to the tokenizer, whatever stands around."""
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and word.lower().isalpha()))
+
+
 @dataclass
 class _Chunks:
     """A worker's table of chunks: a chunk's number, and its ids between two of ``cuts`` in ``flat``."""
@@ -55,8 +66,10 @@ def token_ids(path: str, most: int = 1_000_000, stay: int = 300_000) -> Callable
     The ids are those that the tokenizer file at ``path`` gives the whole text
     with ``add_special_tokens=False``.  The tokenizer must drop white space and
     lower-case; so text between two ASCII white spaces has the same ids
-    wherever it stands, and is tokenised once and then looked up.  Texts with
-    ``<|`` (which may spell a special token) go to the tokenizer whole.  A
+    wherever it stands, and is tokenised once and then looked up; words of
+    Latin letters go to the model of a byte-level vocabulary directly.  Texts with
+    ``<|`` (which may spell a special token) or with combining marks (which
+    may compose with a small letter only) go to the tokenizer whole.  A
     worker's table holds about ``most`` chunks, and the first ``stay`` of them
     from one task to the next.
     """
@@ -65,10 +78,11 @@ def token_ids(path: str, most: int = 1_000_000, stay: int = 300_000) -> Callable
     tokenizer, model = table.tokenizer, table.tokenizer.model
 
     def ids_of(chunk: str) -> array:
-        if chunk.isascii() and chunk.isalpha():
-            return array("i", [t.id for t in model.tokenize(chunk)])
-        if len(chunk) > 1 and chunk[-1] in ".," and (stem := chunk[:-1]).isascii() and stem.isalpha():
-            return sum((table.flat[table.cuts[n] : table.cuts[n + 1]] for n in (look(stem), look(chunk[-1]))), array("i"))
+        stem = chunk.rstrip(_PUNCTUATION)
+        if stem != chunk and _is_plain(stem):  # a word, then marks only: tokenised apart
+            return sum((table.flat[table.cuts[n] : table.cuts[n + 1]] for n in (look(stem), look(chunk[len(stem) :]))), array("i"))
+        if _is_plain(chunk):
+            return array("i", [t.id for t in model.tokenize(chunk if chunk.isascii() else chunk.lower().encode().decode("latin-1").translate(_BYTE_LETTERS))])
         return array("i", tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def look(chunk: str) -> int:
@@ -81,8 +95,9 @@ def token_ids(path: str, most: int = 1_000_000, stay: int = 300_000) -> Callable
 
     def of_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = pc.fill_null(column, "")
-        odd = np.flatnonzero(pc.match_substring(column, "<|").to_numpy(zero_copy_only=False))
-        plain = column if not len(odd) else pc.if_else(pc.match_substring(column, "<|"), "", column)
+        apart = pc.match_substring_regex(column, _APART)
+        odd = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
+        plain = column if not len(odd) else pc.if_else(apart, "", column)
         chunks = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         words = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
         coded = chunks.flatten().dictionary_encode()
