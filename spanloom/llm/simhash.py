@@ -178,15 +178,15 @@ def _join(budget: int, nearest: bool) -> Callable[[Iterator[pa.RecordBatch]], It
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "bucket", 60_000):
-            bucket, prints = table.column("bucket").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+            bucket, prints, seed = table.column("bucket").to_numpy(), table.column("fp").to_numpy().view(np.uint64), table.column("seed").to_numpy()
             order = np.lexsort((prints, bucket))
-            bucket, prints = bucket[order], prints[order]
+            bucket, prints, seed = bucket[order], prints[order], seed[order]
             fresh = np.append(True, (bucket[1:] != bucket[:-1]) | (prints[1:] != prints[:-1]))
-            bucket, prints = bucket[fresh], prints[fresh]
+            bucket, prints, seed = bucket[fresh], prints[fresh], seed[fresh]
             bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
             a, b = (nearest_first if nearest else trie_links)(prints, bounds, budget)
             x, y = prints[a].view(np.int64), prints[b].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(seed[a]), pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["seed", "a", "b"])
 
     return run
 
@@ -214,18 +214,22 @@ def fingerprint_links(prints: DataFrame, budget: int = 4, largest: int = 20_000,
     chunks, and each pair of chunks is a group of its own, so no task holds
     more than about two chunks and every pair still meets.  Nulls are left out.
     ``nearest``: under each key the links of fewer differing bits come first.
+    With a column ``seed`` only fingerprints of one seed meet, and the result
+    has it too.
     """
-    distinct = prints.select("fp").where(F.col("fp").isNotNull()).distinct()
-    masks = block_masks(budget, prints.count())
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("mask", "bits")).select("fp", F.xxhash64("mask", "bits").alias("key"))
+    seed = F.col("seed") if "seed" in prints.columns else F.lit(0)
+    distinct = prints.select(seed.cast("int").alias("seed"), "fp").where(F.col("fp").isNotNull()).distinct()
+    most = distinct.groupBy("seed").count().agg(F.max("count")).first()[0] or 0
+    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(budget, most)]
+    keyed = distinct.select("seed", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("mask", "bits")).select("seed", "fp", F.xxhash64("seed", "mask", "bits").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     chunks = F.ceil(F.col("n") / F.lit(largest)).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int")
-    cells = keyed.join(sizes, "key").select("fp", "key", chunks.alias("c"), mine.alias("m")).select("fp", "key", "m", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
-    dealt = cells.select("fp", F.xxhash64("key", F.least("m", "o"), F.greatest("m", "o")).alias("bucket"))
+    cells = keyed.join(sizes, "key").select("seed", "fp", "key", chunks.alias("c"), mine.alias("m")).select("seed", "fp", "key", "m", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
+    dealt = cells.select("seed", "fp", F.xxhash64("key", F.least("m", "o"), F.greatest("m", "o")).alias("bucket"))
     parted = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    return parted.mapInArrow(_join(budget, nearest), "a long, b long").distinct()
+    found = parted.mapInArrow(_join(budget, nearest), "seed int, a long, b long").distinct()
+    return found if "seed" in prints.columns else found.select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, words_each: int = 4, budget: int = 4) -> DataFrame:
@@ -316,15 +320,13 @@ def drop_near_duplicates(docs: DataFrame, *, similarity: float = 0.8, words_each
     schema = "__row long, doc_id long, node string, " + ", ".join(f"fp{k} long" for k in range(seeds))
     known = durable(tags.mapInArrow(_word_prints(seeds), schema))
     nodes = known.groupBy("node").agg(*(F.first(f"fp{k}").alias(f"fp{k}") for k in range(seeds)))
-    pairs = None
-    for k in range(seeds):
-        own = nodes.select("node", F.col(f"fp{k}").alias("fp"))
-        first = own.groupBy("fp").agg(F.min("node").alias("least"))
-        same = own.join(first, "fp").where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b"))
-        links = fingerprint_links(first, budget, nearest=True)
-        left, right = first.select(F.col("fp").alias("a"), F.col("least").alias("x")), first.select(F.col("fp").alias("b"), F.col("least").alias("y"))
-        near = links.join(left, "a").join(right, "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-        pairs = near.unionByName(same) if pairs is None else pairs.unionByName(near).unionByName(same)
+    own = nodes.select("node", F.posexplode(F.array(*(f"fp{k}" for k in range(seeds)))).alias("seed", "fp"))
+    first = durable(own.groupBy("seed", "fp").agg(F.min("node").alias("least")))
+    same = own.join(first, ["seed", "fp"]).where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    links = fingerprint_links(first, budget, nearest=True)
+    left, right = first.select("seed", F.col("fp").alias("a"), F.col("least").alias("x")), first.select("seed", F.col("fp").alias("b"), F.col("least").alias("y"))
+    near = links.join(left, ["seed", "a"]).join(right, ["seed", "b"]).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    pairs = near.unionByName(same)
     pairs = durable(pairs.distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     firsts = known.groupBy("node").agg(F.min("__row").alias("__row"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import alnum_words, texts, tidy
+from spanloom.llm.common import alnum_words, give_back, texts, tidy
 
 #: Insults in several languages.
 INSULTS = frozenset(
@@ -183,7 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = 16_000, voters: int
     counts = np.frombuffer(b"".join(v.as_py() for v in table.column("votes")), np.uint8).reshape(-1, len(patterns))
     given = table.column("label").to_numpy().astype(np.float64)
     target = LabelModel().fit(counts > 0, given)
-    return Model(patterns, fit_linear(np.log1p(counts.astype(np.float64)), target))
+    model = Model(patterns, fit_linear(np.log1p(counts.astype(np.float64)), target))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
