@@ -333,8 +333,8 @@ def _at_characters(body: bytes, runs: list[list[int]]) -> list[list[int]]:
 def _cut(size: int, extra: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, byte_sizes(whole.column(0)), 8 << 20):
+        for big in batches:
+            for batch in slices(big, byte_sizes(big.column(0)), 8 << 20):
                 kept, spans = [], []
                 settled, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 for body, one, two in zip(texts(batch.column(0)), settled, found, strict=True):

@@ -54,6 +54,14 @@ def test_repeats_in_a_long_document(spark, monkeypatch):
     assert cut(spark, [body, None]) == brute.repeats([body, None])
 
 
+def test_repeats_end_inside_a_character(spark):
+    passage = "".join(chr(97 + k * k % 23) for k in range(230))
+    texts = [f"one {passage}é first", f"two {passage}è second", f"ß{passage[:210]}", f"ş{passage[:210]}"]
+    got = cut(spark, texts)
+    assert got == brute.repeats(texts)
+    assert got[0][1] == 232 and cut(spark, texts[:2], whole_characters=True)[0][1] == 231
+
+
 def test_repeats_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.remove_repeats(docs).count() == 0
