@@ -18,7 +18,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import byte_sizes, slices, texts, tidy, whole_groups
@@ -250,96 +250,163 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 4, budget: int = 4) ->
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _word_prints(seeds: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Fingerprints over the distinct words of five bytes or more (all words, if there are few such)."""
+def _shingles(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingles of ``size`` words as ascending 32-bit hashes."""
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
-
-    def prints_of(words: list[bytes]) -> list[int]:
-        own = set(words)
-        long = [w for w in own if len(w) >= 5]
-        hashes = np.array([digest(w, HASH_SEED) for w in (long if len(long) >= 8 else own)], np.uint64)
-        out = []
-        for k in range(seeds):
-            x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            ones = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
-        return out
-
+    words = text.lower().split()
+    runs = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+    return np.unique(np.array([xxhash.xxh32_intdigest(r, HASH_SEED) for r in runs], np.uint32))
+
+
+def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band of ``rows`` minima of the hashed shingles; an empty set has keys of its own."""
+    which = np.arange(bands * rows, dtype=np.uint64)[:, None]
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    salt = _mixed(which * np.uint64(2) + np.uint64(1))
+    for k in range(0, len(shingles), 4096):
+        x = (shingles[k : k + 4096].astype(np.uint64) + salt) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= salt | np.uint64(1)
+        x ^= x >> np.uint64(32)
+        least = np.minimum(least, x.min(axis=1))
+    key = np.arange(bands, dtype=np.uint64)
+    for row in least.reshape(bands, rows).T:
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
+    return key.view(np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _band_rows(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([prints_of(t.lower().split()) for t in texts(batch.column(batch.schema.names.index("text")))], np.int64).reshape(-1, seeds)
-            kept = [k for k, name in enumerate(batch.schema.names) if name != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *(pa.array(rows[:, k]) for k in range(seeds))], [*(batch.schema.names[k] for k in kept), *(f"fp{k}" for k in range(seeds))])
+            names = [c for c in batch.schema.names if c != "text"]
+            keys = [band_keys(_shingles(t, size), bands, rows) for t in texts(batch.column(batch.schema.names.index("text")))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in names), pa.array(keys, pa.list_(pa.int64()))], [*names, "bands"])
 
     return run
 
 
 def _shingle_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``node``, the distinct shingles of ``size`` words as 32-bit hashes, and their number."""
-    import xxhash
+    """``node`` and the distinct shingles of ``size`` words as 32-bit hashes."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, byte_sizes(whole.column(1)), 4 << 20)):
-            rows = []
-            for text in texts(batch.column(1)):
-                words = text.lower().split()
-                runs = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
-                rows.append(np.unique(np.array([xxhash.xxh32_intdigest(r, HASH_SEED) for r in runs], np.uint32)).view(np.int32))
-            sizes = pa.array([len(r) for r in rows], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), sizes], ["node", "shingles", "n"])
+            rows = [_shingles(text, size).view(np.int32) for text in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["node", "shingles"])
 
     return run
 
 
-def drop_near_duplicates(docs: DataFrame, *, similarity: float = 0.8, words_each: int = 5, budget: int = 4, seeds: int = 8) -> DataFrame:
+def similar_links(flat: np.ndarray, offsets: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links of sets of at least ``similarity`` that connect all such pairs; ``flat``: the sets end to end, each ascending.
+
+    A set is compared with all that it is not connected to yet.  When all
+    outside the largest component have been, no pair is left to compare.
+    """
+    n = len(offsets) - 1
+    size = np.diff(offsets)
+    label, swept = np.arange(n), np.zeros(n, bool)
+    out_a: list[int] = []
+    out_b: list[int] = []
+    while True:
+        todo = np.flatnonzero(~swept & (label != np.bincount(label, minlength=n).argmax()))
+        if not len(todo):
+            return out_a, out_b
+        x = int(todo[0])
+        swept[x] = True
+        mine = flat[offsets[x] : offsets[x + 1]]
+        shared = np.zeros(n, np.int64)
+        if len(mine):
+            hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+            before = np.append(0, np.cumsum(hit))
+            shared = before[offsets[1:]] - before[offsets[:-1]]
+        union = size + size[x] - shared
+        near = np.flatnonzero((label != label[x]) & ((union == 0) | (shared >= similarity * union)) & ((size > 0) == (size[x] > 0)))
+        if len(near):
+            out_a += [x] * len(near)
+            out_b += near.tolist()
+            label[np.isin(label, label[near])] = label[x]
+
+
+def _verify(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "bucket", 2_000):
+            bucket = table.column("bucket").to_numpy()
+            node = table.column("node").combine_chunks()
+            sets = table.column("shingles").combine_chunks()
+            flat, offsets = sets.values.to_numpy(), sets.offsets.to_numpy()
+            flat = flat.view(np.uint32)
+            edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            a, b = [], []
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                own = offsets[lo : hi + 1].astype(np.int64)
+                x, y = similar_links(flat[own[0] : own[-1]], own - own[0], similarity)
+                a += [lo + k for k in x]
+                b += [lo + k for k in y]
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(a, pa.int64())), node.take(pa.array(b, pa.int64()))], ["a", "b"])
+
+    return run
+
+
+def similar_texts(keyed: DataFrame, sets: DataFrame, similarity: float, largest: int = 1_000) -> DataFrame:
+    """``(a, b)``: verified links that connect all nodes of one key whose sets are similar.
+
+    ``keyed``: ``node, key``; ``sets``: ``node, shingles``.  Keys with the same
+    nodes count once.  A key with over ``largest`` nodes is parted: they are
+    dealt into chunks, and each pair of chunks is a group of its own.
+    """
+    print_of = lambda salt: F.bit_xor(F.xxhash64("node", F.lit(salt)))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), print_of(0).alias("h0"), print_of(1).alias("h1")).where(F.col("n") > 1)
+    once = sizes.groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key", "n")
+    chunks = F.ceil(F.col("n") / F.lit(largest)).cast("int")
+    mine = F.pmod(F.xxhash64("node", F.lit(7)), chunks).cast("int")
+    cells = keyed.join(once, "key").select("node", "key", chunks.alias("c"), mine.alias("m")).select("node", "key", "m", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
+    dealt = cells.select("node", F.xxhash64("key", F.least("m", "o"), F.greatest("m", "o")).alias("bucket"))
+    parted = dealt.join(sets, "node").select("bucket", "node", "shingles").repartition("bucket").sortWithinPartitions("bucket")
+    return parted.mapInArrow(_verify(similarity), "a string, b string").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, *, similarity: float = 0.8, words_each: int = 5, bands: int = 20, rows: int = 3) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest ``doc_id``.
 
     Two documents are near duplicates if at least ``similarity`` of their
     distinct shingles of ``words_each`` words (A-Z lower-cased, between ASCII
     white space; fewer words: one of all) are shared; groups are what such
-    links connect.  Candidates are fingerprints over distinct words, one for
-    each of ``seeds``, that differ in at most ``budget`` bits: the trie join
-    gives, under each key, the nearest links that connect all candidates, so
-    their number grows with the documents and not with the square of a group.
-    Every candidate is verified on its whole sets of shingles.
+    links connect.  Candidates are texts of which all ``rows`` minimal hashes
+    of one of ``bands`` bands agree: whatever was edited, a pair of similarity
+    s is none with a chance of ``(1 - s**rows)**bands``, 6e-7 at 0.8.
+    Candidates are verified on their whole sets of shingles before any are
+    left out as connected already.
 
     Equal texts are one group, with null as the empty text; blank texts are
     near duplicates of each other.  Of repeated rows one stays.  A null
-    ``doc_id`` is larger than any other.  ``docs`` must be read from files, as
-    rows are told apart by their place; it may have any further columns.
+    ``doc_id`` is larger than any other.  Rows are told apart by ``doc_id`` and
+    text alone, so ``docs`` may be read again in other splits; it may have any
+    further columns.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    tags = placed.select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("node"), text.alias("text"))
-    schema = "__row long, doc_id long, node string, " + ", ".join(f"fp{k} long" for k in range(seeds))
-    known = durable(tags.mapInArrow(_word_prints(seeds), schema))
-    nodes = known.groupBy("node").agg(*(F.first(f"fp{k}").alias(f"fp{k}") for k in range(seeds)))
-    own = nodes.select("node", F.posexplode(F.array(*(f"fp{k}" for k in range(seeds)))).alias("seed", "fp"))
-    first = durable(own.groupBy("seed", "fp").agg(F.min("node").alias("least")))
-    same = own.join(first, ["seed", "fp"]).where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    links = fingerprint_links(first, budget, nearest=True)
-    left, right = first.select("seed", F.col("fp").alias("a"), F.col("least").alias("x")), first.select("seed", F.col("fp").alias("b"), F.col("least").alias("y"))
-    near = links.join(left, ["seed", "a"]).join(right, ["seed", "b"]).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    pairs = near.unionByName(same)
-    pairs = durable(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    firsts = known.groupBy("node").agg(F.min("__row").alias("__row"))
-    chosen = firsts.join(wanted, "node").select("__row", "node")
-    bodies = placed.select("__row", text.alias("text")).join(chosen, "__row").select("node", "text")
-    sets = durable(bodies.mapInArrow(_shingle_sets(words_each), "node string, shingles array<int>, n int"))
-    size = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
-    # sets of too different sizes cannot be similar; the others meet
-    likely = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
-    both = likely.join(sets.select(F.col("node").alias("a"), "shingles"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
-    shared = F.size(F.array_intersect("shingles", "t"))
-    true = both.where((F.col("na") + F.col("nb") == 0) | (shared >= F.lit(similarity) * (F.col("na") + F.col("nb") - shared))).select("a", "b")
-    groups = connected_components(true)
-    grouped = known.join(groups, "node", "left").select("__row", "doc_id", F.coalesce("component", "node").alias("component"))
-    stays = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("w")).select("w.__row")
-    return placed.join(stays, "__row", "left_semi").select(*docs.columns)
+    doc = F.col("doc_id").cast("long")
+    own = ["__none", "__doc", "__node"]
+    placed = docs.select("*", doc.isNull().alias("__none"), F.coalesce(doc, F.lit(0)).alias("__doc"), F.md5(text.cast("binary")).alias("__node"))
+    known = durable(placed.select(*own, text.alias("text")).mapInArrow(_band_rows(words_each, bands, rows), "__none boolean, __doc long, __node string, bands array<long>"))
+    firsts = known.groupBy("__node").agg(F.min(F.struct("__none", "__doc")).alias("w"), F.first("bands").alias("bands")).select("w.*", "__node", "bands")
+    keyed = firsts.select(*own, F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    wanted = keyed.join(shared, "key", "left_semi").select(*own).distinct()
+    bodies = placed.select(*own, text.alias("text")).join(wanted, own, "left_semi").select(F.col("__node").alias("node"), "text")
+    sets = durable(bodies.mapInArrow(_shingle_sets(words_each), "node string, shingles array<int>").dropDuplicates(["node"]))
+    groups = connected_components(similar_texts(keyed.select(F.col("__node").alias("node"), "key"), sets, similarity))
+    grouped = known.select(*own).join(groups.withColumnRenamed("node", "__node"), "__node", "left").select(*own, F.coalesce("component", "__node").alias("component"))
+    stays = grouped.groupBy("component").agg(F.min(F.struct(*own)).alias("w")).select("w.*")
+    kept = placed.join(stays, own, "left_semi")
+    number = F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0)))
+    return kept.withColumn("__number", number).where(F.col("__number") == 1).select(*docs.columns)

@@ -174,6 +174,43 @@ def test_near_duplicates_go_and_others_stay(spark, tmp_path):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_any_edit(spark, tmp_path):
+    rng = random.Random(11)
+    long = lambda n: [f"word{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows, kept = [], set()
+    for g in range(60):  # similarity about 0.81
+        words = long(200)
+        rows += [(g * 10, " ".join(words)), (g * 10 + 1, " ".join(words + long(45))), (g * 10 + 2, " ".join(words[:164]))]
+        kept.add(g * 10)
+    vocabulary = long(120)
+    for g in range(12):  # the same words in other orders, each with one near copy
+        words = rng.sample(vocabulary, 120)
+        rows += [(1000 + g * 2, " ".join(words)), (1001 + g * 2, " ".join(words[:110]))]
+        kept.add(1000 + g * 2)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    # of a cut text and a longer one both are like the first alone
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()} == kept
+
+
+def test_near_duplicates_of_files_split_anew(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    texts = [prose(rng, 60) for _ in range(40)]
+    rows = [(i, texts[i % 40]) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "d"))
+    costs, plain = iter(range(10**6)), simhash.durable
+
+    def durable(df):
+        out = plain(df)
+        spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20 if next(costs) % 2 else 1))
+        return out
+
+    monkeypatch.setattr(simhash, "durable", durable)
+    try:
+        assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()) == list(range(40))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_toxicity_finds_planted_words(spark):
     rng = random.Random(5)
     docs, labels = [], []
