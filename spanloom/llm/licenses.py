@@ -1,10 +1,11 @@
 """Licence detection by a positional index of rare licence words.
 
 The index holds, for each word of the licence templates, where it stands in
-which template.  A document's licence words are weighed by inverse document
-frequency over all documents; the rarest are looked up, and postings that agree
-in relative position (word in document less word in template) point to a
-template and a place.  There the template's mandatory phrases are verified.
+which template.  Licence words are weighed by inverse document frequency over
+all documents; of each template the rarest word of its mandatory phrases is
+looked up in every document.  Its posting's relative position (word in document
+less word in template) points to a template and a place.  There the template's
+mandatory phrases are verified.
 """
 
 from __future__ import annotations
@@ -96,26 +97,29 @@ def licence_idf(docs: DataFrame, index: Index) -> dict[bytes, float]:
     return {w: math.log((1 + n.get(b"", 0)) / (1 + n.get(w, 0))) for w in index.postings}
 
 
-def match(words: list[bytes], index: Index, idf: dict[bytes, float], rarest: int = 12, cover: float = 0.6) -> list[tuple[str, int, float]]:
+def rare_words(index: Index, idf: dict[bytes, float]) -> dict[bytes, list[tuple[int, int]]]:
+    """The postings that are looked up: of each template the word of its mandatory phrases with the highest IDF."""
+    out: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+    for template, needed in enumerate(index.needed):
+        _, word, at = max((idf[w], w, p + k) for p, ws in needed for k, w in enumerate(ws))
+        out[word].append((template, at))
+    return dict(out)
+
+
+def match(words: list[bytes], index: Index, rare: dict[bytes, list[tuple[int, int]]], cover: float = 0.6) -> list[tuple[str, int, float]]:
     """(template label, its first word's place, share of its words in place) of each place that is verified.
 
-    The ``rarest`` distinct licence words with the highest IDF are looked up,
-    at every place where they stand.  Alignments in which more than one word
-    agrees are compared word by word; the mandatory phrases must stand where
-    the template has them and ``cover`` of its words be in place.
+    ``rare``: see ``rare_words``; each is looked up at every place where it
+    stands.  As it belongs to a mandatory phrase, no place of a template is
+    passed over.  There the mandatory phrases must stand where the template has
+    them and ``cover`` of its words be in place.
     """
-    mine = sorted(set(words) & index.postings.keys(), key=lambda w: (-idf[w], w))[:rarest]
-    if len(mine) < 2:
+    if rare.keys().isdisjoint(words):
         return []
-    rare = set(mine)
-    votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-    for at, w in enumerate(words):
-        if w in rare:
-            for template, p in index.postings[w]:
-                votes[template, at - p].add(w)
+    places = {(template, at - p) for at, w in enumerate(words) if w in rare for template, p in rare[w]}
     found = []
-    for (template, begin), agreed in sorted(votes.items()):
-        if len(agreed) < 2 or not all(begin + p >= 0 and words[begin + p : begin + p + len(ws)] == ws for p, ws in index.needed[template]):
+    for template, begin in sorted(places):
+        if not all(begin + p >= 0 and words[begin + p : begin + p + len(ws)] == ws for p, ws in index.needed[template]):
             continue
         body = index.words[template]
         share = sum(0 <= begin + p < len(words) and words[begin + p] == w for p, w in enumerate(body)) / len(body)
@@ -125,7 +129,7 @@ def match(words: list[bytes], index: Index, idf: dict[bytes, float], rarest: int
 
 
 def _scan(index: Index, idf: dict[bytes, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    firsts = {p[0] for p, _ in index.phrases}
+    firsts, rare = {p[0] for p, _ in index.phrases}, rare_words(index, idf)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +143,7 @@ def _scan(index: Index, idf: dict[bytes, float]) -> Callable[[Iterator[pa.Record
                         if got := _places(words, phrase):
                             places += got
                             base.add(label)
-                found = match(words, index, idf)
+                found = match(words, index, rare)
                 labels = sorted(base | {f[0] for f in found})
                 score = 1.0 if base else max((f[2] for f in found), default=0.0)
                 rows.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(labels), score, [{"label": a, "word": b, "cover": c} for a, b, c in found]))

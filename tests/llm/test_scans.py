@@ -134,6 +134,14 @@ def test_chat_layouts(spark):
     assert got == {i: (name, turns) for i, _, name, turns in records}
 
 
+def test_licences_of_several_notices(spark):
+    notices = [" ".join(t) for t in ((licenses.TEMPLATES[6][1], licenses.TEMPLATES[7][1], "licensed under cc by sa 4 0"), tuple(t[1] for t in licenses.TEMPLATES))]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*notices, *["plain words"] * 30, *[licenses.TEMPLATES[11][1]] * 60])], "doc_id long, text string")
+    got = {r["doc_id"]: {f["label"] for f in r["found"]} for r in licenses.scan_licences(docs).collect()}
+    assert got[0] == {"mit-text", "bsd", "cc-by-sa-4.0"}
+    assert got[1] == {t[0] for t in licenses.TEMPLATES}
+
+
 def test_licences_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = small_docs(spark, [None, "", "CC  by, cc-by MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "gnu " * 50], ids=[-1, -2, -3, -4, -5]).select("doc_id", "text")
