@@ -197,18 +197,18 @@ def test_near_duplicates_of_files_split_anew(spark, tmp_path, monkeypatch):
     texts = [prose(rng, 60) for _ in range(40)]
     rows = [(i, texts[i % 40]) for i in range(60)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "d"))
-    costs, plain = iter(range(10**6)), simhash.durable
+    plain = simhash.durable
 
     def durable(df):
         out = plain(df)
-        spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20 if next(costs) % 2 else 1))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
         return out
 
     monkeypatch.setattr(simhash, "durable", durable)
     try:
         assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()) == list(range(40))
     finally:
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_toxicity_finds_planted_words(spark):
