@@ -8,6 +8,12 @@ key the fingerprints form a binary trie; pairs of its nodes are traversed
 together from the root, differing bits add up, and a pair of nodes goes as soon
 as they exceed the budget.  Only distinct fingerprints are joined, and a key
 gives a spanning forest of its links, not all pairs.
+
+``drop_near_duplicates`` asks for similar shingle sets instead of a few bits.
+Two texts of similarity 0.8 differ in ten bits of 64 on average, so no block of
+bits need agree; there pairs meet under keys of minimal shingle hashes, the
+trie is traversed with a budget that such pairs keep to, and what it leaves is
+compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -72,14 +78,14 @@ def fingerprints(docs: DataFrame, words_each: int = 4, seeds: tuple[int, ...] =
     return mine.mapInArrow(_fingerprints(words_each, seeds), "doc_id long, " + ", ".join(f"fp{k} long" for k in range(len(seeds))))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of edges a-b, those that join two trees of ``label`` (which is updated in place)."""
-    keep = np.zeros(len(a), bool)
+def _forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the edges a-b join two trees of ``label`` (which is updated in place); each joins two, none closes a circle."""
+    keep, n = np.zeros(len(a), bool), len(label)
     while True:
         la, lb = label[a], label[b]
         live = np.flatnonzero(la != lb)
         if not len(live):
-            return a[keep], b[keep]
+            return keep
         hi, lo = np.maximum(la[live], lb[live]), np.minimum(la[live], lb[live])
         order = np.lexsort((lo, hi))
         first = order[np.append(True, hi[order][1:] != hi[order][:-1])]  # each root is hooked once, to a smaller one
@@ -98,36 +104,37 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def nearest_first(prints: np.ndarray, bounds: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``trie_links``, but links of fewer differing bits are taken first: a minimum spanning forest."""
-    label, parts = np.arange(len(prints)), []
-    for bits in range(1, budget + 1):
-        parts.append(trie_links(prints, bounds, bits, label=label))
-    return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
-
-
-def trie_links(prints: np.ndarray, bounds: np.ndarray, budget: int, most: int = 50_000, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each group, as two arrays of positions.
-
-    ``label``: trees that positions already belong to; it is updated.
+def trie_pairs(prints: np.ndarray, bounds: np.ndarray, budget: int, found: Callable[[np.ndarray, np.ndarray], None], *, every: bool = True, most: int = 50_000) -> None:
+    """Give ``found`` the pairs of positions of one group whose prints differ in at most ``budget`` bits, part by part.
 
     ``prints``: unsigned, ascending inside each of the groups that ``bounds``
     delimits.  A trie node is a range of positions that share their leading
     bits.  The stack holds sets of node pairs of one depth, at most about
     ``most`` each, so memory stays bounded however many pairs are alive.
+    Without ``every``, ranges of which all pairs are within the budget give a
+    tree of pairs that connects them.
     """
     n = len(prints)
-    label = np.arange(n) if label is None else label
-    out_a: list[np.ndarray] = []
-    out_b: list[np.ndarray] = []
     ones = np.zeros((BITS, n + 1), np.int32)  # of each bit, how many positions before this one have it
     for d in range(BITS):
         np.cumsum((prints >> np.uint64(d)) & np.uint64(1), out=ones[d, 1:])
 
-    def link(a: np.ndarray, b: np.ndarray) -> None:
-        x, y = _forest(a, b, n, label)
-        out_a.append(x)
-        out_b.append(y)
+    def blocks(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray, check: bool) -> None:
+        """All pairs between the ranges, ``9 * most`` at a time."""
+        width = bh - bl
+        row = np.repeat(np.arange(len(al)), ah - al)  # a row for each left position
+        left = al[row] + np.arange(len(row)) - np.repeat(np.cumsum(ah - al) - (ah - al), ah - al)
+        upto = np.cumsum(width[row])
+        begin = 0
+        while begin < len(row):
+            done = int(upto[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(upto, done + 9 * most, side="right")))
+            w = width[row[begin:end]]
+            a = np.repeat(left[begin:end], w)
+            b = np.repeat(bl[row[begin:end]], w) + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
+            near = (a != b) if not check else (a != b) & (_popcount(prints[a] ^ prints[b]) <= budget)
+            found(a[near], b[near])
+            begin = end
 
     lo, hi = bounds[:-1], bounds[1:]
     wide = hi - lo > 1
@@ -146,18 +153,15 @@ def trie_links(prints: np.ndarray, bounds: np.ndarray, budget: int, most: int =
         if d < 0:
             small[:] = True
         if small.any():  # few leaves: compare them
-            sa, sn, sb, sm = al[small], (ah - al)[small], bl[small], (bh - bl)[small]
-            size = sn * sm
-            k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            a, b = np.repeat(sa, size) + k // np.repeat(sm, size), np.repeat(sb, size) + k % np.repeat(sm, size)
-            near = (a != b) & (_popcount(prints[a] ^ prints[b]) <= budget)
-            link(a[near], b[near])
+            blocks(al[small], ah[small], bl[small], bh[small], True)
         # all within reach: the bits below d cannot exceed what is left of the budget
         reach = ~small & (diff + d + 1 <= budget)
-        if reach.any():
+        if reach.any() and every:
+            blocks(al[reach], ah[reach], bl[reach], bh[reach], False)
+        elif reach.any():
             for x, y, p, q in zip(al[reach], ah[reach], bl[reach], bh[reach], strict=True):
                 rest = np.concatenate([np.arange(x, y), np.arange(p, q)])
-                link(np.full(len(rest), x), rest)
+                found(np.full(len(rest), x), rest)
         go = ~small & ~reach
         if not go.any():
             continue
@@ -171,22 +175,34 @@ def trie_links(prints: np.ndarray, bounds: np.ndarray, budget: int, most: int =
             ok &= ~((w == y) & (x - w == 1))
             rows.append((w[ok], x[ok], y[ok], z[ok], e[ok]))
         stack.append((d - 1, *(np.concatenate(c) for c in zip(*rows, strict=True))))
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _join(budget: int, nearest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def trie_links(prints: np.ndarray, bounds: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside each group, as two arrays of positions; see ``trie_pairs``."""
+    label = np.arange(len(prints))
+    out: list[tuple[np.ndarray, np.ndarray]] = [(label[:0], label[:0])]
+
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        keep = _forest(a, b, label)
+        out.append((a[keep], b[keep]))
+
+    trie_pairs(prints, bounds, budget, link, every=False)
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def _join(budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "bucket", 60_000):
-            bucket, prints, seed = table.column("bucket").to_numpy(), table.column("fp").to_numpy().view(np.uint64), table.column("seed").to_numpy()
+            bucket, prints = table.column("bucket").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
             order = np.lexsort((prints, bucket))
-            bucket, prints, seed = bucket[order], prints[order], seed[order]
+            bucket, prints = bucket[order], prints[order]
             fresh = np.append(True, (bucket[1:] != bucket[:-1]) | (prints[1:] != prints[:-1]))
-            bucket, prints, seed = bucket[fresh], prints[fresh], seed[fresh]
+            bucket, prints = bucket[fresh], prints[fresh]
             bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-            a, b = (nearest_first if nearest else trie_links)(prints, bounds, budget)
+            a, b = trie_links(prints, bounds, budget)
             x, y = prints[a].view(np.int64), prints[b].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(seed[a]), pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["seed", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
     return run
 
@@ -207,29 +223,30 @@ def block_masks(budget: int, distinct: int, dense: int = 128) -> list[int]:
     return [sum(one[k] for k in which) for which in combinations(range(blocks), clean)]
 
 
-def fingerprint_links(prints: DataFrame, budget: int = 4, largest: int = 20_000, nearest: bool = False) -> DataFrame:
+def parted(keyed: DataFrame, sizes: DataFrame, largest: int, *columns: str) -> DataFrame:
+    """``bucket`` and ``columns`` of the rows of ``keyed`` whose ``key`` is in ``sizes`` (``key, n``).
+
+    A key with over ``largest`` rows is parted: they are dealt into chunks, and
+    each pair of chunks is a bucket of its own, so no bucket holds more than
+    about two chunks and every two rows still meet.
+    """
+    chunks = F.ceil(F.col("n") / F.lit(largest)).cast("int")
+    mine = F.pmod(F.xxhash64(columns[0], F.lit(7)), chunks).cast("int")
+    cells = keyed.join(sizes, "key").select(*columns, "key", chunks.alias("c"), mine.alias("m")).select(*columns, "key", "m", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
+    return cells.select(*columns, F.xxhash64("key", F.least("m", "o"), F.greatest("m", "o")).alias("bucket"))
+
+
+def fingerprint_links(prints: DataFrame, budget: int = 4, largest: int = 20_000) -> DataFrame:
     """``(a, b)``: links between distinct values of ``fp`` (long) that connect all that differ in at most ``budget`` bits.
 
-    A key with over ``largest`` fingerprints is parted: they are dealt into
-    chunks, and each pair of chunks is a group of its own, so no task holds
-    more than about two chunks and every pair still meets.  Nulls are left out.
-    ``nearest``: under each key the links of fewer differing bits come first.
-    With a column ``seed`` only fingerprints of one seed meet, and the result
-    has it too.
+    Keys with over ``largest`` fingerprints are parted.  Nulls are left out.
     """
-    seed = F.col("seed") if "seed" in prints.columns else F.lit(0)
-    distinct = prints.select(seed.cast("int").alias("seed"), "fp").where(F.col("fp").isNotNull()).distinct()
-    most = distinct.groupBy("seed").count().agg(F.max("count")).first()[0] or 0
-    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(budget, most)]
-    keyed = distinct.select("seed", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("mask", "bits")).select("seed", "fp", F.xxhash64("seed", "mask", "bits").alias("key"))
+    distinct = prints.select("fp").where(F.col("fp").isNotNull()).distinct()
+    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(budget, distinct.count())]
+    keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("mask", "bits")).select("fp", F.xxhash64("mask", "bits").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    chunks = F.ceil(F.col("n") / F.lit(largest)).cast("int")
-    mine = F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int")
-    cells = keyed.join(sizes, "key").select("seed", "fp", "key", chunks.alias("c"), mine.alias("m")).select("seed", "fp", "key", "m", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
-    dealt = cells.select("seed", "fp", F.xxhash64("key", F.least("m", "o"), F.greatest("m", "o")).alias("bucket"))
-    parted = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    found = parted.mapInArrow(_join(budget, nearest), "seed int, a long, b long").distinct()
-    return found if "seed" in prints.columns else found.select("a", "b")
+    dealt = parted(keyed, sizes, largest, "fp").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_join(budget), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, words_each: int = 4, budget: int = 4) -> DataFrame:
@@ -250,30 +267,33 @@ def near_duplicates(docs: DataFrame, *, words_each: int = 4, budget: int = 4) ->
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingles(text: bytes, size: int) -> np.ndarray:
-    """The distinct shingles of ``size`` words as ascending 32-bit hashes."""
-    import xxhash
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
 
-    words = text.lower().split()
-    runs = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
-    return np.unique(np.array([xxhash.xxh32_intdigest(r, HASH_SEED) for r in runs], np.uint32))
-
-
-def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A key for each band of ``rows`` minima of the hashed shingles; an empty set has keys of its own."""
-    which = np.arange(bands * rows, dtype=np.uint64)[:, None]
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    salt = _mixed(which * np.uint64(2) + np.uint64(1))
-    for k in range(0, len(shingles), 4096):
-        x = (shingles[k : k + 4096].astype(np.uint64) + salt) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        x *= salt | np.uint64(1)
-        x ^= x >> np.uint64(32)
-        least = np.minimum(least, x.min(axis=1))
-    key = np.arange(bands, dtype=np.uint64)
-    for row in least.reshape(bands, rows).T:
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
-    return key.view(np.int64)
+        got = self[word] = xxhash.xxh64_intdigest(word, HASH_SEED)
+        return got
+
+
+class Shingles:
+    """Distinct runs of ``size`` words of a text as ascending 64-bit hashes; fewer words: one run of all; none: empty."""
+
+    def __init__(self, size: int, known: int = 200_000) -> None:
+        self.size, self.most, self.known = size, known, _WordHashes()
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        words = text.lower().split()
+        if not words:
+            return np.empty(0, np.uint64)
+        if len(self.known) > self.most:
+            self.known.clear()
+        hashes = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        run = min(self.size, len(words))
+        n = len(words) - run + 1
+        total = np.full(n, run, np.uint64)
+        for k in range(run):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+        return np.unique(_mixed(total))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -282,110 +302,175 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _band_rows(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def simhash_of_set(hashes: np.ndarray) -> int:
+    """Fingerprint of a set of 64-bit hashes: bits that over half of them have."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 8192):
+        ones += np.unpackbits(hashes[k : k + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band of ``rows`` minima of the set under as many orders; an empty set has keys of its own."""
+    salt = _mixed(np.arange(1, bands * rows + 1, dtype=np.uint64))
+    factor, shift = (salt | np.uint64(1)).astype(np.uint32)[:, None], (salt >> np.uint64(32)).astype(np.uint32)[:, None]
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(bands * rows, np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, len(upper), 2048):
+        least = np.minimum(least, (upper[k : k + 2048] * factor + shift).min(axis=1))
+    key = np.arange(bands, dtype=np.uint64)
+    for row in least.astype(np.uint64).reshape(bands, rows).T:
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
+    return key.view(np.int64)
+
+
+def _profiles(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fp`` and ``bands`` in place of ``text``, the last column."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
         for batch in batches:
-            names = [c for c in batch.schema.names if c != "text"]
-            keys = [band_keys(_shingles(t, size), bands, rows) for t in texts(batch.column(batch.schema.names.index("text")))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in names), pa.array(keys, pa.list_(pa.int64()))], [*names, "bands"])
+            names = batch.schema.names[:-1]
+            seen: dict[bytes, tuple[int, np.ndarray]] = {}
+            mine = []
+            for text in texts(batch.column(len(names))):
+                if (got := seen.get(text)) is None:
+                    hashes = shingles(text)
+                    got = seen[text] = simhash_of_set(hashes), band_keys(hashes, bands, rows)
+                mine.append(got)
+            prints = np.array([fp for fp, _ in mine], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(prints), pa.array([k for _, k in mine], pa.list_(pa.int64()))], [*names, "fp", "bands"])
 
     return run
 
 
 def _shingle_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``node`` and the distinct shingles of ``size`` words as 32-bit hashes."""
+    """``node`` and its shingles."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
         for batch in (part for whole in batches for part in slices(whole, byte_sizes(whole.column(1)), 4 << 20)):
-            rows = [_shingles(text, size).view(np.int32) for text in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["node", "shingles"])
+            rows = [shingles(text).view(np.int64) for text in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "shingles"])
 
     return run
 
 
-def similar_links(flat: np.ndarray, offsets: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
-    """Links of sets of at least ``similarity`` that connect all such pairs; ``flat``: the sets end to end, each ascending.
+def shared_counts(flat: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many members the sets ``a[k]`` and ``b[k]`` share; ``flat``: the sets end to end, each ascending."""
+    out = np.zeros(len(a), np.int64)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        one, two = flat[offsets[x] : offsets[x + 1]], flat[offsets[y] : offsets[y + 1]]
+        if len(one) and len(two):
+            out[k] = np.count_nonzero(one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two)
+    return out
+
+
+def parities(flat: np.ndarray, offsets: np.ndarray, bits: int = 2048) -> np.ndarray:
+    """A row of 64-bit words for each set: of each bit, whether an odd number of members hash to it.
 
-    A set is compared with all that it is not connected to yet.  When all
-    outside the largest component have been, no pair is left to compare.
+    Each member that two sets do not share turns one bit, so their rows differ
+    in no more bits than the sets in members.
     """
     n = len(offsets) - 1
-    size = np.diff(offsets)
-    label, swept = np.arange(n), np.zeros(n, bool)
-    out_a: list[int] = []
-    out_b: list[int] = []
-    while True:
-        todo = np.flatnonzero(~swept & (label != np.bincount(label, minlength=n).argmax()))
-        if not len(todo):
-            return out_a, out_b
-        x = int(todo[0])
-        swept[x] = True
-        mine = flat[offsets[x] : offsets[x + 1]]
-        shared = np.zeros(n, np.int64)
-        if len(mine):
-            hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
-            before = np.append(0, np.cumsum(hit))
-            shared = before[offsets[1:]] - before[offsets[:-1]]
-        union = size + size[x] - shared
-        near = np.flatnonzero((label != label[x]) & ((union == 0) | (shared >= similarity * union)) & ((size > 0) == (size[x] > 0)))
-        if len(near):
-            out_a += [x] * len(near)
-            out_b += near.tolist()
-            label[np.isin(label, label[near])] = label[x]
-
-
-def _verify(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    odd = np.zeros((n, bits), np.uint8)
+    for k in range(0, n, 512):
+        part = slice(int(offsets[k]), int(offsets[min(n, k + 512)]))
+        at = (row[part] - k) * bits + (flat[part] & np.uint64(bits - 1)).astype(np.int64)
+        odd[k : k + 512] = (np.bincount(at, minlength=min(512, n - k) * bits) & 1).reshape(-1, bits)
+    return np.packbits(odd, axis=1).view(np.uint64)
+
+
+def similar_links(prints: np.ndarray, bounds: np.ndarray, label: np.ndarray, flat: np.ndarray, offsets: np.ndarray, similarity: float, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of sets of at least ``similarity`` that connect all such pairs of a group, as two arrays of positions.
+
+    ``label``: what is connected already; it is updated.  The trie gives the
+    candidate pairs, part by part; those go whose parities differ in more bits
+    than similar sets of their sizes can in members.  Of a part's pairs that are
+    not connected yet a spanning forest is compared set by set; those that are
+    similar connect, the others are struck off, and so on until no pair is left.
+    """
+    size, odd = np.diff(offsets), parities(flat, offsets)
+    most = (1 - similarity) / (1 + similarity) + 1e-9
+    out: list[tuple[np.ndarray, np.ndarray]] = [(label[:0], label[:0])]
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        near = (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+        a, b = a[near], b[near]
+        near = np.empty(len(a), bool)
+        for k in range(0, len(a), 16_384):
+            x, y = a[k : k + 16_384], b[k : k + 16_384]
+            near[k : k + 16_384] = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64) <= most * (size[x] + size[y])
+        a, b = a[near], b[near]
+        if not len(a):
+            return
+        order = np.argsort(_popcount(prints[a] ^ prints[b]), kind="stable")  # the likeliest first
+        a, b = a[order], b[order]
+        while len(a):
+            tried = _forest(a, b, label.copy())
+            x, y = a[tried], b[tried]
+            shared = shared_counts(flat, offsets, x, y)
+            union = size[x] + size[y] - shared
+            ok = (union == 0) | (shared >= similarity * union)
+            _forest(x[ok], y[ok], label)
+            out.append((x[ok], y[ok]))
+            left = ~tried & (label[a] != label[b])
+            a, b = a[left], b[left]
+
+    trie_pairs(prints, bounds, budget, compare)
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def _verify(similarity: float, budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "bucket", 2_000):
-            bucket = table.column("bucket").to_numpy()
-            node = table.column("node").combine_chunks()
+            bucket, prints = table.column("bucket").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+            order = np.lexsort((prints, bucket))
+            table = table.take(pa.array(order))
+            bucket, prints = bucket[order], prints[order]
+            bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            _, component = np.unique(table.column("component").to_numpy().astype(object), return_inverse=True)
+            _, first, label = np.unique(np.stack([bucket, component], axis=1), axis=0, return_index=True, return_inverse=True)
             sets = table.column("shingles").combine_chunks()
-            flat, offsets = sets.values.to_numpy(), sets.offsets.to_numpy()
-            flat = flat.view(np.uint32)
-            edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-            a, b = [], []
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                own = offsets[lo : hi + 1].astype(np.int64)
-                x, y = similar_links(flat[own[0] : own[-1]], own - own[0], similarity)
-                a += [lo + k for k in x]
-                b += [lo + k for k in y]
+            a, b = similar_links(prints, bounds, first[label.ravel()], sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy().astype(np.int64), similarity, budget)
+            node = table.column("node").combine_chunks()
             yield pa.RecordBatch.from_arrays([node.take(pa.array(a, pa.int64())), node.take(pa.array(b, pa.int64()))], ["a", "b"])
 
     return run
 
 
-def similar_texts(keyed: DataFrame, sets: DataFrame, similarity: float, largest: int = 1_000) -> DataFrame:
+def similar_texts(keyed: DataFrame, sets: DataFrame, similarity: float, budget: int, largest: int = 1_000) -> DataFrame:
     """``(a, b)``: verified links that connect all nodes of one key whose sets are similar.
 
-    ``keyed``: ``node, key``; ``sets``: ``node, shingles``.  Keys with the same
-    nodes count once.  A key with over ``largest`` nodes is parted: they are
-    dealt into chunks, and each pair of chunks is a group of its own.
+    ``keyed``: ``node, component, fp, key``; ``sets``: ``node, shingles``.  Keys
+    whose nodes are all connected add nothing, keys with the same nodes count
+    once, and keys with over ``largest`` nodes are parted.
     """
     print_of = lambda salt: F.bit_xor(F.xxhash64("node", F.lit(salt)))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), print_of(0).alias("h0"), print_of(1).alias("h1")).where(F.col("n") > 1)
-    once = sizes.groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key", "n")
-    chunks = F.ceil(F.col("n") / F.lit(largest)).cast("int")
-    mine = F.pmod(F.xxhash64("node", F.lit(7)), chunks).cast("int")
-    cells = keyed.join(once, "key").select("node", "key", chunks.alias("c"), mine.alias("m")).select("node", "key", "m", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
-    dealt = cells.select("node", F.xxhash64("key", F.least("m", "o"), F.greatest("m", "o")).alias("bucket"))
-    parted = dealt.join(sets, "node").select("bucket", "node", "shingles").repartition("bucket").sortWithinPartitions("bucket")
-    return parted.mapInArrow(_verify(similarity), "a string, b string").distinct()
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), print_of(0).alias("h0"), print_of(1).alias("h1"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    once = sizes.where(F.col("c0") != F.col("c1")).groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key", "n")
+    dealt = parted(keyed, once, largest, "node", "component", "fp")
+    placed = dealt.join(sets, "node").select("bucket", "node", "component", "fp", "shingles").repartition("bucket").sortWithinPartitions("bucket")
+    return placed.mapInArrow(_verify(similarity, budget), "a string, b string").distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, *, similarity: float = 0.8, words_each: int = 5, bands: int = 20, rows: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, similarity: float = 0.8, words_each: int = 5, bands: int = 20, rows: int = 3, budget: int = 27) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest ``doc_id``.
 
     Two documents are near duplicates if at least ``similarity`` of their
     distinct shingles of ``words_each`` words (A-Z lower-cased, between ASCII
     white space; fewer words: one of all) are shared; groups are what such
-    links connect.  Candidates are texts of which all ``rows`` minimal hashes
-    of one of ``bands`` bands agree: whatever was edited, a pair of similarity
-    s is none with a chance of ``(1 - s**rows)**bands``, 6e-7 at 0.8.
-    Candidates are verified on their whole sets of shingles before any are
-    left out as connected already.
+    links connect.  Documents meet where all ``rows`` minimal hashes of one of
+    ``bands`` bands agree: a pair of similarity s meets nowhere with a chance
+    of ``(1 - s**rows)**bands``, 6e-7 at 0.8.  There the trie self-join leaves
+    pairs of fingerprints that differ in ``budget`` bits at most (ten on
+    average at 0.8), and these are compared on their whole sets of shingles
+    before any are left out as connected already.  The first bands are joined
+    first: what they connect need not meet again in the others.
 
     Equal texts are one group, with null as the empty text; blank texts are
     near duplicates of each other.  Of repeated rows one stays.  A null
@@ -397,14 +482,19 @@ def drop_near_duplicates(docs: DataFrame, *, similarity: float = 0.8, words_each
     doc = F.col("doc_id").cast("long")
     own = ["__none", "__doc", "__node"]
     placed = docs.select("*", doc.isNull().alias("__none"), F.coalesce(doc, F.lit(0)).alias("__doc"), F.md5(text.cast("binary")).alias("__node"))
-    known = durable(placed.select(*own, text.alias("text")).mapInArrow(_band_rows(words_each, bands, rows), "__none boolean, __doc long, __node string, bands array<long>"))
-    firsts = known.groupBy("__node").agg(F.min(F.struct("__none", "__doc")).alias("w"), F.first("bands").alias("bands")).select("w.*", "__node", "bands")
-    keyed = firsts.select(*own, F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    wanted = keyed.join(shared, "key", "left_semi").select(*own).distinct()
+    known = durable(placed.select(*own, text.alias("text")).mapInArrow(_profiles(words_each, bands, rows), "__none boolean, __doc long, __node string, fp long, bands array<long>"))
+    firsts = durable(known.groupBy("__node").agg(F.min(F.struct("__none", "__doc")).alias("w"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("w.*", "__node", "fp", "bands"))
+    met = firsts.select(*own, F.explode("bands").alias("key"))
+    shared = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    wanted = met.join(shared, "key", "left_semi").select(*own).distinct()
     bodies = placed.select(*own, text.alias("text")).join(wanted, own, "left_semi").select(F.col("__node").alias("node"), "text")
-    sets = durable(bodies.mapInArrow(_shingle_sets(words_each), "node string, shingles array<int>").dropDuplicates(["node"]))
-    groups = connected_components(similar_texts(keyed.select(F.col("__node").alias("node"), "key"), sets, similarity))
+    sets = durable(bodies.mapInArrow(_shingle_sets(words_each), "node string, shingles array<long>").dropDuplicates(["node"]))
+    groups = None
+    for begin, count in ((1, 2), (3, bands - 2)):
+        nodes = firsts.select(F.col("__node").alias("node"), "fp", F.slice("bands", begin, count).alias("bands"))
+        placed_in = nodes.withColumn("component", F.col("node")) if groups is None else nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        links = similar_texts(placed_in.select("node", "component", "fp", F.explode("bands").alias("key")), sets, similarity, budget)
+        groups = connected_components(links if groups is None else links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     grouped = known.select(*own).join(groups.withColumnRenamed("node", "__node"), "__node", "left").select(*own, F.coalesce("component", "__node").alias("component"))
     stays = grouped.groupBy("component").agg(F.min(F.struct(*own)).alias("w")).select("w.*")
     kept = placed.join(stays, own, "left_semi")

@@ -103,14 +103,14 @@ def plain_components(prints, budget):
             return label
 
 
-@pytest.mark.parametrize(("seed", "budget", "nearest", "largest"), [(0, 4, False, 20_000), (1, 4, False, 20), (2, 2, True, 20_000), (3, 5, True, 15)])
-def test_links_connect_what_brute_force_connects(spark, seed, budget, nearest, largest):
+@pytest.mark.parametrize(("seed", "budget", "largest"), [(0, 4, 20_000), (1, 4, 20), (2, 2, 20_000), (3, 5, 15)])
+def test_links_connect_what_brute_force_connects(spark, seed, budget, largest):
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**63, 12, dtype=np.uint64) * np.uint64(2)
     prints = np.concatenate([base, *(base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (4, 12), dtype=np.uint64), axis=0) for _ in range(10)), np.array([0, 1, 3, 2**64 - 1], np.uint64)])
     prints = np.unique(prints)
     df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)] + [(None,)] + [(0,)] * 50, "fp long")
-    pairs = simhash.fingerprint_links(df, budget, largest=largest, nearest=nearest).collect()
+    pairs = simhash.fingerprint_links(df, budget, largest=largest).collect()
     at = {int(x): k for k, x in enumerate(prints.view(np.int64))}
     label = list(range(len(prints)))
 
@@ -147,6 +147,49 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_trie_gives_every_pair_within_the_budget():
+    rng = np.random.default_rng(7)
+    prints = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    prints = np.concatenate([prints, prints ^ np.uint64(5), prints[:20], np.zeros(30, np.uint64)])
+    group = rng.integers(0, 3, len(prints))
+    order = np.lexsort((prints, group))
+    prints, group = prints[order], group[order]
+    bounds = np.searchsorted(group, [0, 1, 2, 3])
+    for budget in (0, 2, 27):
+        for most in (7, 50_000):
+            got = set()
+            simhash.trie_pairs(prints, bounds, budget, lambda a, b: got.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)), most=most)
+            n = len(prints)
+            assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if group[i] == group[j] and int(prints[i] ^ prints[j]).bit_count() <= budget}
+
+
+def test_similar_links_connect_what_all_pairs_connect():
+    rng = random.Random(8)
+    sets = []
+    for _ in range(30):
+        base = [rng.getrandbits(64) for _ in range(rng.choice([5, 40, 300]))]
+        sets += [set(base), set(base[: int(len(base) * 0.8)]), set(base[: int(len(base) * 0.78)]), set(base[len(base) // 10 :]) | {rng.getrandbits(64)}]
+    sets += [set(), set()]
+    arrays = [np.array(sorted(x), np.uint64) for x in sets]
+    prints = np.array([simhash.simhash_of_set(x) for x in arrays], np.uint64)
+    order = np.argsort(prints, kind="stable")
+    arrays, prints = [arrays[i] for i in order], prints[order]
+    offsets = np.cumsum([0, *map(len, arrays)])
+    n = len(arrays)
+    label = np.arange(n)
+    a, b = simhash.similar_links(prints, np.array([0, n]), label, np.concatenate(arrays), offsets, 0.8, 27)
+    like = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    mine = [set(x.tolist()) for x in arrays]
+    assert all(like(mine[i], mine[j]) for i, j in zip(a, b, strict=True))
+    want = list(range(n))
+    for _ in range(n):
+        for i in range(n):
+            for j in range(i):
+                if like(mine[i], mine[j]):
+                    want[i] = want[j] = min(want[i], want[j])
+    assert len({(x, y) for x, y in zip(label.tolist(), want, strict=True)}) == len(set(want)) == len(set(label.tolist()))
+
+
 def shingles(text):
     ws = (text or "").encode().lower().split()
     return {b" ".join(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
