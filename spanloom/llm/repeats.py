@@ -3,16 +3,17 @@
 A string of ``size`` bytes has an anchor: the leftmost of its substrings of
 ``gram`` bytes with the smallest hash.  Equal strings have equal anchors in the
 same place, so only anchors travel: about one in ``(size - gram) / 2`` bytes.
-Anchors that occur once settle all their strings, and so do anchors whose
-occurrences all stand in the same surroundings.  For the rest the surroundings
-travel to a group for each anchor; there what follows each anchor, and what
-precedes it, are sorted by mergesort, two suffixes being compared by the first
-byte after their common extension, which a binary search over prefix polynomial
-hashes finds.  How far neighbours agree is then read off their bytes, so a hash
-collision cannot remove anything.
-
-Anchors with very many different surroundings are not gathered: the strings
-around them are counted by 128 bits of hash.
+Anchors that occur once settle all their strings.  For the rest the
+surroundings travel to a group for each anchor; there what follows each anchor,
+and what precedes it, are sorted by mergesort, two suffixes being compared by
+the first byte after their common extension, which a binary search over prefix
+polynomial hashes finds.  How far neighbours agree is then read off their
+bytes, so a hash collision cannot remove anything.
+
+Of equal texts (by SHA-256) one stands for all.  An anchor of very many places
+is thinned in parts first, equal surroundings being found by their bytes; if
+very many different ones are left, its strings are dealt into groups by the
+bytes next to the anchor, again and again, so that no group grows with the data.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import byte_sizes, slices, texts, tidy, whole_groups
+from spanloom.operators.components import durable
 
 SIZE, GRAM = 200, 80
-_BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
 _MAX_SLICE = 2 << 20
 
 
@@ -36,7 +38,7 @@ class PrefixHashes:
 
     _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, data: np.ndarray, base: int = _BASE[0]) -> None:
+    def __init__(self, data: np.ndarray, base: int = _BASE) -> None:
         power, self.inverse = self._powers(base, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self.sums[1:])
@@ -80,11 +82,11 @@ def anchors(data: np.ndarray, ends: np.ndarray, size: int = SIZE, gram: int = GR
     """Anchors of all strings of ``size`` bytes inside the documents that ``ends`` delimits.
 
     Returns arrays (document, anchor, first string's start, last string's
-    start, hash of the anchor, hash of the surroundings): the strings that
-    start between the two have this anchor; starts count from ``data``'s.
+    start, hash of the anchor): the strings that start between the two have
+    this anchor; starts count from ``data``'s.
     """
     if len(data) < size:
-        return tuple(np.empty(0, np.int64) for _ in range(4)) + tuple(np.empty(0, np.uint64) for _ in range(2))
+        return tuple(np.empty(0, np.int64) for _ in range(4)) + (np.empty(0, np.uint64),)
     hashes = PrefixHashes(data)
     at = np.arange(len(data) - gram + 1)
     grams = _mix(hashes.of(at, gram))
@@ -100,14 +102,11 @@ def anchors(data: np.ndarray, ends: np.ndarray, size: int = SIZE, gram: int = GR
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
-    p0, p1, a = start[first], start[last], anchor[first]
-    around = _mix(hashes.of(p0, p1 - p0 + size) ^ _mix(((a - p0) << 16 | (a - p1)).astype(np.uint64)))
-    return doc[first], a, p0, p1, grams[a], around
+    a = anchor[first]
+    return doc[first], a, start[first], start[last], grams[a]
 
 
 def _emit_anchors(size: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["ah", "ch", "k", "t", "at"]
-
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -119,22 +118,26 @@ def _emit_anchors(size: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]],
                 for cut in range(0, max(1, len(body[0]) - size + 1), _MAX_SLICE) if long else [0]:
                     part = [body[0][cut : cut + _MAX_SLICE + size - 1]] if long else body
                     ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
-                    doc, a, p0, p1, ah, ch = anchors(np.frombuffer(b"".join(part), np.uint8), ends, size, gram)
+                    doc, a, p0, p1, ah = anchors(np.frombuffer(b"".join(part), np.uint8), ends, size, gram)
                     begin = np.append(0, ends)[:-1][doc] - cut
-                    at = (a - begin) << 16 | (a - p0) << 8 | (a - p1)
-                    yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array((ch >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(key[doc]), pa.array(tag[doc]), pa.array(at)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array(key[doc]), pa.array(tag[doc]), pa.array(_pack(a - begin, a - p0, a - p1))], ["ah", "k", "t", "at"])
 
     return run
 
 
+def _pack(anchor: np.ndarray, far: np.ndarray, close: np.ndarray) -> np.ndarray:
+    """An anchor's place, and how far before it its first and its last string start."""
+    return anchor << 16 | far << 8 | close
+
+
 def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last start of an anchor's strings."""
     a = at >> 16
     return a - (at >> 8 & 255), a - (at & 255)
 
 
-def _contexts(size: int, hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The surroundings of each unsettled anchor; ``hot``: two hashes of each of its strings."""
+def _contexts(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The surroundings of each anchor of ``hits``; ``part``: which part of the anchor's places, -1 where they are few."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,24 +147,83 @@ def _contexts(size: int, hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 hits = batch.column(3)
                 counts = np.diff(hits.offsets.to_numpy())
                 flat = hits.flatten()
-                ah, at = flat.field("ah").to_numpy(), flat.field("at").to_numpy()
+                ah, at, parts = (flat.field(c).to_numpy() for c in ("ah", "at", "parts"))
                 row = np.repeat(np.arange(len(counts)), counts)
-                p0, p1 = _unpack(at)
                 if not len(row):
                     continue
+                p0, p1 = _unpack(at)
                 body = list(texts(batch.column(2)))
-                if not hot:
-                    parts = [body[r][a : b + size] for r, a, b in zip(row.tolist(), p0.tolist(), p1.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ah), pa.array(key[row]), pa.array(tag[row]), pa.array(at), pa.array(parts, pa.binary())], ["ah", "k", "t", "at", "body"])
-                    continue
-                base = np.cumsum([0, *map(len, body)])[:-1]
-                data = np.frombuffer(b"".join(body), np.uint8)
-                n = p1 - p0 + 1
-                each = np.repeat(np.arange(len(n)), n)
-                start = p0[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                where = base[row[each]] + start
-                pair = [_mix(PrefixHashes(data, b).of(where, size)).view(np.int64) for b in _BASE]
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(key[row[each]]), pa.array(tag[row[each]]), pa.array(start)], ["h1", "h2", "k", "t", "p"])
+                around = [body[r][a : b + size] for r, a, b in zip(row.tolist(), p0.tolist(), p1.tolist(), strict=True)]
+                dealt = (_own(key[row], tag[row], at) >> np.uint64(1)).astype(np.int64) % np.maximum(parts, 1)
+                yield _rows(ah, np.where(parts > 1, dealt, -1), parts, key[row], tag[row], at, around, np.zeros(len(row), bool))
+
+    return run
+
+
+def _own(key: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for each place."""
+    return _mix(key.view(np.uint64) * np.uint64(3) ^ _mix(tag.view(np.uint64) ^ _mix(at.view(np.uint64))))
+
+
+#: ``g``: group; ``at``: see ``_pack``; ``body``: the bytes from the first string's start to the last one's end; ``done``: its strings are known to occur again.
+_ROWS = "g long, part long, parts long, k long, t long, at long, body binary, done boolean"
+
+
+def _rows(g: np.ndarray, part: np.ndarray, parts: np.ndarray, key: np.ndarray, tag: np.ndarray, at: np.ndarray, bodies: list[bytes], done: np.ndarray) -> pa.RecordBatch:
+    arrays = [pa.array(x.astype(np.int64)) for x in (g, part, parts, key, tag, at)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(bodies, pa.binary()), pa.array(done)], [c.split()[0] for c in _ROWS.split(", ")])
+
+
+def _columns(table: pa.Table) -> tuple[list[np.ndarray], list[bytes], np.ndarray]:
+    numbers = [table.column(c).to_numpy() for c in ("g", "part", "parts", "k", "t", "at")]
+    return numbers, [b for chunk in table.column("body").chunks for b in texts(chunk)], table.column("done").to_numpy().astype(bool)
+
+
+@tidy
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows with equal surroundings one stays in its group, ``done``; the others are done and need no group."""
+    for table in whole_groups(batches, "cell", 4_000):
+        (g, part, parts, key, tag, at), bodies, done = _columns(table)
+        first = equal_rows(bodies, g, at)
+        mine = first == np.arange(len(first))
+        copied = (np.bincount(first, minlength=len(first)) > 1)[first]
+        alone = _own(key, tag, at).view(np.int64)
+        yield _rows(np.where(mine, g, alone), part, parts, key, tag, at, [b if m else b"" for b, m in zip(bodies, mine.tolist(), strict=True)], done | copied)
+
+
+def _divide(size: int, gram: int, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Deal the strings of a group into groups by further bytes.
+
+    At each level the rows of a group share, by hash, the bytes from ``left``
+    before their anchor to ``right`` after it.  A string reaches at least
+    ``half`` bytes of what is left of its length beyond that on one side: those
+    before or, if these are not in it, those after become part of its group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for table in (pa.Table.from_batches([b]) for b in batches if b.num_rows):
+            (g, part, parts, key, tag, at), bodies, done = _columns(table)
+            out: list[list] = [[] for _ in range(4)]
+            for i, (group, code, body) in enumerate(zip(g.tolist(), at.tolist(), bodies, strict=True)):
+                far, close = code >> 8 & 255, code & 255
+                left = right = 0  # what the row's group shares was cut out of the row in this order
+                for step in range(level):
+                    rest = size - gram - left - right
+                    if far >= close >= left + max(1, rest // 2):
+                        left += max(1, rest // 2)
+                    else:
+                        right += max(1, rest // 2)
+                half = max(1, (size - gram - left - right) // 2)
+                for low, high, begin in ((max(close, left + half), far, far - left - half), (close, min(far, left + half - 1), far + gram + right)):
+                    if low <= high:
+                        out[0].append(xxhash.xxh64_intdigest(body[begin : begin + half], (group * 2 + (begin < far)) & (1 << 64) - 1))
+                        out[1].append(i)
+                        out[2].append(code >> 16 << 16 | high << 8 | low)
+                        out[3].append(body[far - high : far - low + size])
+            rows = np.array(out[1], np.int64)
+            yield _rows(np.array(out[0], np.uint64).view(np.int64), part[rows], parts[rows], key[rows], tag[rows], np.array(out[2], np.int64), out[3], done[rows])
 
     return run
 
@@ -246,35 +308,44 @@ def sorted_rows(rows: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.nda
     return place, agree
 
 
-def repeated_starts(bodies: list[bytes], group: np.ndarray, at: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+def equal_rows(bodies: list[bytes], group: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row the position of one with the same group, reach and bytes: of all equal rows the same one."""
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    length = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    whole = PrefixHashes(data).of(np.cumsum(length) - length, length)
+    order = np.lexsort((whole, at & 0xFFFF, group))
+    a, b = order[1:], order[:-1]
+    new = np.append(True, (group[a] != group[b]) | (whole[a] != whole[b]) | (at[a] & 0xFFFF != at[b] & 0xFFFF))
+    first = np.empty(len(order), np.int64)
+    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    odd = [i for i in np.flatnonzero(first != np.arange(len(first))).tolist() if bodies[i] != bodies[first[i]]]
+    first[odd] = odd  # a hash collision
+    return first
+
+
+def repeated_starts(bodies: list[bytes], group: np.ndarray, at: np.ndarray, done: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Of the strings around each anchor, those that occur again in its group: (row, start in the document).
 
-    Equal surroundings settle each other.  Of the others, what follows the
-    anchor and (backwards) what precedes it are two suffixes, each sorted in
-    its group; two strings that reach ``d`` bytes before their anchors are equal
-    if those before agree over ``d`` bytes and those after over ``size - d``.
+    All strings of ``done`` rows do.  Equal surroundings settle each other.  Of
+    the different ones, what follows the anchor and (backwards) what precedes it
+    are two suffixes, each sorted in its group; two strings that reach ``d``
+    bytes before their anchors are equal if those before agree over ``d`` bytes
+    and those after over ``size - d``.
     """
     p0, p1 = _unpack(at)
     a = at >> 16
     far, close = a - p0, a - p1  # the strings reach between ``far`` and ``close`` bytes before the anchor
     data = np.frombuffer(b"".join(bodies), np.uint8)
-    length = p1 - p0 + size
+    length = np.fromiter(map(len, bodies), np.int64, len(bodies))
     base = np.cumsum(length) - length
-    whole = PrefixHashes(data).of(base, length)
-    order = np.lexsort((whole, far << 16 | close, group))
-    new = np.append(True, (group[order][1:] != group[order][:-1]) | (whole[order][1:] != whole[order][:-1]) | (at[order][1:] & 0xFFFF != at[order][:-1] & 0xFFFF))
-    first = order[np.flatnonzero(new)]
-    rep = np.empty(len(order), np.int64)
-    rep[order] = first[np.cumsum(new) - 1]
-    odd = [i for i in np.flatnonzero(rep != np.arange(len(rep))).tolist() if bodies[i] != bodies[rep[i]]]
-    if odd:  # a hash collision
-        rep[odd] = odd
-        first = np.append(first, odd)
+    rep = equal_rows(bodies, group, at)
     copies = np.bincount(rep, minlength=len(rep))
-    settled = np.flatnonzero(copies[rep] > 1)
+    known = done | (copies[rep] > 1)
+    settled = np.flatnonzero(known)
     n = (p1 - p0 + 1)[settled]
     rows = [np.repeat(settled, n)]
     starts = [p0[rows[0]] + np.arange(len(rows[0])) - np.repeat(np.cumsum(n) - n, n)]
+    first = np.flatnonzero((rep == np.arange(len(rep))) & (length > 0))
     first = first[np.argsort(group[first], kind="stable")]
     g = group[first]
     edge = np.append(True, g[1:] != g[:-1])
@@ -291,9 +362,8 @@ def repeated_starts(bodies: list[bytes], group: np.ndarray, at: np.ndarray, size
             key = np.cumsum(upto < size - d)[after[mine]] << 32 | np.cumsum(back < d)[before[mine]]
             by = np.argsort(key, kind="stable")
             equal = key[by][1:] == key[by][:-1]
-            hit = mine[by[np.append(equal, False) | np.append(False, equal)]]
-            hit = first[hit]
-            hit = hit[copies[hit] == 1]
+            hit = first[mine[by[np.append(equal, False) | np.append(False, equal)]]]
+            hit = hit[~known[hit]]
             rows.append(hit)
             starts.append(a[hit] - d)
     return np.concatenate(rows), np.concatenate(starts)
@@ -302,10 +372,9 @@ def repeated_starts(bodies: list[bytes], group: np.ndarray, at: np.ndarray, size
 def _resolve(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "ah", 4_000):
-            ah, key, tag, at = (table.column(c).to_numpy() for c in ("ah", "k", "t", "at"))
-            bodies = [b for chunk in table.column("body").chunks for b in texts(chunk)]
-            row, start = repeated_starts(bodies, ah, at, size)
+        for table in whole_groups(batches, "g", 4_000):
+            (g, _, _, key, tag, at), bodies, done = _columns(table)
+            row, start = repeated_starts(bodies, g, at, done, size)
             order = np.lexsort((start, row))
             row, start = row[order], start[order]
             if len(row):
@@ -336,11 +405,9 @@ def _cut(size: int, extra: int, whole: bool) -> Callable[[Iterator[pa.RecordBatc
         for big in batches:
             for batch in slices(big, byte_sizes(big.column(0)), 8 << 20):
                 kept, spans = [], []
-                settled, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                for body, one, two in zip(texts(batch.column(0)), settled, found, strict=True):
+                for body, copied, found in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     runs: list[list[int]] = []
-                    ranges = [(x >> 16) - (x >> 8 & 255) << 32 | (x >> 16) - (x & 255) for x in one or ()]
-                    pairs = sorted([(r >> 32, (r & 0xFFFFFFFF) + size) for r in ranges] + [(r["p0"], r["p1"] + size) for r in two or ()])
+                    pairs = [(0, len(body))] if copied and len(body) >= size else sorted((r["p0"], r["p1"] + size) for r in found or ())
                     for a, b in pairs:
                         if runs and a <= runs[-1][1]:
                             runs[-1][1] = max(runs[-1][1], b)
@@ -361,7 +428,33 @@ def _cut(size: int, extra: int, whole: bool) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size: int = SIZE, gram: int = GRAM, hot: int = 20_000, whole_characters: bool = False) -> DataFrame:
+def _repeated_anchors(found: DataFrame, crowd: int) -> tuple[DataFrame, bool]:
+    """The rows of ``found`` (``ah, k, t, at``) whose anchor occurs again, with ``parts`` (1, or how many the anchor's places are dealt into); whether any are."""
+    counts = durable(found.groupBy("ah").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    total, top = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    # at most 4096 anchors hold so many places each: they are broadcast, and their rows go over many tasks
+    hot = counts.where(F.col("n") > F.lit(max(crowd, total // 4096)))
+    spread = 64
+    salted = found.join(F.broadcast(hot.select("ah", F.lit(True).alias("hot"))), "ah", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("k", "t", "at"), F.lit(spread)).cast("int")).otherwise(0))
+    places = F.when(F.col("n") > F.lit(max(crowd, total // 4096)), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    parts = F.when(F.col("n") > crowd, F.ceil(F.col("n") / crowd)).otherwise(1).cast("long")
+    return salted.join(counts.select("ah", parts.alias("parts"), F.explode(places).alias("salt")), ["ah", "salt"]).select("k", "t", "ah", "at", "parts"), top > crowd
+
+
+def _thinned(around: DataFrame, size: int, gram: int, crowd: int) -> DataFrame:
+    """Rows of crowded anchors in groups of at most ``10 * crowd`` different surroundings."""
+    thin = lambda rows: durable(rows.withColumn("cell", F.xxhash64("g", "part")).repartition("cell").sortWithinPartitions("cell").mapInArrow(_thin, _ROWS))
+    rows, ready, level = thin(around.where(F.col("part") >= 0)), None, 0
+    while True:
+        large = rows.where(F.octet_length("body") > 0).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 10 * crowd).select("g")
+        if level > 9 or large.isEmpty():
+            return rows if ready is None else ready.unionByName(rows)
+        small = rows.join(large, "g", "left_anti").select(*rows.columns)
+        ready = small if ready is None else ready.unionByName(small)
+        rows, level = thin(rows.join(large, "g", "left_semi").select(*rows.columns).mapInArrow(_divide(size, gram, level), _ROWS)), level + 1
+
+
+def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size: int = SIZE, gram: int = GRAM, crowd: int = 2_000, whole_characters: bool = False) -> DataFrame:
     """For each row of ``docs`` (``doc_id``, ``text``): ``keep``, ``kept`` (binary), ``spans``.
 
     ``spans``: (start, length) of the maximal runs of bytes covered by strings
@@ -369,30 +462,26 @@ def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size
     other bytes.  All occurrences are removed.  A null or empty text keeps
     nothing and loses nothing; texts shorter than ``size`` stay; repeated rows
     are occurrences of each other; an empty table gives no rows.  Columns
-    beside ``keep`` are not read.  An anchor with over ``hot`` unsettled places
-    is counted by string instead of gathered.  ``whole_characters``: a character
-    that a run would cut in two stays whole.
+    beside ``keep`` are not read.  An anchor of over ``crowd`` places is dealt
+    into parts of about so many.  ``whole_characters``: a character that a run
+    would cut in two stays whole.
     """
     if size - gram > 255:
         raise ValueError("an anchor must lie within 255 bytes of its strings' starts")
     doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tagged = docs.select(F.coalesce(doc, F.lit(-1)).alias("k"), F.shiftright(F.xxhash64(doc.isNull(), text), 32).cast("int").alias("t"), text.alias("text"), F.struct(*keep).alias("own") if keep else F.lit(None).alias("own"))
-    found = tagged.select("k", "t", "text").mapInArrow(_emit_anchors(size, gram), "ah long, ch int, k long, t int, at long")
-    many = found.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("c0"), F.max("ch").alias("c1")).where(F.col("n") > 1)
-    kind = F.when(F.col("c0") == F.col("c1"), 0).when(F.col("n") <= hot, 1).otherwise(2)
-    hits = found.join(many, "ah").select("k", "t", "ah", "at", kind.alias("kind"))
-    of_kind = lambda n, value: F.collect_set(F.when(F.col("kind") == n, value))
-    place = F.struct("ah", "at")
-    lists = hits.groupBy("k", "t").agg(of_kind(0, F.col("at")).alias("settled"), of_kind(1, place).alias("open"), of_kind(2, place).alias("wide"))
-    both = tagged.join(lists, ["k", "t"], "left")
-    part = lambda name: both.where(F.size(name) > 0).select("k", "t", "text", name, "own")  # noqa: E731  the same columns each time, so that the texts travel once
-    groups = part("open").mapInArrow(_contexts(size, False), "ah long, k long, t int, at long, body binary").repartition("ah").sortWithinPartitions("ah")
-    ranges = groups.mapInArrow(_resolve(size), "k long, t int, p0 long, p1 long")
-    strings = part("wide").mapInArrow(_contexts(size, True), "h1 long, h2 long, k long, t int, p long")
-    again = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    counted = strings.join(again, ["h1", "h2"]).select("k", "t", F.col("p").alias("p0"), F.col("p").alias("p1"))
-    more = ranges.unionByName(counted).groupBy("k", "t").agg(F.collect_set(F.struct("p0", "p1")).alias("found"))
-    named = both.join(more, ["k", "t"], "left").select(F.col("text").alias("__text"), F.col("settled").alias("__settled"), F.col("found").alias("__found"), *(F.col("own")[c].alias(c) for c in keep))
+    tagged = docs.select(F.coalesce(doc, F.lit(-1)).alias("k"), F.xxhash64(doc.isNull(), text).alias("t"), text.alias("text"), F.struct(*keep).alias("own") if keep else F.lit(None).alias("own"))
+    equal = tagged.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min(F.struct("k", "t")).alias("one"), (F.count("*") > 1).alias("copied"))
+    stands = tagged.join(equal.select("one.*", "copied"), ["k", "t"], "left")  # null in ``copied``: another row stands for this one
+    found = stands.where(F.col("copied").isNotNull()).select("k", "t", "text").mapInArrow(_emit_anchors(size, gram), "ah long, k long, t long, at long")
+    hits, crowded = _repeated_anchors(found, crowd)
+    lists = hits.groupBy("k", "t").agg(F.collect_set(F.struct("ah", "at", "parts")).alias("hits"))
+    around = stands.join(lists, ["k", "t"]).select("k", "t", "text", "hits").mapInArrow(_contexts(size), _ROWS)
+    if crowded:
+        around = around.where(F.col("part") < 0).unionByName(_thinned(around, size, gram, crowd))
+    groups = around.repartition("g").sortWithinPartitions("g")
+    ranges = groups.mapInArrow(_resolve(size), "k long, t long, p0 long, p1 long")
+    more = ranges.groupBy("k", "t").agg(F.collect_set(F.struct("p0", "p1")).alias("found"))
+    named = stands.join(more, ["k", "t"], "left").select(F.col("text").alias("__text"), F.coalesce("copied", F.lit(True)).alias("__copied"), F.col("found").alias("__found"), *(F.col("own")[c].alias(c) for c in keep))
     kinds = {f.name: f.dataType.simpleString() for f in named.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["kept binary", "spans array<struct<start:bigint,length:bigint>>"])
     return named.mapInArrow(_cut(size, len(keep), whole_characters), schema)

@@ -19,10 +19,10 @@ def cut(spark, texts, **options):
     return [got[i] for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(0, 2000), (1, 2), (2, 2000)])
-def test_repeats_equal_brute_force(spark, seed, hot):
+@pytest.mark.parametrize(("seed", "crowd"), [(0, 2000), (1, 2), (2, 1)])
+def test_repeats_equal_brute_force(spark, seed, crowd):
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 7)))
+    word = lambda: "".join(rng.choice("abcdéè🙂 ") for _ in range(rng.randint(1, 7)))
     prose = lambda n: " ".join(word() for _ in range(n))
     shared = [prose(rng.randint(15, 120)) for _ in range(6)]
     texts = [None, "", "short", "a" * 1500, "ab" * 400, "a" * 199, "xyz" * 100, shared[0], shared[0]]
@@ -30,7 +30,28 @@ def test_repeats_equal_brute_force(spark, seed, hot):
         texts.append(" ".join(rng.choice(shared) if rng.random() < 0.4 else prose(rng.randint(1, 60)) for _ in range(rng.randint(1, 5))))
     base = prose(200)
     texts += [base, base, base[:300] + "Q" + base[300:], base[:150], base[100:320]]
-    assert cut(spark, texts, hot=hot) == brute.repeats(texts)
+    # one passage in many surroundings
+    texts += [prose(3 + k % 5) + shared[1][:150] + prose(3 + k % 7) + shared[2][: 120 + k] for k in range(50)]
+    assert cut(spark, texts, crowd=crowd) == brute.repeats(texts)
+
+
+def test_repeats_do_not_rest_on_hashes():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab") for _ in range(400)) for _ in range(6)]
+    texts += [texts[0][:220] + texts[1][100:330] + texts[2], texts[3][5:206]]
+    rows = []  # all places of all texts in one group, as if every hash collided
+    for d, text in enumerate(texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, a, p0, p1, _ = repeats.anchors(data, np.array([len(data)]))
+        rows += [(d, at, text.encode()[x : y + 200]) for at, x, y in zip(repeats._pack(a, a - p0, a - p1).tolist(), p0.tolist(), p1.tolist(), strict=True)]
+    at = np.array([r[1] for r in rows])
+    row, start = repeats.repeated_starts([r[2] for r in rows], np.zeros(len(rows), np.int64), at, np.zeros(len(rows), bool))
+    got = {(rows[r][0], s) for r, s in zip(row.tolist(), start.tolist(), strict=True)}
+    seen = {}
+    for d, text in enumerate(texts):
+        for i in range(len(text) - 199):
+            seen.setdefault(text[i : i + 200], []).append((d, i))
+    assert got == {p for places in seen.values() if len(places) > 1 for p in places}
 
 
 def test_repeats_in_a_long_document(spark, monkeypatch):
@@ -42,7 +63,7 @@ def test_repeats_in_a_long_document(spark, monkeypatch):
     import pyarrow as pa
 
     def emitted():
-        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2], pa.int32()), pa.array([body])], ["k", "t", "text"])
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([body])], ["k", "t", "text"])
         return [r for b in repeats._emit_anchors(200, 80)(iter([batch])) for r in b.to_pylist()]
 
     parts = emitted()
