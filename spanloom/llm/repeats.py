@@ -347,9 +347,9 @@ def repeated_starts(bodies: list[bytes], group: np.ndarray, at: np.ndarray, done
     starts = [p0[rows[0]] + np.arange(len(rows[0])) - np.repeat(np.cumsum(n) - n, n)]
     first = np.flatnonzero((rep == np.arange(len(rep))) & (length > 0))
     first = first[np.argsort(group[first], kind="stable")]
-    g = group[first]
-    edge = np.append(True, g[1:] != g[:-1])
-    first = first[~(edge & np.append(edge[1:], True))]
+    if len(first):
+        edge = np.append(True, group[first[1:]] != group[first[:-1]])
+        first = first[~(edge & np.append(edge[1:], True))]
     if len(first):
         klass, reach, least = group[first], far[first], close[first]
         anchor = base[first] + reach
