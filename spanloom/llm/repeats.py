@@ -428,9 +428,13 @@ def _cut(size: int, extra: int, whole: bool) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def _repeated_anchors(found: DataFrame, crowd: int) -> tuple[DataFrame, bool]:
-    """The rows of ``found`` (``ah, k, t, at``) whose anchor occurs again, with ``parts`` (1, or how many the anchor's places are dealt into); whether any are."""
-    counts = durable(found.groupBy("ah").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+def _repeated_anchors(found: DataFrame, crowd: int) -> tuple[DataFrame, int]:
+    """The rows of ``found`` (``ah, k, t, at``) whose anchor occurs again other than in equal texts, and the places of the most frequent one.
+
+    ``parts``: 1, or how many parts the anchor's places are dealt into.
+    """
+    ends = [f("t").alias(f"t{k}") for k, f in enumerate((F.min, F.max))] + [f("at").alias(f"at{k}") for k, f in enumerate((F.min, F.max))]
+    counts = durable(found.groupBy("ah").agg(F.count("*").alias("n"), *ends).where((F.col("t0") != F.col("t1")) | (F.col("at0") != F.col("at1"))).select("ah", "n"))
     total, top = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     # at most 4096 anchors hold so many places each: they are broadcast, and their rows go over many tasks
     hot = counts.where(F.col("n") > F.lit(max(crowd, total // 4096)))
@@ -438,23 +442,27 @@ def _repeated_anchors(found: DataFrame, crowd: int) -> tuple[DataFrame, bool]:
     salted = found.join(F.broadcast(hot.select("ah", F.lit(True).alias("hot"))), "ah", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("k", "t", "at"), F.lit(spread)).cast("int")).otherwise(0))
     places = F.when(F.col("n") > F.lit(max(crowd, total // 4096)), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
     parts = F.when(F.col("n") > crowd, F.ceil(F.col("n") / crowd)).otherwise(1).cast("long")
-    return salted.join(counts.select("ah", parts.alias("parts"), F.explode(places).alias("salt")), ["ah", "salt"]).select("k", "t", "ah", "at", "parts"), top > crowd
+    return salted.join(counts.select("ah", parts.alias("parts"), F.explode(places).alias("salt")), ["ah", "salt"]).select("k", "t", "ah", "at", "parts"), top
+
+
+def _thinned(around: DataFrame) -> DataFrame:
+    cells = around.withColumn("cell", F.xxhash64("g", "part")).repartition("cell").sortWithinPartitions("cell")
+    return cells.mapInArrow(_thin, _ROWS)
 
 
-def _thinned(around: DataFrame, size: int, gram: int, crowd: int) -> DataFrame:
-    """Rows of crowded anchors in groups of at most ``10 * crowd`` different surroundings."""
-    thin = lambda rows: durable(rows.withColumn("cell", F.xxhash64("g", "part")).repartition("cell").sortWithinPartitions("cell").mapInArrow(_thin, _ROWS))
-    rows, ready, level = thin(around.where(F.col("part") >= 0)), None, 0
+def _divided(around: DataFrame, size: int, gram: int, largest: int) -> DataFrame:
+    """Thinned rows in groups of at most ``largest`` different surroundings."""
+    rows, ready, level = durable(_thinned(around)), None, 0
     while True:
-        large = rows.where(F.octet_length("body") > 0).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 10 * crowd).select("g")
+        large = rows.where(F.octet_length("body") > 0).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > largest).select("g")
         if level > 9 or large.isEmpty():
             return rows if ready is None else ready.unionByName(rows)
         small = rows.join(large, "g", "left_anti").select(*rows.columns)
         ready = small if ready is None else ready.unionByName(small)
-        rows, level = thin(rows.join(large, "g", "left_semi").select(*rows.columns).mapInArrow(_divide(size, gram, level), _ROWS)), level + 1
+        rows, level = durable(_thinned(rows.join(large, "g", "left_semi").select(*rows.columns).mapInArrow(_divide(size, gram, level), _ROWS))), level + 1
 
 
-def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size: int = SIZE, gram: int = GRAM, crowd: int = 2_000, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size: int = SIZE, gram: int = GRAM, crowd: int = 2_000, largest: int = 50_000, whole_characters: bool = False) -> DataFrame:
     """For each row of ``docs`` (``doc_id``, ``text``): ``keep``, ``kept`` (binary), ``spans``.
 
     ``spans``: (start, length) of the maximal runs of bytes covered by strings
@@ -463,21 +471,23 @@ def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size
     nothing and loses nothing; texts shorter than ``size`` stay; repeated rows
     are occurrences of each other; an empty table gives no rows.  Columns
     beside ``keep`` are not read.  An anchor of over ``crowd`` places is dealt
-    into parts of about so many.  ``whole_characters``: a character that a run
-    would cut in two stays whole.
+    into parts of about so many; if one has over ``largest`` places, groups are
+    kept to as many different surroundings.  ``whole_characters``: a character
+    that a run would cut in two stays whole.
     """
     if size - gram > 255:
         raise ValueError("an anchor must lie within 255 bytes of its strings' starts")
     doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     tagged = docs.select(F.coalesce(doc, F.lit(-1)).alias("k"), F.xxhash64(doc.isNull(), text).alias("t"), text.alias("text"), F.struct(*keep).alias("own") if keep else F.lit(None).alias("own"))
     equal = tagged.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min(F.struct("k", "t")).alias("one"), (F.count("*") > 1).alias("copied"))
+    found = tagged.select("k", "t", "text").mapInArrow(_emit_anchors(size, gram), "ah long, k long, t long, at long")
+    hits, top = _repeated_anchors(found, crowd)
+    lists = hits.groupBy("k", "t").agg(*(F.collect_set(F.when(is_few if name == "few" else ~is_few, F.struct("ah", "at", "parts"))).alias(name) for is_few in [F.col("parts") == 1] for name in ("few", "many")))
     stands = tagged.join(equal.select("one.*", "copied"), ["k", "t"], "left")  # null in ``copied``: another row stands for this one
-    found = stands.where(F.col("copied").isNotNull()).select("k", "t", "text").mapInArrow(_emit_anchors(size, gram), "ah long, k long, t long, at long")
-    hits, crowded = _repeated_anchors(found, crowd)
-    lists = hits.groupBy("k", "t").agg(F.collect_set(F.struct("ah", "at", "parts")).alias("hits"))
-    around = stands.join(lists, ["k", "t"]).select("k", "t", "text", "hits").mapInArrow(_contexts(size), _ROWS)
-    if crowded:
-        around = around.where(F.col("part") < 0).unionByName(_thinned(around, size, gram, crowd))
+    open_ = lambda name: stands.join(lists, ["k", "t"], "left").where(F.col("copied").isNotNull() & (F.size(name) > 0)).select("k", "t", "text", name, "own").mapInArrow(_contexts(size), _ROWS)  # noqa: E731  all columns of ``tagged`` each time, so that the texts travel once
+    around = open_("few")
+    if top > crowd:
+        around = around.unionByName(_thinned(open_("many")) if top <= largest else _divided(open_("many"), size, gram, largest))
     groups = around.repartition("g").sortWithinPartitions("g")
     ranges = groups.mapInArrow(_resolve(size), "k long, t long, p0 long, p1 long")
     more = ranges.groupBy("k", "t").agg(F.collect_set(F.struct("p0", "p1")).alias("found"))
