@@ -10,10 +10,11 @@ the first byte after their common extension, which a binary search over prefix
 polynomial hashes finds.  How far neighbours agree is then read off their
 bytes, so a hash collision cannot remove anything.
 
-Of equal texts (by SHA-256) one stands for all.  An anchor of very many places
-is thinned in parts first, equal surroundings being found by their bytes; if
-very many different ones are left, its strings are dealt into groups by the
-bytes next to the anchor, again and again, so that no group grows with the data.
+Of equal texts (by SHA-256) one stands for all, and of equal surroundings of an
+anchor in one text one travels.  An anchor of very many places is thinned in
+parts first, equal surroundings being found by their bytes; those of the most
+frequent anchors are then dealt into groups by further bytes next to the anchor,
+so that a group's strings have almost all of their bytes in common.
 """
 
 from __future__ import annotations
@@ -154,76 +155,83 @@ def _contexts(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 p0, p1 = _unpack(at)
                 body = list(texts(batch.column(2)))
                 around = [body[r][a : b + size] for r, a, b in zip(row.tolist(), p0.tolist(), p1.tolist(), strict=True)]
-                dealt = (_own(key[row], tag[row], at) >> np.uint64(1)).astype(np.int64) % np.maximum(parts, 1)
-                yield _rows(ah, np.where(parts > 1, dealt, -1), parts, key[row], tag[row], at, around, np.zeros(len(row), bool))
+                _, own = np.unique(np.stack([row, ah], axis=1), axis=0, return_inverse=True)
+                first = equal_rows(around, own.ravel(), at)
+                places: dict[int, list[int]] = {}
+                for i, f in enumerate(first.tolist()):
+                    places.setdefault(f, []).append(int(at[i]))
+                one = np.array(list(places))
+                dealt = (_mix(_mix(key[row[one]].view(np.uint64)) ^ tag[row[one]].view(np.uint64)) >> np.uint64(1)).astype(np.int64) % np.maximum(parts[one], 1)
+                yield _rows(ah[one], np.where(parts[one] > 1, dealt, -1), parts[one], key[row[one]], tag[row[one]], list(places.values()), [around[i] for i in places], np.array([len(x) > 1 for x in places.values()]))
 
     return run
 
 
-def _own(key: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A number for each place."""
-    return _mix(key.view(np.uint64) * np.uint64(3) ^ _mix(tag.view(np.uint64) ^ _mix(at.view(np.uint64))))
+#: ``g``: group; ``at``: places of the text with these surroundings, see ``_pack``; ``body``: the bytes from the first string's start to the last one's end; ``done``: its strings are known to occur again.
+_ROWS = "g long, part long, parts long, k long, t long, at array<long>, body binary, done boolean"
 
 
-#: ``g``: group; ``at``: see ``_pack``; ``body``: the bytes from the first string's start to the last one's end; ``done``: its strings are known to occur again.
-_ROWS = "g long, part long, parts long, k long, t long, at long, body binary, done boolean"
+def _rows(g: np.ndarray, part: np.ndarray, parts: np.ndarray, key: np.ndarray, tag: np.ndarray, at: list[list[int]], bodies: list[bytes], done: np.ndarray) -> pa.RecordBatch:
+    arrays = [pa.array(x.astype(np.int64)) for x in (g, part, parts, key, tag)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(at, pa.list_(pa.int64())), pa.array(bodies, pa.binary()), pa.array(done.astype(bool))], [c.split()[0] for c in _ROWS.split(", ")])
 
 
-def _rows(g: np.ndarray, part: np.ndarray, parts: np.ndarray, key: np.ndarray, tag: np.ndarray, at: np.ndarray, bodies: list[bytes], done: np.ndarray) -> pa.RecordBatch:
-    arrays = [pa.array(x.astype(np.int64)) for x in (g, part, parts, key, tag, at)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(bodies, pa.binary()), pa.array(done)], [c.split()[0] for c in _ROWS.split(", ")])
+def _columns(table: pa.Table) -> tuple[list[np.ndarray], list[list[int]], list[bytes], np.ndarray]:
+    numbers = [table.column(c).to_numpy() for c in ("g", "part", "parts", "k", "t")]
+    return numbers, table.column("at").to_pylist(), [b for chunk in table.column("body").chunks for b in texts(chunk)], table.column("done").to_numpy().astype(bool)
 
 
-def _columns(table: pa.Table) -> tuple[list[np.ndarray], list[bytes], np.ndarray]:
-    numbers = [table.column(c).to_numpy() for c in ("g", "part", "parts", "k", "t", "at")]
-    return numbers, [b for chunk in table.column("body").chunks for b in texts(chunk)], table.column("done").to_numpy().astype(bool)
+def _thin(crowd: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows with equal surroundings one stays in its group, ``done``; the others are done and need no group."""
 
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "cell", 4_000):
+            (g, part, parts, key, tag), at, bodies, done = _columns(table)
+            first = equal_rows(bodies, g, np.array([x[0] for x in at]))
+            mine = first == np.arange(len(first))
+            copied = (np.bincount(first, minlength=len(first)) > 1)[first]
+            alone = _mix(_mix(key.view(np.uint64)) ^ tag.view(np.uint64) ^ g.view(np.uint64)).view(np.int64)
+            yield _rows(np.where(mine, g, alone), part // crowd, parts, key, tag, at, [b if m else b"" for b, m in zip(bodies, mine.tolist(), strict=True)], done | copied)
 
-@tidy
-def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows with equal surroundings one stays in its group, ``done``; the others are done and need no group."""
-    for table in whole_groups(batches, "cell", 4_000):
-        (g, part, parts, key, tag, at), bodies, done = _columns(table)
-        first = equal_rows(bodies, g, at)
-        mine = first == np.arange(len(first))
-        copied = (np.bincount(first, minlength=len(first)) > 1)[first]
-        alone = _own(key, tag, at).view(np.int64)
-        yield _rows(np.where(mine, g, alone), part, parts, key, tag, at, [b if m else b"" for b, m in zip(bodies, mine.tolist(), strict=True)], done | copied)
-
-
-def _divide(size: int, gram: int, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Deal the strings of a group into groups by further bytes.
-
-    At each level the rows of a group share, by hash, the bytes from ``left``
-    before their anchor to ``right`` after it.  A string reaches at least
-    ``half`` bytes of what is left of its length beyond that on one side: those
-    before or, if these are not in it, those after become part of its group.
+    return run
+
+
+def _divide(size: int, gram: int, above: int, levels: int = 3) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Deal the strings of anchors with over ``above`` parts into groups by further bytes.
+
+    The rows of a group share, by hash, the bytes from ``left`` before their
+    anchor to ``right`` after it.  A string reaches at least half of what is
+    left of its length beyond that on one side: those before or, if these are
+    not in it, those after become part of its group; so at each level.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def divided(group: int, far: int, close: int, body: bytes, left: int, right: int, level: int) -> Iterator[tuple[int, int, int, bytes]]:
         import xxhash
 
+        half = (size - gram - left - right) // 2
+        if level == levels or half < 1:
+            yield group, far, close, body
+            return
+        for low, high, begin, side in ((max(close, left + half), far, far - left - half, 1), (close, min(far, left + half - 1), far + gram + right, 0)):
+            if low <= high:
+                deeper = xxhash.xxh64_intdigest(body[begin : begin + half], (group * 2 + side) & (1 << 64) - 1)
+                yield from divided(deeper, high, low, body[far - high : far - low + size], left + side * half, right + (1 - side) * half, level + 1)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in (pa.Table.from_batches([b]) for b in batches if b.num_rows):
-            (g, part, parts, key, tag, at), bodies, done = _columns(table)
-            out: list[list] = [[] for _ in range(4)]
-            for i, (group, code, body) in enumerate(zip(g.tolist(), at.tolist(), bodies, strict=True)):
-                far, close = code >> 8 & 255, code & 255
-                left = right = 0  # what the row's group shares was cut out of the row in this order
-                for step in range(level):
-                    rest = size - gram - left - right
-                    if far >= close >= left + max(1, rest // 2):
-                        left += max(1, rest // 2)
-                    else:
-                        right += max(1, rest // 2)
-                half = max(1, (size - gram - left - right) // 2)
-                for low, high, begin in ((max(close, left + half), far, far - left - half), (close, min(far, left + half - 1), far + gram + right)):
-                    if low <= high:
-                        out[0].append(xxhash.xxh64_intdigest(body[begin : begin + half], (group * 2 + (begin < far)) & (1 << 64) - 1))
-                        out[1].append(i)
-                        out[2].append(code >> 16 << 16 | high << 8 | low)
-                        out[3].append(body[far - high : far - low + size])
-            rows = np.array(out[1], np.int64)
-            yield _rows(np.array(out[0], np.uint64).view(np.int64), part[rows], parts[rows], key[rows], tag[rows], np.array(out[2], np.int64), out[3], done[rows])
+            (g, part, parts, key, tag), at, bodies, done = _columns(table)
+            rows, groups, places, pieces = [], [], [], []
+            for i, body in enumerate(bodies):
+                code = at[i][0]
+                split = divided(int(g[i]), code >> 8 & 255, code & 255, body, 0, 0, 0) if body and parts[i] > above else [(int(g[i]) & (1 << 64) - 1, code >> 8 & 255, code & 255, body)]
+                for group, far, close, piece in split:
+                    rows.append(i)
+                    groups.append(group & (1 << 64) - 1)
+                    places.append([x >> 16 << 16 | far << 8 | close for x in at[i]])
+                    pieces.append(piece)
+            yield _rows(np.array(groups, np.uint64).view(np.int64), part[rows], parts[rows], key[rows], tag[rows], places, pieces, done[rows])
 
     return run
 
@@ -373,7 +381,8 @@ def _resolve(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "g", 4_000):
-            (g, _, _, key, tag, at), bodies, done = _columns(table)
+            (g, _, _, key, tag), places, bodies, done = _columns(table)
+            at = np.array([x[0] for x in places])
             row, start = repeated_starts(bodies, g, at, done, size)
             order = np.lexsort((start, row))
             row, start = row[order], start[order]
@@ -381,7 +390,11 @@ def _resolve(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 new = np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(row)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(key[row[first]]), pa.array(tag[row[first]]), pa.array(start[first]), pa.array(start[last])], ["k", "t", "p0", "p1"])
+                n = np.array([len(x) for x in places])[row[first]]
+                each = np.repeat(np.arange(len(first)), n)  # all places of a row have the same strings
+                shift = np.array([x - places[r][0] >> 16 for r in row[first].tolist() for x in places[r]])
+                r = row[first][each]
+                yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(tag[r]), pa.array(start[first][each] + shift), pa.array(start[last][each] + shift)], ["k", "t", "p0", "p1"])
 
     return run
 
@@ -445,21 +458,12 @@ def _repeated_anchors(found: DataFrame, crowd: int) -> tuple[DataFrame, int]:
     return salted.join(counts.select("ah", parts.alias("parts"), F.explode(places).alias("salt")), ["ah", "salt"]).select("k", "t", "ah", "at", "parts"), top
 
 
-def _thinned(around: DataFrame) -> DataFrame:
-    cells = around.withColumn("cell", F.xxhash64("g", "part")).repartition("cell").sortWithinPartitions("cell")
-    return cells.mapInArrow(_thin, _ROWS)
-
-
-def _divided(around: DataFrame, size: int, gram: int, largest: int) -> DataFrame:
-    """Thinned rows in groups of at most ``largest`` different surroundings."""
-    rows, ready, level = durable(_thinned(around)), None, 0
-    while True:
-        large = rows.where(F.octet_length("body") > 0).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > largest).select("g")
-        if level > 9 or large.isEmpty():
-            return rows if ready is None else ready.unionByName(rows)
-        small = rows.join(large, "g", "left_anti").select(*rows.columns)
-        ready = small if ready is None else ready.unionByName(small)
-        rows, level = durable(_thinned(rows.join(large, "g", "left_semi").select(*rows.columns).mapInArrow(_divide(size, gram, level), _ROWS))), level + 1
+def _thinned(around: DataFrame, size: int, gram: int, crowd: int, largest: int, top: int) -> DataFrame:
+    """Rows of crowded anchors with few of equal surroundings, those of anchors with over ``largest`` places divided."""
+    while top > crowd:
+        around = around.withColumn("cell", F.xxhash64("g", "part")).repartition("cell").sortWithinPartitions("cell").mapInArrow(_thin(crowd), _ROWS)
+        top //= crowd
+    return around.mapInArrow(_divide(size, gram, largest // crowd), _ROWS)
 
 
 def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size: int = SIZE, gram: int = GRAM, crowd: int = 2_000, largest: int = 50_000, whole_characters: bool = False) -> DataFrame:
@@ -471,9 +475,8 @@ def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size
     nothing and loses nothing; texts shorter than ``size`` stay; repeated rows
     are occurrences of each other; an empty table gives no rows.  Columns
     beside ``keep`` are not read.  An anchor of over ``crowd`` places is dealt
-    into parts of about so many; if one has over ``largest`` places, groups are
-    kept to as many different surroundings.  ``whole_characters``: a character
-    that a run would cut in two stays whole.
+    into parts of about so many, and one of over ``largest`` places is divided.
+    ``whole_characters``: a character that a run would cut in two stays whole.
     """
     if size - gram > 255:
         raise ValueError("an anchor must lie within 255 bytes of its strings' starts")
@@ -487,7 +490,7 @@ def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size
     open_ = lambda name: stands.join(lists, ["k", "t"], "left").where(F.col("copied").isNotNull() & (F.size(name) > 0)).select("k", "t", "text", name, "own").mapInArrow(_contexts(size), _ROWS)  # noqa: E731  all columns of ``tagged`` each time, so that the texts travel once
     around = open_("few")
     if top > crowd:
-        around = around.unionByName(_thinned(open_("many")) if top <= largest else _divided(open_("many"), size, gram, largest))
+        around = around.unionByName(_thinned(open_("many"), size, gram, crowd, largest, top))
     groups = around.repartition("g").sortWithinPartitions("g")
     ranges = groups.mapInArrow(_resolve(size), "k long, t long, p0 long, p1 long")
     more = ranges.groupBy("k", "t").agg(F.collect_set(F.struct("p0", "p1")).alias("found"))
