@@ -31,7 +31,7 @@ from spanloom.operators.components import durable
 
 SIZE, GRAM = 200, 80
 _BASE = 0x9E3779B97F4A7C15
-_MAX_SLICE = 2 << 20
+_MAX_SLICE = 1 << 20
 
 
 class PrefixHashes:
