@@ -416,7 +416,7 @@ def _cut(size: int, extra: int, whole: bool) -> Callable[[Iterator[pa.RecordBatc
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in slices(big, byte_sizes(big.column(0)), 8 << 20):
+            for batch in slices(big, byte_sizes(big.column(0)), 4 << 20):
                 kept, spans = [], []
                 for body, copied, found in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     runs: list[list[int]] = []
@@ -460,10 +460,12 @@ def _repeated_anchors(found: DataFrame, crowd: int) -> tuple[DataFrame, int]:
 
 def _thinned(around: DataFrame, size: int, gram: int, crowd: int, largest: int, top: int) -> DataFrame:
     """Rows of crowded anchors with few of equal surroundings, those of anchors with over ``largest`` places divided."""
+    thin, divide = _thin(crowd), _divide(size, gram, largest // crowd)
     while top > crowd:
-        around = around.withColumn("cell", F.xxhash64("g", "part")).repartition("cell").sortWithinPartitions("cell").mapInArrow(_thin(crowd), _ROWS)
         top //= crowd
-    return around.mapInArrow(_divide(size, gram, largest // crowd), _ROWS)
+        step = thin if top > crowd else lambda batches: divide(thin(batches))  # in one worker
+        around = around.withColumn("cell", F.xxhash64("g", "part")).repartition("cell").sortWithinPartitions("cell").mapInArrow(step, _ROWS)
+    return around
 
 
 def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), size: int = SIZE, gram: int = GRAM, crowd: int = 2_000, largest: int = 50_000, whole_characters: bool = False) -> DataFrame:
