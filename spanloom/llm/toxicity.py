@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import alnum_words, give_back, texts, tidy
+from spanloom.operators.components import durable
 
 #: Insults in several languages.
 INSULTS = frozenset(
@@ -76,7 +77,7 @@ def counter(patterns: list[str]) -> Callable[[bytes], np.ndarray]:
     known: dict[bytes, tuple[int, ...]] = {}
 
     def count(text: bytes) -> np.ndarray:
-        out = np.zeros(len(patterns), np.uint16)
+        out = np.zeros(len(patterns), np.int64)
         for w in set(alnum_words(text)):
             if (got := known.get(w)) is None:
                 if len(known) > 200_000:
@@ -153,7 +154,7 @@ def _votes(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(patterns)
         for batch in batches:
-            rows = [np.minimum(count(t), 255).astype(np.uint8).tobytes() for t in texts(batch.column(0))]
+            rows = [count(t).astype("<i4").tobytes() for t in texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["votes", "label"])
 
     return run
@@ -164,12 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = 16_000, voters: int
 
     Voters: the insult lexicon, and the ``voters`` patterns that go best with
     the label, of those on ``support`` toxic rows or more that are more often
-    toxic than not.  A document with several labels takes the largest.  Without
-    a toxic and a clean row the lexicon alone decides.
+    toxic than not.  A document with several labels takes the largest; of the
+    texts of a repeated id one is taken (the smallest by a hash).  Without a
+    toxic and a clean row the lexicon alone decides.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & is_training(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label")  # at most ``most`` pairs of numbers are broadcast
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``most`` pairs of numbers are broadcast
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("row"))
+    rows = durable(one.select("row.text", "row.label"))  # read three times
     counted = rows.mapInArrow(_count, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not (size.get(0) and size.get(1)):
@@ -180,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = 16_000, voters: int
     good = counted.where((F.col("toxic") >= support) & (F.col("toxic") > F.col("clean")) & (F.col("pattern") != LEXICON))
     patterns = [LEXICON, *(r["pattern"] for r in good.orderBy(gain.desc(), "pattern").limit(voters).collect())]
     table = rows.mapInArrow(_votes(patterns), "votes binary, label int").toArrow()
-    counts = np.frombuffer(b"".join(v.as_py() for v in table.column("votes")), np.uint8).reshape(-1, len(patterns))
+    counts = np.frombuffer(b"".join(v.as_py() for v in table.column("votes")), "<i4").reshape(-1, len(patterns))
     given = table.column("label").to_numpy().astype(np.float64)
     target = LabelModel().fit(counts > 0, given)
     model = Model(patterns, fit_linear(np.log1p(counts.astype(np.float64)), target))

@@ -278,6 +278,31 @@ def test_toxicity_finds_planted_words(spark):
     assert toxicity.score(spark.createDataFrame([(1, "you idiot"), (2, "fine")], "doc_id long, text string"), bare).where("__score >= 0.7").count() == 1
 
 
+def test_toxicity_counts_all_words_and_bounds_rows(spark):
+    words = " ".join(f"zorb{k:x}" for k in range(70_000)).encode()
+    assert toxicity.counter(["zorb*", "=zorb1"])(words).tolist() == [70_000, 1]
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(k, "zorb zorba" if k % 3 else "fine") for k in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(1, 60)] * 2, "doc_id long, toxic int")
+    seen = []
+    plain = toxicity.LabelModel.fit
+    toxicity.LabelModel.fit = lambda self, votes, given, **kw: (seen.append(votes.shape[0]), plain(self, votes, given, **kw))[1]
+    try:
+        toxicity.train(docs, labels, most=30, support=1)
+    finally:
+        toxicity.LabelModel.fit = plain
+    assert seen and seen[0] <= 30
+
+
+def test_toxicity_query_columns(spark):
+    import zlib
+
+    rows = QUERIES["op8_toxicity"](spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert len(rows) == docs
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.7)
+
+
 def test_label_model_finds_accuracies_and_shared_votes():
     rng = np.random.default_rng(6)
     y = (rng.random(4000) < 0.3).astype(float)
