@@ -1,9 +1,9 @@
 """Benchmark decontamination by suffix arrays over shards of the training text.
 
 Each shard (a run of documents in one task) gets a suffix array over its
-words; every suffix of every test item is binary-searched in it.  The interval
-that a suffix's window leads to holds all its verbatim occurrences; its
-neighbours give the longest match.  Words outside the test vocabulary end a
+words; every suffix of every test item that is long enough to hold a window is
+binary-searched in it.  The interval that its window leads to holds all its
+verbatim occurrences, each of which is extended as far as suffix and text agree.  Words outside the test vocabulary end a
 match wherever they stand, so only runs of known words that are long enough to
 hold a window enter the array: a pruning that loses nothing.
 """
@@ -31,8 +31,8 @@ class Block:
     items: list[str]
     #: All items' word ids, a 0 after each.
     text: np.ndarray
-    #: By window length: distinct windows (one a row), the position of one occurrence, and which items have it.
-    windows: dict[int, tuple[np.ndarray, np.ndarray, list[np.ndarray]]]
+    #: By window length: distinct windows (one a row), where each one's suffixes begin in the last array, and the suffixes' positions.
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     item_of: np.ndarray
     item_start: np.ndarray
 
@@ -40,7 +40,7 @@ class Block:
 def build_block(rows: list[tuple[str, str | None]], window: int) -> Block:
     word_ids: dict[bytes, int] = {}
     items, text, owner, starts = [], [], [], []
-    occurrences: dict[int, dict[tuple[int, ...], tuple[int, set[int]]]] = {}
+    occurrences: dict[int, dict[tuple[int, ...], list[int]]] = {}
     for item, body in rows:
         ids = [word_ids.setdefault(w, len(word_ids) + 1) for w in alnum_words((body or "").encode())]
         if not ids:
@@ -50,14 +50,14 @@ def build_block(rows: list[tuple[str, str | None]], window: int) -> Block:
         size = min(window, len(ids))
         seen = occurrences.setdefault(size, {})
         for at in range(len(ids) - size + 1):
-            seen.setdefault(tuple(ids[at : at + size]), (base + at, set()))[1].add(k)
+            seen.setdefault(tuple(ids[at : at + size]), []).append(base + at)
         text += [*ids, 0]
         owner += [k] * (len(ids) + 1)
         starts += [*range(len(ids)), -1]
     windows = {}
     for size, seen in occurrences.items():
         rows_of = np.array(list(seen), np.int32).reshape(-1, size)
-        windows[size] = (rows_of, np.array([p for p, _ in seen.values()]), [np.array(sorted(s)) for _, s in seen.values()])
+        windows[size] = (rows_of, np.cumsum([0, *map(len, seen.values())]), np.array([p for ps in seen.values() for p in ps], np.int64))
     return Block(word_ids, items, np.array([*text, 0], np.int32), windows, np.array([*owner, -1]), np.array([*starts, -1]))
 
 
@@ -108,8 +108,29 @@ def _extend(text: np.ndarray, at: np.ndarray, other: np.ndarray, with_: np.ndarr
     return length
 
 
-def _search(block: Block, shard: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-    """Occurrences in ``shard``: (document, word, window length, item, item's word), a row per window and place."""
+def _pairs(one: np.ndarray, two: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All (k, i, j) with ``i < one[k]`` and ``j < two[k]``, about ``most`` at a time."""
+    row = np.repeat(np.arange(len(one)), one)
+    i = np.arange(len(row)) - np.repeat(np.cumsum(one) - one, one)
+    upto, begin = np.cumsum(two[row]), 0
+    while begin < len(row):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + most, side="right")))
+        n = two[row[begin:end]]
+        yield np.repeat(row[begin:end], n), np.repeat(i[begin:end], n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        begin = end
+
+
+def _longest(found: list[np.ndarray]) -> list[np.ndarray]:
+    """Of (document, item, item's word, word, length) the longest for each document and item, the first of equal ones."""
+    doc, item, item_word, word, length = found
+    order = np.lexsort((item_word, word, -length, item, doc))
+    new = np.append(True, (doc[order][1:] != doc[order][:-1]) | (item[order][1:] != item[order][:-1]))[: len(order)]
+    return [c[order[new]] for c in found]
+
+
+def _search(block: Block, shard: list[list[bytes]], most: int = 1_000_000) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Windows that occur in ``shard``, (document, word, length), and each item's longest match in a document, see ``_longest``."""
+    none = [np.empty(0, np.int64) for _ in range(5)]
     get = block.word_ids.get
     least = min(block.windows)
     counts = np.fromiter(map(len, shard), np.int64, len(shard))
@@ -121,7 +142,7 @@ def _search(block: Block, shard: list[list[bytes]]) -> tuple[np.ndarray, ...]:
     long = sizes >= least
     begins, sizes = begins[long], sizes[long]
     if not len(begins):
-        return tuple(np.empty(0, np.int64) for _ in range(6))
+        return none[:3], none
     # text of the runs kept, each closed by a 0; place: where each word stood
     total = int((sizes + 1).sum())
     at = np.cumsum(sizes + 1) - (sizes + 1)
@@ -130,24 +151,27 @@ def _search(block: Block, shard: list[list[bytes]]) -> tuple[np.ndarray, ...]:
     left = np.repeat(at + sizes, sizes + 1) - np.arange(total)
     doc_start = np.cumsum(counts + 1) - (counts + 1)
     order = suffix_array(text, np.flatnonzero(left >= least), max(block.windows))
-    rows = []
-    for size, (windows, where, owners) in block.windows.items():
+    spans, best = [none[:3]], none
+    for size, (windows, begin, positions) in block.windows.items():
         lo, hi = bounds(text, order, windows, False), bounds(text, order, windows, True)
         n = hi - lo
         if not n.sum():
             continue
         w = np.repeat(np.arange(len(n)), n)
         p = order[np.repeat(lo, n) + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)]
-        each = np.fromiter((len(owners[k]) for k in range(len(owners))), np.int64, len(owners))
-        wi = np.repeat(np.arange(len(w)), each[w])
-        item = np.concatenate([owners[k] for k in w.tolist()])
         word = place[p]
         doc = np.searchsorted(doc_start, word, side="right") - 1
-        longest = _extend(text, p, block.text, where[w], size)
-        rows.append((doc[wi], (word - doc_start[doc])[wi], np.full(len(wi), size), item, block.item_start[where[w]][wi], longest[wi]))
-    if not rows:
-        return tuple(np.empty(0, np.int64) for _ in range(6))
-    return tuple(np.concatenate(c) for c in zip(*rows, strict=True))
+        spans.append([doc, word - doc_start[doc], np.full(len(p), size)])
+        for k, i, j in _pairs(n, np.diff(begin), most):
+            here, there = order[lo[k] + i], positions[begin[k] + j]
+            # where the words before agree too, that pair's match holds this one
+            new = (here == 0) | (there == 0) | (text[here - 1] == 0) | (text[here - 1] != block.text[there - 1])
+            here, there = here[new], there[new]
+            word = place[here]
+            doc = np.searchsorted(doc_start, word, side="right") - 1
+            found = [doc, block.item_of[there], block.item_start[there], word - doc_start[doc], _extend(text, here, block.text, there, size)]
+            best = _longest([np.concatenate(c) for c in zip(best, found, strict=True)])
+    return [np.concatenate(c) for c in zip(*spans, strict=True)], best
 
 
 def _scan(spark_block, shard_bytes: int, text_at: int, before: bool, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -159,13 +183,11 @@ def _scan(spark_block, shard_bytes: int, text_at: int, before: bool, last: bool)
                 shard = [alnum_words(t) for t in texts(batch.column(text_at))]
                 spans: list[list[tuple[int, int]]] = [[] for _ in shard]
                 matches: list[dict] = [{} for _ in shard]
-                found = _search(block, shard) if block.windows else ()
-                if found and len(found[0]):
-                    for doc, word, size, item, item_word, longest in zip(*(c.tolist() for c in found), strict=True):
-                        spans[doc].append((word, size))
-                        best = matches[doc].get(item)
-                        if best is None or (-longest, word, item_word) < (-best[2], best[1], best[0]):
-                            matches[doc][item] = (item_word, word, longest)
+                occurring, longest = _search(block, shard) if block.windows else ((), ())
+                for doc, word, size in zip(*(c.tolist() for c in occurring), strict=True):
+                    spans[doc].append((word, size))
+                for doc, item, item_word, word, length in zip(*(c.tolist() for c in longest), strict=True):
+                    matches[doc][item] = (item_word, word, length)
                 columns = []
                 for k in range(len(shard)):
                     columns.append((len(shard[k]), _union(spans[k]), [{"item": block.items[i], "item_start": a, "start": b, "length": n} for i, (a, b, n) in sorted(matches[k].items())], sorted({block.items[i] for i in matches[k]})))
@@ -205,14 +227,15 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [mine.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) for k in range(blocks)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 8 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, keep: tuple[str, ...] = ("doc_id",), block_bytes: int = 8 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
     """For each row of ``docs``: ``keep``, ``n_words, spans, matches, items``.
 
     ``spans``: the words of the document inside any occurrence of a window of
     an item, disjoint and in order.  A window is ``window`` consecutive words
     of an item, or all of an item with fewer.  ``items``: ids (as strings,
-    sorted) of items with a window here; ``matches``: for each, the longest
-    verbatim match that was found and where it lies.  The test set goes to the
+    sorted) of items with a window here; ``matches``: for each, its longest
+    verbatim match of at least a window (of equal ones the first in the
+    document, then in the item) and where it lies.  The test set goes to the
     tasks in blocks of at most ``block_bytes``; each block is one pass without
     a shuffle.  A null or empty text has no words; items without words or id
     match nothing; repeated rows are judged each for itself; an empty table

@@ -39,6 +39,21 @@ def contaminated(docs, benchmark, size=10):
     return out
 
 
+def longest_match(doc, item, size=10):
+    """(item's word, word, length) of the longest common run of words that holds a window; None without."""
+    a, b = words(doc), words(item)
+    least = min(size, len(b))
+    best = None
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n >= max(1, least) and (best is None or (-n, i, j) < (-best[2], best[1], best[0])):
+                best = (j, i, n)
+    return best
+
+
 def licences(text):
     """(n_words, n_base, first_word, last_word, base_labels)."""
     ws = words(text)

@@ -43,6 +43,23 @@ def test_contamination_on_few_words(spark, seed):
     assert got == sorted(brute.contaminated(list(enumerate(texts)), [b for b in bench if b[0] is not None]), key=str)
 
 
+def test_longest_matches_equal_brute_force(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("a b c".split()) for _ in range(n))
+    shared = "s1 s2 s3 s4 s5 s6 s7 s8 s9 s10"
+    items = ["aa bb cc " + shared + " tail1", shared + " tailb tailc taild", "a " * 12, text(11), text(14), text(3)]
+    docs = ["zz " + shared + " tailb tailc taild", "bb cc " + shared + " x " + shared + " tail1", "b " + "a " * 30, *(text(60) for _ in range(12)), text(400)]
+    bench = spark.createDataFrame([(str(k), t) for k, t in enumerate(items)], "item_id string, text string")
+    rows_of = decontaminate.contamination(small_docs(spark, docs), bench, shard_bytes=500).collect()
+    got = {(r["doc_id"], m["item"]): (m["item_start"], m["start"], m["length"]) for r in rows_of for m in r["matches"]}
+    want = {(d, str(k)): m for d, t in enumerate(docs) for k, item in enumerate(items) if (m := brute.longest_match(t, item))}
+    assert got == want and got[0, "1"] == (0, 1, 13)
+    shard = [brute.words(t) for t in docs]
+    block = decontaminate.build_block([(str(k), t) for k, t in enumerate(items)], 10)
+    few, many = (decontaminate._search(block, shard, most) for most in (3, 10**6))
+    assert all((a == b).all() for x, y in zip(few, many, strict=True) for a, b in zip(x, y, strict=True))
+
+
 def test_contamination_keeps_columns_and_empty_tables(spark):
     docs = small_docs(spark, ["one two three", None])
     none = spark.createDataFrame([], "item_id long, text string")
