@@ -115,6 +115,46 @@ def test_rules_longest_wins(spark):
     assert urls.judge(pages.limit(0), rules).count() == 0
 
 
+def test_rare_words_are_joined(spark):
+    rng = random.Random(6)
+    names = ["garden", "river", "stone", "market", "casino", "pills", "lantern"]
+    pages = spark.createDataFrame([(k, f"http://www.{rng.choice(names)}{rng.choice(['', '-'])}{rng.choice(names)}{k % 9}.example.org/{rng.choice(names)}/x{k % 50}") for k in range(200)] + [(0, None)], "page_id long, url string")
+    rules = [urls.Rule("block", "river.net")]
+    whole, few = (sorted(map(str, urls.judge(pages, rules, **o).withColumn("unwanted", F.round("unwanted", 9)).collect())) for o in ({}, {"words": 5, "odds": 3}))
+    assert whole == few and len(whole) == 201
+
+
+def test_odds_equal_brute_force(spark):
+    import math
+
+    data = [["h:casino", "h:win", "p:en"], ["h:garden", "p:en", "p:en"], ["h:win", "p:de"], []]
+    worded = spark.createDataFrame([(str(k), "", w) for k, w in enumerate(data)], "host string, path string, words array<string>")
+    odds, prior = urls.train(worded)
+    got = {r["host"]: r["unwanted"] for r in urls.with_odds(worded, odds, prior).collect()}
+    bad, good = data[0], data[1] + data[2]
+    size = len({*bad, *good})
+    for k, ws in enumerate(data):
+        z = math.log(2 / 4) + sum(math.log((bad.count(w) + 1) / (len(bad) + size)) - math.log((good.count(w) + 1) / (len(good) + size)) for w in ws)
+        assert abs(got[str(k)] - (1 / (1 + math.exp(-z)) if ws else 0.0)) < 1e-12
+
+
+def test_segmentation_is_the_likeliest_split():
+    import math
+
+    rng = random.Random(7)
+    counts = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))): rng.randint(1, 50) for _ in range(12)}
+    total = sum(counts.values())
+
+    def cost(word):
+        return math.log(counts[word] / total) if word in counts else math.log(10 / total) - len(word) * math.log(10)
+
+    for _ in range(50):
+        run = "".join(rng.choice("abc") for _ in range(rng.randint(1, 10)))
+        splits = ([run[i:j] for i, j in zip((0, *cuts), (*cuts, len(run)), strict=True)] for n in range(len(run)) for cuts in __import__("itertools").combinations(range(1, len(run)), n))
+        best = max(sum(map(cost, s)) for s in splits)
+        assert abs(sum(map(cost, urls.segmenter(counts)(run))) - best) < 1e-9
+
+
 def test_segmentation_splits_names():
     split = urls.segmenter({"cheap": 50, "pills": 30, "the": 100, "free": 30, "bets": 20})
     assert split("cheappills") == ["cheap", "pills"] and split("thefreebets") == ["the", "free", "bets"] and split("") == []
