@@ -433,8 +433,7 @@ def _verify(similarity: float, budget: int) -> Callable[[Iterator[pa.RecordBatch
             table = table.take(pa.array(order))
             bucket, prints = bucket[order], prints[order]
             bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-            _, component = np.unique(table.column("component").to_numpy().astype(object), return_inverse=True)
-            _, first, label = np.unique(np.stack([bucket, component], axis=1), axis=0, return_index=True, return_inverse=True)
+            _, first, label = np.unique(np.stack([bucket, table.column("component").to_numpy()], axis=1), axis=0, return_index=True, return_inverse=True)
             sets = table.column("shingles").combine_chunks()
             a, b = similar_links(prints, bounds, first[label.ravel()], sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy().astype(np.int64), similarity, budget)
             node = table.column("node").combine_chunks()
@@ -443,10 +442,10 @@ def _verify(similarity: float, budget: int) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def similar_texts(keyed: DataFrame, sets: DataFrame, similarity: float, budget: int, largest: int = 1_000) -> DataFrame:
+def similar_texts(keyed: DataFrame, sets: DataFrame, similarity: float, budget: int, largest: int = 4_000) -> DataFrame:
     """``(a, b)``: verified links that connect all nodes of one key whose sets are similar.
 
-    ``keyed``: ``node, component, fp, key``; ``sets``: ``node, shingles``.  Keys
+    ``keyed``: ``node, component`` (long), ``fp, key``; ``sets``: ``node, shingles``.  Keys
     whose nodes are all connected add nothing, keys with the same nodes count
     once, and keys with over ``largest`` nodes are parted.
     """
@@ -484,16 +483,16 @@ def drop_near_duplicates(docs: DataFrame, *, similarity: float = 0.8, words_each
     placed = docs.select("*", doc.isNull().alias("__none"), F.coalesce(doc, F.lit(0)).alias("__doc"), F.md5(text.cast("binary")).alias("__node"))
     known = durable(placed.select(*own, text.alias("text")).mapInArrow(_profiles(words_each, bands, rows), "__none boolean, __doc long, __node string, fp long, bands array<long>"))
     firsts = durable(known.groupBy("__node").agg(F.min(F.struct("__none", "__doc")).alias("w"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("w.*", "__node", "fp", "bands"))
-    met = firsts.select(*own, F.explode("bands").alias("key"))
+    met = firsts.select("__node", "fp", F.posexplode("bands").alias("band", "key"))
     shared = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    wanted = met.join(shared, "key", "left_semi").select(*own).distinct()
+    keyed = durable(met.join(shared, "key", "left_semi").select(F.col("__node").alias("node"), "fp", "band", "key"))
+    wanted = firsts.select(*own).join(keyed.select(F.col("node").alias("__node")).distinct(), "__node", "left_semi").select(*own)
     bodies = placed.select(*own, text.alias("text")).join(wanted, own, "left_semi").select(F.col("__node").alias("node"), "text")
     sets = durable(bodies.mapInArrow(_shingle_sets(words_each), "node string, shingles array<long>").dropDuplicates(["node"]))
     groups = None
-    for begin, count in ((1, 2), (3, bands - 2)):
-        nodes = firsts.select(F.col("__node").alias("node"), "fp", F.slice("bands", begin, count).alias("bands"))
-        placed_in = nodes.withColumn("component", F.col("node")) if groups is None else nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        links = similar_texts(placed_in.select("node", "component", "fp", F.explode("bands").alias("key")), sets, similarity, budget)
+    for some in (F.col("band") < 2, F.col("band") >= 2):
+        rows_of = keyed.where(some).withColumn("component", F.col("node")) if groups is None else keyed.where(some).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        links = similar_texts(rows_of.select("node", F.xxhash64("component").alias("component"), "fp", "key"), sets, similarity, budget)
         groups = connected_components(links if groups is None else links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     grouped = known.select(*own).join(groups.withColumnRenamed("node", "__node"), "__node", "left").select(*own, F.coalesce("component", "__node").alias("component"))
     stays = grouped.groupBy("component").agg(F.min(F.struct(*own)).alias("w")).select("w.*")
