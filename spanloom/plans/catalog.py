@@ -694,9 +694,9 @@ def exact_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     return spans.exact_rates(pred, gold)
 
 
-@query(with_views("SELECT doc_id, word_idx, sent_idx, tok_idx FROM v_tokens WHERE word_idx % 3 = 1", "v_tokens"))
+@query(with_views("SELECT doc_id, word_idx, sent_idx, tok_idx FROM v_tokens", "v_tokens"))
 def words_in_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = views.tokens(spark, sf).where(F.col("word_idx") % 3 == 1).select("doc_id", "word_idx")
+    tokens = views.tokens(spark, sf).select("doc_id", "word_idx")
     return spans.word_to_sentence(tokens, mentions.word_offsets(views.sentences(spark, sf))).select("doc_id", "word_idx", "sent_idx", "tok_idx")
 
 
