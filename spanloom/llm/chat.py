@@ -48,6 +48,7 @@ def fingerprint_of(paths: Sequence[str]) -> str:
 #: The layouts that are known.
 LAYOUTS = (
     Layout("turn_rows", ("conv_id", "role", "text", "turn"), "rows"),
+    Layout("speaker_rows", ("content", "conv_id", "speaker", "turn"), "rows", role="speaker", text="content"),
     Layout("messages", ("messages", "messages[].content", "messages[].role"), "list", "messages", "role", "content"),
     Layout("conversations", ("conversations", "conversations[].from", "conversations[].value"), "list", "conversations", "from", "value"),
     Layout("instruction_input", ("input", "instruction", "output"), "fields", parts=(("instruction", "user"), ("input", "user"), ("output", "assistant"))),
@@ -69,13 +70,13 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
     return []
 
 
-def layout_of(schema: T.StructType, only: Sequence[str] | None = None) -> Layout:
-    """The layout whose fingerprint the schema has (``only``: of these columns alone)."""
-    paths = [p for f in schema if only is None or f.name in only for p in [f.name, *schema_paths(f.dataType, f.name)]]
+def row_layout(schema: T.StructType) -> Layout:
+    """The first layout of a row per turn whose fingerprint the columns of its names have; others are not looked at."""
     for layout in LAYOUTS:
-        if layout.fingerprint == fingerprint_of(paths):
+        paths = [p for f in schema if f.name in layout.paths for p in [f.name, *schema_paths(f.dataType, f.name)]]
+        if layout.kind == "rows" and layout.fingerprint == fingerprint_of(paths):
             return layout
-    raise ValueError(f"no layout has the field paths {sorted(set(paths))}")
+    raise ValueError(f"no layout of turns has the columns {sorted(f.name for f in schema)}")
 
 
 def record_fingerprint(record: Column) -> Column:
@@ -128,16 +129,16 @@ def turns_of_records(records: DataFrame, key: str = "record_id", record: str = "
 
 
 def turns_of_rows(rows: DataFrame) -> DataFrame:
-    """``conv_id, turns`` from a row per turn (``conv_id, turn, role, text``).
+    """``conv_id, turns`` from a row per turn, in the layout that the fingerprint of its columns selects.
 
     Turns are ordered by ``turn``, nulls first; rows with one number are
     ordered by role and text, and repeated rows stay.  A null role or text is
     empty.  A conversation is one row of the result, so its turns meet in one
     task; conversations are dealt over all tasks.
     """
-    columns = ["conv_id", "turn", "role", "text"]
-    layout_of(rows.select(*columns).schema)
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    layout = row_layout(rows.schema)
+    field = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), field(layout.role).alias("role"), field(layout.text).alias("text"))
     grouped = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     return grouped.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 

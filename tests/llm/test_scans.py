@@ -174,6 +174,16 @@ def test_chat_round_trip(spark):
     assert chat.format_turns(chat.turns_of_rows(df.limit(0))).count() == 0
 
 
+def test_chat_row_layouts(spark):
+    plain = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    renamed = plain.withColumnsRenamed({"role": "speaker", "text": "content"})
+    both = plain.withColumn("content", F.lit(7)).withColumn("speaker", F.array(F.lit(1)))
+    for df in (plain, renamed, both):
+        assert [tuple(t) for t in chat.turns_of_rows(df).first()["turns"]] == [("user", "a"), ("assistant", "b")]
+    with pytest.raises(ValueError, match="no layout"):
+        chat.turns_of_rows(plain.drop("text"))
+
+
 def test_chat_layouts(spark):
     records = [
         (1, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"ho"}]}', "messages", [("user", "hi"), ("assistant", "ho")]),
