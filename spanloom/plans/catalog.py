@@ -365,17 +365,51 @@ def link_closure(spark: SparkSession, sf: str) -> DataFrame:
     return _window_links(spark, sf)[1].select("doc_id", "win_id", F.col("i").cast("long").alias("i"), F.col("root").cast("long").alias("root"))
 
 
-@query()
+def _f1_sql(rn: str, rd: str, pn: str, pd: str) -> str:
+    r, p = (f"(CASE WHEN {d} = 0 THEN 0 ELSE {n} / {d} END)" for n, d in ((rn, rd), (pn, pd)))
+    return f"(CASE WHEN {r} + {p} = 0 THEN 0 ELSE 2 * {p} * {r} / ({p} + {r}) END)"
+
+
+#: Scores of the partition ``rr`` (``g, doc_id, r`` and the mention) against ``kk`` (``g, doc_id, k``) for each ``g``.
+#: CEAFe tries every one-to-one pairing of each connected block of clusters, key cluster by key cluster.
+_CONLL = {
+    "c_kr": 'SELECT g, doc_id, k, r, count(*) AS n FROM (SELECT DISTINCT g, doc_id, k, sent_idx, "start", "end" FROM kk) JOIN (SELECT DISTINCT g, doc_id, r, sent_idx, "start", "end" FROM rr) USING (g, doc_id, sent_idx, "start", "end") GROUP BY 1, 2, 3, 4',
+    "c_ks": 'SELECT g, doc_id, k, count(*) AS s FROM (SELECT DISTINCT g, doc_id, k, sent_idx, "start", "end" FROM kk) GROUP BY 1, 2, 3',
+    "c_rs": 'SELECT g, doc_id, r, count(*) AS s FROM (SELECT DISTINCT g, doc_id, r, sent_idx, "start", "end" FROM rr) GROUP BY 1, 2, 3',
+    "c_phi": "SELECT o.g, o.doc_id, o.k, o.r, 2 * n / (a.s + b.s) AS phi FROM c_kr o JOIN c_ks a ON a.g = o.g AND a.doc_id = o.doc_id AND a.k = o.k JOIN c_rs b ON b.g = o.g AND b.doc_id = o.doc_id AND b.r = o.r",
+    "c_near": "SELECT DISTINCT a.g, a.doc_id, a.k AS x, b.k AS y FROM c_kr a JOIN c_kr b ON a.g = b.g AND a.doc_id = b.doc_id AND a.r = b.r AND a.k <> b.k",
+    "c_reach": "SELECT DISTINCT g, doc_id, k, k AS low FROM c_kr UNION SELECT c.g, c.doc_id, e.y, c.low FROM c_reach c JOIN c_near e ON e.g = c.g AND e.doc_id = c.doc_id AND e.x = c.k WHERE c.low < e.y",
+    "c_block": "SELECT g, doc_id, block, k, row_number() OVER (PARTITION BY g, doc_id, block ORDER BY k) AS pos FROM (SELECT g, doc_id, k, min(low) AS block FROM c_reach GROUP BY 1, 2, 3)",
+    "c_take": "SELECT b.g, b.doc_id, block, pos, r, phi FROM c_block b JOIN c_phi p ON p.g = b.g AND p.doc_id = b.doc_id AND p.k = b.k UNION ALL SELECT g, doc_id, block, pos, NULL, 0 FROM c_block",
+    "c_pair": """SELECT g, doc_id, block, 0::BIGINT AS pos, []::BIGINT[] AS used, 0::DOUBLE AS total FROM c_block WHERE pos = 1
+        UNION ALL SELECT p.g, p.doc_id, p.block, t.pos, CASE WHEN t.r IS NULL THEN used ELSE list_append(used, t.r::BIGINT) END, total + phi FROM c_pair p JOIN c_take t ON t.g = p.g AND t.doc_id = p.doc_id AND t.block = p.block AND t.pos = p.pos + 1
+        WHERE t.r IS NULL OR NOT list_contains(used, t.r::BIGINT)""",
+    "c_best": "SELECT g, sum(phi) AS phi FROM (SELECT g, doc_id, block, max(total) AS phi FROM c_pair GROUP BY 1, 2, 3) GROUP BY 1",
+    **{
+        f"c_{x}": f"""SELECT z.g, count(*)::DOUBLE AS c, sum(s)::DOUBLE AS s, sum(coalesce(m - p, 0))::DOUBLE AS kept, sum(coalesce(q / s, 0))::DOUBLE AS part FROM c_{x}s z
+        LEFT JOIN (SELECT g, doc_id, {x}, count(*) AS p, sum(n) AS m, sum(n * n) AS q FROM c_kr GROUP BY 1, 2, 3) h ON h.g = z.g AND h.doc_id = z.doc_id AND h.{x} = z.{x} GROUP BY 1"""
+        for x in "kr"
+    },
+    "c_sum": """SELECT g, coalesce(phi, 0) AS phi, coalesce(a.c, 0) AS kc, coalesce(a.s, 0) AS ks, coalesce(a.kept, 0) AS kk, coalesce(a.part, 0) AS kp, coalesce(b.c, 0) AS rc, coalesce(b.s, 0) AS rs, coalesce(b.kept, 0) AS rk, coalesce(b.part, 0) AS rp
+        FROM (SELECT g FROM c_k UNION SELECT g FROM c_r) LEFT JOIN c_k a USING (g) LEFT JOIN c_r b USING (g) LEFT JOIN c_best USING (g)""",
+    "c_three": f"SELECT g, {_f1_sql('kk', '(ks - kc)', 'rk', '(rs - rc)')} AS muc, {_f1_sql('kp', 'ks', 'rp', 'rs')} AS b_cubed, {_f1_sql('phi', 'kc', 'phi', 'rc')} AS ceaf_e FROM c_sum",
+    "c_out": "SELECT g, round(muc, 6) AS muc, round(b_cubed, 6) AS b_cubed, round(ceaf_e, 6) AS ceaf_e, round((muc + b_cubed + ceaf_e) / 3, 6) AS conll FROM c_three",
+}
+_SCORES = ("muc", "b_cubed", "ceaf_e", "conll")
+
+
+@query(with_views("SELECT * EXCLUDE (g) FROM c_out", "v_gold", **_LINKED, **_METRIC, kk="SELECT 0 AS g, * FROM k", rr="SELECT 0 AS g, * FROM r", **_CONLL))
 def conll_score(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.conll_f1(views.gold(spark, sf), _response(spark, sf))
+    return rounded(metrics.conll_f1(views.gold(spark, sf), _response(spark, sf)), *_SCORES)
 
 
-@query()
-def conll_score_by_type(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.conll_f1_by_type(views.gold(spark, sf), _response(spark, sf))
+_BUCKETS = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.TYPE_BUCKETS.items()) + " END"
+_TYPED = {f"{x}{x}": f"SELECT {_BUCKETS} AS g, {x}.* FROM {x} JOIN (SELECT doc_id, {x}, string_agg(DISTINCT {_TYPE_EVAL}, ',' ORDER BY {_TYPE_EVAL}) AS t FROM {x} GROUP BY 1, 2) USING (doc_id, {x})" for x in "kr"}
 
 
-_BUCKETS = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.TYPE_BUCKETS.items()) + " END"
+@query(with_views("SELECT g AS bucket, * EXCLUDE (g) FROM c_out WHERE g IN (SELECT g FROM kk)", "v_gold", **_LINKED, **_METRIC, **_TYPED, **_CONLL))
+def conll_score_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.conll_f1_by_type(views.gold(spark, sf), _response(spark, sf)), *_SCORES)
 
 
 @query(
@@ -510,7 +544,15 @@ def merged_purity(spark: SparkSession, sf: str) -> DataFrame:
     return links.cluster_purity(rows)
 
 
-@query()
+_WHOLE = {"kk": 'SELECT g, doc_id, cluster_id AS k, sent_idx, "start", "end" FROM v_gold, (SELECT DISTINCT g FROM rr)'}
+_NODE_SPANS = 'SELECT g, x.doc_id, r, sent_idx, "start", "end" FROM (SELECT *, count(*) OVER (PARTITION BY g, doc_id, r) AS c FROM {rows}) x JOIN v_gold v ON v.doc_id = x.doc_id AND v.mention_idx = x.mention_idx WHERE c >= 2'
+_SYSTEMS = {
+    "sys": "SELECT 'local' AS g, doc_id, node_idx AS r, unnest(members) AS mention_idx FROM nodes UNION ALL SELECT 'merged', nr.doc_id, nr.root, unnest(members) FROM nr JOIN nodes n ON n.doc_id = nr.doc_id AND n.node_idx = nr.i",
+    "rr": _NODE_SPANS.format(rows="sys"),
+}
+
+
+@query(with_views("SELECT g AS system, * EXCLUDE (g) FROM c_out", "v_gold", **_MERGED, **_SYSTEMS, **_WHOLE, **_CONLL))
 def locality_gain(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of window-local and of merged clusters against the full gold, side by side."""
     members, nodes, _, classes = _merged(spark, sf)
@@ -519,15 +561,24 @@ def locality_gain(spark: SparkSession, sf: str) -> DataFrame:
     merged = links.apply_merge(nodes, classes).withColumnRenamed("cluster", "cluster_id").withColumn("system", F.lit("merged"))
     both = mentions.drop_singletons(local.unionByName(merged, allowMissingColumns=True), ("system", "doc_id", "cluster_id")).join(spot, ["doc_id", "mention_idx"])
     key = views.gold(spark, sf).withColumn("system", F.explode(F.array(F.lit("local"), F.lit("merged"))))
-    return metrics.conll_f1(key, both, ("system",))
+    return rounded(metrics.conll_f1(key, both, ("system",)), *_SCORES)
 
 
-@query()
+_OFFSETS = [round(-0.3 + 0.15 * k, 2) for k in range(7)]
+_CALIBRATED = {
+    "sb": f"SELECT doc_id, i, j, score, g FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY score DESC, j) AS q FROM (SELECT *, round(idf_jaccard + exact_match, 6) AS score FROM lex)), (SELECT unnest({_OFFSETS})::DOUBLE AS g) WHERE q = 1 AND score > g",
+    "su": f"SELECT g, doc_id, node_idx AS i, node_idx AS root FROM nodes, (SELECT unnest({_OFFSETS})::DOUBLE AS g) UNION ALL SELECT u.g, u.doc_id, u.i, b.j FROM su u JOIN sb b ON b.g = u.g AND b.doc_id = u.doc_id AND b.i = u.root",
+    "sr": "SELECT su.g, su.doc_id, su.root AS r, unnest(members) AS mention_idx FROM (SELECT g, doc_id, i, min(root) AS root FROM su GROUP BY 1, 2, 3) su JOIN nodes n ON n.doc_id = su.doc_id AND n.node_idx = su.i",
+    "rr": _NODE_SPANS.format(rows="sr"),
+}
+
+
+@query(with_views("SELECT g AS \"offset\", conll, g = (SELECT g FROM c_three ORDER BY round((muc + b_cubed + ceaf_e) / 3, 9) DESC, g LIMIT 1) AS best FROM c_out", "v_gold", **_MERGED, **_CALIBRATED, **_WHOLE, **_CONLL))
 def calibrated_offsets(spark: SparkSession, sf: str) -> DataFrame:
     members, nodes, best, _ = _merged(spark, sf)
     spot = members.select("doc_id", "mention_idx", "sent_idx", "start", "end")
     rows = nodes.select("doc_id", "node_idx", F.explode("members").alias("mention_idx")).join(spot, ["doc_id", "mention_idx"])
-    return metrics.calibrate(best, rows, views.gold(spark, sf), [round(-0.3 + 0.15 * k, 2) for k in range(7)])
+    return rounded(metrics.calibrate(best, rows, views.gold(spark, sf), _OFFSETS), "conll")
 
 
 _HEADED = {
@@ -700,7 +751,15 @@ def words_in_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return spans.word_to_sentence(tokens, mentions.word_offsets(views.sentences(spark, sf))).select("doc_id", "word_idx", "sent_idx", "tok_idx")
 
 
-@query()
+_COST = {
+    "sets": """SELECT 'gold' AS g, doc_id, cluster_id AS r, sent_idx, "start", "end" FROM v_gold UNION ALL SELECT 'all', doc_id, gold_cluster, sent_idx, "start", "end" FROM aligned
+        UNION ALL SELECT 'matched', doc_id, gold_cluster, sent_idx, "start", "end" FROM aligned a WHERE EXISTS (SELECT 1 FROM v_gold v WHERE v.doc_id = a.doc_id AND v.cluster_id = a.gold_cluster)
+        UNION ALL SELECT 'detected', doc_id, cluster_id, sent_idx, "start", "end" FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM v_gold v WHERE EXISTS (SELECT 1 FROM v_pred p WHERE p.doc_id = v.doc_id AND p.sent_idx = v.sent_idx AND p."start" < v."end" AND v."start" < p."end")) WHERE n >= 2""",
+    "rr": "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY g, doc_id, r) AS c FROM sets) WHERE c >= 2",
+}
+
+
+@query(with_views("SELECT g AS mention_set, * EXCLUDE (g) FROM c_out", "v_gold", "v_pred", **_ALIGNED, **_COST, **_WHOLE, **_CONLL))
 def mention_cost(spark: SparkSession, sf: str) -> DataFrame:
     """One score for each set of mentions: all gold, gold that was detected, matched predictions, all predictions; the same key."""
     gold, pred = _spans(spark, sf)
@@ -708,7 +767,7 @@ def mention_cost(spark: SparkSession, sf: str) -> DataFrame:
     asc = lambda df, name, cluster: df.select("doc_id", "sent_idx", "start", "end", F.col(cluster).alias("cluster_id"), F.lit(name).alias("mention_set"))
     sets = asc(gold, "gold", "cluster_id").unionByName(asc(spans.detected_gold(gold, pred), "detected", "cluster_id")).unionByName(asc(spans.matched_only(aligned, gold), "matched", "gold_cluster")).unionByName(asc(aligned, "all", "gold_cluster"))
     key = gold.withColumn("mention_set", F.explode(F.array(*(F.lit(x) for x in ("gold", "detected", "matched", "all")))))
-    return metrics.conll_f1(key, mentions.drop_singletons(sets, ("mention_set", "doc_id", "cluster_id")), ("mention_set",))
+    return rounded(metrics.conll_f1(key, mentions.drop_singletons(sets, ("mention_set", "doc_id", "cluster_id")), ("mention_set",)), *_SCORES)
 
 
 _SNAP = {
