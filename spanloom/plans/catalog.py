@@ -762,8 +762,8 @@ _COST = {
 @query(with_views("SELECT g AS mention_set, * EXCLUDE (g) FROM c_out", "v_gold", "v_pred", **_ALIGNED, **_COST, **_WHOLE, **_CONLL))
 def mention_cost(spark: SparkSession, sf: str) -> DataFrame:
     """One score for each set of mentions: all gold, gold that was detected, matched predictions, all predictions; the same key."""
-    gold, pred = _spans(spark, sf)
-    aligned = spans.align_to_gold(pred, gold)
+    gold, pred = map(durable, _spans(spark, sf))
+    aligned = durable(spans.align_to_gold(pred, gold))
     asc = lambda df, name, cluster: df.select("doc_id", "sent_idx", "start", "end", F.col(cluster).alias("cluster_id"), F.lit(name).alias("mention_set"))
     sets = asc(gold, "gold", "cluster_id").unionByName(asc(spans.detected_gold(gold, pred), "detected", "cluster_id")).unionByName(asc(spans.matched_only(aligned, gold), "matched", "gold_cluster")).unionByName(asc(aligned, "all", "gold_cluster"))
     key = gold.withColumn("mention_set", F.explode(F.array(*(F.lit(x) for x in ("gold", "detected", "matched", "all")))))
