@@ -172,14 +172,36 @@ def pair_conditions(pairs: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("gold") / F.col("pairs"))
 
 
+def running_before(rows: DataFrame, by: str, values: Sequence[str], keys: Sequence[str] = (), parts: int = 64) -> DataFrame:
+    """Add ``<value>_before`` for each of ``values``: the sum over the rows of ``keys`` that come earlier in order of ``by``.
+
+    Rows are dealt into ``parts`` ranges and written; each range is summed, the
+    sums of the ranges are added up (a row for each range and key), and inside
+    a range a window does the rest.  No task orders more than a range.
+    """
+    keys, names = list(keys), [f"{v}_before" for v in values]
+    dealt = durable(rows.repartitionByRange(parts, *keys, by).withColumn("__part", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "__part").agg(*(F.sum(v).alias(f"__{n}") for v, n in zip(values, names, strict=True)))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = sums.select(*keys, "__part", *(F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in names))
+    inside = Window.partitionBy(*keys, "__part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    near = dealt.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for v, n in zip(values, names, strict=True)})
+    return near.join(base, [*keys, "__part"]).withColumns({n: F.col(n) + F.col(f"__{n}") for n in names}).drop("__part", *(f"__{n}" for n in names))
+
+
 def similarity_separation(pairs: DataFrame, outcomes: DataFrame, keys: Sequence[str] = ("doc_id", "win_id")) -> DataFrame:
-    """Mean and median of the highest similarity to a gold antecedent, for resolved and for missed mentions.
+    """Mean and exact median of the highest similarity to a gold antecedent, for resolved and for missed mentions.
 
     ``pairs``: ``keys, i, j, sim, is_gold``, of the antecedents to be considered.
     """
     top = pairs.where("is_gold").groupBy(*keys, "i").agg(F.max("sim").alias("sim"))
     kind = F.when(F.col("outcome") == "TRUE_LINK", "resolved").when(F.col("outcome") == "MISSED_LINK", "missed")
-    return outcomes.join(top, [*keys, "i"]).withColumn("kind", kind).where(F.col("kind").isNotNull()).groupBy("kind").agg(F.count("*").alias("n"), F.avg("sim").alias("mean_sim"), F.median("sim").alias("median_sim"))
+    told = outcomes.join(top, [*keys, "i"]).withColumn("kind", kind).where(F.col("kind").isNotNull())
+    counts = running_before(told.groupBy("kind", "sim").agg(F.count("*").alias("times")), "sim", ["times"], ["kind"])
+    sums = counts.groupBy("kind").agg(F.sum("times").alias("n"), F.sum(F.col("sim") * F.col("times")).alias("s"))  # two rows
+    low, high = F.expr("(n - 1) div 2"), F.expr("n div 2")  # places of the middle, from 0
+    holds = lambda k: F.max(F.when((F.col("times_before") <= k) & (k < F.col("times_before") + F.col("times")), F.col("sim")))
+    return counts.join(F.broadcast(sums), "kind").groupBy("kind").agg(F.first("n").alias("n"), (F.first("s") / F.first("n")).alias("mean_sim"), ((holds(low) + holds(high)) / 2).alias("median_sim"))
 
 
 def separation_auc(pairs: DataFrame, score: str = "score", buckets: int | None = None) -> DataFrame:
@@ -190,9 +212,7 @@ def separation_auc(pairs: DataFrame, score: str = "score", buckets: int | None =
     """
     value = F.col(score) if buckets is None else F.floor(F.col(score) * buckets)
     counts = pairs.groupBy(value.alias("s")).agg(F.sum(F.col("is_gold").cast("long")).alias("p"), F.sum((~F.col("is_gold")).cast("long")).alias("n"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    return ranked.agg((F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)) / (F.sum("p").cast("double") * F.sum("n"))).alias("auc"))
+    return running_before(counts, "s", ["n"]).agg((F.sum(F.col("p") * (F.col("n_before") + F.col("n") / 2)) / (F.sum("p").cast("double") * F.sum("n"))).alias("auc"))
 
 
 def cluster_purity(members: DataFrame) -> DataFrame:

@@ -144,11 +144,12 @@ def select_subset(docs: DataFrame, subset: str = "all", only_train: Sequence[str
     if only_train:
         out = out.where((F.col("split") != "train") | F.col("corpus").isin(list(only_train)))
     if caps:
-        limit = F.lit(None).cast("int")
-        for corpus, n in caps.items():
-            limit = F.when((F.col("corpus") == corpus) & (F.col("split") == "train"), n).otherwise(limit)
-        place = F.row_number().over(Window.partitionBy("corpus", "split").orderBy("doc_order"))
-        out = out.withColumn("__n", place).where(limit.isNull() | (F.col("__n") <= limit)).drop("__n")
+        limit = F.element_at(F.create_map(*(F.lit(x) for pair in caps.items() for x in pair)), F.col("corpus"))
+        capped = F.coalesce((F.col("split") == "train") & F.col("corpus").isin(list(caps)), F.lit(False))
+        place = F.row_number().over(Window.partitionBy("corpus").orderBy("doc_order"))
+        # the largest cap is a plain number, so every task keeps only so many rows of a corpus before the shuffle
+        first = out.where(capped).withColumn("__n", place).where(F.col("__n") <= max(caps.values())).where(F.col("__n") <= limit).drop("__n")
+        out = out.where(~capped).unionByName(first)
     return out
 
 

@@ -178,9 +178,15 @@ def snap_to_words(spans: DataFrame, pieces: DataFrame, tokens: DataFrame) -> Dat
     return out.select("doc_id", "pred_idx", F.col("sa").alias("sent_idx"), F.col("ta").alias("start"), (F.greatest("ta", end) + 1).alias("end"))
 
 
-def spans_in_window(spans: DataFrame, windows: DataFrame) -> DataFrame:
-    """Spans that lie wholly in a chunk, with ``win_id`` and local positions; others vanish."""
-    joined = spans.join(windows, "doc_id").where((F.col("chunk_start") <= F.col("sub_start")) & (F.col("sub_end") < F.col("chunk_end")))
+def spans_in_window(spans: DataFrame, windows: DataFrame, width: int = 256) -> DataFrame:
+    """Spans that lie wholly in a chunk, with ``win_id`` and local positions; others vanish.
+
+    A span meets only the chunks that touch the block of ``width`` positions in
+    which it starts, so a long document's pairs do not grow with its square.
+    """
+    at = _blocks(windows.where(F.col("chunk_end") > F.col("chunk_start")), width, "chunk_start", "(chunk_end - 1)")
+    starts = spans.withColumn("__block", F.expr(f"cast(sub_start div {width} as int)"))
+    joined = starts.join(at, ["doc_id", "__block"]).where((F.col("chunk_start") <= F.col("sub_start")) & (F.col("sub_end") < F.col("chunk_end"))).drop("__block")
     return joined.withColumn("local_start", F.col("sub_start") - F.col("chunk_start")).withColumn("local_end", F.col("sub_end") - F.col("chunk_start")).drop("chunk_start", "chunk_end")
 
 
@@ -232,12 +238,14 @@ def recall_by_length(candidates: DataFrame, gold: DataFrame, threshold: float) -
     return rows.join(hit, ["doc_id", *SPAN], "left").groupBy("length").agg(F.count("*").alias("n"), F.coalesce(F.sum("__h"), F.lit(0)).cast("long").alias("found"))
 
 
-def bio_encode(spans: DataFrame, lengths: DataFrame, heads: int = 2, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+def bio_encode(spans: DataFrame, lengths: DataFrame, heads: int = 2, keys: Sequence[str] = ("doc_id",), within: Sequence[str] = ()) -> DataFrame:
     """``keys, head, pos, label``: B, I or O at each position, a head for each nesting depth below ``heads``.
 
     ``lengths``: ``keys, n``.  Where spans of one depth meet, B wins.
+    ``within``: columns of ``spans`` that no nesting crosses, such as the
+    sentence; only spans that share them are compared.
     """
-    deep = nesting_depth(spans, keys).where(F.col("depth") < heads)
+    deep = nesting_depth(spans, [*keys, *within]).where(F.col("depth") < heads)
     marks = deep.select(*keys, F.col("depth").cast("int").alias("head"), "sub_start", F.explode(F.sequence("sub_start", "sub_end")).alias("pos"))
     own = marks.groupBy(*keys, "head", "pos").agg(F.min(F.when(F.col("pos") == F.col("sub_start"), "B").otherwise("I")).alias("label"))
     every = lengths.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("pos")).withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(heads - 1))))

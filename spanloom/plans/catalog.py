@@ -795,7 +795,7 @@ _BIO = {
 
 def _bio(spark: SparkSession, sf: str) -> DataFrame:
     lengths = views.tokens(spark, sf).groupBy("doc_id").agg(F.sum("n_pieces").alias("n"))
-    return spans.bio_encode(views.gold(spark, sf), lengths, 2, ("doc_id",))
+    return spans.bio_encode(views.gold(spark, sf), lengths, 2, ("doc_id",), within=("sent_idx",))
 
 
 @query(

@@ -190,3 +190,46 @@ def test_calibration_marks_the_first_best(spark):
 def test_cross_window_pairs_are_salted_alike(spark):
     nodes = spark.createDataFrame([(1, k, k % 3) for k in range(9)], "doc_id int, node_idx int, win_id int")
     assert rows(links.cross_window_pairs(nodes).select("i", "j")) == rows(links.cross_window_pairs(nodes, salt=5).select("i", "j"))
+
+
+@pytest.mark.parametrize("how", ["mean", "max", "lse", "attention"])
+def test_pooling_in_small_parts(spark, how):
+    rng = np.random.default_rng(1)
+    v, node = rng.normal(size=(300, 4)), np.where(np.arange(300) % 3 == 0, 0, np.arange(300) % 41)
+    df = spark.createDataFrame([(1, int(n), x.tolist()) for n, x in zip(node, v)] + [(2, 0, None), (2, 1, [])], "doc_id int, node_idx int, vec array<double>").repartition(7)
+    q = [0.5, -1.0, 0.0, 2.0]
+    got = {r["node_idx"]: r["vec"] for r in vectors.pool_members(df, how, query=q, held=5).collect()}
+    soft = lambda x: np.exp(x @ q) / np.exp(x @ q).sum()
+    plain = {"mean": lambda x: x.mean(0), "max": lambda x: x.max(0), "lse": lambda x: np.log(np.exp(x).mean(0)), "attention": lambda x: soft(x) @ x}[how]
+    assert set(got) == set(node.tolist())
+    assert all(np.allclose(got[n], plain(v[node == n])) for n in got)
+
+
+def test_running_sums_auc_and_median(spark):
+    rng = random.Random(4)
+    scored = [(rng.randint(0, 30) / 10, rng.random() < 0.4) for _ in range(200)]
+    df = spark.createDataFrame(scored, "score double, is_gold boolean")
+    yes, no = [s for s, g in scored if g], [s for s, g in scored if not g]
+    want = sum((a > b) + (a == b) / 2 for a in yes for b in no) / (len(yes) * len(no))
+    assert links.separation_auc(df).first()["auc"] == pytest.approx(want)
+    sums = {r["score"]: r["n_before"] for r in links.running_before(df.groupBy("score").agg(F.count("*").alias("n")), "score", ["n"], parts=5).collect()}
+    assert sums == {s: sum(x < s for x, _ in scored) for s, _ in scored}
+    pairs = spark.createDataFrame([(1, 0, i, 0, s, True) for i, (s, _) in enumerate(scored, 1)], "doc_id int, win_id int, i int, j int, sim double, is_gold boolean")
+    told = spark.createDataFrame([(1, 0, i, "TRUE_LINK" if g else "MISSED_LINK") for i, (_, g) in enumerate(scored, 1)], "doc_id int, win_id int, i int, outcome string")
+    got = {r["kind"]: r for r in links.similarity_separation(pairs, told).collect()}
+    for kind, values in (("resolved", yes), ("missed", no)):
+        assert (got[kind]["n"], got[kind]["median_sim"]) == (len(values), pytest.approx(np.median(values)))
+        assert got[kind]["mean_sim"] == pytest.approx(np.mean(values))
+
+
+def test_spans_meet_overlapping_windows(spark):
+    gold = spark.createDataFrame([(1, 0, 2), (1, 299, 300), (1, 511, 512), (1, 600, 900)], "doc_id int, sub_start long, sub_end long")
+    windows = spark.createDataFrame([(1, 0, 0, 300), (1, 1, 200, 600), (1, 2, 590, 1000), (1, 3, 5, 5)], "doc_id int, win_id int, chunk_start long, chunk_end long")
+    got = spans.spans_in_window(gold, windows).select("win_id", "sub_start", "local_start", "local_end")
+    assert rows(got) == [(0, 0, 0, 2), (1, 299, 99, 100), (1, 511, 311, 312), (2, 600, 10, 310)]
+
+
+def test_caps_count_training_documents_only(spark):
+    docs = spark.createDataFrame([(k, "a" if k % 2 else "b", "train" if k < 8 else "test", k) for k in range(10)] + [(10, None, "train", 10)], "doc_id int, corpus string, split string, doc_order int")
+    got = mentions.select_subset(docs, caps={"a": 1, "b": 3})
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 1, 2, 4, 8, 9, 10]
