@@ -105,8 +105,9 @@ def hard_negatives(candidates: DataFrame, ratio: int = 5, keys: Sequence[str] =
 
 
 def sample_negatives(pairs: DataFrame, ratio: float = 5, seed: int = 0, keys: Sequence[str] = ("doc_id", "win_id")) -> DataFrame:
-    """All gold antecedents of each ``i`` and, by a hash of the pair, ``max(int(ratio * max(gold, 1)), 4)`` others at most."""
-    node, kind = Window.partitionBy(*keys, "i"), Window.partitionBy(*keys, "i", "is_gold").orderBy(F.xxhash64(*keys, "i", "j", F.lit(seed)), "j")
+    """All gold antecedents of each ``i`` and, in order of a digest of the pair, ``max(int(ratio * max(gold, 1)), 4)`` others at most."""
+    digest = F.md5(F.concat_ws("-", *(F.col(c).cast("string") for c in (*keys, "i", "j")), F.lit(str(seed))).cast("binary"))
+    node, kind = Window.partitionBy(*keys, "i"), Window.partitionBy(*keys, "i", "is_gold").orderBy(digest, "j")
     many = F.greatest((F.lit(float(ratio)) * F.greatest(F.col("__g"), F.lit(1))).cast("int"), F.lit(4))
     ranked = pairs.withColumn("__g", F.sum(F.col("is_gold").cast("int")).over(node)).withColumn("__r", F.row_number().over(kind))
     return ranked.where(F.col("is_gold") | (F.col("__r") <= many)).drop("__g", "__r")
@@ -118,6 +119,16 @@ def training_pairs(mentions: DataFrame, ratio: float | None = None, seed: int =
     return pairs if ratio is None else sample_negatives(pairs, ratio, seed)
 
 
+def training_nodes(nodes: DataFrame, ratio: float | None = None, seed: int = 0, salt: int = 1) -> DataFrame:
+    """Labelled pairs of a document's nodes in different windows: ``doc_id, win_id_i, win_id_j, i, j, is_gold``.
+
+    ``nodes``: ``doc_id, node_idx, win_id, gold_id``.  ``ratio``: all gold
+    antecedents of each node and that many sampled others, four at least.
+    """
+    pairs = cross_window_pairs(nodes, carry=("gold_id",), salt=salt).withColumn("is_gold", F.col("gold_id_i") == F.col("gold_id_j")).drop("gold_id_i", "gold_id_j")
+    return pairs if ratio is None else sample_negatives(pairs, ratio, seed, keys=("doc_id",))
+
+
 def ranking_loss(pairs: DataFrame, mentions: DataFrame, null_score: float = 0.0) -> DataFrame:
     """One row ``loss``: half the mean over mentions with a gold antecedent and half that over those without.
 

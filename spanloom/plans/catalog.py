@@ -6,6 +6,7 @@ sf_dir) -> DataFrame``; ``ORACLE_SQL`` has the same in SQL where SQL can say it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import columns as C
 from spanloom.operators import lexical, links, mentions, metrics, spans, vectors
-from spanloom.operators.components import durable
+from spanloom.operators.components import durable, shared_folder
 from spanloom.plans import views
 from spanloom.plans.views import with_views
 from spanloom.sources import conll, corpora
@@ -233,15 +234,15 @@ def window_gold_partition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _GOLD_TEXT = {"m": 'SELECT doc_id, cluster_id, sent_idx, "start" AS a, "end" - 1 AS b FROM v_gold'}
+_EVENTS = """SELECT doc_id, sent_idx, a AS tok_idx, 1 AS kind, 0 AS rank, cluster_id, '(' || cluster_id || ')' AS txt FROM m WHERE a = b
+    UNION ALL SELECT doc_id, sent_idx, a, 0, -b, cluster_id, '(' || cluster_id FROM m WHERE a < b UNION ALL SELECT doc_id, sent_idx, b, 2, -a, cluster_id, cluster_id || ')' FROM m WHERE a < b"""
 
 
 @query(
     with_views(
         """SELECT t.doc_id, t.sent_idx, t.tok_idx, t.word, coalesce(c.coref, '-') AS coref FROM v_tokens t LEFT JOIN
         (SELECT doc_id, sent_idx, tok_idx, string_agg(txt, '|' ORDER BY kind, rank, cluster_id) AS coref FROM ev GROUP BY 1, 2, 3) c USING (doc_id, sent_idx, tok_idx)""",
-        "v_tokens", "v_gold", **_GOLD_TEXT,
-        ev="""SELECT doc_id, sent_idx, a AS tok_idx, 1 AS kind, 0 AS rank, cluster_id, '(' || cluster_id || ')' AS txt FROM m WHERE a = b
-        UNION ALL SELECT doc_id, sent_idx, a, 0, -b, cluster_id, '(' || cluster_id FROM m WHERE a < b UNION ALL SELECT doc_id, sent_idx, b, 2, -a, cluster_id, cluster_id || ')' FROM m WHERE a < b""",
+        "v_tokens", "v_gold", **_GOLD_TEXT, ev=_EVENTS,
     )
 )
 def coref_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,6 +275,119 @@ def annotation_labels(spark: SparkSession, sf: str) -> DataFrame:
     return labels.select("doc_id", "sent_idx", "tok_idx", "label")
 
 
+# CoNLL text: lines made from the tokens, read as a file is read
+
+#: Columns of the text, from a token's place and letters: the same expression makes the input of both engines.
+_CELLS = {
+    "pos": "CASE WHEN sent_idx % 7 = 3 AND tok_idx = 0 THEN 'XX' WHEN tok_idx % 5 = 4 THEN ')' WHEN tok_idx % 2 = 0 THEN 'NN' ELSE 'VB' END",
+    "parse_bit": "CASE WHEN n = 1 THEN '(TOP*)' WHEN tok_idx = 0 THEN '(TOP*' WHEN tok_idx = n - 1 THEN '*)' WHEN tok_idx % 3 = 1 THEN '(X*)' ELSE '*' END",
+    "lemma": "CASE WHEN tok_idx % 2 = 0 THEN '-' ELSE 'l' || length(word) END",
+    "frameset": "CASE WHEN tok_idx % 4 = 1 THEN '01' ELSE '-' END",
+    "sense": "CASE WHEN tok_idx % 5 = 2 THEN '2' ELSE '-' END",
+    "speaker": "CASE WHEN sent_idx % 2 = 0 THEN '-' ELSE 'Spk' || (sent_idx % 3) END",
+    "entity": "CASE WHEN tok_idx % 4 = 1 THEN '(L*)' ELSE '*' END",
+    "role": "CASE WHEN tok_idx = 0 THEN '(ARG0*)' WHEN tok_idx = 1 THEN '(V*)' WHEN tok_idx = 2 AND n = 3 THEN '(ARG1*)' WHEN tok_idx = 2 THEN '(ARG1*' WHEN tok_idx = n - 1 THEN '*)' ELSE '*' END",
+}
+_DOCS_A_FILE = 4
+_TEXT = {
+    "plain": f"""SELECT doc_id, (doc_id // {_DOCS_A_FILE})::VARCHAR AS file, (dense_rank() OVER (PARTITION BY doc_id // {_DOCS_A_FILE} ORDER BY doc_id) - 1)::INT AS doc_no, sent_idx, tok_idx,
+        regexp_replace(word, '[\\x09-\\x0D]', '_', 'g') AS word, count(*) OVER (PARTITION BY doc_id, sent_idx) AS n FROM v_tokens""",
+    "t": f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in _CELLS.items())} FROM plain",
+}
+
+
+def _written(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens with all columns of CoNLL text; white space inside words is replaced."""
+    from pyspark.sql import Window
+
+    word = F.regexp_replace("word", r"[\x09-\x0D]", "_").alias("word")
+    rows = views.tokens(spark, sf).select("doc_id", "sent_idx", "tok_idx", word).withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "sent_idx")))
+    return rows.select("doc_id", "sent_idx", "tok_idx", "word", *(F.expr(e).alias(c) for c, e in _CELLS.items()))
+
+
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens read from the lines of text, several documents to a file."""
+    from pyspark.sql import Window
+
+    lines = conll.render_conll(_written(spark, sf), views.gold(spark, sf), ("word", *_CELLS)).withColumn("file", F.expr(f"cast(doc_id div {_DOCS_A_FILE} as string)"))
+    order = Window.partitionBy("file").orderBy("doc_id", "sent_idx", "tok_idx")
+    return conll.parse_token_lines(conll.token_lines(lines.select("file", F.row_number().over(order).alias("line_no"), "value")))
+
+
+@query(
+    with_views(
+        """SELECT file, doc_no, sent_idx, tok_idx, doc_id::VARCHAR AS document, word, pos, parse_bit, nullif(lemma, '-') AS lemma, nullif(frameset, '-') AS frameset, nullif(sense, '-')::DOUBLE AS sense, nullif(speaker, '-') AS speaker, tok_idx = 1 AS is_verb FROM t""",
+        "v_tokens", **_TEXT,
+    )
+)
+def conll_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf).select("file", "doc_no", "sent_idx", "tok_idx", "document", "word", "pos", "parse_bit", "lemma", "frameset", "sense", "speaker", "is_verb")
+
+
+@query(
+    with_views(
+        """SELECT file, doc_no, sent_idx, count(*)::INT AS n, string_agg(word, ' ' ORDER BY tok_idx) AS words, string_agg(lemma, ' ' ORDER BY tok_idx) AS lemmas FROM t GROUP BY 1, 2, 3""",
+        "v_tokens", **_TEXT,
+    )
+)
+def conll_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    listed = conll.assemble_sentences(_parsed(spark, sf), ("word", "lemma"))
+    return listed.select(*conll.SENTENCE, F.size("word").alias("n"), F.array_join("word", " ").alias("words"), F.array_join("lemma", " ", "-").alias("lemmas"))
+
+
+_ROUND = "CASE {0} WHEN '(' THEN '-LRB-' WHEN ')' THEN '-RRB-' ELSE {0} END"
+
+
+@query(
+    with_views(
+        f"""SELECT file, doc_no, sent_idx, CASE WHEN bool_or(pos = 'XX' OR word = 'XX') THEN NULL ELSE
+        string_agg(split_part(parse_bit, '*', 1) || ' (' || {_ROUND.format("pos")} || ' ' || {_ROUND.format("word")} || ') ' || split_part(parse_bit, '*', 2), '' ORDER BY tok_idx) END AS parse FROM t GROUP BY 1, 2, 3""",
+        "v_tokens", **_TEXT,
+    )
+)
+def conll_parses(spark: SparkSession, sf: str) -> DataFrame:
+    return conll.parse_string(_parsed(spark, sf))
+
+
+@query(
+    with_views(
+        """SELECT file, doc_no, sent_idx, 1 AS frame, max(CASE WHEN tok_idx = 1 THEN word END) AS verb, string_agg(CASE tok_idx WHEN 0 THEN 'B-ARG0' WHEN 1 THEN 'B-V' WHEN 2 THEN 'B-ARG1' ELSE 'I-ARG1' END, ' ' ORDER BY tok_idx) AS labels FROM t WHERE n > 1 GROUP BY 1, 2, 3""",
+        "v_tokens", **_TEXT,
+    )
+)
+def conll_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return conll.srl_frames(_parsed(spark, sf)).withColumn("labels", F.array_join("labels", " "))
+
+
+@query(
+    with_views(
+        """SELECT file, doc_no, string_agg(ms, ';' ORDER BY cluster_id) AS clusters FROM (SELECT file, doc_no, cluster_id, string_agg(m, ',' ORDER BY sent_idx, "start", "end") AS ms FROM
+        (SELECT DISTINCT d.file, d.doc_no, cluster_id, sent_idx, "start", "end", sent_idx || '-' || "start" || '-' || "end" AS m FROM v_gold JOIN (SELECT DISTINCT doc_id, file, doc_no FROM t) d USING (doc_id)) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+        "v_tokens", "v_gold", **_TEXT,
+    )
+)
+def conll_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    found, _ = conll.match_coref_brackets(_parsed(spark, sf))
+    text = F.transform("clusters", lambda c: F.array_join(F.transform(c, lambda m: F.array_join(m.cast("array<string>"), "-")), ","))
+    return conll.collect_clusters(found).select("file", "doc_no", F.array_join(text, ";").alias("clusters"))
+
+
+@query(
+    with_views(
+        """SELECT t.doc_id, t.sent_idx, t.tok_idx, t.word, t.pos, coalesce(c.coref, '-') AS coref FROM t LEFT JOIN
+        (SELECT doc_id, sent_idx, tok_idx, string_agg(txt, '|' ORDER BY kind, rank, cluster_id) AS coref FROM ev GROUP BY 1, 2, 3) c USING (doc_id, sent_idx, tok_idx)""",
+        "v_tokens", "v_gold", **_TEXT, **_GOLD_TEXT, ev=_EVENTS,
+    )
+)
+def conll_files_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of CoNLL text, written to the shared folder and read again: a file for about every 256 documents."""
+    folder = f"{shared_folder(spark)}/conll-{uuid.uuid4().hex}"
+    documents = views.read(spark, sf, "documents").count()
+    conll.write_conll(_written(spark, sf), views.gold(spark, sf), folder, ("word", *_CELLS), files=max(8, documents // 256))
+    back = conll.parse_token_lines(conll.token_lines(conll.read_conll(spark, folder, "part-*")))
+    return back.select(F.col("document").cast("long").alias("doc_id"), "sent_idx", "tok_idx", "word", "pos", "coref")
+
+
 # Pairs, links, clusters
 
 _PLACED = {"g": f"SELECT *, (tok_pos // {WINDOW})::INT AS win_id FROM v_gold"}
@@ -1054,11 +1168,36 @@ def linear_probe_auc(spark: SparkSession, sf: str) -> DataFrame:
     return one.unionByName(links.separation_auc(probe, buckets=100_000).withColumn("score", F.lit("probe")))
 
 
-@query()
+def _sampled_sql(pairs: str, keys: str, ratio: int, seed: int) -> dict[str, str]:
+    return {
+        "pr": pairs,
+        "rk": f"SELECT *, sum(is_gold::INT) OVER (PARTITION BY {keys}, i) AS golds, row_number() OVER (PARTITION BY {keys}, i, is_gold ORDER BY md5(concat_ws('-', {keys}, i, j, {seed})), j) AS r FROM pr",
+        "kept": f"SELECT * FROM rk WHERE is_gold OR r <= greatest({ratio} * greatest(golds, 1), 4)",
+    }
+
+
+@query(
+    with_views(
+        "SELECT doc_id, win_id, i, j, dist, bucket::INT AS bucket, is_gold FROM kept",
+        "v_gold", **_PLACED, named="SELECT *, mention_idx AS i FROM g",
+        **_sampled_sql(f"SELECT x.doc_id, x.win_id, x.i, y.i AS j, x.i - y.i AS dist, {_BUCKET} AS bucket, x.cluster_id = y.cluster_id AS is_gold FROM named x JOIN named y ON x.doc_id = y.doc_id AND x.win_id = y.win_id AND y.i < x.i", "doc_id, win_id", 2, 3),
+    )
+)
 def sampled_training_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return links.training_pairs(mentions.fixed_windows(views.gold(spark, sf), WINDOW), ratio=2, seed=3)
 
 
+@query(
+    with_views(
+        "SELECT doc_id, win_id_i, win_id_j, i, j, is_gold FROM kept",
+        "v_gold", **_NODES,
+        **_sampled_sql("SELECT x.doc_id, x.win_id AS win_id_i, y.win_id AS win_id_j, x.node_idx AS i, y.node_idx AS j, x.gold_id = y.gold_id AS is_gold FROM nodes x JOIN nodes y ON x.doc_id = y.doc_id AND y.node_idx < x.node_idx AND x.win_id <> y.win_id", "doc_id", 2, 5),
+    )
+)
+def sampled_training_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return links.training_nodes(durable(links.build_nodes(_members(spark, sf))), ratio=2, seed=5, salt=8)
+
+
 @query(with_views("SELECT doc_id, sent_idx, tok_idx, contains_it, shared, label FROM t", "v_prev", t="""SELECT doc_id, sent_idx, tok_idx, prev_word IS NOT NULL AND list_contains([prev_word, word], word) AS contains_it, greatest(0, least(tok_idx + 3, 7) - greatest(tok_idx, 5))::INT AS shared,
     CASE WHEN 1 - p < 0.5 THEN 'O' WHEN q >= 1 - p - q THEN 'B' ELSE 'I' END AS label FROM (SELECT *, ((word_idx * 13) % 100) / 100.0::DOUBLE AS p, (1 - ((word_idx * 13) % 100) / 100.0::DOUBLE) * ((word_idx * 7) % 11) / 11.0::DOUBLE AS q FROM v_prev)"""))
 def span_functions(spark: SparkSession, sf: str) -> DataFrame:

@@ -148,9 +148,12 @@ def coref_column(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
     return tokens.join(cells, ["doc_id", "sent_idx", "tok_idx"], "left").withColumn("coref", F.coalesce("coref", F.lit("-")))
 
 
-def render_conll(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
-    """``doc_id, sent_idx, tok_idx, value``: the lines of a CoNLL file, with begin and end lines and a blank line after each sentence."""
-    body = coref_column(tokens, mentions).select("doc_id", "sent_idx", "tok_idx", F.concat_ws("\t", F.col("doc_id").cast("string"), F.lit("0"), F.col("tok_idx").cast("string"), "word", "coref").alias("value"))
+def render_conll(tokens: DataFrame, mentions: DataFrame, columns: tuple[str, ...] = ("word",)) -> DataFrame:
+    """``doc_id, sent_idx, tok_idx, value``: the lines of a CoNLL file, with begin and end lines and a blank line after each sentence.
+
+    ``columns`` of ``tokens`` stand between the token's number and ``coref``.
+    """
+    body = coref_column(tokens, mentions).select("doc_id", "sent_idx", "tok_idx", F.concat_ws("\t", F.col("doc_id").cast("string"), F.lit("0"), F.col("tok_idx").cast("string"), *columns, "coref").alias("value"))
     top = 2**31 - 1
     blank = tokens.groupBy("doc_id", "sent_idx").agg(F.lit(top).alias("tok_idx"), F.lit("").alias("value"))
     docs = tokens.select("doc_id").distinct()
@@ -159,6 +162,12 @@ def render_conll(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
     return body.unionByName(blank).unionByName(begin).unionByName(end)
 
 
-def write_conll(tokens: DataFrame, mentions: DataFrame, path: str) -> None:
-    """Write a partition as CoNLL text; a document's lines lie in one file, in order."""
-    render_conll(tokens, mentions).repartition("doc_id").sortWithinPartitions("doc_id", "sent_idx", "tok_idx").select("value").write.text(path)
+def write_conll(tokens: DataFrame, mentions: DataFrame, path: str, columns: tuple[str, ...] = ("word",), files: int | None = None) -> None:
+    """Write a partition as CoNLL text; a document's lines lie in one file, in order.
+
+    ``files``: deal the documents out over so many files, which ``read_conll``
+    takes one by one; otherwise as many as the session has shuffle partitions.
+    """
+    lines = render_conll(tokens, mentions, columns)
+    dealt = lines.repartition("doc_id") if files is None else lines.repartition(files, "doc_id")
+    dealt.sortWithinPartitions("doc_id", "sent_idx", "tok_idx").select("value").write.text(path)
