@@ -1121,6 +1121,29 @@ def surface_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return mentions.attach_surface_vectors(gold, table).select("doc_id", "mention_idx", F.col("vec").alias("times"))
 
 
+def _entry(k: str, d: str) -> str:
+    """A projection's entry in row ``k`` and column ``d``, from 0."""
+    return f"(({k} * 7 + {d} * 3) % 11 - 5) / 8.0"
+
+
+@query(
+    with_views(
+        f"""SELECT doc_id, mention_idx, d::INT AS d, round(list_sum(list_transform(generate_series(0, len(x) - 1), lambda k: x[k + 1] * (({_entry('k', 'e')})::DOUBLE))) + e * 0.5, 6) AS x FROM
+        (SELECT doc_id, mention_idx, vec::DOUBLE[] AS x, unnest([0, 1, 2, 3]) AS d, unnest([0, 1, 2, 3]) AS e FROM v_vec
+        UNION ALL SELECT doc_id, mention_idx, vec[1:16]::DOUBLE[], unnest([4, 5]), unnest([0, 1]) FROM v_vec)""",
+        "v_vec",
+    )
+)
+def projected_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """Two channels, the endpoints' vectors and the surface's, projected and joined."""
+    import numpy as np
+
+    matrix = lambda rows, cols: np.array([[((k * 7 + d * 3) % 11 - 5) / 8.0 for d in range(cols)] for k in range(rows)])
+    rows = views.vectors(spark, sf).select("doc_id", "mention_idx", F.array(F.slice("vec", 1, 32), F.slice("vec", 33, 32)).alias("ctx"), F.slice("vec", 1, 16).alias("surface"))
+    out = vectors.project_channels(rows, {"ctx": (matrix(64, 4), np.arange(4) * 0.5), "surface": (matrix(16, 2), np.arange(2) * 0.5)})
+    return rounded(out.select("doc_id", "mention_idx", F.posexplode("vec").alias("d", "x")), "x")
+
+
 @query()
 def encoded_surfaces(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.encode_surfaces(mentions.surfaces(views.gold(spark, sf)))

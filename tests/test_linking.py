@@ -233,3 +233,22 @@ def test_caps_count_training_documents_only(spark):
     docs = spark.createDataFrame([(k, "a" if k % 2 else "b", "train" if k < 8 else "test", k) for k in range(10)] + [(10, None, "train", 10)], "doc_id int, corpus string, split string, doc_order int")
     got = mentions.select_subset(docs, caps={"a": 1, "b": 3})
     assert sorted(r["doc_id"] for r in got.collect()) == [0, 1, 2, 4, 8, 9, 10]
+
+
+def test_window_positions_and_channels(spark):
+    rng = np.random.default_rng(3)
+    v, at = rng.normal(size=(4, 2)), rng.normal(size=(2, 2))
+    weights = {"w1": rng.normal(size=(11, 4)), "b1": rng.normal(size=4), "w2": rng.normal(size=(4, 3)), "b2": rng.normal(size=3), "w3": rng.normal(size=(3, 1)), "b3": rng.normal(size=1)}
+    nodes = spark.createDataFrame([(1, k, k, x.tolist()) for k, x in enumerate(v)], "doc_id int, node_idx int, win_id int, vec array<double>")
+    none = spark.createDataFrame([], "doc_id int, i int, j int, idf_jaccard double, containment int, exact_match int")
+    got = {(r["i"], r["j"]): r["score"] for r in vectors.score_node_pairs(nodes, none, weights, windows=at).collect()}
+    h = v + at[[0, 1, 1, 1]]
+    for i in range(4):
+        for j in range(i):
+            x = np.concatenate([h[i], h[j], h[i] * h[j], abs(h[i] - h[j]), np.zeros(3)])
+            for k in (1, 2):
+                x = np.maximum(x @ weights[f"w{k}"] + weights[f"b{k}"], 0)
+            assert got[i, j] == pytest.approx((x @ weights["w3"] + weights["b3"]).item())
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]], [1.0]), (None, [2.0])], "ctx array<array<double>>, surface array<double>")
+    out = vectors.project_channels(df, {"ctx": (np.ones((4, 1)), np.array([0.5])), "surface": (np.array([[1.0, -1.0]]), np.zeros(2))})
+    assert [list(r["vec"]) for r in out.collect()] == [[10.5, 1.0, -1.0], [0.5, 2.0, -2.0]]
