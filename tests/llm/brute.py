@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from fractions import Fraction
 
 ALNUM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -89,3 +90,42 @@ def repeats(texts, size=200):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def runs(words, least=6, times=4):
+    """(start, length, period) of the runs of a sequence, every period tried."""
+    n, out = len(words), []
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            start = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            length = i - start + q
+            part = words[start : start + length]
+            if i > start and length >= max(least, times * q) and all(part[p:] != part[:-p] for p in range(1, q)):
+                out.append((start, length, q))
+            i += 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periodic(doc_id, text):
+    """A row of op13_runs."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    n = len(words)
+    if doc_id is not None and n:
+        h = zlib.crc32(str(doc_id).encode())
+        if h % 10 == 0:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+    found = runs(words)
+    gone = {i for s, length, q in found for i in range(s + q, s + length)}
+    best = (None,) * 4
+    if found:
+        s, length, q = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]))
+        best = (s, length, q, 1000 * length // q)
+    listed = "".join(f"{s},{length},{q}\n" for s, length, q in found).encode()
+    kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
+    return (doc_id, len(found), *best, hashlib.sha256(listed).hexdigest(), hashlib.sha256(kept).hexdigest())
