@@ -93,6 +93,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("found")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.tries import branched, ordered_turns, prefix_trie
+
+    return prefix_trie(*branched(ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), block=100, most=6))
+
+
 def repeated_from(text: Column, doc_id: Column) -> Column:
     """The words of ``text``, one space between, where crc32 of the decimal id ends in 0: from word ``a`` on its ``p`` words again and again; other texts as they are."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -126,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_licenses": op10_licenses,
+    "op11_trie": op11_trie,
     "op13_runs": op13_runs,
 }
 
@@ -148,4 +155,17 @@ ORACLE_SQL: dict[str, str] = {
         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
         sum(length('<s>[INST] ') + length({_ESCAPED.format(c="role")}) + length(' [/INST]') + length({_ESCAPED.format(c="text")}) + length('</s>'))::BIGINT AS formatted_chars FROM t GROUP BY 1)
         SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c""",
+    "op11_trie": r"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (SELECT DISTINCT c, c - c % 100 AS base FROM t),
+        crc AS (SELECT c, base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+            lambda v, byte: list_reduce([xor(v, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1)))), 4294967295::BIGINT) % 6 AS h FROM ids),
+        known AS (SELECT crc.c, base, h, least(h, coalesce(n, 0)) AS m FROM crc LEFT JOIN (SELECT c AS base, count(*) AS n FROM t GROUP BY 1) USING (base)),
+        b AS (SELECT known.c, t.k AS d, r, x FROM known JOIN t ON t.c = known.base AND t.k <= known.m UNION ALL SELECT known.c, m + k - h, r, x FROM known JOIN t USING (c) WHERE k > h),
+        p AS (SELECT c, d, length(x) AS chars, md5(string_agg(length(r) || ':' || r || length(x) || ':' || x, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS p FROM b UNION ALL SELECT c, 0, 0, '' FROM known),
+        q AS (SELECT *, lag(p) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS ends FROM p),
+        n AS (SELECT p, max(up) AS up, min(c) AS conv_id, max(d) AS depth, count(*) AS n_convs, max(chars) AS chars, coalesce(sha256(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends)), sha256('')) AS ends_sha256 FROM q GROUP BY p),
+        k AS (SELECT up AS p, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY 1),
+        v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (p)),
+        s AS (SELECT q.p, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * v.chars)::BIGINT AS saved_tokens FROM v JOIN q ON q.c = v.conv_id AND q.d <= v.depth GROUP BY 1)
+        SELECT v.conv_id, v.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256 FROM v JOIN s USING (p) LEFT JOIN n AS o ON o.p = v.up""",
 }

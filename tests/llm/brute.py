@@ -129,3 +129,38 @@ def periodic(doc_id, text):
     listed = "".join(f"{s},{length},{q}\n" for s, length, q in found).encode()
     kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
     return (doc_id, len(found), *best, hashlib.sha256(listed).hexdigest(), hashlib.sha256(kept).hexdigest())
+
+
+def trie(conversations):
+    """Rows of op11_trie from {id: [(role, text), ...]}, already rebuilt."""
+    members = {}
+    for c, turns in conversations.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    kids = {}
+    for node in members:
+        if node:
+            kids.setdefault(node[:-1], []).append(node)
+
+    def below(node):
+        leaves, saved = int(node not in kids), (len(members[node]) - 1) * len(node[-1][1]) if node else 0
+        for k in kids.get(node, []):
+            more = below(k)
+            leaves, saved = leaves + more[0], saved + more[1]
+        return leaves, saved
+
+    out = []
+    for node, who in members.items():
+        ends = sorted(c for c in who if len(conversations[c]) == len(node))
+        out.append((min(who), len(node), min(members[node[:-1]]) if node else None, len(who), len(kids.get(node, [])), *below(node), hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
+    return sorted(out, key=lambda r: (r[0], r[1]))
+
+
+def rebuilt(conversations):
+    """{id: turns} with the first turns of the hundred's first conversation."""
+    out = {}
+    for c, turns in conversations.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - int(c - 100 * int(c / 100))
+        out[c] = conversations.get(base, [])[:h] + turns[h:]
+    return out
