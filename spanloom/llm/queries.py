@@ -103,15 +103,17 @@ def repeated_from(text: Column, doc_id: Column) -> Column:
     """The words of ``text``, one space between, where crc32 of the decimal id ends in 0: from word ``a`` on its ``p`` words again and again; other texts as they are."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / 10).cast("long")
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words).cast("long")
 
-    def again(words: Column, n: Column) -> Column:
-        a = g % n
-        p = F.floor((n - a) / (F.lit(3) + g % 8)).cast("long") + 1
-        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.element_at(words, (a + (i - a) % p + 1).cast("int")))), " ")
+    def again(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = F.floor((n - a) / (F.lit(3) + g % 8)).cast("int") + 1
+        tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")).otherwise("")
 
-    return F.when((h % 10 == 0) & (n > 0), again(words, n)).otherwise(text)
+    # a list of one gives the words a name, so they are split once
+    words = F.array(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    return F.when(h % 10 == 0, F.transform(words, again)[0]).otherwise(text)
 
 
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
