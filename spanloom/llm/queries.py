@@ -99,6 +99,12 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*branched(ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), block=100, most=6))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.pages import main_text
+
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def repeated_from(text: Column, doc_id: Column) -> Column:
     """The words of ``text``, one space between, where crc32 of the decimal id ends in 0: from word ``a`` on its ``p`` words again and again; other texts as they are."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -135,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_licenses": op10_licenses,
     "op11_trie": op11_trie,
+    "op12_main_text": op12_main_text,
     "op13_runs": op13_runs,
 }
 
