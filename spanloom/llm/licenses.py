@@ -1,11 +1,13 @@
 """Licence detection by a positional index of rare licence words.
 
-The index holds, for each word of the licence templates, where it stands in
-which template.  Licence words are weighed by inverse document frequency over
-all documents; of each template the rarest word of its mandatory phrases is
-looked up in every document.  Its posting's relative position (word in document
-less word in template) points to a template and a place.  There the template's
-mandatory phrases are verified.
+The index holds, for each word of the templates' mandatory phrases, where it
+stands in which template.  Licence words are weighed by inverse document
+frequency over all documents.  A file's own licence words are looked up from
+the rarest on; each posting's relative positions (place in the file less place
+in the template) are intersected with what the template has left.  A template
+is given up once nothing is left, never at a count of words.  Where all its
+postings agree, its mandatory phrases and the share of its words in place are
+verified.
 """
 
 from __future__ import annotations
@@ -97,39 +99,72 @@ def licence_idf(docs: DataFrame, index: Index) -> dict[bytes, float]:
     return {w: math.log((1 + n.get(b"", 0)) / (1 + n.get(w, 0))) for w in index.postings}
 
 
-def rare_words(index: Index, idf: dict[bytes, float]) -> dict[bytes, list[tuple[int, int]]]:
-    """The postings that are looked up: of each template the word of its mandatory phrases with the highest IDF."""
-    out: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+@dataclass
+class Lookup:
+    """The index in order of IDF."""
+
+    index: Index
+    #: By word of a mandatory phrase: its (template, position) postings; words by falling IDF.
+    postings: dict[bytes, list[tuple[int, int]]]
+    #: By template: the words that its mandatory phrases need.
+    words: list[frozenset[bytes]]
+
+
+def by_rarity(index: Index, idf: dict[bytes, float]) -> Lookup:
+    postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
     for template, needed in enumerate(index.needed):
-        _, word, at = max((idf[w], w, p + k) for p, ws in needed for k, w in enumerate(ws))
-        out[word].append((template, at))
-    return dict(out)
+        for p, ws in needed:
+            for k, w in enumerate(ws):
+                if (template, p + k) not in postings[w]:
+                    postings[w].append((template, p + k))
+    order = sorted(postings, key=lambda w: (-idf[w], w))
+    return Lookup(index, {w: postings[w] for w in order}, [frozenset(w for _, ws in needed for w in ws) for needed in index.needed])
 
 
-def match(words: list[bytes], index: Index, rare: dict[bytes, list[tuple[int, int]]], cover: float = 0.6) -> list[tuple[str, int, float]]:
+def match(words: list[bytes], lookup: Lookup, cover: float = 0.6) -> list[tuple[str, int, float]]:
     """(template label, its first word's place, share of its words in place) of each place that is verified.
 
-    ``rare``: see ``rare_words``; each is looked up at every place where it
-    stands.  As it belongs to a mandatory phrase, no place of a template is
-    passed over.  There the mandatory phrases must stand where the template has
-    them and ``cover`` of its words be in place.
+    There every mandatory phrase stands where the template has it and ``cover``
+    of the template's words are in place; the template may be cut off by either
+    end of the text.
     """
-    if rare.keys().isdisjoint(words):
+    mine = lookup.postings.keys() & words
+    live = {k for k, needs in enumerate(lookup.words) if needs <= mine}
+    if not live:
         return []
-    places = {(template, at - p) for at, w in enumerate(words) if w in rare for template, p in rare[w]}
-    found = []
-    for template, begin in sorted(places):
-        if not all(begin + p >= 0 and words[begin + p : begin + p + len(ws)] == ws for p, ws in index.needed[template]):
-            continue
+    wanted = frozenset().union(*(lookup.words[k] for k in live))
+    places: dict[bytes, list[int]] = defaultdict(list)
+    for at, w in enumerate(words):
+        if w in wanted:
+            places[w].append(at)
+    left: dict[int, set[int]] = {}
+    # the lookup's words are in order of rarity, so common ones meet few templates that are left
+    for w in (w for w in lookup.postings if w in wanted):
+        for template, p in lookup.postings[w]:
+            if template not in live:
+                continue
+            if template not in left:
+                left[template] = {at - p for at in places[w]}
+            elif len(left[template]) < len(places[w]):
+                left[template] = {b for b in left[template] if 0 <= b + p < len(words) and words[b + p] == w}
+            else:
+                left[template] &= {at - p for at in places[w]}
+            if not left[template]:
+                live.discard(template)
+    index, found = lookup.index, []
+    for template in sorted(live):
         body = index.words[template]
-        share = sum(0 <= begin + p < len(words) and words[begin + p] == w for p, w in enumerate(body)) / len(body)
-        if share >= cover:
-            found.append((index.labels[template], begin, share))
+        for begin in sorted(left[template]):
+            if not all(begin + p >= 0 and words[begin + p : begin + p + len(ws)] == ws for p, ws in index.needed[template]):
+                continue
+            share = sum(0 <= begin + p < len(words) and words[begin + p] == w for p, w in enumerate(body)) / len(body)
+            if share >= cover:
+                found.append((index.labels[template], begin, share))
     return found
 
 
 def _scan(index: Index, idf: dict[bytes, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    firsts, rare = {p[0] for p, _ in index.phrases}, rare_words(index, idf)
+    firsts, lookup = {p[0] for p, _ in index.phrases}, by_rarity(index, idf)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +178,7 @@ def _scan(index: Index, idf: dict[bytes, float]) -> Callable[[Iterator[pa.Record
                         if got := _places(words, phrase):
                             places += got
                             base.add(label)
-                found = match(words, index, rare)
+                found = match(words, lookup)
                 labels = sorted(base | {f[0] for f in found})
                 score = 1.0 if base else max((f[2] for f in found), default=0.0)
                 rows.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(labels), score, [{"label": a, "word": b, "cover": c} for a, b, c in found]))

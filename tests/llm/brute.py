@@ -69,6 +69,23 @@ def licences(text):
     return len(ws), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def notices(text, templates, cover=0.6):
+    """(label, place, share) of every template at every place."""
+    ws, out = words(text), []
+    for label, body, must in templates:
+        body = words(body)
+        phrases = []
+        for phrase in map(words, must):
+            at = next(i for i in range(len(body)) if body[i : i + len(phrase)] == phrase)
+            phrases.append((at, phrase))
+        for begin in range(-len(body), len(ws)):
+            if all(begin + p >= 0 and ws[begin + p : begin + p + len(x)] == x for p, x in phrases):
+                share = sum(0 <= begin + k < len(ws) and ws[begin + k] == w for k, w in enumerate(body)) / len(body)
+                if share >= cover:
+                    out.append((label, begin, share))
+    return sorted(out)
+
+
 def repeats(texts, size=200):
     """For each text: (n_bytes, n_removed, n_spans, kept bytes)."""
     data = [(t or "").encode() for t in texts]
