@@ -160,13 +160,15 @@ def unescape(text: Column) -> Column:
 
 
 def format_turns(turns: DataFrame, learn: str = "assistant") -> DataFrame:
-    """Add ``formatted`` and ``loss_spans`` to rows with ``turns``.
+    """Add ``formatted`` and ``loss_spans`` (in place of columns so named) to rows with ``turns``.
 
     Each turn is ``<s>[INST] role [/INST]text</s>``, role and text escaped.
     ``loss_spans``: (start, length) in code points of the escaped texts of
     role ``learn`` in ``formatted``.  No turns: the empty text.
     """
-    shaped = F.transform("turns", lambda t: F.struct((t["role"] == learn).alias("learn"), F.concat(F.lit(BEGIN), escape(t["role"]), F.lit(MIDDLE)).alias("head"), escape(t["text"]).alias("body")))
+    def shaped(t: Column) -> Column:
+        return F.struct((t["role"] == learn).alias("learn"), F.concat(F.lit(BEGIN), escape(t["role"]), F.lit(MIDDLE)).alias("head"), escape(t["text"]).alias("body"))
+
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
     def step(state: Column, t: Column) -> Column:
@@ -175,8 +177,14 @@ def format_turns(turns: DataFrame, learn: str = "assistant") -> DataFrame:
         spans = F.when(t["learn"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct((begin + size + len(END)).alias("at"), spans.alias("spans"))
 
-    joined = F.array_join(F.transform("shaped", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
-    return turns.withColumn("shaped", shaped).withColumn("formatted", joined).withColumn("loss_spans", F.aggregate("shaped", start, step, lambda s: s["spans"])).drop("shaped")
+    def formatted(parts: Column) -> Column:
+        joined = F.array_join(F.transform(parts, lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
+        return F.struct(joined.alias("formatted"), F.aggregate(parts, start, step, lambda s: s["spans"]).alias("loss_spans"))
+
+    # a list of one gives the escaped turns a name that no column can have
+    made = F.transform(F.array(F.transform("turns", shaped)), formatted)[0]
+    kept = [c for c in turns.columns if c not in ("formatted", "loss_spans")]
+    return turns.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), made.alias("made")).select("row.*", "made.*")
 
 
 def read_back(formatted: Column) -> Column:

@@ -201,6 +201,13 @@ def test_chat_layouts(spark):
     assert got == {i: (name, turns) for i, _, name, turns in records}
 
 
+def test_formatting_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "x", "y", 5, [("user", "a"), ("assistant", "b")])], "conv_id long, shaped string, formatted string, made int, turns array<struct<role:string,text:string>>")
+    got = chat.format_turns(rows).collect()[0].asDict(recursive=True)
+    assert (got["conv_id"], got["shaped"], got["made"]) == (1, "x", 5)
+    assert got["formatted"] == "<s>[INST] user [/INST]a</s><s>[INST] assistant [/INST]b</s>" and len(got["loss_spans"]) == 1
+
+
 def test_licences_of_several_notices(spark):
     notices = [" ".join(t) for t in ((licenses.TEMPLATES[6][1], licenses.TEMPLATES[7][1], "licensed under cc by sa 4 0"), tuple(t[1] for t in licenses.TEMPLATES))]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([*notices, *["plain words"] * 30, *[licenses.TEMPLATES[11][1]] * 60])], "doc_id long, text string")
@@ -209,6 +216,30 @@ def test_licences_of_several_notices(spark):
     assert got[1] == {t[0] for t in licenses.TEMPLATES}
 
 
+def test_template_labels_equal_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = sorted({w for _, t, _ in licenses.TEMPLATES for w in t.split()}) + ["foo", "bar"]
+    texts = []
+    for _ in range(200):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            body = rng.choice(licenses.TEMPLATES)[1].split()
+            cut = body[rng.randint(0, 4) : len(body) - rng.randint(0, 4)]
+            if rng.random() < 0.5 and cut:
+                cut[rng.randrange(len(cut))] = rng.choice(vocabulary)
+            parts += [*cut, *rng.choices(vocabulary, k=rng.randint(0, 5))]
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: sorted(tuple(f) for f in r["found"]) for r in licenses.scan_licences(docs).collect()}
+    assert got == {k: brute.notices(t, licenses.TEMPLATES) for k, t in enumerate(texts)}
+    assert sum(map(len, got.values())) > 100
+    # any weights give the same places: they order the work
+    index = licenses.build_index()
+    for _ in range(3):
+        lookup = licenses.by_rarity(index, {w: rng.random() for w in index.postings})
+        assert all(sorted(licenses.match(brute.words(t), lookup)) == got[k] for k, t in enumerate(texts))
+
+
 def test_licences_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = small_docs(spark, [None, "", "CC  by, cc-by MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "gnu " * 50], ids=[-1, -2, -3, -4, -5]).select("doc_id", "text")
