@@ -477,10 +477,11 @@ def drop_near_duplicates(docs: DataFrame, *, similarity: float = 0.8, words_each
     text alone, so ``docs`` may be read again in other splits; it may have any
     further columns.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc = F.col("doc_id").cast("long")
+    # a row travels as one column, so its own columns may have any names
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    doc = F.col("row.doc_id").cast("long")
     own = ["__none", "__doc", "__node"]
-    placed = docs.select("*", doc.isNull().alias("__none"), F.coalesce(doc, F.lit(0)).alias("__doc"), F.md5(text.cast("binary")).alias("__node"))
+    placed = docs.select(F.struct("*").alias("row")).select("row", doc.isNull().alias("__none"), F.coalesce(doc, F.lit(0)).alias("__doc"), F.md5(text.cast("binary")).alias("__node"))
     known = durable(placed.select(*own, text.alias("text")).mapInArrow(_profiles(words_each, bands, rows), "__none boolean, __doc long, __node string, fp long, bands array<long>"))
     firsts = durable(known.groupBy("__node").agg(F.min(F.struct("__none", "__doc")).alias("w"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("w.*", "__node", "fp", "bands"))
     met = firsts.select("__node", "fp", F.posexplode("bands").alias("band", "key"))
@@ -498,4 +499,4 @@ def drop_near_duplicates(docs: DataFrame, *, similarity: float = 0.8, words_each
     stays = grouped.groupBy("component").agg(F.min(F.struct(*own)).alias("w")).select("w.*")
     kept = placed.join(stays, own, "left_semi")
     number = F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0)))
-    return kept.withColumn("__number", number).where(F.col("__number") == 1).select(*docs.columns)
+    return kept.withColumn("__number", number).where(F.col("__number") == 1).select("row.*")

@@ -211,5 +211,6 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """``docs`` without the documents that score ``threshold`` or more."""
-    return score(docs, model, tuple(docs.columns)).where(F.col("__score") < threshold).select(*docs.columns)
+    """``docs`` without the documents that score ``threshold`` or more; a row travels as one column, so columns may have any names."""
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.text").alias("text"))
+    return score(rows, model, ("row",)).where(F.col("__score") < threshold).select("row.*")

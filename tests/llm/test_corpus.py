@@ -217,6 +217,16 @@ def test_near_duplicates_go_and_others_stay(spark, tmp_path):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_filters_keep_columns_of_any_name(spark):
+    names = ["__none", "__doc", "__node", "__number", "__score", "row", "w", "component"]
+    rows = [(k, t, *range(len(names))) for k, t in enumerate(["a b c d e f g", "a b c d e f g", "something else that is said here"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in names))
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+    clean = toxicity.reject_toxic(docs, toxicity.Model([toxicity.LEXICON], np.array([8.0, -3.0])))
+    assert clean.columns == docs.columns and sorted(tuple(r) for r in clean.collect()) == rows
+
+
 def test_near_duplicates_of_any_edit(spark, tmp_path):
     rng = random.Random(11)
     long = lambda n: [f"word{rng.randint(0, 10**6)}" for _ in range(n)]
