@@ -236,13 +236,14 @@ def window_gold_partition(spark: SparkSession, sf: str) -> DataFrame:
 _GOLD_TEXT = {"m": 'SELECT doc_id, cluster_id, sent_idx, "start" AS a, "end" - 1 AS b FROM v_gold'}
 _EVENTS = """SELECT doc_id, sent_idx, a AS tok_idx, 1 AS kind, 0 AS rank, cluster_id, '(' || cluster_id || ')' AS txt FROM m WHERE a = b
     UNION ALL SELECT doc_id, sent_idx, a, 0, -b, cluster_id, '(' || cluster_id FROM m WHERE a < b UNION ALL SELECT doc_id, sent_idx, b, 2, -a, cluster_id, cluster_id || ')' FROM m WHERE a < b"""
+_COREF = "SELECT doc_id, sent_idx, tok_idx, string_agg(txt, '|' ORDER BY kind, rank, cluster_id) AS coref FROM ev GROUP BY 1, 2, 3"
 
 
 @query(
     with_views(
-        """SELECT t.doc_id, t.sent_idx, t.tok_idx, t.word, coalesce(c.coref, '-') AS coref FROM v_tokens t LEFT JOIN
-        (SELECT doc_id, sent_idx, tok_idx, string_agg(txt, '|' ORDER BY kind, rank, cluster_id) AS coref FROM ev GROUP BY 1, 2, 3) c USING (doc_id, sent_idx, tok_idx)""",
-        "v_tokens", "v_gold", **_GOLD_TEXT, ev=_EVENTS,
+        """SELECT doc_id, sent_idx, tok_idx, max(word) AS word, coalesce(max(coref), '-') AS coref FROM
+        (SELECT doc_id, sent_idx, tok_idx, word, NULL AS coref FROM v_tokens UNION ALL SELECT doc_id, sent_idx, tok_idx, NULL, coref FROM cells) GROUP BY 1, 2, 3""",
+        "v_tokens", "v_gold", **_GOLD_TEXT, ev=_EVENTS, cells=_COREF,
     )
 )
 def coref_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,11 +308,8 @@ def _written(spark: SparkSession, sf: str) -> DataFrame:
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens read from the lines of text, several documents to a file."""
-    from pyspark.sql import Window
-
     lines = conll.render_conll(_written(spark, sf), views.gold(spark, sf), ("word", *_CELLS)).withColumn("file", F.expr(f"cast(doc_id div {_DOCS_A_FILE} as string)"))
-    order = Window.partitionBy("file").orderBy("doc_id", "sent_idx", "tok_idx")
-    return conll.parse_token_lines(conll.token_lines(lines.select("file", F.row_number().over(order).alias("line_no"), "value")))
+    return conll.parse_token_lines(conll.token_lines(conll.document_records(lines)))
 
 
 @query(
@@ -374,16 +372,15 @@ def conll_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     with_views(
-        """SELECT t.doc_id, t.sent_idx, t.tok_idx, t.word, t.pos, coalesce(c.coref, '-') AS coref FROM t LEFT JOIN
-        (SELECT doc_id, sent_idx, tok_idx, string_agg(txt, '|' ORDER BY kind, rank, cluster_id) AS coref FROM ev GROUP BY 1, 2, 3) c USING (doc_id, sent_idx, tok_idx)""",
-        "v_tokens", "v_gold", **_TEXT, **_GOLD_TEXT, ev=_EVENTS,
+        """SELECT doc_id, sent_idx, tok_idx, max(word) AS word, max(pos) AS pos, coalesce(max(coref), '-') AS coref FROM
+        (SELECT doc_id, sent_idx, tok_idx, word, pos, NULL AS coref FROM t UNION ALL SELECT doc_id, sent_idx, tok_idx, NULL, NULL, coref FROM cells) GROUP BY 1, 2, 3""",
+        "v_tokens", "v_gold", **_TEXT, **_GOLD_TEXT, ev=_EVENTS, cells=_COREF,
     )
 )
 def conll_files_read_back(spark: SparkSession, sf: str) -> DataFrame:
-    """Files of CoNLL text, written to the shared folder and read again: a file for about every 256 documents."""
+    """Files of CoNLL text, written to the shared folder and read again."""
     folder = f"{shared_folder(spark)}/conll-{uuid.uuid4().hex}"
-    documents = views.read(spark, sf, "documents").count()
-    conll.write_conll(_written(spark, sf), views.gold(spark, sf), folder, ("word", *_CELLS), files=max(8, documents // 256))
+    conll.write_conll(_written(spark, sf), views.gold(spark, sf), folder, ("word", *_CELLS))
     back = conll.parse_token_lines(conll.token_lines(conll.read_conll(spark, folder, "part-*")))
     return back.select(F.col("document").cast("long").alias("doc_id"), "sent_idx", "tok_idx", "word", "pos", "coref")
 

@@ -1,7 +1,7 @@
-"""CoNLL-2012 text: lines to tokens, sentences, labels and clusters, and back.
+"""CoNLL-2012 text: documents to tokens, sentences, labels and clusters, and back.
 
-One file is one row until its lines are split; the bracket automata are running
-sums and last values over a sentence.
+A record is the text from one begin line to the next, so a large file is many
+tasks; the bracket automata are running sums and last values over a sentence.
 """
 
 from __future__ import annotations
@@ -12,14 +12,28 @@ from pyspark.sql import functions as F
 from spanloom.functions.columns import coref_segments, strip_brackets
 
 SENTENCE = ("file", "doc_no", "sent_idx")
+#: Fixed value: how the line before a document begins.
+BEGIN = "#begin document"
 
 
 def read_conll(spark: SparkSession, path: str, pattern: str = "*gold_conll") -> DataFrame:
-    """``file, line_no, value`` of every line of the files below ``path`` whose name fits; fails if there are none."""
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
-    if not whole.inputFiles():
+    """``file, block, place, value`` of the records of the files below ``path`` whose name fits; fails if there are none.
+
+    A record is what stands between two begin lines, so files are split
+    wherever Spark splits text; ``block`` is where the split begins and
+    ``place`` orders its records.  ``#begin document`` must begin a line.
+    """
+    records = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", BEGIN).text(path)
+    if not records.inputFiles():
         raise FileNotFoundError(f"no file below {path} is named {pattern}")
-    return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    # place is only compared inside a split, which one task reads in order
+    return records.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+
+
+def document_records(lines: DataFrame) -> DataFrame:
+    """``file, block, place, value`` of lines ``file, doc_id, sent_idx, tok_idx, value`` that were rendered, without a file between."""
+    whole = lines.groupBy("file", "doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "tok_idx", "value"))).alias("xs"))
+    return whole.select("file", F.lit(0).cast("long").alias("block"), F.col("doc_id").alias("place"), F.array_join(F.transform("xs", lambda x: x["value"]), "\n").alias("value"))
 
 
 def split_of(path: Column) -> Column:
@@ -29,25 +43,40 @@ def split_of(path: Column) -> Column:
     return F.when(has("v4") & has("english"), F.when(has("train"), "train").when(has("development"), "validation").when(has("test"), "test"))
 
 
-def with_split(lines: DataFrame) -> DataFrame:
-    """Lines of files that belong to a split, with ``split``."""
-    return lines.withColumn("split", split_of(F.col("file"))).where(F.col("split").isNotNull())
+def with_split(records: DataFrame) -> DataFrame:
+    """Records of files that belong to a split, with ``split``."""
+    return records.withColumn("split", split_of(F.col("file"))).where(F.col("split").isNotNull())
 
 
-def token_lines(lines: DataFrame) -> DataFrame:
-    """Lines that hold a token, with ``doc_no`` in the file, ``sent_idx`` in the document and ``tok_idx`` in the sentence.
+def token_lines(records: DataFrame) -> DataFrame:
+    """``value`` of each line that holds a token, with ``doc_no`` in the file, ``sent_idx`` in the document and ``tok_idx`` in the sentence.
 
     Blank lines and lines that begin with ``#`` end a sentence; ``#end
-    document`` ends a document; what follows the last one is a document too.
+    document`` ends a document, and a document that has none goes on in the
+    next record; what follows the last one is a document too.
+
+    Documents are numbered by the counts of their split and of the splits
+    before (a row for each split); no task orders a whole file.
     """
-    text = F.trim("value")
-    order = Window.partitionBy("file").orderBy("line_no")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    ends = F.startswith(text, F.lit("#end document")).cast("int")
-    breaks = ((text == "") | F.startswith(text, F.lit("#"))).cast("int")
-    marked = lines.withColumn("doc_no", F.coalesce(F.sum(ends).over(before), F.lit(0)).cast("int")).withColumn("__run", F.sum(breaks).over(order)).where(breaks == 0)
-    ranked = marked.withColumn("sent_idx", F.dense_rank().over(Window.partitionBy("file", "doc_no").orderBy("__run")) - 1)
-    return ranked.withColumn("tok_idx", F.row_number().over(Window.partitionBy(*SENTENCE).orderBy("line_no")) - 1).drop("__run")
+    keys = ["file", "block"]
+    carry = [c for c in records.columns if c not in (*keys, "place", "value")]
+    inside = Window.partitionBy(*keys).orderBy("place")
+    # the record at the top of a file follows no begin line; the reader has cut it off the others
+    top = (F.col("block") == 0) & (F.row_number().over(inside) == 1)
+    text = F.when(top, F.col("value")).otherwise(F.concat(F.lit(BEGIN), F.col("value")))
+    parts = F.split(text, r"(?md)^ *#end document[^\n]*$")
+    cut = records.select(*keys, "place", *carry, parts.alias("parts")).withColumn("ends", F.size("parts") - 1)
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut.groupBy(*keys).agg(F.sum("ends").alias("n")).select(*keys, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    before = F.coalesce(F.sum("ends").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = cut.withColumn("before", before).join(blocks, keys).select(*keys, "place", *carry, (F.col("base") + F.col("before")).alias("first"), F.posexplode("parts").alias("part", "text"))
+    sentences = F.filter(F.split("text", r"(?md)(?:^ *(?:#[^\n]*)?$\n?)+"), lambda s: s != "")
+    listed = placed.select("file", "block", "place", "part", *carry, (F.col("first") + F.col("part")).cast("int").alias("doc_no"), sentences.alias("sentences"))
+    so_far = Window.partitionBy("file", "doc_no").orderBy("block", "place", "part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = listed.withColumn("offset", F.coalesce(F.sum(F.size("sentences")).over(so_far), F.lit(0)))
+    each = counted.select("file", *carry, "doc_no", "offset", F.posexplode("sentences").alias("k", "sentence"))
+    lines = F.filter(F.split("sentence", "\n"), lambda x: F.trim(x) != "")
+    return each.select("file", *carry, "doc_no", (F.col("offset") + F.col("k")).cast("int").alias("sent_idx"), F.posexplode(lines).alias("tok_idx", "value"))
 
 
 def parse_token_lines(lines: DataFrame) -> DataFrame:
@@ -55,7 +84,7 @@ def parse_token_lines(lines: DataFrame) -> DataFrame:
     cols = F.split(F.trim("value"), r"\s+")
     at = lambda k: F.try_element_at(cols, F.lit(k))
     known = lambda k: F.nullif(at(k), F.lit("-"))
-    keep = [c for c in lines.columns if c not in ("value", "line_no")]
+    keep = [c for c in lines.columns if c != "value"]
     spans = F.slice(cols, 11, F.greatest(F.size(cols) - 11, F.lit(0)))
     return lines.select(
         *keep, at(1).alias("document"), at(2).try_cast("int").alias("part"), at(4).alias("word"), at(5).alias("pos"), at(6).alias("parse_bit"), known(7).alias("lemma"), known(8).alias("frameset"), known(9).try_cast("double").alias("sense"), known(10).alias("speaker"),
@@ -165,8 +194,8 @@ def render_conll(tokens: DataFrame, mentions: DataFrame, columns: tuple[str, ...
 def write_conll(tokens: DataFrame, mentions: DataFrame, path: str, columns: tuple[str, ...] = ("word",), files: int | None = None) -> None:
     """Write a partition as CoNLL text; a document's lines lie in one file, in order.
 
-    ``files``: deal the documents out over so many files, which ``read_conll``
-    takes one by one; otherwise as many as the session has shuffle partitions.
+    ``files``: deal the documents out over so many files; otherwise as many as
+    the session has shuffle partitions.
     """
     lines = render_conll(tokens, mentions, columns)
     dealt = lines.repartition("doc_id") if files is None else lines.repartition(files, "doc_id")

@@ -1,5 +1,7 @@
 """Reading and writing annotated text."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,48 @@ def tokens(spark, tmp_path_factory):
     return conll.parse_token_lines(conll.token_lines(lines)).cache()
 
 
+def plain_tokens(text):
+    """(document, sentence, place, line) line by line."""
+    out, doc, sent, place, fresh = [], 0, -1, 0, True
+    for line in text.split("\n"):
+        bare = line.strip(" ")
+        if bare == "" or bare.startswith("#"):
+            fresh = True
+            if bare.startswith("#end document"):
+                doc, sent = doc + 1, -1
+            continue
+        if fresh:
+            sent, place, fresh = sent + 1, 0, False
+        out.append((doc, sent, place, line))
+        place += 1
+    return out
+
+
+def test_one_large_file_is_many_tasks(spark, tmp_path):
+    rng = random.Random(4)
+    texts = []
+    for d in range(2000):
+        body = "\n".join("" if rng.random() < 0.2 else "  # note" if rng.random() < 0.05 else f" d{d} 0 {k} w{k}\tNN" for k in range(rng.randint(0, 30)))
+        texts.append(f"#begin document (d{d}); part 000\n{body}\n" + ("  #end document x\n" if rng.random() < 0.9 else ""))
+    whole = "stray 0 0 a\n" + "".join(texts) + "last 0 0 z"
+    (tmp_path / "a.gold_conll").write_text(whole)
+    (tmp_path / "b.gold_conll").write_text(texts[0])
+    (tmp_path / "empty.gold_conll").write_text("")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in old:
+            spark.conf.set(c, "32k")
+        records = conll.read_conll(spark, str(tmp_path))
+        assert records.rdd.getNumPartitions() > 10 and records.where("block > 0").count() > 1000
+        got = sorted((r["doc_no"], r["sent_idx"], r["tok_idx"], r["value"]) for r in conll.token_lines(records).where("file like '%a.gold_conll'").collect())
+        assert got == plain_tokens(whole)
+        few = conll.token_lines(records).where("file like '%b.gold_conll'").collect()
+        assert sorted((r["doc_no"], r["sent_idx"], r["tok_idx"], r["value"]) for r in few) == plain_tokens(texts[0])
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
 def test_no_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         conll.read_conll(spark, str(tmp_path))
