@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,48 @@ def close_forest(nodes: DataFrame, links: DataFrame, keys: Sequence[str] = ("doc
     raise RuntimeError(f"links did not close in {max_rounds} rounds")
 
 
+def roots_of(group: np.ndarray, i: np.ndarray, j: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(group, i, root)`` of each node, given a row for each node and one for each link (``linked``, from ``i`` to ``j``).
+
+    All groups at once: parents become places in one sorted array, and places
+    of places are taken until nothing moves.
+    """
+    order = np.lexsort((linked, i, group))
+    group, i, j, linked = group[order], i[order], j[order], linked[order]
+    last = np.r_[(group[1:] != group[:-1]) | (i[1:] != i[:-1]), True][: len(i)]
+    group, i, j, linked = group[last], i[last], j[last], linked[last]
+    values = np.unique(np.concatenate([i, j[linked]]))
+    code = lambda g, x: g * len(values) + np.searchsorted(values, x)
+    keys, wanted = code(group, i), code(group, np.where(linked, j, i))
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    known = keys[at] == wanted
+    at, root = np.where(known, at, np.arange(len(at))), np.where(known, i, j)
+    while (up := at[at]).tolist() != at.tolist():
+        at = up
+    return group, i, root[at]
+
+
+def close_windows(nodes: DataFrame, links: DataFrame, keys: Sequence[str] = ("doc_id", "win_id")) -> DataFrame:
+    """As ``close_forest`` where ``keys`` bound a group, as a window does: one shuffle of numbers, no rounds, no checkpoint.
+
+    A group's nodes and links meet in one task, many groups in one batch.
+    """
+    keys = list(keys)
+    rows = nodes.select(*keys, F.col("i").cast("long").alias("i"), F.lit(None).cast("long").alias("j")).unionByName(links.select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")))
+
+    def close(listed: pa.Array) -> pa.Array:
+        sizes = listed.value_lengths().to_numpy(zero_copy_only=False)
+        flat = listed.flatten()
+        i, j = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1)
+        group, i, root = roots_of(np.repeat(np.arange(len(sizes)), sizes), i, j.fill_null(0).to_numpy(zero_copy_only=False), j.is_valid().to_numpy(zero_copy_only=False))
+        offsets = np.searchsorted(group, np.arange(len(sizes) + 1))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(i), pa.array(root)], ["i", "root"]))
+
+    closed = F.arrow_udf(close, "array<struct<i:long,root:long>>")
+    listed = rows.groupBy(*keys).agg(F.collect_list(F.struct("i", "j")).alias("__xs"))
+    return listed.select(*keys, F.explode(closed("__xs")).alias("__x")).select(*keys, "__x.i", "__x.root")
+
+
 def build_nodes(members: DataFrame) -> DataFrame:
     """Quotient nodes of ``doc_id, win_id, root, mention_idx, tok_pos, cluster_id``.
 

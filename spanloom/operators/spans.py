@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +40,44 @@ def span_matches(gold: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame
     return flag(gold, pred, "g", "p"), flag(pred, gold, "p", "g")
 
 
+def earlier_at_least(values: np.ndarray) -> np.ndarray:
+    """For each value, how many of those before it are as large or larger: counted while halves are merged."""
+    n = len(values)
+    out = np.zeros(n, np.int64)
+    ranks = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    place, size, many = np.arange(n), 1, int(ranks.max()) + 1 if n else 1
+    while size < n:
+        key = place // (2 * size) * many + ranks
+        right = place // size % 2 == 1
+        left = np.sort(key[~right])
+        # the left half's values from one's own up to the end of the pair of halves
+        out[right] += np.searchsorted(left, (place[right] // (2 * size) + 1) * many) - np.searchsorted(left, key[right])
+        size *= 2
+    return out
+
+
 def nesting_depth(spans: DataFrame, keys: Sequence[str] = ("doc_id", "sent_idx")) -> DataFrame:
-    """Distinct ``keys, sub_start, sub_end`` and ``depth``: how many other spans contain the span. Spans do not leave their sentence, so ``keys`` may hold it."""
-    one = spans.select(*keys, *SPAN).distinct()
-    outer = one.select(*keys, F.col("sub_start").alias("o0"), F.col("sub_end").alias("o1"))
-    held = one.join(outer, list(keys)).where((F.col("o0") <= F.col("sub_start")) & (F.col("sub_end") <= F.col("o1")))
-    return held.groupBy(*keys, *SPAN).agg((F.count("*") - 1).alias("depth"))
+    """Distinct ``keys, sub_start, sub_end`` and ``depth``: how many other spans contain the span. Spans do not leave their sentence, so ``keys`` may hold it.
+
+    In order of start, and of falling end, what contains a span comes before it
+    and ends no earlier; no pairs are made.
+    """
+
+    def depths(listed: pa.Array) -> pa.Array:
+        sizes = listed.value_lengths().to_numpy(zero_copy_only=False)
+        start, end = (listed.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((-end, start, group))
+        width = int(end.max()) - int(end.min()) + 1 if len(end) else 1
+        # an earlier group is below every value of a later one
+        depth = np.empty(len(end), np.int64)
+        depth[order] = earlier_at_least((group * width + end - (end.min() if len(end) else 0))[order])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(depth))
+
+    kinds = dict(spans.dtypes)
+    listed = spans.select(*keys, *SPAN).distinct().groupBy(*keys).agg(F.collect_list(F.struct(*SPAN)).alias("__s"))
+    deep = listed.select(*keys, F.explode(F.arrays_zip(F.col("__s"), F.arrow_udf(depths, "array<long>")("__s").alias("__d"))).alias("__x"))
+    return deep.select(*keys, *(F.col(f"__x.__s.{c}").cast(kinds[c]).alias(c) for c in SPAN), F.col("__x.__d").alias("depth"))
 
 
 def prf_row(counts: DataFrame, tp_gold: str, tp_pred: str, n_gold: str, n_pred: str) -> DataFrame:

@@ -430,7 +430,7 @@ def _window_links(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     same = F.substring("norm_i", 1, 6) == F.substring("norm_j", 1, 6)
     scored = pairs.withColumn("score", F.when(same, F.lit(0.9) - F.lit(0.05) * F.col("bucket")).otherwise(-0.1))
     best = links.accept(links.best_antecedent(scored.select("doc_id", "win_id", "i", "j", "score")))
-    roots = links.close_forest(placed.select("doc_id", "win_id", "i"), best)
+    roots = links.close_windows(placed.select("doc_id", "win_id", "i"), best)
     return placed, roots
 
 
@@ -466,7 +466,8 @@ def entry_link_and_score(spark: SparkSession, sf: str) -> DataFrame:
     """Mentions, windows, scored pairs, links, closure, then MUC and B-cubed against the gold entities."""
     placed, response = _scored_response(spark, sf)
     key = placed.select("doc_id", "cluster_id", "sent_idx", "start", "end")
-    rows = [metrics.muc(key, response).withColumn("metric", F.lit("muc")), metrics.b_cubed(key, response).withColumn("metric", F.lit("b_cubed"))]
+    tables = tuple(durable(t) for t in metrics.overlap_tables(key, response))
+    rows = [metrics.muc(key, response, tables=tables).withColumn("metric", F.lit("muc")), metrics.b_cubed(key, response, tables=tables).withColumn("metric", F.lit("b_cubed"))]
     both = rows[0].unionByName(rows[1])
     return rounded(both, "rec_num", "prec_num", "recall", "precision", "f1").select("metric", "rec_num", "rec_den", "prec_num", "prec_den", "recall", "precision", "f1")
 
@@ -511,7 +512,8 @@ _SCORES = ("muc", "b_cubed", "ceaf_e", "conll")
 
 @query(with_views("SELECT * EXCLUDE (g) FROM c_out", "v_gold", **_LINKED, **_METRIC, kk="SELECT 0 AS g, * FROM k", rr="SELECT 0 AS g, * FROM r", **_CONLL))
 def conll_score(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.conll_f1(views.gold(spark, sf), _response(spark, sf)), *_SCORES)
+    placed, response = _scored_response(spark, sf)
+    return rounded(metrics.conll_f1(placed, response), *_SCORES)
 
 
 _BUCKETS = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.TYPE_BUCKETS.items()) + " END"
@@ -520,7 +522,8 @@ _TYPED = {f"{x}{x}": f"SELECT {_BUCKETS} AS g, {x}.* FROM {x} JOIN (SELECT doc_i
 
 @query(with_views("SELECT g AS bucket, * EXCLUDE (g) FROM c_out WHERE g IN (SELECT g FROM kk)", "v_gold", **_LINKED, **_METRIC, **_TYPED, **_CONLL))
 def conll_score_by_type(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.conll_f1_by_type(views.gold(spark, sf), _response(spark, sf)), *_SCORES)
+    placed, response = _scored_response(spark, sf)
+    return rounded(metrics.conll_f1_by_type(placed, response), *_SCORES)
 
 
 @query(

@@ -252,3 +252,34 @@ def test_window_positions_and_channels(spark):
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]], [1.0]), (None, [2.0])], "ctx array<array<double>>, surface array<double>")
     out = vectors.project_channels(df, {"ctx": (np.ones((4, 1)), np.array([0.5])), "surface": (np.array([[1.0, -1.0]]), np.zeros(2))})
     assert [list(r["vec"]) for r in out.collect()] == [[10.5, 1.0, -1.0], [0.5, 2.0, -2.0]]
+
+
+def test_closing_windows_equals_pointer_jumping(spark):
+    rng = random.Random(6)
+    nodes, best = [], []
+    for win in range(40):
+        ids = sorted(rng.sample(range(500), rng.randint(1, 60)))
+        nodes += [(1, win, i) for i in ids]
+        best += [(1, win, i, rng.choice(ids[:k]) if rng.random() < 0.95 else -1) for k, i in enumerate(ids) if k and rng.random() < 0.7]
+    nodes = spark.createDataFrame(nodes, "doc_id long, win_id int, i long").repartition(3)
+    best = spark.createDataFrame(best, "doc_id long, win_id int, i long, j long")
+    rows = lambda df: sorted(tuple(r) for r in df.select("doc_id", "win_id", "i", "root").collect())
+    assert rows(links.close_windows(nodes, best)) == rows(links.close_forest(nodes, best))
+    assert rows(links.close_windows(nodes, best.where("false"))) == [(r[0], r[1], r[2], r[2]) for r in sorted(nodes.collect())]
+    assert links.close_windows(nodes.where("false"), best.where("false")).count() == 0
+
+
+def test_nesting_is_counted_without_pairs(spark):
+    rng = random.Random(7)
+    rows = set()
+    for sent in range(30):
+        for _ in range(rng.randint(1, 60)):
+            a = rng.randrange(30)
+            rows.add((1, sent, a, a + rng.randrange(12)))
+    df = spark.createDataFrame([*rows, *list(rows)[:9]], "doc_id long, sent_idx int, sub_start long, sub_end long")
+    got = {tuple(r)[:4]: r["depth"] for r in spans.nesting_depth(df).collect()}
+    assert got == {r: sum(o[:2] == r[:2] and o[2] <= r[2] and r[3] <= o[3] for o in rows) - 1 for r in rows}
+    # a sentence of 20,000 spans, each inside all that were before
+    deep = spark.range(20_000).selectExpr("1L AS doc_id", "0 AS sent_idx", "id AS sub_start", "60000 - id AS sub_end")
+    assert [r["depth"] for r in spans.nesting_depth(deep).orderBy("sub_start").collect()] == list(range(20_000))
+    assert spans.nesting_depth(df.where("false")).count() == 0
