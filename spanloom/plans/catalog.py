@@ -1144,51 +1144,130 @@ def projected_channels(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("doc_id", "mention_idx", F.posexplode("vec").alias("d", "x")), "x")
 
 
-@query()
+def letter_counts(texts: list[str]):
+    """An encoder that SQL can repeat: how often each of four letters stands in a text, and its length, in eighths."""
+    import numpy as np
+
+    return np.array([[*(t.count(c) / 8 for c in "aent"), len(t) / 8] for t in texts], np.float32).reshape(len(texts), 5)
+
+
+_LETTERS = "[" + ", ".join(f"(length({{t}}) - length(replace({{t}}, '{c}', ''))) / 8" for c in "aent") + ", length({t}) / 8]"
+
+
+@query(with_views(f"SELECT surface, d::INT AS d, x FROM (SELECT surface, unnest([0, 1, 2, 3, 4]) AS d, unnest({_LETTERS.format(t='surface')})::DOUBLE AS x FROM (SELECT DISTINCT array_to_string(tokens, ' ') AS surface FROM v_gold))", "v_gold"))
 def encoded_surfaces(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.encode_surfaces(mentions.surfaces(views.gold(spark, sf)))
+    coded = vectors.encode_surfaces(mentions.surfaces(views.gold(spark, sf)), letter_counts)
+    return coded.select("surface", F.posexplode(F.col("vec").cast("array<double>")).alias("d", "x"))
+
 
+#: Weights of the scorers below: the same formulas make them here and in SQL. Rows and columns count from 0.
+_LAYERS = {1: ("(({k} * 7 + {d} * 3) % 11 - 5) / 8.0", "{d} * 0.25", 4), 2: ("(({k} * 5 + {d} * 3) % 7 - 3) / 4.0", "{d} * 0.5 - 0.25", 2), 3: ("({k} * 3 + 2) % 5 / 2.0 - 0.75", "-0.125", 1)}
 
-def _weights(dim: int, extra: int) -> dict:
+
+def _weights(inputs: int) -> dict:
     import numpy as np
 
-    rng = np.random.default_rng(11)
-    sizes = [(4 * dim + extra, 16), (16, 8), (8, 1)]
-    return {f"{n}{k + 1}": rng.normal(0, 0.3, s if n == "w" else s[1]) for k, s in enumerate(sizes) for n in "wb"}
+    out = {}
+    for layer, (weight, offset, size) in _LAYERS.items():
+        out[f"w{layer}"] = np.array([[eval(weight.format(k=k, d=d)) for d in range(size)] for k in range(inputs)])  # noqa: S307  the formulas above
+        out[f"b{layer}"] = np.array([eval(offset.format(d=d)) for d in range(size)], float)  # noqa: S307
+        inputs = size
+    return out
+
 
+def _layered(name: str, source: str, x: str, keep: str) -> dict[str, str]:
+    """The scorer as one table for each layer, so that no layer is computed twice."""
+    out, row = {}, source
+    for layer, (weight, offset, size) in _LAYERS.items():
+        outs = []
+        for d in range(size):
+            total = f"list_sum(list_transform({x}, lambda z, k: z * (({weight.format(k='(k - 1)', d=d)})::DOUBLE))) + ({offset.format(d=d)})::DOUBLE"
+            outs.append(total if layer == 3 else f"greatest(0, {total})")
+        out[f"{name}{layer}"] = f"SELECT {keep}, [{', '.join(outs)}] AS h FROM {row}"
+        row, x = f"{name}{layer}", "h"
+    return out
 
-@query()
+
+_PAIR_ROW = "list_concat({a}, {b}, list_transform(generate_series(1, len({a})), lambda k: {a}[k] * {b}[k]), list_transform(generate_series(1, len({a})), lambda k: abs({a}[k] - {b}[k])), {more})"
+
+
+@query(
+    with_views(
+        "SELECT doc_id, win_id, i, arg_max(j, (score, -j)) AS j, max(score) AS score FROM (SELECT doc_id, win_id, i, j, round(h[1], 6) AS score FROM ff3) GROUP BY 1, 2, 3",
+        "v_vec",
+        w=f"SELECT *, (tok_pos // {WINDOW})::INT AS win_id, (row_number() OVER (PARTITION BY doc_id, tok_pos // {WINDOW} ORDER BY mention_idx) - 1) AS i, vec[1:8]::DOUBLE[] AS v FROM v_vec",
+        raw=f"SELECT x.doc_id, x.win_id, x.mention_idx AS i, y.mention_idx AS j, {_PAIR_ROW.format(a='x.v', b='y.v', more=f'list_transform(generate_series(0, 8), lambda b: ({_BUCKET} = b)::INT::DOUBLE)')} AS x FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.win_id = y.win_id AND y.mention_idx < x.mention_idx",
+        **_layered("ff", "raw", "x", "doc_id, win_id, i, j"),
+    )
+)
 def feed_forward_links(spark: SparkSession, sf: str) -> DataFrame:
-    placed = mentions.fixed_windows(views.vectors(spark, sf), WINDOW)
-    return links.best_antecedent(vectors.score_pairs(placed, _weights(64, 9)))
+    placed = mentions.fixed_windows(views.vectors(spark, sf), WINDOW).withColumn("vec", F.slice("vec", 1, 8))
+    return links.best_antecedent(rounded(vectors.score_pairs(placed, _weights(4 * 8 + 9)), "score"))
 
 
-@query()
+@query(
+    with_views(
+        "SELECT doc_id, i, arg_max(j, (score, -j)) AS j, max(score) AS score FROM (SELECT doc_id, i, j, round(h[1], 6) AS score FROM ff3) GROUP BY 1, 2",
+        "v_gold", **_LEXICAL,
+        mv=f"SELECT doc_id, mention_idx, {_LETTERS.format(t='s')} AS v FROM (SELECT doc_id, mention_idx, array_to_string(list_transform(tokens, lambda t: lower(t)), ' ') AS s FROM v_gold)",
+        nv="SELECT doc_id, node_idx, win_id, list(x ORDER BY d) AS v FROM (SELECT n.doc_id, node_idx, win_id, d, avg(x) AS x FROM (SELECT doc_id, node_idx, win_id, unnest(members) AS mention_idx FROM nodes) n JOIN (SELECT doc_id, mention_idx, unnest([0, 1, 2, 3, 4]) AS d, unnest(v)::DOUBLE AS x FROM mv) m ON m.doc_id = n.doc_id AND m.mention_idx = n.mention_idx GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3",
+        raw=f"SELECT x.doc_id, x.node_idx AS i, y.node_idx AS j, {_PAIR_ROW.format(a='x.v', b='y.v', more='[coalesce(l.idf_jaccard, 0), coalesce(l.containment, 0), coalesce(l.exact_match, 0)]::DOUBLE[]')} AS x FROM nv x JOIN nv y ON x.doc_id = y.doc_id AND y.node_idx < x.node_idx AND x.win_id <> y.win_id LEFT JOIN lex l ON l.doc_id = x.doc_id AND l.i = x.node_idx AND l.j = y.node_idx",
+        **_layered("ff", "raw", "x", "doc_id, i, j"),
+    )
+)
 def feed_forward_merges(spark: SparkSession, sf: str) -> DataFrame:
     members, nodes, features = _lexical(spark, sf)
-    coded = vectors.encode_surfaces(mentions.surfaces(members))
+    coded = vectors.encode_surfaces(mentions.surfaces(members), letter_counts)
     vecs = mentions.attach_surface_vectors(members.select("doc_id", "mention_idx", "tokens"), coded)
     owned = nodes.select("doc_id", "node_idx", "win_id", F.explode("members").alias("mention_idx")).join(vecs, ["doc_id", "mention_idx"])
     pooled = vectors.pool_members(owned, "mean", ("doc_id", "node_idx", "win_id"))
-    return links.best_antecedent(vectors.score_node_pairs(pooled, features, _weights(32, 3)), ("doc_id",))
+    return links.best_antecedent(rounded(vectors.score_node_pairs(pooled, features, _weights(4 * 5 + 3)), "score"), ("doc_id",))
+
 
+_SPAN_WEIGHT = "({k} * 3 % 7 - 3) / 4.0"
 
-@query()
+
+@query(
+    with_views(
+        "SELECT doc_id, win_id, p AS start, q AS \"end\", round(score, 6) AS score FROM sp WHERE round(score, 6) > 0",
+        "v_vec",
+        w=f"SELECT doc_id, (tok_pos // {WINDOW})::INT AS win_id, mention_idx AS pos, vec[1:4]::DOUBLE[] AS v, row_number() OVER (PARTITION BY doc_id, tok_pos // {WINDOW} ORDER BY mention_idx) AS r FROM v_vec",
+        sp=f"""SELECT x.doc_id, x.win_id, x.pos AS p, y.pos AS q, list_sum(list_transform(x.v, lambda z, k: z * (({_SPAN_WEIGHT.format(k='(k - 1)')})::DOUBLE))) + list_sum(list_transform(y.v, lambda z, k: z * (({_SPAN_WEIGHT.format(k='k')})::DOUBLE)))
+        + list_sum(list_transform(generate_series(0, 3), lambda a: list_sum(list_transform(generate_series(0, 3), lambda b: x.v[a + 1] * y.v[b + 1] * (({_entry('a', 'b')})::DOUBLE))))) AS score
+        FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.win_id = y.win_id AND y.r BETWEEN x.r AND x.r + 4""",
+    )
+)
 def bilinear_spans(spark: SparkSession, sf: str) -> DataFrame:
     import numpy as np
 
-    rng = np.random.default_rng(5)
-    rows = mentions.fixed_windows(views.vectors(spark, sf), WINDOW).select("doc_id", "win_id", F.col("mention_idx").alias("pos"), "vec")
-    return vectors.score_spans(rows, rng.normal(size=64), rng.normal(size=64), rng.normal(size=(64, 64)) / 8, 5)
+    rows = mentions.fixed_windows(views.vectors(spark, sf), WINDOW).select("doc_id", "win_id", F.col("mention_idx").alias("pos"), F.slice("vec", 1, 4).alias("vec"))
+    one = np.array([(k * 3 % 7 - 3) / 4.0 for k in range(5)])
+    mixed = np.array([[((k * 7 + d * 3) % 11 - 5) / 8.0 for d in range(4)] for k in range(4)])
+    return rounded(vectors.score_spans(rows, one[:4], one[1:], mixed, 5), "score").where(F.col("score") > 0)
+
+
+_RANKED = "SELECT round(sum(p * (u + n / 2)) / (sum(p)::DOUBLE * sum(n)), 4) AS auc FROM (SELECT p, n, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM (SELECT {s} AS s, sum(is_gold::INT) AS p, sum((NOT is_gold)::INT) AS n FROM {t} GROUP BY 1))"
+_NEWTON = {
+    "f": "SELECT sc.*, x.vec[1]::DOUBLE * y.vec[1]::DOUBLE AS f1, abs(x.vec[1]::DOUBLE - y.vec[1]::DOUBLE) AS f2 FROM sc JOIN v_vec x ON x.doc_id = sc.doc_id AND x.mention_idx = sc.i JOIN v_vec y ON y.doc_id = sc.doc_id AND y.mention_idx = sc.j",
+    "w0": "SELECT 0::DOUBLE AS a, 0::DOUBLE AS b",
+}
+for _k in range(1, 5):
+    _NEWTON |= {
+        f"s{_k}": f"SELECT any_value(a) AS a, any_value(b) AS b, sum(f1 * (y - p)) - 0.5 * any_value(a) AS g1, sum(f2 * (y - p)) - 0.5 * any_value(b) AS g2, sum(f1 * f1 * p * (1 - p)) + 0.5 AS h11, sum(f1 * f2 * p * (1 - p)) AS h12, sum(f2 * f2 * p * (1 - p)) + 0.5 AS h22 FROM (SELECT a, b, f1, f2, is_gold::INT AS y, 1 / (1 + exp(-(a * f1 + b * f2))) AS p FROM f, w{_k - 1})",
+        f"w{_k}": f"SELECT a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS a, b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b FROM s{_k}",
+    }
 
 
-@query()
+@query(with_views(f"SELECT 'cosine' AS score, auc, NULL::DOUBLE AS w1, NULL::DOUBLE AS w2 FROM ({_RANKED.format(s='score', t='sc')}) UNION ALL SELECT 'probe', auc, round(a, 4), round(b, 4) FROM ({_RANKED.format(s='s', t='pb')}), w4", "v_vec", **_SCORED, **_NEWTON, pb="SELECT round(1 / (1 + exp(-(a * f1 + b * f2))), 7) AS s, is_gold FROM f, w4"))
 def linear_probe_auc(spark: SparkSession, sf: str) -> DataFrame:
-    """The area under the curve of the cosine and of a fitted linear probe."""
+    """The area under the curve of the cosine and of a linear probe fitted to the first dimension, with the probe's weights."""
     pairs = _scored(spark, sf)
-    probe, _ = vectors.fit_linear_pair_scorer(pairs.select("doc_id", "i", "j", "is_gold"), views.vectors(spark, sf))
-    one = links.separation_auc(pairs).withColumn("score", F.lit("cosine"))
-    return one.unionByName(links.separation_auc(probe, buckets=100_000).withColumn("score", F.lit("probe")))
+    first = views.vectors(spark, sf).withColumn("vec", F.slice("vec", 1, 1))
+    probe, weights = vectors.fit_linear_pair_scorer(pairs.select("doc_id", "i", "j", "is_gold"), first, rounds=4, ridge=0.5)
+    told = [F.lit(round(float(w), 4)) for w in weights] or [F.lit(None).cast("double")] * 2
+    one = links.separation_auc(pairs).select(F.lit("cosine").alias("score"), "auc", *(F.lit(None).cast("double").alias(c) for c in ("w1", "w2")))
+    two = links.separation_auc(rounded(probe, "score", digits=7)).select(F.lit("probe").alias("score"), "auc", told[0].alias("w1"), told[1].alias("w2"))
+    return rounded(one.unionByName(two), "auc", digits=4)
 
 
 def _sampled_sql(pairs: str, keys: str, ratio: int, seed: int) -> dict[str, str]:

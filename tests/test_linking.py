@@ -283,3 +283,36 @@ def test_nesting_is_counted_without_pairs(spark):
     deep = spark.range(20_000).selectExpr("1L AS doc_id", "0 AS sent_idx", "id AS sub_start", "60000 - id AS sub_end")
     assert [r["depth"] for r in spans.nesting_depth(deep).orderBy("sub_start").collect()] == list(range(20_000))
     assert spans.nesting_depth(df.where("false")).count() == 0
+
+
+def test_tiles_of_a_document_score_as_one(spark):
+    rng = np.random.default_rng(9)
+    weights = {"w1": rng.normal(size=(11, 4)), "b1": rng.normal(size=4), "w2": rng.normal(size=(4, 3)), "b2": rng.normal(size=3), "w3": rng.normal(size=(3, 1)), "b3": rng.normal(size=1)}
+    data = [(doc, k, int(w), x.tolist()) for doc, n in ((1, 37), (2, 1), (3, 12)) for k, (w, x) in enumerate(zip(rng.integers(0, 6, n), rng.normal(size=(n, 2)).round(1), strict=True))]
+    nodes = spark.createDataFrame(data, "doc_id long, node_idx int, win_id int, vec array<double>")
+    pairs = [(1, i, j) for i in range(37) for j in range(i) if rng.random() < 0.3]
+    known = spark.createDataFrame([(*p, float(rng.random()), 1, int(rng.integers(0, 2))) for p in pairs], "doc_id long, i int, j int, idf_jaccard double, containment int, exact_match int")
+    scored = lambda **more: {(r["doc_id"], r["i"], r["j"]): r["score"] for r in vectors.score_node_pairs(nodes, known, weights, **more).collect()}
+    whole = scored()
+    win = {(d, k): w for d, k, w, _ in data}
+    assert whole.keys() == {(d, i, j) for d, i in win for e, j in win if d == e and j < i and win[d, i] != win[d, j]}
+    for tile, step in ((1, 8192), (5, 3), (16, 100)):
+        some = scored(tile=tile, step=step)
+        assert some.keys() == whole.keys() and all(abs(some[k] - whole[k]) < 1e-12 for k in whole)
+    mixed = lambda v: v - v.mean(axis=0)
+    assert scored(context=mixed, tile=5) == pytest.approx(scored(context=mixed))
+    best = lambda df: {(r["doc_id"], r["i"]): (r["j"], round(r["score"], 9)) for r in links.best_antecedent(df, ("doc_id",)).collect()}
+    few = vectors.score_node_pairs(nodes, known, weights, tile=5, best=True)
+    assert few.count() < len(whole) and best(few) == best(vectors.score_node_pairs(nodes, known, weights))
+    assert vectors.score_node_pairs(nodes.where("false"), known, weights).count() == 0
+
+
+def test_newton_steps_reach_the_optimum(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    y = (rng.random(400) < 1 / (1 + np.exp(-x @ [1.0, -2.0, 0.5]))).astype(float)
+    rows = spark.createDataFrame([(r.tolist(), float(t)) for r, t in zip(x, y, strict=True)], "features array<double>, label double").repartition(5)
+    w = vectors.fit_logistic(rows, 3, ridge=0.1)
+    p = 1 / (1 + np.exp(-x @ w))
+    assert np.abs(x.T @ (y - p) - 0.1 * w).max() < 1e-8
+    assert vectors.fit_logistic(rows.where("false"), 3).tolist() == [0, 0, 0]
