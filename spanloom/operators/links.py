@@ -227,15 +227,17 @@ def pair_conditions(pairs: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("gold") / F.col("pairs"))
 
 
-def running_before(rows: DataFrame, by: str, values: Sequence[str], keys: Sequence[str] = (), parts: int = 64) -> DataFrame:
+def running_before(rows: DataFrame, by: str, values: Sequence[str], keys: Sequence[str] = (), each: int = 1_000_000) -> DataFrame:
     """Add ``<value>_before`` for each of ``values``: the sum over the rows of ``keys`` that come earlier in order of ``by``.
 
-    Rows are dealt into ``parts`` ranges and written; each range is summed, the
-    sums of the ranges are added up (a row for each range and key), and inside
-    a range a window does the rest.  No task orders more than a range.
+    Rows are written, counted and dealt into as many ranges as it takes for
+    about ``each`` rows; ranges are summed, their sums added up (a row for each
+    range and key), and inside a range a window does the rest.  No task orders
+    more than a range.
     """
     keys, names = list(keys), [f"{v}_before" for v in values]
-    dealt = durable(rows.repartitionByRange(parts, *keys, by).withColumn("__part", F.spark_partition_id()))
+    written = durable(rows)
+    dealt = written.repartitionByRange(max(1, -(-written.count() // each)), *keys, by).withColumn("__part", F.spark_partition_id())
     sums = dealt.groupBy(*keys, "__part").agg(*(F.sum(v).alias(f"__{n}") for v, n in zip(values, names, strict=True)))
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     base = sums.select(*keys, "__part", *(F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in names))

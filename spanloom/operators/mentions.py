@@ -181,12 +181,20 @@ def attach_surface_vectors(mentions: DataFrame, vectors: DataFrame) -> DataFrame
 
 
 def gather_endpoints(mentions: DataFrame, token_vectors: DataFrame, dim: int) -> DataFrame:
-    """Add ``ctx_start, ctx_end``: token vectors at both ends (``doc_id, pos, vec``), zeros where there is none."""
-    zero = F.array_repeat(F.lit(0.0), dim)
-    start = token_vectors.select("doc_id", F.col("pos").alias("sub_start"), F.col("vec").alias("__s"))
-    end = token_vectors.select("doc_id", F.col("pos").alias("sub_end"), F.col("vec").alias("__e"))
-    joined = mentions.join(start, ["doc_id", "sub_start"], "left").join(end, ["doc_id", "sub_end"], "left")
-    return joined.withColumn("ctx_start", F.coalesce("__s", zero)).withColumn("ctx_end", F.coalesce("__e", zero)).drop("__s", "__e")
+    """Add ``ctx_start, ctx_end``: token vectors at both ends (``doc_id, pos, vec``), zeros where there is none.
+
+    Both ends look the vectors up in one join.  Over a store of
+    ``corpora.read_vectors`` the vectors are read once and stay where they are:
+    only mentions move, by document.
+    """
+    own = mentions.columns
+    # the number only has to tell the rows of one document apart, which one join task gets from a task in one piece
+    rows = mentions.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in own)).alias("__m"), F.monotonically_increasing_id().alias("__row"))
+    ends = rows.select("*", F.posexplode(F.array("__m.sub_start", "__m.sub_end")).alias("__end", "pos"))
+    met = ends.join(token_vectors.select("doc_id", "pos", "vec"), ["doc_id", "pos"], "left")
+    at = lambda k: F.coalesce(F.first(F.when(F.col("__end") == k, F.col("vec")), True), F.array_repeat(F.lit(0.0), dim))
+    both = met.groupBy("doc_id", "__row").agg(F.first("__m").alias("__m"), at(0).alias("__s"), at(1).alias("__e"))
+    return both.select(*(F.col("__m")[c].alias(c) for c in own), F.col("__s").alias("ctx_start"), F.col("__e").alias("ctx_end"))
 
 
 def split_stats(mentions: DataFrame, extents: DataFrame, windows: DataFrame, weight: str = "mention") -> DataFrame:

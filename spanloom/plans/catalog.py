@@ -1110,7 +1110,9 @@ def vector_functions(spark: SparkSession, sf: str) -> DataFrame:
 )
 def endpoint_vectors(spark: SparkSession, sf: str) -> DataFrame:
     table = views.read(spark, sf, "embeddings").selectExpr("vec_id div 50 doc_id", "3 * (vec_id % 50) pos", "cast(embedding as array<double>) vec")
-    out = mentions.gather_endpoints(views.gold(spark, sf), table, 64)
+    name = f"token_vectors_{uuid.uuid4().hex}"
+    corpora.write_vectors(table, name, f"{shared_folder(spark)}/{name}", buckets=16)
+    out = mentions.gather_endpoints(views.gold(spark, sf), corpora.read_vectors(spark, name), 64)
     return out.select("doc_id", "mention_idx", F.round(F.element_at("ctx_start", 1), 6).alias("start_x"), F.round(F.element_at("ctx_end", 1), 6).alias("end_x"))
 
 
@@ -1316,3 +1318,106 @@ def united_corpora(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.gold(spark, sf).join(views.docmeta(spark, sf), "doc_id").select("corpus", "split", "doc_id")
     parts = [rows.where(F.col("split") == s) for s in ("train", "validation", "test")]
     return corpora.union_corpora(*parts).groupBy("corpus", "split").agg(F.count("*").alias("mentions"))
+
+
+@query(
+    with_views(
+        """SELECT doc_id, count(*) AS positions, round(avg(x / greatest(sqrt(x * x + y * y), 1e-12)), 5) AS x, round(avg(y / greatest(sqrt(x * x + y * y), 1e-12)), 5) AS y FROM
+        (SELECT doc_id, word_idx, avg(length(word) / 8) AS x, avg((word_idx - 48 * k) / 8 + 1) AS y FROM (SELECT doc_id, word_idx, word, unnest(CASE WHEN word_idx % 48 < 16 AND word_idx >= 48 THEN [word_idx // 48, word_idx // 48 - 1] ELSE [word_idx // 48] END) AS k FROM v_tokens) GROUP BY 1, 2) GROUP BY 1""",
+        "v_tokens",
+    )
+)
+def window_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of 64 words, 48 apart, through an encoder that sees where in its window a word stands; overlaps averaged."""
+    import numpy as np
+
+    def place_in_window(windows: list[list[str]]) -> list:
+        return [np.array([[len(text) / 8, k / 8 + 1] for k, text in enumerate(texts)]) for texts in windows]
+
+    words = views.tokens(spark, sf).select("doc_id", "word_idx", "word")
+    last = F.expr("word_idx div 48")
+    both = F.when((F.col("word_idx") % 48 < 16) & (last > 0), F.array(last, last - 1)).otherwise(F.array(last))
+    listed = words.select("doc_id", F.explode(both).alias("k"), F.struct("word_idx", "word").alias("x")).groupBy("doc_id", "k").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    windows = listed.select("doc_id", (F.col("k") * 48).alias("chunk_start"), F.transform("xs", lambda x: x["word"]).alias("pieces"))
+    lengths = words.groupBy("doc_id").agg(F.count("*").alias("n"))
+    unit = vectors.average_overlapping(vectors.encode_windows(windows, place_in_window, windowed=True), lengths, 2)
+    out = unit.groupBy("doc_id").agg(F.count("*").alias("positions"), F.avg(F.element_at("vec", 1)).alias("x"), F.avg(F.element_at("vec", 2)).alias("y"))
+    return rounded(out, "x", "y", digits=5)
+
+
+@query(with_views("SELECT doc_id, sum(ceil(length(word) / 3))::BIGINT AS pieces, count(*) AS words FROM v_tokens GROUP BY 1", "v_tokens"))
+def tokenized_words(spark: SparkSession, sf: str) -> DataFrame:
+    """A tokenizer plugged in: a piece for every three letters."""
+    words = vectors.tokenize_words(views.tokens(spark, sf).drop("n_pieces"), lambda texts: [-(-len(t) // 3) for t in texts])
+    return words.groupBy("doc_id").agg(F.sum("n_pieces").alias("pieces"), F.count("*").alias("words"))
+
+
+@query(_pooled_sql("ln(avg(exp(v)))"))
+def grouped_lse(spark: SparkSession, sf: str) -> DataFrame:
+    """``lse_pool`` as a grouped aggregate: a group's vectors meet in one task."""
+    out = views.vectors(spark, sf).groupBy("doc_id", "cluster_id").agg(vectors.lse_pool("vec").alias("vec"))
+    return rounded(out.select("doc_id", "cluster_id", F.posexplode("vec").alias("d", "x")), "x")
+
+
+@query(
+    with_views(
+        f"""SELECT x.doc_id, x.mention_idx, round({_DOT.format(a='x.vec', b='y.vec')} / (sqrt({_DOT.format(a='x.vec', b='x.vec')}) * sqrt({_DOT.format(a='y.vec', b='y.vec')})), 5) AS cosine,
+        round(list_sum(list_transform({_PAIR_ROW.format(a='x.v', b='y.v', more='[2.0::DOUBLE]')}, lambda z, k: z * k)), 5) AS weighed, x.tok_pos <= y.tok_pos + 8 AND y.tok_pos <= x.tok_pos + 5 AS touch
+        FROM (SELECT *, vec::DOUBLE[] AS v FROM v_vec) x JOIN (SELECT *, vec::DOUBLE[] AS v FROM v_vec) y ON x.doc_id = y.doc_id AND y.mention_idx = x.mention_idx - 1""",
+        "v_vec",
+    )
+)
+def neighbour_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosine, pair features and overlap of each mention and the one before it."""
+    rows = views.vectors(spark, sf).withColumn("vec", F.col("vec").cast("array<double>"))
+    before = rows.select("doc_id", (F.col("mention_idx") + 1).alias("mention_idx"), F.col("vec").alias("w"), F.col("tok_pos").alias("p"))
+    features = C.pair_features(F.col("vec"), F.col("w"), F.array(F.lit(2.0)))
+    weighed = F.aggregate(F.transform(features, lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    touch = C.span_overlap(F.col("tok_pos"), F.col("tok_pos") + 5, F.col("p"), F.col("p") + 8)
+    out = rows.join(before, ["doc_id", "mention_idx"])
+    return rounded(out.select("doc_id", "mention_idx", C.cosine(F.col("vec"), F.col("w")).alias("cosine"), weighed.alias("weighed"), touch.alias("touch")), "cosine", "weighed", digits=5)
+
+
+# What is written and read again
+
+
+@query(with_views('SELECT split, doc_id::VARCHAR AS doc_id, cluster_id, sent_idx, "start", "end" FROM v_gold JOIN v_docmeta USING (doc_id)', "v_gold", "v_docmeta"))
+def saved_corpus_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Gold mentions as a corpus of nested clusters with inclusive ends, saved and read by its schema."""
+    gold = views.gold(spark, sf).select("doc_id", "cluster_id", F.array("sent_idx", "start", F.col("end") - 1).alias("m"))
+    chains = gold.groupBy("doc_id", "cluster_id").agg(F.array_sort(F.collect_list("m")).alias("ms")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "ms"))).alias("cs"))
+    texts = views.sentences(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "words"))).alias("xs"))
+    whole = texts.join(chains, "doc_id").join(views.docmeta(spark, sf), "doc_id")
+    saved = whole.select("corpus", "split", F.col("doc_id").cast("string").alias("doc_name"), F.col("xs.words").alias("sentences"), F.col("cs.ms").alias("coref_chains"))
+    folder = corpora.variant_path(f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", window=WINDOW)
+    corpora.write_documents(saved, folder)
+    back = corpora.normalize(corpora.read_corpus(spark, folder, "litbank"), "litbank")
+    return back.select("split", "doc_id", "cluster_id", "sent_idx", "start", "end")
+
+
+@query(with_views(f"SELECT doc_id, mention_idx, tok_pos, {WINDOW} AS window FROM v_gold WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, mention_idx, tok_pos, {2 * WINDOW} FROM v_gold WHERE doc_id % 3 = 2", "v_gold"))
+def saved_tables_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Mention tables of two configurations, read together; their folders tell them apart."""
+    folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    gold = views.gold(spark, sf).select("doc_id", "mention_idx", "tok_pos")
+    for k in (1, 2):
+        corpora.write_table(gold.where(F.col("doc_id") % 3 == k), corpora.variant_path(folder, window=k * WINDOW))
+    return corpora.read_table(spark, folder).select("doc_id", "mention_idx", "tok_pos", "window")
+
+
+@query(with_views("SELECT split, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM v_gold JOIN v_docmeta USING (doc_id) GROUP BY 1", "v_gold", "v_docmeta"))
+def resumed_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of each split, written by a job that is run again: each is there once, and what an attempt left unmarked is not read."""
+    folder = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    rows = durable(views.gold(spark, sf).join(views.docmeta(spark, sf), "doc_id").select("split", "doc_id"))
+    counted = lambda split: rows.where(F.col("split") == split).agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("documents"))
+    counted("test").withColumn("split", F.lit("test")).write.parquet(f"{folder}/data/left-by-a-job-that-died")
+    for split in ("train", "validation", "train", "test", "test"):
+        corpora.write_metrics(counted(split), folder, split=split)
+    return corpora.read_metrics(spark, folder).select("split", "mentions", "documents")
+
+
+@query(with_views("SELECT doc_id, pred_idx FROM v_pred WHERE doc_id IN (SELECT doc_id FROM v_gold)", "v_pred", "v_gold"))
+def predictions_with_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted mentions of documents that have gold ones."""
+    return metrics.docs_with_key(views.predicted(spark, sf), views.gold(spark, sf)).select("doc_id", "pred_idx")

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.operators import mentions
 from spanloom.sources import conll, corpora
 
 TEXT = """#begin document (bc/x/0001); part 000
@@ -117,14 +118,14 @@ def test_parse(tokens):
 
 def test_write_and_read_back(spark, tmp_path):
     tokens = spark.createDataFrame([("d", 0, k, w) for k, w in enumerate("a b c d e".split())] + [("d", 1, 0, "f")], "doc_id string, sent_idx int, tok_idx int, word string")
-    mentions = spark.createDataFrame([("d", 0, 0, 0, 5), ("d", 1, 0, 0, 2), ("d", 1, 0, 1, 2), ("d", 2, 0, 4, 5), ("d", 0, 1, 0, 1)], "doc_id string, cluster_id int, sent_idx int, start int, end int")
-    conll.write_conll(tokens, mentions, str(tmp_path / "out"))
+    spans = spark.createDataFrame([("d", 0, 0, 0, 5), ("d", 1, 0, 0, 2), ("d", 1, 0, 1, 2), ("d", 2, 0, 4, 5), ("d", 0, 1, 0, 1)], "doc_id string, cluster_id int, sent_idx int, start int, end int")
+    conll.write_conll(tokens, spans, str(tmp_path / "out"))
     lines = [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert lines[0] == "#begin document (d); part 000" and lines[-1] == "#end document"
     assert lines[1].split("\t") == ["d", "0", "0", "a", "(0|(1"] and lines[2].split("\t")[-1] == "(1)|1)" and lines[5].split("\t")[-1] == "(2)|0)"
-    found, _ = conll.match_coref_brackets(conll.coref_column(tokens, mentions), ("doc_id", "sent_idx"))
+    found, _ = conll.match_coref_brackets(conll.coref_column(tokens, spans), ("doc_id", "sent_idx"))
     got = sorted((r["cluster"], r["sent_idx"], r["start"], r["end"] + 1) for r in found.collect())
-    assert got == sorted((r["cluster_id"], r["sent_idx"], r["start"], r["end"]) for r in mentions.collect())
+    assert got == sorted((r["cluster_id"], r["sent_idx"], r["start"], r["end"]) for r in spans.collect())
 
 
 def test_corpora(spark, tmp_path):
@@ -142,4 +143,48 @@ def test_corpora(spark, tmp_path):
     assert corpora.read_table(spark, str(tmp_path / "t")).where("window = 256").count() == 4
     corpora.write_metrics(both.agg(F.count("*").alias("n")), str(tmp_path / "m"), seed=3)
     corpora.write_metrics(both.agg(F.count("*").alias("n")), str(tmp_path / "m"), seed=4)
-    assert sorted(r["seed"] for r in spark.read.json(str(tmp_path / "m")).collect()) == [3, 4]
+    assert not corpora.write_metrics(both.agg(F.count("*").alias("n")), str(tmp_path / "m"), seed=4)
+    assert sorted(r["seed"] for r in corpora.read_metrics(spark, str(tmp_path / "m")).collect()) == [3, 4]
+
+
+def test_a_killed_write_is_resumed_without_doubles(spark, tmp_path):
+    store = corpora.Parts(spark, str(tmp_path / "p"))
+    with pytest.raises(FileNotFoundError):
+        store.read()
+    rows = spark.range(100, numPartitions=4).withColumn("x", F.col("id") % 7)
+    dies = rows.withColumn("x", F.when(F.col("id") < 60, F.col("x")).otherwise(F.raise_error(F.lit("killed")).cast("long")))
+    assert store.write("a", rows)
+    with pytest.raises(Exception, match="killed"):
+        store.write("b", dies)
+    # an attempt that wrote all its rows but not its marker
+    rows.write.parquet(str(tmp_path / "p" / "data" / "unmarked"))
+    assert sorted(store.done()) == ["a"] and store.read().count() == 100
+    again = corpora.Parts(spark, str(tmp_path / "p"))
+    assert [again.write(part, rows) for part in ("a", "b", "c")] == [False, True, True]
+    assert sorted((r["part"], r["count"]) for r in again.read().groupBy("part").count().collect()) == [("a", 100), ("b", 100), ("c", 100)]
+    # two jobs that wrote one part: one counts
+    spark.createDataFrame([("c", "unmarked")], "part string, attempt string").write.mode("append").json(str(tmp_path / "p" / "manifest"))
+    assert again.read().count() == 300
+
+
+def test_vector_store_is_read_once_where_it_lies(spark, tmp_path):
+    rng = random.Random(1)
+    vecs = spark.createDataFrame([(d, p, [float(d), float(p)]) for d in range(20) for p in range(0, 50, 2)], "doc_id long, pos long, vec array<double>")
+    name = "vectors_" + tmp_path.name.replace("-", "_")
+    corpora.write_vectors(vecs, name, str(tmp_path / "v"), 4)
+    rows = [(rng.randrange(22), k, a := rng.randrange(50), a + rng.randrange(4)) for k in range(200)]
+    men = spark.createDataFrame([*rows, rows[0]], "doc_id long, mention_idx int, sub_start long, sub_end long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = mentions.gather_endpoints(men, corpora.read_vectors(spark, name), 2)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Bucketed: true") == 1 and plan.count("Exchange hashpartitioning") == 1
+        at = lambda d, p: [float(d), float(p)] if d < 20 and p < 50 and p % 2 == 0 else [0.0, 0.0]
+        got = sorted((r["doc_id"], r["mention_idx"], r["sub_start"], r["sub_end"], list(r["ctx_start"]), list(r["ctx_end"])) for r in out.collect())
+        assert got == sorted((d, k, a, b, at(d, a), at(d, b)) for d, k, a, b in [*rows, rows[0]])
+        few = corpora.read_vectors(spark, name, [3])
+        assert few.count() == 25 and few.select(F.input_file_name()).distinct().count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

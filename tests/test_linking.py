@@ -212,7 +212,7 @@ def test_running_sums_auc_and_median(spark):
     yes, no = [s for s, g in scored if g], [s for s, g in scored if not g]
     want = sum((a > b) + (a == b) / 2 for a in yes for b in no) / (len(yes) * len(no))
     assert links.separation_auc(df).first()["auc"] == pytest.approx(want)
-    sums = {r["score"]: r["n_before"] for r in links.running_before(df.groupBy("score").agg(F.count("*").alias("n")), "score", ["n"], parts=5).collect()}
+    sums = {r["score"]: r["n_before"] for r in links.running_before(df.groupBy("score").agg(F.count("*").alias("n")), "score", ["n"], each=4).collect()}
     assert sums == {s: sum(x < s for x, _ in scored) for s, _ in scored}
     pairs = spark.createDataFrame([(1, 0, i, 0, s, True) for i, (s, _) in enumerate(scored, 1)], "doc_id int, win_id int, i int, j int, sim double, is_gold boolean")
     told = spark.createDataFrame([(1, 0, i, "TRUE_LINK" if g else "MISSED_LINK") for i, (_, g) in enumerate(scored, 1)], "doc_id int, win_id int, i int, outcome string")
