@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,19 +99,54 @@ def pack_sentences(extents: DataFrame, size: int) -> DataFrame:
 
     A chunk reaches from its first sentence's start to its last one's end, gaps
     included; a sentence longer than ``size`` is cut by itself.  ``extents``:
-    ``doc_id, sub_offset, sub_length``; equal rows count once.  One fold over a
-    document's sentences; only their offsets are gathered.
+    ``doc_id, sub_offset, sub_length``; equal rows count once.  A document's
+    sentences stream by in order; only the open chunk is held.
     """
-    listed = extents.select("doc_id", F.struct(F.col("sub_offset").cast("long").alias("o"), F.col("sub_length").cast("long").alias("n")).alias("x")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    chunk, kind = "struct<s:bigint,e:bigint>", "struct<c:array<struct<s:bigint,e:bigint>>,s:bigint,e:bigint>"
-    flush = f"if(a.s is null, a.c, concat(a.c, array(cast(struct(a.s, a.e) as {chunk}))))"
-    cut = f"transform(sequence(0L, (x.n - 1) div {size}L), k -> cast(struct(x.o + k * {size}L, least(x.o + (k + 1) * {size}L, x.o + x.n)) as {chunk}))"
-    fold = f"""aggregate(xs, cast(struct(array() as c, null as s, null as e) as {kind}), (a, x) -> case
-        when x.n > {size}L then cast(struct(concat({flush}, {cut}), cast(null as bigint), cast(null as bigint)) as {kind})
-        when a.s is null then cast(struct(a.c, x.o, x.o + x.n) as {kind})
-        when x.o + x.n - a.s > {size}L then cast(struct({flush}, x.o, x.o + x.n) as {kind})
-        else cast(struct(a.c, a.s, x.o + x.n) as {kind}) end, a -> {flush})"""
-    return listed.select("doc_id", F.posexplode(F.expr(fold)).alias("win_id", "c")).select("doc_id", "win_id", F.col("c.s").alias("chunk_start"), F.col("c.e").alias("chunk_end"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, begin, end, number = object(), None, None, 0
+        docs, wins, starts, ends = [], [], [], []
+
+        def close(a: int, b: int) -> None:
+            nonlocal number
+            docs.append(doc)
+            wins.append(number)
+            starts.append(a)
+            ends.append(b)
+            number += 1
+
+        def made() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array(wins, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "win_id", "chunk_start", "chunk_end"])
+            for column in (docs, wins, starts, ends):
+                column.clear()
+            return out
+
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            for d, o, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if d != doc:
+                    if begin is not None:
+                        close(begin, end)
+                    doc, begin, number = d, None, 0
+                if begin is not None and (n > size or o + n - begin > size):
+                    close(begin, end)
+                    begin = None
+                if n > size:
+                    for k in range(0, n, size):
+                        close(o + k, min(o + k + size, o + n))
+                        if len(docs) > 100_000:
+                            yield made()
+                    continue
+                begin, end = o if begin is None else begin, o + n
+            yield made()
+        if begin is not None:
+            close(begin, end)
+            yield made()
+
+    rows = extents.select("doc_id", F.col("sub_offset").cast("long").alias("o"), F.col("sub_length").cast("long").alias("n")).distinct()
+    kind = dict(extents.dtypes)["doc_id"]
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "o", "n").mapInArrow(pack, f"doc_id {kind}, win_id int, chunk_start long, chunk_end long")
 
 
 def assign_window(mentions: DataFrame, windows: DataFrame, position: str = "tok_pos") -> DataFrame:

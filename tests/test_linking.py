@@ -316,3 +316,41 @@ def test_newton_steps_reach_the_optimum(spark):
     p = 1 / (1 + np.exp(-x @ w))
     assert np.abs(x.T @ (y - p) - 0.1 * w).max() < 1e-8
     assert vectors.fit_logistic(rows.where("false"), 3).tolist() == [0, 0, 0]
+
+
+def test_packing_streams_long_documents(spark):
+    def plain(sents, size):
+        out, begin, end = [], None, None
+        for o, n in sorted(set(sents)):
+            if begin is not None and (n > size or o + n - begin > size):
+                out.append((begin, end))
+                begin = None
+            if n > size:
+                out += [(o + k, min(o + k + size, o + n)) for k in range(0, n, size)]
+            else:
+                begin, end = o if begin is None else begin, o + n
+        return out + ([(begin, end)] if begin is not None else [])
+
+    rng = random.Random(11)
+    docs = {}
+    for name in ("a", "b", "c", "d"):
+        at, sents = 0, []
+        for _ in range(rng.randint(1, 60)):
+            n = rng.choice([1, 3, 9, 25])
+            sents.append((at, n))
+            at += n + rng.choice([0, 0, 5])
+        docs[name] = sents + sents[:2]
+    df = spark.createDataFrame([(d, *x) for d, xs in docs.items() for x in xs], "doc_id string, sub_offset int, sub_length long")
+    got = rows(mentions.pack_sentences(df, 10))
+    assert got == sorted((d, k, *c) for d, xs in docs.items() for k, c in enumerate(plain(xs, 10)))
+    assert mentions.pack_sentences(df.where("false"), 10).count() == 0
+    long = spark.range(1_000_000).selectExpr("7L AS doc_id", "id * 3 AS sub_offset", "3L AS sub_length")
+    last = mentions.pack_sentences(long, 10).agg(F.count("*"), F.max("win_id"), F.max("chunk_end")).first()
+    assert tuple(last) == (333_334, 333_333, 3_000_000)
+
+
+def test_frequent_tokens_are_parted(spark):
+    index = spark.createDataFrame([(1, k, k % 3, "the", 50, 0.5) for k in range(40)] + [(1, 2, 2, "x", 1, 2.0), (1, 9, 0, "x", 2, 2.0)], "doc_id long, node_idx int, win_id int, token string, df long, idf double")
+    want = sorted([(1, i, j, "the", 0.5) for i in range(40) for j in range(i) if i % 3 != j % 3] + [(1, 9, 2, "x", 2.0)])
+    for each in (1000, 7, 1):
+        assert rows(lexical.shared_token_pairs(index.where("token = 'the'").unionByName(index.where("token = 'x'").withColumn("df", F.lit(2).cast("long"))), each)) == want
