@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.columns import clip, f1, mention_type_eval, overlap, ratio
+from spanloom.operators.components import durable
 
 SPAN = ("sub_start", "sub_end")
 
@@ -23,21 +24,26 @@ def overlapping(gold: DataFrame, pred: DataFrame, width: int = 32) -> DataFrame:
     """Distinct pairs of overlapping inclusive spans of a document: ``doc_id, g0, g1, p0, p1``."""
     g = _blocks(gold.select("doc_id", F.col("sub_start").alias("g0"), F.col("sub_end").alias("g1")).distinct(), width, "g0", "g1")
     p = _blocks(pred.select("doc_id", F.col("sub_start").alias("p0"), F.col("sub_end").alias("p1")).distinct(), width, "p0", "p1")
-    return g.join(p, ["doc_id", "__block"]).where((F.col("p0") <= F.col("g1")) & (F.col("g0") <= F.col("p1"))).drop("__block").distinct()
+    # a pair meets in every block that both touch; it counts in the one where the later of the two begins
+    first = F.expr(f"cast(greatest(g0, p0) div {width} as int)")
+    return g.join(p, ["doc_id", "__block"]).where((F.col("p0") <= F.col("g1")) & (F.col("g0") <= F.col("p1")) & (F.col("__block") == first)).drop("__block")
 
 
 def span_matches(gold: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct gold and predicted spans with the flags ``exact``, ``overlap`` and ``same_end``."""
+    """Distinct gold and predicted spans with the flags ``exact``, ``overlap`` and ``same_end``.
 
-    def flag(one: DataFrame, other: DataFrame, a: str, b: str) -> DataFrame:
-        mine = one.select("doc_id", *SPAN).distinct()
-        same = other.select("doc_id", *SPAN).distinct().withColumn("__x", F.lit(True))
-        ends = other.select("doc_id", "sub_end").distinct().withColumn("__e", F.lit(True))
-        touch = overlapping(gold, pred).select("doc_id", F.col(f"{a}0").alias("sub_start"), F.col(f"{a}1").alias("sub_end")).distinct().withColumn("__o", F.lit(True))
-        out = mine.join(same, ["doc_id", *SPAN], "left").join(ends, ["doc_id", "sub_end"], "left").join(touch, ["doc_id", *SPAN], "left")
-        return out.select("doc_id", *SPAN, *(F.coalesce(c, F.lit(False)).alias(n) for c, n in (("__x", "exact"), ("__o", "overlap"), ("__e", "same_end"))))
+    Spans that end alike overlap, so one table of overlapping pairs, written
+    once, tells all three flags of both sides.
+    """
+    g, p = (durable(side.select("doc_id", *SPAN).distinct()) for side in (gold, pred))
+    same_end = F.col("g1") == F.col("p1")
+    met = durable(overlapping(g, p).select("*", (same_end & (F.col("g0") == F.col("p0"))).alias("exact"), same_end.alias("same_end")))
+
+    def flag(one: DataFrame, a: str) -> DataFrame:
+        found = met.groupBy("doc_id", F.col(f"{a}0").alias("sub_start"), F.col(f"{a}1").alias("sub_end")).agg(F.bool_or("exact").alias("exact"), F.lit(True).alias("overlap"), F.bool_or("same_end").alias("same_end"))
+        return one.join(found, ["doc_id", *SPAN], "left").fillna(False)
 
-    return flag(gold, pred, "g", "p"), flag(pred, gold, "p", "g")
+    return flag(g, "g"), flag(p, "p")
 
 
 def earlier_at_least(values: np.ndarray) -> np.ndarray:
