@@ -137,6 +137,33 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a - (at >> 8 & 255), a - (at & 255)
 
 
+def _equal_surroundings(body: list[bytes], row: np.ndarray, ah: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """For each anchor of a text the position of one with equal surroundings in it: of all equal ones the same one.
+
+    Nothing is copied for a place: hashes of stretches of about 1 MB tell
+    candidates, and the bytes are compared where they stand.
+    """
+    p0, p1 = _unpack(at)
+    data = np.frombuffer(b"".join(body), np.uint8)
+    sizes = np.fromiter(map(len, body), np.int64, len(body))
+    start, length = (np.cumsum(sizes) - sizes)[row] + p0, p1 - p0 + size
+    whole, by = np.empty(len(row), np.uint64), np.argsort(start, kind="stable")
+    cuts = np.searchsorted(start[by], np.arange(0, len(data) + _MAX_SLICE, _MAX_SLICE))
+    for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if i < j:
+            mine, cut = by[i:j], k * _MAX_SLICE
+            whole[mine] = PrefixHashes(data[cut : cut + _MAX_SLICE + 255 + size]).of(start[mine] - cut, length[mine])
+    order = np.lexsort((whole, at & 0xFFFF, ah, row))
+    a, b = order[1:], order[:-1]
+    new = np.append(True, (row[a] != row[b]) | (ah[a] != ah[b]) | (at[a] & 0xFFFF != at[b] & 0xFFFF) | (whole[a] != whole[b]))
+    first = np.empty(len(order), np.int64)
+    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    others = np.flatnonzero(first != np.arange(len(first)))
+    odd = [i for i, r, x, n, y in zip(others.tolist(), row[others].tolist(), p0[others].tolist(), length[others].tolist(), p0[first[others]].tolist(), strict=True) if body[r][x : x + n] != body[r][y : y + n]]
+    first[odd] = odd  # a hash collision
+    return first
+
+
 def _contexts(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The surroundings of each anchor of ``hits``; ``part``: which part of the anchor's places, -1 where they are few."""
 
@@ -154,15 +181,13 @@ def _contexts(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     continue
                 p0, p1 = _unpack(at)
                 body = list(texts(batch.column(2)))
-                around = [body[r][a : b + size] for r, a, b in zip(row.tolist(), p0.tolist(), p1.tolist(), strict=True)]
-                _, own = np.unique(np.stack([row, ah], axis=1), axis=0, return_inverse=True)
-                first = equal_rows(around, own.ravel(), at)
-                places: dict[int, list[int]] = {}
-                for i, f in enumerate(first.tolist()):
-                    places.setdefault(f, []).append(int(at[i]))
-                one = np.array(list(places))
+                first = _equal_surroundings(body, row, ah, at, size)
+                order = np.argsort(first, kind="stable")
+                one, begin = np.unique(first[order], return_index=True)
+                places = np.split(at[order], begin[1:])
+                around = [body[r][a : b + size] for r, a, b in zip(row[one].tolist(), p0[one].tolist(), p1[one].tolist(), strict=True)]
                 dealt = (_mix(_mix(key[row[one]].view(np.uint64)) ^ tag[row[one]].view(np.uint64)) >> np.uint64(1)).astype(np.int64) % np.maximum(parts[one], 1)
-                yield _rows(ah[one], np.where(parts[one] > 1, dealt, -1), parts[one], key[row[one]], tag[row[one]], list(places.values()), [around[i] for i in places], np.array([len(x) > 1 for x in places.values()]))
+                yield _rows(ah[one], np.where(parts[one] > 1, dealt, -1), parts[one], key[row[one]], tag[row[one]], places, around, np.array([len(x) > 1 for x in places]))
 
     return run
 
@@ -377,6 +402,18 @@ def repeated_starts(bodies: list[bytes], group: np.ndarray, at: np.ndarray, done
     return np.concatenate(rows), np.concatenate(starts)
 
 
+def _joined_ranges(key: np.ndarray, tag: np.ndarray, p0: np.ndarray, p1: np.ndarray) -> pa.RecordBatch:
+    """Ranges of starts, those of one text that touch made one."""
+    order = np.lexsort((p0, tag, key))
+    key, tag, p0, p1 = key[order], tag[order], p0[order], p1[order]
+    text = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])))
+    # the farthest end so far in each text; a text's numbers lie above those of the text before
+    width = int(p1.max()) + 2
+    reach = np.maximum.accumulate(text * width + p1)
+    first = np.flatnonzero(np.append(True, text[1:] * width + p0[1:] > reach[:-1] + 1))
+    return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(tag[first]), pa.array(p0[first]), pa.array(reach[np.append(first[1:], len(p0)) - 1] - text[first] * width)], ["k", "t", "p0", "p1"])
+
+
 def _resolve(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +431,7 @@ def _resolve(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 each = np.repeat(np.arange(len(first)), n)  # all places of a row have the same strings
                 shift = np.array([x - places[r][0] >> 16 for r in row[first].tolist() for x in places[r]])
                 r = row[first][each]
-                yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(tag[r]), pa.array(start[first][each] + shift), pa.array(start[last][each] + shift)], ["k", "t", "p0", "p1"])
+                yield _joined_ranges(key[r], tag[r], start[first][each] + shift, start[last][each] + shift)
 
     return run
 

@@ -35,6 +35,32 @@ def test_repeats_equal_brute_force(spark, seed, crowd):
     assert cut(spark, texts, crowd=crowd, largest=4 * crowd) == brute.repeats(texts)
 
 
+def test_repetitive_texts(spark):
+    line = "the same line again and again, of some sixty bytes or so\n"
+    texts = ["a" * 60_000, "ab" * 30_000, line * 1000, "x" + "a" * 500 + "y" + "a" * 700, line[:30]]
+    assert cut(spark, texts) == brute.repeats(texts)
+
+
+def test_equal_surroundings_of_a_long_text(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(repeats, "_MAX_SLICE", 50_000)
+    body = [b"ab" * 100_000, b"q" * 300 + b"ab" * 200]
+    data = np.frombuffer(b"".join(body), np.uint8)
+    doc, a, p0, p1, ah = repeats.anchors(data, np.cumsum([len(b) for b in body]))
+    base = np.array([0, len(body[0])])[doc]
+    at = repeats._pack(a - base, a - p0, a - p1)
+    tracemalloc.start()
+    first = repeats._equal_surroundings(body, doc, ah.view(np.int64), at, 200)
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+    around = [body[d][x : y + 200] for d, x, y in zip(doc.tolist(), (p0 - base).tolist(), (p1 - base).tolist(), strict=True)]
+    seen = {}
+    for k, key in enumerate(zip(doc.tolist(), ah.tolist(), (at & 0xFFFF).tolist(), around, strict=True)):
+        assert first[k] in seen.setdefault(key, {int(first[k])})
+    assert len({int(f) for f in first}) == len(seen)
+
+
 def test_repeats_do_not_rest_on_hashes():
     rng = random.Random(9)
     texts = ["".join(rng.choice("ab") for _ in range(400)) for _ in range(6)]
