@@ -60,6 +60,50 @@ def test_longest_matches_equal_brute_force(spark):
     assert all((a == b).all() for x, y in zip(few, many, strict=True) for a, b in zip(x, y, strict=True))
 
 
+def test_longest_matches_in_periodic_and_frequent_text():
+    rng = random.Random(7)
+    for _ in range(60):
+        letters = rng.choice(["a", "a b", "a b c"]).split()
+        text = lambda n: " ".join(rng.choice(letters) for _ in range(n))  # noqa: E731, B023
+        part = text(12)
+        items = [text(rng.randint(1, 30)) for _ in range(4)] + [f"{part} x {part} y {part}", f"{part} y {text(5)}"]
+        docs = [text(rng.randint(0, 60)) for _ in range(4)] + [f"{part} y {part} x {part} {text(9)}", "", f"q {part} z {part}"]
+        block = decontaminate.build_block([(str(k), t) for k, t in enumerate(items)], 10)
+        for most in (3, 10**6):
+            _, found = decontaminate._search(block, [brute.words(t) for t in docs], most)
+            got = {(d, block.items[i]): (a, b, n) for d, i, a, b, n in zip(*(c.tolist() for c in found), strict=True)}
+            assert got == {(d, str(k)): m for d, t in enumerate(docs) for k, item in enumerate(items) if (m := brute.longest_match(t, item))}
+
+
+def test_one_word_again_and_again_on_both_sides():
+    import time
+
+    words = [b"a"] * 20_000
+    block = decontaminate.build_block([("1", "a " * 20_000), ("2", "a " * 5000 + "b")], 10)
+    began = time.time()
+    spans, found = decontaminate._search(block, [words, [b"c", *words[:8000], b"b"]])
+    assert time.time() - began < 20
+    assert [tuple(int(c[k]) for c in found) for k in range(4)] == [(0, 0, 0, 0, 20_000), (0, 1, 0, 0, 5000), (1, 0, 0, 1, 8000), (1, 1, 0, 3001, 5001)]
+    assert len(spans[0]) == 20_000 - 9 + 8000 - 9 + 1
+
+
+def test_hash_collisions_are_found_out(monkeypatch):
+    rng = random.Random(3)
+    items, docs = [[" ".join(rng.choice("abc") for _ in range(n)) for n in sizes] for sizes in ((30, 25, 12), (60, 50, 0, 40))]
+    block = decontaminate.build_block([(str(k), t) for k, t in enumerate(items)], 10)
+    monkeypatch.setattr(decontaminate, "common_words", lambda one, a, two, b: np.minimum(one.left[a], two.left[b]))  # all agree
+    _, found = decontaminate._search(block, [brute.words(t) for t in docs])
+    got = {(d, block.items[i]): n for d, i, _, _, n in zip(*(c.tolist() for c in found), strict=True)}
+    assert got == {(d, str(k)): m[2] for d, t in enumerate(docs) for k, item in enumerate(items) if (m := brute.longest_match(t, item))}
+
+
+def test_a_test_set_beyond_the_bound_is_an_error(spark):
+    docs = small_docs(spark, ["one two three"])
+    bench = spark.createDataFrame([(1, "two three " * 20)], "item_id long, text string")
+    with pytest.raises(ValueError, match="most_bytes"):
+        decontaminate.contamination(docs, bench, most_bytes=100)
+
+
 def test_contamination_keeps_columns_and_empty_tables(spark):
     docs = small_docs(spark, ["one two three", None])
     none = spark.createDataFrame([], "item_id long, text string")
