@@ -354,3 +354,23 @@ def test_frequent_tokens_are_parted(spark):
     want = sorted([(1, i, j, "the", 0.5) for i in range(40) for j in range(i) if i % 3 != j % 3] + [(1, 9, 2, "x", 2.0)])
     for each in (1000, 7, 1):
         assert rows(lexical.shared_token_pairs(index.where("token = 'the'").unionByName(index.where("token = 'x'").withColumn("df", F.lit(2).cast("long"))), each)) == want
+
+
+def test_blocks_of_overlapping_clusters():
+    rng = random.Random(12)
+    for _ in range(50):
+        pairs = [(rng.randrange(3), rng.randrange(8), rng.randrange(8)) for _ in range(rng.randint(1, 25))]
+        got = metrics.blocks_of(*zip(*pairs, strict=True))
+        near = lambda a, b: a[0] == b[0] and (a[1] == b[1] or a[2] == b[2])
+        want = list(range(len(pairs)))
+        for _ in pairs:
+            want = [min(want[m] for m, q in enumerate(pairs) if near(p, q)) for p in pairs]
+        assert got == want
+
+
+def test_alignment_of_a_long_document_is_many_groups(spark):
+    # a chain of blocks: key cluster c has mentions 4c to 4c + 3, response clusters cut it in two unequal parts
+    key = spark.range(8000).selectExpr("1L AS doc_id", "id div 4 AS cluster_id", "id AS sent_idx", "0 AS start", "1 AS end")
+    response = spark.range(8000).selectExpr("1L AS doc_id", "IF(id % 4 = 0, 10000 + id div 4, id div 4) AS cluster_id", "id AS sent_idx", "0 AS start", "1 AS end")
+    row = metrics.ceaf_e(key, response).first()
+    assert (row["rec_num"], row["rec_den"], row["prec_den"]) == (pytest.approx(2000 * 6 / 7), 2000, 4000)
