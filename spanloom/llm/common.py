@@ -12,13 +12,33 @@ import pyarrow as pa
 
 #: Bytes that end a word, and A-Z to a-z: for words of digits, letters and every byte from 0x80.
 _ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+#: By module: what drops the tables that it keeps in this process from one task to the next.
+_DROPS: dict[str, Callable[[], None]] = {}
+
+
+def kept_between_tasks(module: str, drop: Callable[[], None]) -> None:
+    """``module`` has a table that its next task can use; ``drop`` is called when a task of another module begins."""
+    _DROPS[module] = drop
+
+
+def drop_tables(but_of: str | None = None) -> None:
+    """Drop the tables that modules, other than ``but_of``, keep in this process."""
+    if others := [m for m in _DROPS if m != but_of]:
+        for m in others:
+            _DROPS.pop(m)()
+        give_back()
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run``, giving the memory of its tables back when a task ends: Python workers live on for tasks of other stages."""
+    """``run``, giving the memory of its tables back when a task ends: Python workers live on for tasks of other stages.
+
+    What other modules keep in the worker is dropped before it begins.
+    """
+    module = run.__module__
 
     @functools.wraps(run)
     def tidied(batches: Iterator) -> Iterator:
+        drop_tables(module)
         try:
             yield from run(batches)
         finally:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import byte_sizes, slices, texts, tidy
+from spanloom.llm.common import byte_sizes, drop_tables, kept_between_tasks, slices, texts, tidy
 
 SEED = 17
 
@@ -57,6 +57,7 @@ class _Chunks:
 def _chunks(path: str) -> _Chunks:
     from tokenizers import Tokenizer
 
+    kept_between_tasks(__name__, _chunks.cache_clear)
     return _Chunks(Tokenizer.from_file(path))
 
 
@@ -212,6 +213,7 @@ def _pack(room: int, least_cut: int, small: bool) -> Callable[[tuple, pa.Table],
     kind = np.uint16 if small else np.uint32
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        drop_tables()  # all documents are tokenised
         body = list(texts(table.column("body").combine_chunks()))
         width = np.dtype(kind).itemsize
         sizes = [len(b) // width for b in body]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import byte_sizes, slices, texts, tidy, whole_groups
+from spanloom.llm.common import byte_sizes, kept_between_tasks, slices, texts, tidy, whole_groups
 from spanloom.operators.components import durable
 
 SIZE, GRAM = 200, 80
@@ -56,6 +56,7 @@ class PrefixHashes:
                 return np.multiply.accumulate(out)
 
             have = cls._tables[base] = (powers(base), powers(pow(base, -1, 1 << 64)))
+            kept_between_tasks(__name__, cls._tables.clear)
         return have
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:

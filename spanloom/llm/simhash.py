@@ -278,7 +278,7 @@ class _WordHashes(dict):
 class Shingles:
     """Distinct runs of ``size`` words of a text as ascending 64-bit hashes; fewer words: one run of all; none: empty."""
 
-    def __init__(self, size: int, known: int = 200_000) -> None:
+    def __init__(self, size: int, known: int = 50_000) -> None:
         self.size, self.most, self.known = size, known, _WordHashes()
 
     def __call__(self, text: bytes) -> np.ndarray:
@@ -330,7 +330,7 @@ def _profiles(size: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordB
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, byte_sizes(whole.column(whole.num_columns - 1)), 4 << 20)):
             names = batch.schema.names[:-1]
             seen: dict[bytes, tuple[int, np.ndarray]] = {}
             mine = []
@@ -427,7 +427,8 @@ def similar_links(prints: np.ndarray, bounds: np.ndarray, label: np.ndarray, fla
 def _verify(similarity: float, budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "bucket", 2_000):
+        parts = (batch.slice(k, 1_000) for batch in batches for k in range(0, batch.num_rows, 1_000))
+        for table in whole_groups(parts, "bucket", 2_000):
             bucket, prints = table.column("bucket").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
             order = np.lexsort((prints, bucket))
             table = table.take(pa.array(order))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanloom.llm import packing, simhash, toxicity
+from spanloom.llm import packing, repeats, simhash, toxicity
 from spanloom.llm.queries import ORACLE_SQL, QUERIES, tokenizer_file
 
 SF = "/root/testdata/sf0.001"
@@ -245,6 +245,31 @@ def test_near_duplicates_of_any_edit(spark, tmp_path):
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()} == kept
 
 
+def test_a_worker_drops_the_tables_of_other_operators():
+    body = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words of a text"])], ["doc_id", "text"])
+    tokenise = packing._tokenise(tokenizer_file(), 2, 4096, True)
+    packing._chunks.cache_clear()
+    for _ in range(2):
+        list(tokenise(iter([body])))
+    assert packing._chunks.cache_info().misses == 1  # the next task of the same operator uses the table
+    list(repeats._emit_anchors(200, 80)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array(["ab" * 300])], ["k", "t", "text"])])))
+    assert packing._chunks.cache_info().currsize == 0 and repeats.PrefixHashes._tables
+    (out,) = simhash._profiles(5, 20, 3)(iter([body]))
+    assert out.num_rows == 1 and not repeats.PrefixHashes._tables
+
+
+def test_texts_of_many_small_keys_are_compared_in_small_tables(monkeypatch):
+    n, seen = 9_000, []
+    sets = [np.arange(k // 3 * 10, k // 3 * 10 + 10) for k in range(n)]
+    columns = [np.arange(n) // 3, [str(k) for k in range(n)], np.arange(n), np.zeros(n, np.int64)]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(sets, pa.list_(pa.int64()))], ["bucket", "node", "component", "fp", "shingles"])
+    plain = simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda prints, *rest: seen.append(len(prints)) or plain(prints, *rest))
+    got = [(a, b) for out in simhash._verify(0.8, 27)(iter([batch])) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
+    assert sum(seen) == n and max(seen) <= 3_000
+    assert len(got) == n // 3 * 2 and all(int(a) // 3 == int(b) // 3 for a, b in got)
+
+
 def test_near_duplicates_of_files_split_anew(spark, tmp_path, monkeypatch):
     rng = random.Random(12)
     texts = [prose(rng, 60) for _ in range(40)]
