@@ -188,3 +188,40 @@ def test_vector_store_is_read_once_where_it_lies(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_document_text_has_the_rendered_lines(spark):
+    words = [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 0, 2, "c"), (1, 1, 0, "d"), (2, 0, 0, "e")]
+    found = [(1, 3, 0, 0, 3), (1, 12, 0, 0, 2), (1, 4, 0, 1, 2), (1, 5, 0, 1, 2), (1, 3, 0, 1, 3), (1, 6, 1, 0, 1)]
+    tokens = spark.createDataFrame(words, "doc_id long, sent_idx int, tok_idx int, word string")
+    spans = spark.createDataFrame(found, "doc_id long, cluster_id int, sent_idx int, start int, end int")
+    lines = conll.render_conll(tokens, spans).collect()
+    want = {d: "\n".join(r["value"] for r in sorted((r for r in lines if r["doc_id"] == d), key=lambda r: (r["sent_idx"], r["tok_idx"]))) for d in (1, 2)}
+    kind = "array<struct<cluster_id:int,sent_idx:int,start:int,end:int>>"
+    nested = spark.createDataFrame([(d, [w[1:] for w in words if w[0] == d], [m[1:] for m in found if m[0] == d]) for d in (1, 2)], f"doc_id long, tokens array<struct<sent_idx:int,tok_idx:int,word:string>>, mentions {kind}")
+    got = nested.select("doc_id", conll.document_text(F.col("doc_id"), F.col("tokens"), F.col("mentions")).alias("value"))
+    assert {r["doc_id"]: r["value"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["conll_tokens", "conll_sentences", "conll_parses", "conll_frames", "conll_clusters"])
+def test_texts_are_shuffled_once(spark, name):
+    from spanloom.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_text_of_repeated_documents(spark, tmp_path):
+    import duckdb
+
+    from spanloom.plans import catalog
+
+    rows = [(0, "Mention one mention\n two"), (0, "Mention one mention\n two"), (1, None), (2, " \n"), (3, "ab  cd\tef\n\nlonger longer")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(rows[1:], "doc_id long, text string").write.parquet(str(tmp_path / "once" / "documents.parquet"))
+    for folder in (tmp_path, tmp_path / "once"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+        got = [tuple(r) for r in catalog.QUERIES["conll_tokens"](spark, str(folder)).select("doc_no", "document", "word").collect()]
+        want = con.execute(f"SELECT doc_no, document, word FROM ({catalog.ORACLE_SQL['conll_tokens']})").fetchall()
+        assert sorted(got) == sorted(want)
