@@ -225,3 +225,13 @@ def test_text_of_repeated_documents(spark, tmp_path):
         got = [tuple(r) for r in catalog.QUERIES["conll_tokens"](spark, str(folder)).select("doc_no", "document", "word").collect()]
         want = con.execute(f"SELECT doc_no, document, word FROM ({catalog.ORACLE_SQL['conll_tokens']})").fetchall()
         assert sorted(got) == sorted(want)
+
+
+def test_files_are_written_without_lines_of_tokens(spark, tmp_path, monkeypatch):
+    from spanloom.plans import catalog
+
+    monkeypatch.setattr(catalog, "shared_folder", lambda spark: str(tmp_path))
+    assert catalog.QUERIES["conll_files_read_back"](spark, "/root/testdata/sf0.001").count() > 0
+    files = [f for f in tmp_path.rglob("part-*") if f.is_file()]
+    plain = sum(r["n"] for r in conll.read_conll(spark, str(tmp_path), "part-*").select(F.octet_length("value").alias("n")).collect())
+    assert files and sum(f.stat().st_size for f in files) < plain / 4
