@@ -288,8 +288,14 @@ def bio_encode(spans: DataFrame, lengths: DataFrame, heads: int = 2, keys: Seque
     deep = nesting_depth(spans, [*keys, *within]).where(F.col("depth") < heads)
     marks = deep.select(*keys, F.col("depth").cast("int").alias("head"), "sub_start", F.explode(F.sequence("sub_start", "sub_end")).alias("pos"))
     own = marks.groupBy(*keys, "head", "pos").agg(F.min(F.when(F.col("pos") == F.col("sub_start"), "B").otherwise("I")).alias("label"))
-    every = lengths.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("pos")).withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(heads - 1))))
-    return every.join(own, [*keys, "head", "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O"))).select(*keys, "head", "pos", "label")
+    # a row before the first position of each head; what lies between two rows is outside, so only marks travel
+    top = lengths.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(heads - 1))).alias("head"), F.lit(-1).cast("long").alias("pos"), F.col("n").cast("long").alias("n"))
+    both = top.unionByName(own.where(F.col("pos") >= 0).withColumn("pos", F.col("pos").cast("long")), allowMissingColumns=True)
+    order = Window.partitionBy(*keys, "head").orderBy("pos")
+    size = F.max("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = both.withColumn("n", size).withColumn("until", F.least(F.coalesce(F.lead("pos").over(order), F.col("n")), F.col("n"))).where(F.col("n").isNotNull() & (F.col("until") > F.col("pos")))
+    every = placed.select(*keys, "head", F.col("pos").alias("at"), "label", F.explode(F.sequence("pos", F.col("until") - 1)).alias("pos")).where(F.col("pos") >= 0)
+    return every.select(*keys, "head", "pos", F.when(F.col("pos") == F.col("at"), F.col("label")).otherwise("O").alias("label"))
 
 
 def bio_decode(labels: DataFrame, keys: Sequence[str] = ("doc_id", "head")) -> DataFrame:

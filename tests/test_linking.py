@@ -374,3 +374,15 @@ def test_alignment_of_a_long_document_is_many_groups(spark):
     response = spark.range(8000).selectExpr("1L AS doc_id", "IF(id % 4 = 0, 10000 + id div 4, id div 4) AS cluster_id", "id AS sent_idx", "0 AS start", "1 AS end")
     row = metrics.ceaf_e(key, response).first()
     assert (row["rec_num"], row["rec_den"], row["prec_den"]) == (pytest.approx(2000 * 6 / 7), 2000, 4000)
+
+
+def test_bio_encode_shuffles_marks_not_positions(spark):
+    rows = [(1, 0, 2, 3), (1, 0, 2, 2), (1, 0, 4, 9), (2, 0, 0, 0), (4, 0, 0, 1)]
+    found = spark.createDataFrame(rows, "doc_id long, sent_idx int, sub_start long, sub_end long")
+    lengths = spark.createDataFrame([(1, 7), (2, 1), (3, 2)], "doc_id long, n long")
+    got = spans.bio_encode(found, lengths, 2, ("doc_id",), within=("sent_idx",))
+    text = {}
+    for r in sorted(got.collect(), key=lambda r: (r["doc_id"], r["head"], r["pos"])):
+        text[r["doc_id"], r["head"]] = text.get((r["doc_id"], r["head"]), "") + r["label"]
+    assert text == {(1, 0): "OOBIBII", (1, 1): "OOBOOOO", (2, 0): "B", (2, 1): "O", (3, 0): "OO", (3, 1): "OO"}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
